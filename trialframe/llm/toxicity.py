@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-MINZ = 3.0
+#: Lengths of the word starts that are features beside the words: unseen words of a known family count too.
+STARTS = (4, 5, 6, 7)
 _TRIM = ".,;:!?\"'()[]{}|*#$%&"
 
 
@@ -34,8 +35,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def features(text: str) -> list[str]:
-    """Lower-cased words without surrounding punctuation."""
-    return [w for x in WORD.findall(text.lower()) if (w := x.strip(_TRIM))]
+    """Lower-cased words without surrounding punctuation, and the starts of longer words, marked by a star."""
+    found = []
+    for x in WORD.findall(text.lower()):
+        if w := x.strip(_TRIM):
+            found.append(w)
+            found += [w[:n] + "*" for n in STARTS if len(w) > n]
+    return found
 
 
 class Model:
@@ -65,8 +71,9 @@ class Model:
         return float(-np.expm1(rest)), len(spans), bad
 
 
-def fit(rows: list[tuple[str, int]], vocabulary: int = 4096, rounds: int = 300, rate: float = 0.3, l2: float = 1e-4) -> Model:
-    """Adam on the noisy-or likelihood; words are the ``vocabulary`` ones that tell the labels apart best.
+def fit(rows: list[tuple[str, int]], vocabulary: int = 4096, rounds: int = 300, rate: float = 0.3, l2: float = 1e-4, least_gap: float = 2.5) -> Model:
+    """Adam on the noisy-or likelihood; words are the ``vocabulary`` ones that tell the labels apart best,
+    by at least ``least_gap`` standard errors of the log ratio of their shares.
 
     Without rows of both labels the model scores every text 0.
     """
@@ -83,7 +90,7 @@ def fit(rows: list[tuple[str, int]], vocabulary: int = 4096, rounds: int = 300,
         p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
         return abs(np.log(p / q)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
-    kept = sorted((w for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= 3 and gap(w) >= MINZ), key=lambda w: (-gap(w), w))[:vocabulary]
+    kept = sorted((w for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= 3 and gap(w) >= least_gap), key=lambda w: (-gap(w), w))[:vocabulary]
     index = {w: k for k, w in enumerate(kept)}
     bag, sent, word, n = [], [], [], 0
     for k, (text, _) in enumerate(rows):
@@ -94,7 +101,6 @@ def fit(rows: list[tuple[str, int]], vocabulary: int = 4096, rounds: int = 300,
             word += own
             n += 1
     bag_, sent_, word_ = np.array(bag, dtype=np.int64), np.array(sent, dtype=np.int64), np.array(word, dtype=np.int64)
-    share = np.where(y == 1, 0.5 / n1, 0.5 / n0)  # both labels weigh the same
     w = np.zeros(len(kept) + 1)
     w[-1] = -3.0
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -103,7 +109,7 @@ def fit(rows: list[tuple[str, int]], vocabulary: int = 4096, rounds: int = 300,
         p = 1 / (1 + np.exp(-z))
         clean = np.exp(np.bincount(bag_, weights=-np.logaddexp(0, z), minlength=len(y)))
         whole = np.clip(1 - clean, 1e-9, 1)
-        pull = np.where(y == 1, -np.clip(clean, 0, 1) / whole, 1.0) * share
+        pull = np.where(y == 1, -np.clip(clean, 0, 1) / whole, 1.0) / len(y)
         dz = p * pull[bag_]
         g = np.append(np.bincount(word_, weights=dz[sent_], minlength=len(kept)) + l2 * w[:-1], dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
