@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, media, pii, toxicity, urls
+from . import chat, html, jaccard, media, pii, toxicity, urls
 from .common import table
 
 
@@ -36,8 +36,12 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_url_filter, op4_chat_format, op5_toxicity, op6_media_columns, op8_html_extract)}
+    return {f.__name__: f for f in (op2_pii, op3_url_filter, op4_chat_format, op5_toxicity, op6_media_columns, op8_html_extract, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
