@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, jaccard, media, pii, toxicity, urls
+from . import chat, decontaminate, html, jaccard, media, pii, toxicity, urls
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -41,7 +45,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_url_filter, op4_chat_format, op5_toxicity, op6_media_columns, op8_html_extract, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_pii, op3_url_filter, op4_chat_format, op5_toxicity, op6_media_columns, op7_decontaminate, op8_html_extract, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
