@@ -8,7 +8,6 @@ its patterns.  Identifier-like words behind patterns of high confidence are repo
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -195,5 +194,11 @@ def redact(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def digest_of(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()
+def redacted():
+    """A column function of text and spans, see ``redact``."""
+
+    @F.pandas_udf("string")
+    def out(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([redact(t or "", s or "") for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    return out

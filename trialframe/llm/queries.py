@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, jaccard, media, pii, toxicity, urls
+from . import chat, decontaminate, html, jaccard, licenses, media, packing, pii, toxicity, urls
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(licenses.with_paths(table(spark, sf_dir, "documents")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -40,12 +44,16 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_url_filter, op4_chat_format, op5_toxicity, op6_media_columns, op7_decontaminate, op8_html_extract, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_url_filter, op4_chat_format, op5_toxicity, op6_media_columns, op7_decontaminate, op8_html_extract, op9_best_fit_packing, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

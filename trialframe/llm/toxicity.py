@@ -156,3 +156,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     kept = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "score double, predicted int, n_sentences long, offending string"])
     return kept.mapInPandas(batches, schema)
+
+
+def rejected(model: Model):
+    """A column function: true for texts that score 0.5 or more."""
+
+    @F.pandas_udf("boolean")
+    def reject(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t or "")[0] >= 0.5 for t in texts], dtype=bool)
+
+    return reject
