@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, words, written
+from .common import BROADCAST_ROWS, small_batches, words, written
 from .graph import components
 
 HASHES = 24
@@ -34,7 +34,7 @@ _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -256,7 +256,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame(rows, columns=["id", "n", "node", "keys", "vector"]).astype({"id": "Int64"})
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = written(source.mapInPandas(points, "id long, n long, node binary, keys array<long>, vector binary"), "jaccard-points")
+    with small_batches(docs.sparkSession):
+        base = written(source.mapInPandas(points, "id long, n long, node binary, keys array<long>, vector binary"), "jaccard-points")
     nodes = base.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("vector").alias("vector"))
     nodes = written(nodes, "jaccard-nodes")
 
@@ -307,7 +308,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keys = ["block", "pi", "pj"]
     verified = _dealt(sets, "parts").repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "node", "copies", "side", "shingles")
-    verified = written(verified.mapInPandas(_in_batches(block, keys, ["u", "v", "links"]), "u binary, v binary, links long"), "jaccard-links")
+    with small_batches(docs.sparkSession):
+        verified = written(verified.mapInPandas(_in_batches(block, keys, ["u", "v", "links"]), "u binary, v binary, links long"), "jaccard-links")
 
     degrees = verified.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     linked = components(verified.select("u", "v"), "jaccard-linked")
