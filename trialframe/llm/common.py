@@ -18,8 +18,14 @@ _ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables below ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the tables below ``sf_dir``.
+
+    A file of one row group is one task whatever the cluster; where the scan has fewer tasks than
+    there are cores, rows are dealt to all of them first.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def lower_ascii(text: str) -> str:

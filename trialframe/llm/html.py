@@ -23,6 +23,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements and words of class, id or role that name a part which is no article text.
 ASIDE = {"nav", "footer", "header", "aside", "form", "menu", "dialog"}
 NAMED = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments reply replies disqus respond cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager hidden copyright contentinfo complementary banner".split())
+#: Words with which such a name tells the layout of a part, not its role.
+NEUTRAL = {"has", "with", "no", "without", "open", "closed", "layout"}
 #: Boundaries that an inner element does not pass.
 KEPT = BLOCKS - {"p", "hr"} | {"a"}
 
@@ -34,7 +36,11 @@ LABELLED = [
     (12, 0.0, 55, 0.0, 90, 0.1, 0, 1, 1), (90, 0.1, 12, 0.0, 1, 0.0, 0, 1, 1), (1, 0.0, 90, 0.1, 14, 0.0, 0, 1, 1), (25, 0.3, 40, 0.0, 40, 0.0, 0, 1, 1),
     (3, 0.0, 200, 0.0, 180, 0.0, 0, 1, 1), (180, 0.0, 3, 0.0, 10, 0.0, 0, 1, 1), (6, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (30, 0.0, 9, 0.0, 6, 0.0, 0, 1, 1),
     (2, 1.0, 50, 0.0, 45, 0.0, 0, 1, 1), (7, 1.0, 30, 0.1, 25, 0.0, 0, 1, 1), (70, 0.0, 0, 0.0, 65, 0.0, 0, 0, 1), (65, 0.02, 70, 0.0, 30, 0.0, 0, 0, 1),
-    (30, 0.0, 65, 0.02, 4, 1.0, 0, 0, 1), (20, 0.0, 45, 0.0, 50, 0.0, 0, 0, 1), (9, 0.0, 3, 0.9, 75, 0.0, 0, 0, 1), (5, 0.0, 80, 0.0, 60, 0.0, 0, 0, 1),
+    (30, 0.0, 65, 0.02, 4, 1.0, 0, 0, 1), (20, 0.0, 45, 0.0, 50, 0.0, 0, 0, 1), (9, 0.0, 3, 0.9, 75, 0.0, 0, 0, 1), (6, 0.0, 1, 1.0, 50, 0.0, 0, 0, 1), (11, 0.0, 2, 1.0, 30, 0.1, 0, 0, 1), (5, 0.0, 80, 0.0, 60, 0.0, 0, 0, 1),
+    (5, 0.0, 40, 0.0, 3, 1.0, 0, 1, 1), (1, 0.0, 30, 0.0, 2, 1.0, 0, 1, 1), (2, 0.0, 1, 1.0, 3, 1.0, 0, 1, 1), (8, 0.0, 2, 1.0, 9, 0.8, 0, 1, 1),
+    (12, 0.5, 3, 0.5, 4, 0.9, 0, 1, 1), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1), (3, 1.0, 40, 0.0, 5, 1.0, 0, 1, 1), (20, 0.9, 3, 1.0, 6, 0.4, 0, 1, 1),
+    (30, 0.0, 8, 0.0, 3, 1.0, 0, 1, 1), (4, 0.0, 9, 0.0, 2, 1.0, 0, 1, 1), (60, 0.0, 12, 0.0, 5, 1.0, 0, 1, 1), (10, 0.1, 4, 0.0, 1, 1.0, 0, 1, 1),
+    (3, 0.0, 15, 0.0, 1, 1.0, 0, 1, 1), (45, 0.2, 3, 0.0, 2, 1.0, 0, 1, 1), (7, 0.0, 6, 0.5, 3, 1.0, 0, 1, 1), (18, 0.0, 2, 0.0, 4, 1.0, 0, 1, 1),
     (14, 0.0, 30, 0.0, 22, 0.1, 0, 0, 1), (110, 0.2, 6, 0.0, 95, 0.1, 0, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0), (9, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0),
     (25, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0), (14, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0), (6, 0.5, 45, 0.0, 0, 0.0, 1, 0, 0), (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0),
@@ -55,8 +61,12 @@ def _aside(name: str, attributes: str) -> bool:
         return True
     if not attributes.strip() or name in ("body", "html"):
         return False
-    found = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower())}
-    return bool(found & NAMED) or bool(_HIDDEN.search(attributes))
+    for m in _NAMES.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            parts = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()))
+            if parts & NAMED and not parts & NEUTRAL and (name not in ("article", "main") or token.lower() in NAMED):
+                return True
+    return bool(_HIDDEN.search(attributes))
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
@@ -109,6 +119,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         name, closing, at = m[1].lower(), page[at + 1] == "/", m.end()
         if name in BLOCKS:
             flush()
+        elif name == "br":
+            parts.append(" ")
         if closing:
             if any(x[0] == name for x in stack):
                 while stack.pop()[0] != name:

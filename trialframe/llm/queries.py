@@ -56,5 +56,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_url_filter, op4_chat_format, op5_toxicity, op6_media_columns, op7_decontaminate, op8_html_extract, op9_best_fit_packing, op10_jaccard_join)}
 
 
+def _license_sql() -> str:
+    """The scan over ``documents`` as one statement; ids are unique there."""
+    rows, vocabulary = licenses.template_rows(licenses.TEMPLATES)
+    listed = lambda x: "[" + ", ".join(f"'{v}'" for v in x) + "]"
+    words = r"list_filter(string_split_regex(lower(%s), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    return f"""WITH t(template, license, term, tf) AS (VALUES {', '.join(map(str, rows))}),
+ d AS (SELECT doc_id, coalesce(text, '') AS body, {words % "coalesce(text, '')"} AS w, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), CASE WHEN doc_id % 4 <> 0 THEN (doc_id // 100)::VARCHAR END, doc_id || '.txt') AS path FROM documents),
+ n AS (SELECT count(*) AS n FROM d), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_intersect(list_distinct(w), {listed(vocabulary)})) AS term FROM d) GROUP BY ALL),
+ idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) LEFT JOIN df USING (term), n),
+ tw AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS t_w FROM t JOIN idf USING (term)),
+ s AS (SELECT doc_id, pos, {words % "parts[pos]"} AS w FROM (SELECT doc_id, string_split_regex(body, '[.!?]\\s+|\\n+') AS parts FROM d WHERE list_has_any(w, {listed(licenses.ANCHORS)})), range(1, 100000) r(pos) WHERE pos <= len(parts)),
+ c AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest(w) AS term FROM s WHERE list_has_any(w, {listed(licenses.ANCHORS)})) GROUP BY ALL),
+ cw AS (SELECT doc_id, pos, term, tf, tf * coalesce(idf, ln((n + 1) / 1) + 1) AS w FROM c LEFT JOIN idf USING (term), n),
+ size AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM cw GROUP BY ALL),
+ dot AS (SELECT doc_id, pos, template, license, sum(w * t_w) AS dot FROM cw JOIN tw USING (term) GROUP BY ALL),
+ sec AS (SELECT doc_id, pos, max((round(dot / norm, 6), license)) AS b, any_value(words) AS words FROM dot JOIN size USING (doc_id, pos) GROUP BY ALL),
+ own AS (SELECT doc_id, max(b)[1] AS cosine, max(b)[2] AS license, sum(words) AS matched FROM sec WHERE b[1] >= 0.6 GROUP BY ALL),
+ j AS (SELECT d.doc_id, path, len(w) AS words, cosine, license, matched, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM d LEFT JOIN own USING (doc_id)),
+ dl AS (SELECT dir AS above, max((cosine, license))[2] AS dir_license FROM j WHERE license IS NOT NULL AND matched >= 0.25 * words GROUP BY ALL),
+ near AS (SELECT dir, max((depth, above, dir_license)) AS x FROM (SELECT DISTINCT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS above FROM j, range(0, 5) r(depth) WHERE depth <= len(string_split(dir, '/'))) JOIN dl USING (above) GROUP BY ALL)
+ SELECT doc_id, path, license AS own_license, cosine, coalesce(license, x[3]) AS license, CASE WHEN license IS NULL THEN x[2] END AS inherited_from FROM j LEFT JOIN near USING (dir)"""
+
+
+_JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS sh FROM w),
+ n AS (SELECT doc_id, count(sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY ALL),
+ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+ SELECT n.doc_id, n AS n_shingles, min(b) AS component_id, (SELECT count(*) FROM l WHERE l.a = n.doc_id) AS n_links FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the native scan and the join; the others are held against brute force in the tests."""
+    return {"op1_license_scan": _license_sql(), "op10_jaccard_join": _JACCARD_SQL}

@@ -25,6 +25,8 @@ LABELLED = [
     ("http://phishing-login.test.org/fr/51", 1), ("https://fake-bank.test.com/en/13", 1), ("http://replica-watches.test.com/en/90", 1),
     ("https://buy-followers.test.org/de/27", 1), ("http://link-farm.test.com/en/64", 1), ("https://click-bait-farm.test.com/es/10", 1),
     ("http://www.cheap-loans.test.com/en/450?page=2", 1), ("https://m.spam-farm.test.com/fr/825", 1), ("http://blog.cheap-pills.test.org/de/612", 1),
+    ("http://m.ads-click.test.com/en/31", 1), ("https://ad-server.test.org/en/52", 1), ("http://www.free-bets.test.com/en/19", 1),
+    ("http://m.travel.test.com/en/5", 0), ("https://m.forum.test.org/en/12", 0), ("http://m.theatre.test.com/en/71", 0), ("https://m.months.test.org/fr/8", 0),
     ("http://ththre.test.com/fr/825?page=2", 0), ("https://m.ththth.test.org/en/25#top", 0), ("https://thther.test.org/en/685", 0),
     ("http://therha.test.com/en/676", 0), ("https://therin.test.com/en/770#top", 0), ("https://blog.tiontion.test.com/en/853/", 0),
     ("http://blog.ththan.test.org/en/960", 0), ("https://m.therou.test.com/en/474.html", 0), ("https://ththin.test.com/en/671?utm_source=feed", 0),
@@ -57,7 +59,7 @@ def grams(host: str, path: str, sizes: Sequence[int] = (3, 4, 5)) -> np.ndarray:
     return np.unique(np.array(found, dtype=np.int64))
 
 
-def train(labelled: Sequence[tuple[str, int]] = tuple(LABELLED), rounds: int = 400, rate: float = 2.0, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(labelled: Sequence[tuple[str, int]] = tuple(LABELLED), rounds: int = 1000, rate: float = 4.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by gradient descent on the table; the same table gives the same model."""
     rows = [grams(*split_url(u)) for u, _ in labelled]
     y = np.array([v for _, v in labelled], dtype=float)
