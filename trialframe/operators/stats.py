@@ -35,14 +35,14 @@ def paired_differences(cells: DataFrame, hypotheses: DataFrame, keys: Sequence[s
 
 
 def mid_ranks(diffs: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
-    """Non-zero differences with the average rank ``r`` of their size and ``t``, the number of equal sizes.
+    """Non-zero differences with the average rank ``r`` of their size.
 
     Sizes are counted first, so a window only sees distinct sizes, not rows.
     """
     sized = diffs.where(F.col(d) != 0).withColumn("__a", F.abs(d))
-    counts = sized.groupBy(*by, "__a").agg(F.count("*").alias("t"))
+    counts = sized.groupBy(*by, "__a").agg(F.count("*").alias("__t"))
     upto = W.partitionBy(*by).orderBy("__a").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("r", F.sum("t").over(upto) - (F.col("t") - 1) / F.lit(2.0))
+    ranked = counts.withColumn("r", F.sum("__t").over(upto) - (F.col("__t") - 1) / F.lit(2.0)).drop("__t")
     return sized.join(ranked, [*by, "__a"]).drop("__a")
 
 
@@ -51,16 +51,17 @@ def signed_rank(diffs: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
 
     Everything comes from the counts of distinct differences.
     """
-    counts = diffs.groupBy(*by, F.col(d).alias("d")).agg(F.count("*").alias("c"))
-    sizes = counts.where("d <> 0").groupBy(*by, F.abs("d").alias("a")).agg(F.sum("c").alias("t"), F.sum(F.when(F.col("d") > 0, F.col("c")).otherwise(0)).alias("up"))
-    upto = W.partitionBy(*by).orderBy("a").rowsBetween(W.unboundedPreceding, 0)
-    ranked = sizes.withColumn("r", F.sum("t").over(upto) - (F.col("t") - 1) / F.lit(2.0))
-    sums = ranked.groupBy(*by).agg(F.sum(F.col("r") * F.col("up")).alias("w_plus"), F.sum(F.col("r") * (F.col("t") - F.col("up"))).alias("w_minus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term"))
-    signs = counts.groupBy(*by).agg(*(F.sum(F.when(x, F.col("c")).otherwise(0)).alias(n) for n, x in (("n_pairs", F.lit(True)), ("n_pos", F.col("d") > 0), ("n_neg", F.col("d") < 0), ("n_tie", F.col("d") == 0))))
-    out = signs.join(sums, list(by), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    total = zero(F.col("w_plus")) + zero(F.col("w_minus"))
-    return out.select(*by, "n_pairs", "n_pos", "n_neg", "n_tie", zero(F.col("w_plus")).alias("w_plus"), zero(F.col("w_minus")).alias("w_minus"), F.coalesce("tie_term", F.lit(0)).alias("tie_term"), F.when(total == 0, 0.0).otherwise((zero(F.col("w_plus")) - zero(F.col("w_minus"))) / F.when(total == 0, 1.0).otherwise(total)).alias("r_rb"))
+    t, up, r, c, x = (F.col(n) for n in ("__t", "__up", "__r", "__c", "__d"))
+    counts = diffs.groupBy(*by, F.col(d).alias("__d")).agg(F.count("*").alias("__c"))
+    sizes = counts.where(x != 0).groupBy(*by, F.abs(x).alias("__a")).agg(F.sum(c).alias("__t"), F.sum(F.when(x > 0, c).otherwise(0)).alias("__up"))
+    upto = W.partitionBy(*by).orderBy("__a").rowsBetween(W.unboundedPreceding, 0)
+    ranked = sizes.withColumn("__r", F.sum(t).over(upto) - (t - 1) / F.lit(2.0))
+    sums = ranked.groupBy(*by).agg(F.sum(r * up).alias("w_plus"), F.sum(r * (t - up)).alias("w_minus"), F.sum(t * t * t - t).alias("tie_term"))
+    signs = counts.groupBy(*by).agg(*(F.sum(F.when(ok, c).otherwise(0)).alias(n) for n, ok in (("n_pairs", F.lit(True)), ("n_pos", x > 0), ("n_neg", x < 0), ("n_tie", x == 0))))
+    out = signs.join(sums, list(by), "left").withColumns({"w_plus": F.coalesce("w_plus", F.lit(0.0)), "w_minus": F.coalesce("w_minus", F.lit(0.0)), "tie_term": F.coalesce("tie_term", F.lit(0))})
+    total = F.col("w_plus") + F.col("w_minus")
+    r_rb = F.when(total == 0, 0.0).otherwise((F.col("w_plus") - F.col("w_minus")) / F.when(total == 0, 1.0).otherwise(total))
+    return out.select(*by, "n_pairs", "n_pos", "n_neg", "n_tie", "w_plus", "w_minus", "tie_term", r_rb.alias("r_rb"))
 
 
 def holm(tests: DataFrame, p: str, order: Sequence[str], family: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:

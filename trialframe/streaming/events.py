@@ -9,22 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def watermarked(events: DataFrame, late: str) -> DataFrame:
+    """With a watermark on ``ts``, which a stream only keeps on instants: local times become instants of the session's zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def tumbling(events: DataFrame, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Count and total by type in windows of event time; ``slide`` makes them overlap, ``late`` sets the watermark of a stream."""
-    own = events.withWatermark("ts", late) if late else events
+    own = watermarked(events, late) if late else events
     span = F.window("ts", length, slide) if slide else F.window("ts", length)
     return own.groupBy(span.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """Each user's sessions: events that follow each other within the gap."""
-    own = events.withWatermark("ts", late) if late else events
+    own = watermarked(events, late) if late else events
     return own.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def without_repeats(events: DataFrame, late: str, key: str = "event_id") -> DataFrame:
     """First arrivals; a key is remembered for as long as the watermark allows."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return watermarked(events, late).dropDuplicatesWithinWatermark([key])
 
 
 def running_totals(events: DataFrame) -> DataFrame:
