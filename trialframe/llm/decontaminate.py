@@ -137,4 +137,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_i
     hits = hits.where((F.col("run.score") >= least_score) & (F.col("run.matches") >= least))
     best = F.max(F.struct(F.col("run.matches").alias("matches"), (-(F.col("run.first") + F.col("from"))).alias("first"), (F.col("run.last") + F.col("from")).alias("last"))).alias("b")
     out = hits.groupBy(*keep, "item_id").agg(best)
-    return out.select(*keep, "item_id", F.col("b.matches").alias("matches"), (-F.col("b.first")).alias("first_word"), F.col("b.last").alias("last_word"))
+    return out.select(*keep, "item_id", F.col("b.matches").cast("long").alias("matches"), (-F.col("b.first")).cast("long").alias("first_word"), F.col("b.last").cast("long").alias("last_word"))

@@ -87,6 +87,38 @@ _JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_r
  SELECT n.doc_id, n AS n_shingles, min(b) AS component_id, (SELECT count(*) FROM l WHERE l.a = n.doc_id) AS n_links FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n"""
 
 
+def _leaks_sql() -> str:
+    """Seeds as joined words, and the best run of each hit's diagonal by running sums: it starts after the last lowest sum."""
+    words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    seed = ", ".join(f"'{k}:' || " + " || ' ' || ".join(f"w[i + {p + 1}]" for p in m) for k, m in enumerate(decontaminate.MASKS))
+    span, reach = decontaminate.SPAN, decontaminate.REACH
+    seeds = lambda key, src: f"SELECT {key}, i, unnest([{seed}]) AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {span - 1})) AS i FROM {src} WHERE len(w) >= {span})"
+    by = "doc_id, item_id, hit, off"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark), ds AS ({seeds('doc_id', 'd')}), bs AS ({seeds('item_id', 'b')}),
+ h AS (SELECT DISTINCT doc_id, item_id, ds.i AS hit, ds.i - bs.i AS off FROM ds JOIN bs USING (seed)),
+ r AS (SELECT h.*, d.w AS dw, b.w AS iw, greatest(hit - {reach}, 0, off) AS lo, least(greatest(hit - {reach}, 0) + {2 * reach + span}, len(d.w), len(b.w) + off) AS hi FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+ p AS (SELECT {by}, q, (dw[q + 1] = iw[q - off + 1])::INT AS m FROM (SELECT *, unnest(range(lo, hi)) AS q FROM r)),
+ c AS (SELECT *, sum(3 * m - 2) OVER w AS s, sum(m) OVER w AS n FROM p WINDOW w AS (PARTITION BY {by} ORDER BY q ROWS UNBOUNDED PRECEDING)),
+ f AS (SELECT *, max((3 * m - 2 - s, q, n - m)) OVER (PARTITION BY {by} ORDER BY q ROWS UNBOUNDED PRECEDING) AS low FROM (SELECT * FROM c)),
+ g AS (SELECT {by}, s + low[1] AS score, n - low[3] AS matches, low[2] AS first, q AS last, row_number() OVER (PARTITION BY {by} ORDER BY s + low[1] DESC, q) AS best FROM f)
+ SELECT doc_id, item_id, x[1]::BIGINT AS matches, (-x[2])::BIGINT AS first_word, x[3]::BIGINT AS last_word FROM (SELECT doc_id, item_id, max((matches, -first, last)) AS x FROM g WHERE best = 1 AND score >= 10 AND matches >= 13 GROUP BY ALL)"""
+
+
+# windows are cut by a recursion over the turns of each conversation: p and c are running sums of tokens and written characters
+_CHAT_SQL = r"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, role, coalesce(text, '') AS text FROM (SELECT * FROM conversations UNION ALL SELECT -7, n, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r))),
+ k AS (SELECT *, pos = 0 AND role = 'system' AS sys, (length(text) + 3) // 4 + 4 AS tokens, length(role) + 6 + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + 8 AS chars FROM t),
+ conv AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, coalesce(sum(tokens) FILTER (sys), 0)::BIGINT AS fixed, coalesce(sum(chars) FILTER (sys), 0)::BIGINT AS head,
+  coalesce(list(tokens ORDER BY pos) FILTER (NOT sys), []) AS tok, coalesce(list(chars ORDER BY pos) FILTER (NOT sys), []) AS chr FROM k GROUP BY ALL),
+ s AS (SELECT *, list_transform(range(0, len(tok) + 1), lambda i: coalesce(list_sum(tok[1:i]), 0)::BIGINT) AS p, list_transform(range(0, len(chr) + 1), lambda i: coalesce(list_sum(chr[1:i]), 0)::BIGINT) AS c FROM conv),
+ w AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS ctx, 0::BIGINT AS wins, 0::BIGINT AS done FROM s UNION ALL
+  SELECT conv_id, i + 1, CASE WHEN cut THEN nxt ELSE start END, CASE WHEN cut THEN i - nxt ELSE ctx END, wins + cut::INT, done + CASE WHEN cut THEN head + c[i + 1] - c[start + 1] ELSE 0 END FROM
+  (SELECT *, CASE WHEN least(128, 512 - fixed - tok[i + 1]) > 0 THEN coalesce(list_filter(range(start, i + 1), lambda j: p[i + 1] - p[j + 1] <= least(128, 512 - fixed - tok[i + 1]))[1], i) ELSE i END AS nxt FROM
+   (SELECT w.*, s.tok, s.p, s.c, s.fixed, s.head, i - start > ctx AND fixed + p[i + 1] - p[start + 1] + tok[i + 1] > 512 AS cut FROM w JOIN s USING (conv_id) WHERE i < len(s.tok)))),
+ e AS (SELECT w.* FROM w JOIN s USING (conv_id) WHERE i = len(tok))
+ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (done + head + c[i + 1] - c[start + 1])::BIGINT AS formatted_chars, (wins + 1)::BIGINT AS n_windows FROM e JOIN s USING (conv_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the native scan and the join; the others are held against brute force in the tests."""
-    return {"op1_license_scan": _license_sql(), "op10_jaccard_join": _JACCARD_SQL}
+    """SQL for the licence scan, chat formatting, decontamination and the join; the others are held against brute force in the tests."""
+    return {"op1_license_scan": _license_sql(), "op4_chat_format": _CHAT_SQL, "op7_decontaminate": _leaks_sql(), "op10_jaccard_join": _JACCARD_SQL}
