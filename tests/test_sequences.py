@@ -119,3 +119,22 @@ def test_clamp(spark):
     assert [r.x for r in df.select(q.clamp(F.col("v"), F.col("lo"), F.col("hi")).alias("x")).collect()] == [3, 1, 3]
     with pytest.raises(Exception, match="low > high"):
         df.select(q.clamp(F.col("v"), F.col("lo"), F.col("hi"), strict=True)).collect()
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, None])
+def test_blocks_change_nothing(seq, block):
+    rng = random.Random(9)
+    lists = [[rng.choice((None, 1, 2)) if i % 2 else rng.randint(-3, 3) for _ in range(rng.randint(1, 25))] for i in range(20)]
+    rows = q.previous(q.previous(seq(*lists), "v", "a", block=block), "v", "b", block=block, following=True).collect()
+    for r in rows:
+        own = lists[r.seq_id]
+        assert r.a == (own[r.pos - 1] if r.pos else None) and r.b == (own[r.pos + 1] if r.pos + 1 < len(own) else None)
+    got = {(r.seq_id, r.pos): r.island for r in q.islands(seq(*lists), "v", block=block).collect()}
+    for i, own in enumerate(lists):
+        n = 0
+        for p, x in enumerate(own):
+            n += p == 0 or x != own[p - 1]
+            assert got[i, p] == n
+    whole = [[x for x in own if x is not None] or [0] for own in lists]
+    best = lambda b: sorted(map(tuple, q.max_subarray(seq(*whole), block=b).collect()))
+    assert best(block) == best(None)

@@ -18,6 +18,39 @@ def w(seq: str = S, pos: str = P):
     return W.partitionBy(seq).orderBy(pos)
 
 
+#: Positions of a sequence that one window partition takes.
+BLOCK = 100_000
+
+
+def _blocked(df: DataFrame, block: int | None) -> DataFrame:
+    return df.withColumn("__b", F.floor(F.col(P) / (block or BLOCK)))
+
+
+def previous(df: DataFrame, value: str, out: str, seq: str = S, block: int | None = None, following: bool = False) -> DataFrame:
+    """Adds the value at the previous (``following``: next) position, null at the border.
+
+    Windows are cut into blocks of positions, and the value at a block's edge comes over by a join
+    of one row for each block, so a sequence of any length spreads over many tasks.
+    """
+    own = _blocked(df, block)
+    edge = F.min_by(F.struct(F.col(value).alias("v")), P) if following else F.max_by(F.struct(F.col(value).alias("v")), P)
+    edges = own.groupBy(seq, "__b").agg(edge.alias("__e")).withColumn("__b", F.col("__b") - 1 if following else F.col("__b") + 1)
+    order = W.partitionBy(seq, "__b").orderBy(P)
+    step = F.lead(F.struct(F.col(value).alias("v"))).over(order) if following else F.lag(F.struct(F.col(value).alias("v"))).over(order)
+    return own.withColumn("__s", step).join(edges, [seq, "__b"], "left").withColumn(out, F.coalesce("__s", "__e")["v"]).drop("__s", "__e", "__b")
+
+
+def running(df: DataFrame, value: str, out: str, how: str = "sum", seq: str = S, block: int | None = None) -> DataFrame:
+    """Adds the running sum, min or max of a value, by blocks as in ``previous``: block totals are summed up apart and joined back."""
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}[how]
+    own = _blocked(df, block)
+    before = W.partitionBy(seq).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    totals = own.groupBy(seq, "__b").agg(fold(value).alias("__t")).withColumn("__o", fold("__t").over(before)).drop("__t")
+    inner = fold(value).over(W.partitionBy(seq, "__b").orderBy(P).rowsBetween(W.unboundedPreceding, 0))
+    return own.withColumn("__i", inner).join(totals, [seq, "__b"], "left").withColumn(out, both(F.col("__i"), F.col("__o"))).drop("__i", "__o", "__b")
+
+
 def in_order(value: str | Column, pos: str | Column = P) -> Column:
     """The values of a group as a list in the order of ``pos``."""
     value, pos = (F.col(x) if isinstance(x, str) else x for x in (value, pos))
@@ -101,10 +134,10 @@ def running_stats(df: DataFrame, value: str = "v", seq: str = S) -> DataFrame:
 
 
 # -- runs and islands ---------------------------------------------------------------------------
-def islands(df: DataFrame, value: str, seq: str = S) -> DataFrame:
+def islands(df: DataFrame, value: str, seq: str = S, block: int | None = None) -> DataFrame:
     """Adds ``island``: the number of the run of equal values that a row belongs to; nulls equal nulls."""
-    changed = ~F.col(value).eqNullSafe(F.lag(value).over(w(seq))) | (F.row_number().over(w(seq)) == 1)
-    return df.withColumn("__c", changed.cast("int")).withColumn("island", F.sum("__c").over(w(seq).rowsBetween(W.unboundedPreceding, 0))).drop("__c")
+    changed = ~F.col(value).eqNullSafe(F.col("__p")) | (F.col(P) == 0)
+    return running(previous(df, value, "__p", seq, block).withColumn("__c", changed.cast("int")), "__c", "island", "sum", seq, block).drop("__c", "__p")
 
 
 def rle_encode(df: DataFrame, value: str, seq: str = S) -> DataFrame:
@@ -150,16 +183,17 @@ def longest_plateau(df: DataFrame, value: str, seq: str = S) -> DataFrame:
     return picked.select(seq, *(F.col(f"{k}.{c}").alias(f"{n}_{c}") for k, n in (("e", "first"), ("l", "last")) for c in ("start", "end", "value")))
 
 
-def peaks_and_valleys(df: DataFrame, value: str = "v", seq: str = S) -> DataFrame:
+def peaks_and_valleys(df: DataFrame, value: str = "v", seq: str = S, block: int | None = None) -> DataFrame:
     """Rows strictly above or strictly below both neighbours; borders are neither."""
-    v, a, b = F.col(value), F.lag(value).over(w(seq)), F.lead(value).over(w(seq))
+    own = previous(previous(df, value, "__l", seq, block), value, "__r", seq, block, following=True)
+    v, a, b = F.col(value), F.col("__l"), F.col("__r")
     kind = F.when((v > a) & (v > b), "peak").when((v < a) & (v < b), "valley")
-    return df.withColumn("kind", kind).where("kind IS NOT NULL").select(seq, P, "kind")
+    return own.withColumn("kind", kind).where("kind IS NOT NULL").select(seq, P, "kind")
 
 
-def is_sorted(df: DataFrame, value: str = "v", seq: str = S) -> DataFrame:
+def is_sorted(df: DataFrame, value: str = "v", seq: str = S, block: int | None = None) -> DataFrame:
     """Whether each sequence is non-decreasing, and strictly ascending."""
-    before = df.withColumn("__a", F.lag(value).over(w(seq)))
+    before = previous(df, value, "__a", seq, block)
     return before.groupBy(seq).agg(F.coalesce(F.bool_and(F.col(value) >= F.col("__a")), F.lit(True)).alias("sorted"), F.coalesce(F.bool_and(F.col(value) > F.col("__a")), F.lit(True)).alias("strictly"))
 
 
@@ -177,16 +211,14 @@ def points_covered(df: DataFrame, start: str, end: str, seq: str = S) -> DataFra
     return merge_intervals(df, start, end, seq).groupBy(seq).agg(F.sum(F.col("end") - F.col("start") + 1).alias("covered"))
 
 
-def _sums(df: DataFrame, value: str, seq: str) -> DataFrame:
-    upto = w(seq).rowsBetween(W.unboundedPreceding, 0)
-    return df.select(seq, P, F.col(value).alias("__v"), F.sum(value).over(upto).alias("__s"))
+def _sums(df: DataFrame, value: str, seq: str, block: int | None = None) -> DataFrame:
+    return running(df.select(seq, P, F.col(value).alias("__v")), "__v", "__s", "sum", seq, block)
 
 
-def max_subarray(df: DataFrame, value: str = "v", seq: str = S) -> DataFrame:
+def max_subarray(df: DataFrame, value: str = "v", seq: str = S, block: int | None = None) -> DataFrame:
     """(start, end, total) of the largest sum: among equals the first to end, from its earliest start."""
-    upto = w(seq).rowsBetween(W.unboundedPreceding, 0)
-    low = F.min(F.struct((F.col("__s") - F.col("__v")).alias("s"), F.col(P).alias("p"))).over(upto)
-    own = _sums(df, value, seq).withColumn("__m", low)
+    own = _sums(df, value, seq, block).withColumn("__x", F.struct((F.col("__s") - F.col("__v")).alias("s"), F.col(P).alias("p")))
+    own = running(own, "__x", "__m", "min", seq, block)
     total = F.col("__s") - F.col("__m.s")
     return own.groupBy(seq).agg(F.max(F.struct(total.alias("t"), (-F.col(P)).alias("e"), F.col("__m.p").alias("a"))).alias("b")).select(seq, F.col("b.a").alias("start"), (-F.col("b.e")).alias("end"), F.col("b.t").alias("total"))
 
@@ -252,8 +284,8 @@ def stable_partition(df: DataFrame, predicate: str | Column, value: str = "v", s
 
 def rotate_list(df: DataFrame, k: int, value: str = "v", seq: str = S, right: bool = False) -> DataFrame:
     """Rows with the position that they have after a rotation by k."""
-    n = F.count("*").over(W.partitionBy(seq))
-    return df.select(seq, F.pmod(F.col(P) + k if right else F.col(P) - k, n).alias(P), value)
+    sized = df.join(df.groupBy(seq).agg(F.count("*").alias("__n")), seq)
+    return sized.select(seq, F.pmod(F.col(P) + k if right else F.col(P) - k, F.col("__n")).alias(P), value)
 
 
 def buckets(df: DataFrame, n: int, value: str = "v", seq: str = S) -> DataFrame:
