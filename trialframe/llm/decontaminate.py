@@ -67,10 +67,10 @@ def anchor_bits(seeds: DataFrame):
 
     a = _hashed(F.col("item_words"), F.col("item_at"), ANCHOR)
     set_bits = seeds.select(a.alias("a")).distinct().select(F.explode(F.array(*(F.struct(slot(F.col("a"), x).alias("slot"), bit(F.col("a"), y).alias("bit")) for x, y in places))).alias("s"))
-    rows = set_bits.select("s.*").distinct().groupBy("slot").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).toPandas()
+    rows = set_bits.select("s.*").distinct().groupBy("slot").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).collect()
     held = [0] * longs
-    for k, v in zip(rows["slot"], rows["bits"], strict=True):
-        held[k] = v
+    for r in rows:
+        held[r["slot"]] = r["bits"]
     table = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")
 
     def test(h: Column) -> Column:
