@@ -246,4 +246,4 @@ def input_summary(spark, sf_dir):
 
 @query()
 def signed_rank_p_values(spark, sf_dir):
-    return kernels.signed_rank_tests(_differences(spark, sf_dir), ["hypothesis", "task"], "unit_id", resamples=200)
+    return kernels.signed_rank_tests(_differences(spark, sf_dir), ["hypothesis", "task"], "unit_id", resamples=10_000)
