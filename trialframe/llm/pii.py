@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, written
 
 KINDS = ("email", "ip", "card", "phone", "other")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -152,7 +152,8 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
 
     ``spans`` lists the base spans and, as kind ``other``, those that patterns add.  A null text is
     an empty one; rows may repeat, and null ids are rows like others: spans return to their row by
-    a number given when the scan is written, never by id.  Only spans and contexts are shuffled.
+    a number given when the scan is written, never by id.  Only contexts are shuffled, and
+    where the added spans exceed BROADCAST_ROWS the scan's rows, to meet them.
     """
     scanned = written(scan(docs, keep, text).withColumn("__row", F.monotonically_increasing_id()), "pii-scan")
     accepted = confident_patterns(scanned, rounds, least, support)
@@ -164,7 +165,9 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
         .groupBy("__row")
         .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__more"))
     )
-    found = scanned.drop("found").join(hits, "__row", "left")
+    hits = written(hits, "pii-hits")
+    few = (hits.agg(F.sum(F.size("__more"))).first()[0] or 0) <= BROADCAST_ROWS
+    found = scanned.drop("found").join(F.broadcast(hits) if few else hits, "__row", "left")
     # starts are compared as numbers: the base spans are sorted already, and the added ones overlap none
     spans = F.when(F.col("__more").isNull(), F.col("base")).otherwise(_merged("base", "__more"))
     return found.select(*keep, "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("__more"), F.lit(0)).alias("n_found"))
