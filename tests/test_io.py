@@ -95,3 +95,8 @@ def test_streams(spark, tmp_path):
     assert last == {r.user_id: (r.n, round(r.m, 9), round(r.v, 6)) for r in want}
     again = spark.readStream.schema(src.schema).parquet(f"{tmp_path}/in")
     assert run(ev.without_repeats(again.unionByName(again), "1 hour").select("event_id"), "append").count() == 300
+
+
+def test_summary_lines(spark):
+    df = spark.createDataFrame([("H2", "T1", 30, 80.5, -0.5), ("H1", "T1", 3, 6.0, 1.0)], "hypothesis string, task string, n_pairs int, w_plus double, r_rb double")
+    assert [r.line for r in sinks.summary_lines(df).collect()] == ["H1   T1   n=  3  W=     6.0  r=+1.000", "H2   T1   n= 30  W=    80.5  r=-0.500"]

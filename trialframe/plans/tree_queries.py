@@ -116,3 +116,17 @@ def round_trip(spark, d):
     own = _sources(spark, d).withColumn("again", again(F.col("source")))
     own = own.withColumn("similarity", kernels.similarity_column()(F.col("source"), F.col("again")))
     return own.agg(F.count("again").alias("n"), F.round(F.avg(F.when(F.col("again").isNotNull(), F.col("similarity"))), 4).alias("mean"), F.min(F.when(F.col("again").isNotNull(), F.col("similarity"))).alias("least"), F.count_if(F.trim("source") == F.col("again")).alias("same"))
+
+
+@query(f"""WITH RECURSIVE {_NODES}, up AS (SELECT tree_id, node_id, node_id AS a, 0::BIGINT AS d FROM node UNION ALL SELECT up.tree_id, up.node_id, n.parent_id, d + 1 FROM up JOIN node n ON n.tree_id = up.tree_id AND n.node_id = up.a WHERE n.parent_id IS NOT NULL),
+ dist AS (SELECT x.tree_id, x.node_id AS a, y.node_id AS b, min(x.d + y.d) AS d FROM up x JOIN up y ON x.tree_id = y.tree_id AND y.node_id = x.node_id + 3 AND x.a = y.a GROUP BY ALL), dep AS (SELECT tree_id, node_id, max(d) AS depth FROM up GROUP BY ALL)
+ SELECT dist.tree_id, round(max(1 - dist.d / (p.depth + q.depth)), 6) AS closeness FROM dist JOIN dep p ON p.tree_id = dist.tree_id AND p.node_id = a JOIN dep q ON q.tree_id = dist.tree_id AND q.node_id = b GROUP BY ALL""")
+def node_location_score(spark, d):
+    own = nodes(spark, d)
+    deep = trees.depths(own, 4).select("tree_id", "node_id", "depth")
+    last = own.groupBy("tree_id").agg(F.max("node_id").alias("m"))
+    pairs = own.join(last, "tree_id").where("node_id + 3 <= m").select("tree_id", F.col("node_id").alias("a"), (F.col("node_id") + 3).alias("b"))
+    far = trees.tree_distance(pairs, own, 4)
+    for c in ("a", "b"):
+        far = far.join(deep.select("tree_id", F.col("node_id").alias(c), F.col("depth").alias(f"d{c}")), ["tree_id", c])
+    return far.groupBy("tree_id").agg(F.round(F.max(1 - F.try_divide(F.col("distance"), F.col("da") + F.col("db"))), 6).alias("closeness"))

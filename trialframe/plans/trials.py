@@ -247,3 +247,17 @@ def input_summary(spark, sf_dir):
 @query()
 def signed_rank_p_values(spark, sf_dir):
     return kernels.signed_rank_tests(_differences(spark, sf_dir), ["hypothesis", "task"], "unit_id", resamples=10_000)
+
+
+@query(f"""WITH {_SCORES}, x AS (SELECT task, round(score / 50, 4) AS v FROM scores), c AS (SELECT task, v, count(*) AS c FROM x GROUP BY ALL)
+ SELECT task, sum(c)::BIGINT AS n, count(*) AS n_distinct, round(sum(c * (c - 1) / 2) / greatest(sum(c) * (sum(c) - 1) / 2, 1), 4) AS tie_mass, min(v) AS lowest, max(v) AS highest, bool_and(v = 0) AS all_zero, bool_and(v = 1) AS saturated FROM c GROUP BY task""")
+def rubric_summary(spark, sf_dir):
+    own = scores(spark, sf_dir).select("task", F.round(F.col("score") / 50, 4).alias("score"))
+    spread = own.groupBy("task").agg(F.min("score").alias("lowest"), F.max("score").alias("highest"), F.bool_and(F.col("score") == 0).alias("all_zero"), F.bool_and(F.col("score") == 1).alias("saturated"))
+    return stats.tie_mass(own, ["task"]).join(spread, "task")
+
+
+@query(f"WITH {_SCORES}, c AS (SELECT unit_id, task, condition, max(score) AS top, avg(score) AS mean FROM scores GROUP BY ALL) SELECT task, count(*) FILTER (top = 50) AS at_ceiling, count(*) FILTER (top = 50 AND mean < 50) AS pulled_below FROM c GROUP BY ALL")
+def pulled_below_ceiling(spark, sf_dir):
+    cells = scores(spark, sf_dir).groupBy("unit_id", "task", "condition").agg(F.max("score").alias("top"), F.avg("score").alias("mean"))
+    return cells.groupBy("task").agg(F.count_if(F.col("top") == 50).alias("at_ceiling"), F.count_if((F.col("top") == 50) & (F.col("mean") < 50)).alias("pulled_below"))

@@ -233,3 +233,26 @@ def session_windows(spark, d):
 @query("SELECT user_id, event_type, min(event_id) AS first_event, count(*) AS n FROM events GROUP BY ALL")
 def event_dedup(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
+
+
+@query(f"WITH {_PLAN} SELECT task, count(DISTINCT unit_id) AS n_units, count(*) AS n_items FROM plan GROUP BY ALL")
+def manifest_task_counts(spark, d):
+    return _plan(spark, d).groupBy("task").agg(F.count_distinct("unit_id").alias("n_units"), F.count("*").alias("n_items"))
+
+
+@query("SELECT o_orderkey, CASE WHEN regexp_matches(name, 'empty|edge|boundary|single|zero|negative|large|huge|big|unicode|overflow|invalid|raise|error|exception|duplicate|dup|unsorted|precondition|out_of_range|nan|inf|deep|nested|wide|stress|tie|reverse|alternating|identity|idempot|acronym|min|max|one_element|two_element') THEN 'edge' ELSE 'base' END AS tier FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'test_empty_' || o_orderkey WHEN 1 THEN 'test_plain' ELSE lower(o_orderpriority) END AS name FROM orders)")
+def tier_of_tests(spark, d):
+    from trialframe.operators.constraints import tier
+
+    k = F.col("o_orderkey") % 3
+    name = F.when(k == 0, F.concat(F.lit("edge.Suite.Test_Empty_"), F.col("o_orderkey").cast("string"))).when(k == 1, "max.test_plain").otherwise(F.col("o_orderpriority"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", tier(name).alias("tier"))
+
+
+@query("SELECT p_partkey, 'data/functions/' || CASE p_size % 3 WHEN 0 THEN 'ast/u' || p_partkey || '.json' WHEN 1 THEN 'annotated_text/u' || p_partkey || '_buggy.py' ELSE 'raw/u' || p_partkey || '.py' END AS path FROM part")
+def representation_paths(spark, d):
+    from trialframe.operators.constraints import representation_path
+
+    k = F.col("p_size") % 3
+    condition = F.when(k == 0, "C2").when(k == 1, "C1+").otherwise("C1")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", representation_path(F.concat(F.lit("u"), F.col("p_partkey").cast("string")), condition, F.when(k == 1, "T2").otherwise("T1")).alias("path"))

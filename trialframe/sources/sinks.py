@@ -42,3 +42,9 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str], single: bool =
 
 def write_texts(rows: DataFrame, path: str, text: str = "text") -> None:
     rows.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
+
+
+def summary_lines(tests: DataFrame) -> DataFrame:
+    """A line of text for each test (hypothesis, task, n_pairs, w_plus, r_rb), in their order; a report of a few rows."""
+    line = F.format_string("%-4s %-4s n=%3d  W=%8.1f  r=%+.3f", "hypothesis", "task", "n_pairs", "w_plus", "r_rb")
+    return tests.orderBy("hypothesis", "task").select(line.alias("line"))
