@@ -36,7 +36,7 @@ def ids(df):
 
 
 def test_score_rules(spark):
-    good = dict(lumen_schema="scorer-result-v1", func_id="f", task="T2", condition="C1+", model_id="m", response_ref="r", ground_truth_ref="g", score=2.0, status="ok", subscores={"location": 1, "diagnosis": 1, "fix": 0}, failure_reason=None, evidence=None)
+    good = dict(record_format="scorer-result-v1", func_id="f", task="T2", condition="C1+", model_id="m", response_ref="r", ground_truth_ref="g", score=2.0, status="ok", subscores={"location": 1, "diagnosis": 1, "fix": 0}, failure_reason=None, evidence=None)
     check = lambda **x: ids(c.broken(spark.createDataFrame([good | x], SCORE_SCHEMA), F.col("func_id"), c.score_rules()))
     assert check() == []
     assert check(score=3.0) == ["t2_sum"] and check(score=2.5) == ["t2_score", "t2_sum"]
@@ -48,14 +48,14 @@ def test_score_rules(spark):
 def test_truth_rules(spark):
     prop = "array<struct<property_id:string,category:string,statement:string,required:boolean>>"
     rows = [("a", "h", "t1-checklist-v1", [("a.P1", "inputs", "x", True)]), ("b", "h", "t1-checklist-v1", [("b.P1", "odd", "x", True), ("b.P1", "inputs", " ", None)]), ("d", "h", "t1-checklist-v1", [])]
-    df = spark.createDataFrame(rows, f"func_id string, source_hash string, lumen_schema string, properties {prop}")
+    df = spark.createDataFrame(rows, f"func_id string, source_hash string, record_format string, properties {prop}")
     out = c.broken(df, F.col("func_id"), c.checklist_rules())
     assert ids(out.where("key = 'a'")) == [] and ids(out.where("key = 'b'")) == ["category_known", "id_unique", "required_set", "statement_filled"] and ids(out.where("key = 'd'")) == ["has_properties"]
-    bug = "func_id string, source_hash string, lumen_schema string, bug_id string, bug_category string, bug_description string, test_suite_ref string, location struct<path:string,start_line:int,end_line:int>, reference_fix struct<start_line:int,end_line:int,replacement:string>"
+    bug = "func_id string, source_hash string, record_format string, bug_id string, bug_category string, bug_description string, test_suite_ref string, location struct<path:string,start_line:int,end_line:int>, reference_fix struct<start_line:int,end_line:int,replacement:string>"
     rows = [("f", "h", "t2-bug-v1", "f.B1", "off_by_one", "d", "t", ("p", 1, 2), (1, 1, "x")), ("f", "h", "t2-bug-v1", "g.B1", "odd", "d", "t", ("p", 3, 2), (0, 1, "x"))]
     out = [ids(c.broken(spark.createDataFrame([r], bug), F.col("func_id"), c.bug_rules())) for r in rows]
     assert out == [[], ["category_known", "fix_span", "id_prefix", "location_span"]]
-    df = spark.createDataFrame([("f", "h", "t3-transform-v1", "f.TR1", " ", "t")], "func_id string, source_hash string, lumen_schema string, transform_id string, instruction string, test_suite_ref string")
+    df = spark.createDataFrame([("f", "h", "t3-transform-v1", "f.TR1", " ", "t")], "func_id string, source_hash string, record_format string, transform_id string, instruction string, test_suite_ref string")
     assert ids(c.broken(df, F.col("func_id"), c.transform_rules())) == ["instruction_filled"]
     man = spark.createDataFrame([("f", "h", {"T1": (True, "x"), "T2": (False, None)}), ("g", "h", {"T9": (True, None)})], "func_id string, source_hash string, tasks map<string,struct<available:boolean,ground_truth_ref:string>>")
     assert ids(c.broken(man, F.col("func_id"), c.manifest_rules())) == ["tasks_known", "truth_iff_available"]

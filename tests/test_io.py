@@ -13,18 +13,20 @@ from trialframe.streaming import events as ev
 
 def record(path, **more):
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps({"lumen_schema": scores.SCORE_TAG, "func_id": "f", "task": "T1", "condition": "C1", "model_id": "m", "score": 0.5, "status": "ok"} | more))
+    path.write_text(json.dumps({"record_format": scores.SCORE_TAG, "func_id": "f", "task": "T1", "condition": "C1", "model_id": "m", "score": 0.5, "status": "ok"} | more))
 
 
 def test_score_scan(spark, tmp_path):
     record(tmp_path / "r1/scores/score_0001.json")
     record(tmp_path / "r2/scores/score_0001.json", score=1.0)
-    record(tmp_path / "r2/scores/score_0002.json", lumen_schema="other")
+    record(tmp_path / "r2/scores/score_0002.json", record_format="other")
     (tmp_path / "r2/scores/score_0003.json").write_text("{broken")
     rows = scores.scan_scores(spark, str(tmp_path))
     assert sorted((r.run_id, r.score) for r in rows.collect()) == [("r1", 0.5), ("r2", 1.0)]
     assert stats.last_wins(rows, ["func_id", "task"], ["run_id", "file"]).first().score == 1.0
     assert scores.scan_scores(spark, str(tmp_path), ["r1"]).count() == 1
+    record(tmp_path / "r4/scores/score_0001.json", record_format=None, other_tag=scores.SCORE_TAG)
+    assert scores.scan_scores(spark, str(tmp_path), ["r4"], tag_field="other_tag").first().record_format == scores.SCORE_TAG
     with pytest.raises(Exception):
         scores.scan_scores_strict(spark, str(tmp_path)).collect()
     assert scores.for_task(rows, "T1", ["m"]).count() == 2 and scores.for_task(rows, "T2").count() == 0

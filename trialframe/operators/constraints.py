@@ -48,7 +48,7 @@ def score_rules() -> list[tuple[str, Column]]:
     t2 = c("task") == "T2"
     return [
         *filled("func_id", "task", "condition", "model_id", "response_ref", "ground_truth_ref"),
-        ("tag", c("lumen_schema") == "scorer-result-v1"),
+        ("tag", c("record_format") == "scorer-result-v1"),
         ("task_known", c("task").isin(*TASKS)),
         ("condition_known", c("condition").isin(*CONDITIONS)),
         ("score_present", c("score").isNotNull()),
@@ -67,7 +67,7 @@ def checklist_rules() -> list[tuple[str, Column]]:
     p = c("properties")
     return [
         *filled("func_id", "source_hash"),
-        ("tag", c("lumen_schema") == "t1-checklist-v1"),
+        ("tag", c("record_format") == "t1-checklist-v1"),
         ("has_properties", F.size(p) > 0),
         ("category_known", F.forall(p, lambda x: F.coalesce(x["category"].isin(*PROPERTY_CATEGORIES), F.lit(False)))),
         ("id_prefix", F.forall(p, lambda x: F.coalesce(x["property_id"].startswith(F.concat(c("func_id"), F.lit("."))), F.lit(False)))),
@@ -84,7 +84,7 @@ def span_ok(span: str) -> Column:
 def bug_rules() -> list[tuple[str, Column]]:
     return [
         *filled("func_id", "source_hash", "bug_id", "bug_description", "test_suite_ref", "location.path", "reference_fix.replacement"),
-        ("tag", c("lumen_schema") == "t2-bug-v1"),
+        ("tag", c("record_format") == "t2-bug-v1"),
         ("id_prefix", c("bug_id").startswith(F.concat(c("func_id"), F.lit(".B")))),
         ("category_known", c("bug_category").isin(*BUG_CATEGORIES)),
         ("location_span", span_ok("location")),
@@ -93,7 +93,7 @@ def bug_rules() -> list[tuple[str, Column]]:
 
 
 def transform_rules() -> list[tuple[str, Column]]:
-    return [*filled("func_id", "source_hash", "transform_id", "instruction", "test_suite_ref"), ("tag", c("lumen_schema") == "t3-transform-v1"), ("id_prefix", c("transform_id").startswith(F.concat(c("func_id"), F.lit(".TR"))))]
+    return [*filled("func_id", "source_hash", "transform_id", "instruction", "test_suite_ref"), ("tag", c("record_format") == "t3-transform-v1"), ("id_prefix", c("transform_id").startswith(F.concat(c("func_id"), F.lit(".TR"))))]
 
 
 def manifest_rules() -> list[tuple[str, Column]]:

@@ -7,32 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The tag of a score record, and states that a record may have.
+#: Fixed value: the tag of a score record.  Files may call the field otherwise, see ``tag_field``.
+TAG_FIELD = "record_format"
 SCORE_TAG = "scorer-result-v1"
 SCORE_SCHEMA = (
-    "lumen_schema string, func_id string, task string, condition string, model_id string, response_ref string, ground_truth_ref string, "
+    "record_format string, func_id string, task string, condition string, model_id string, response_ref string, ground_truth_ref string, "
     "score double, status string, subscores map<string,int>, failure_reason struct<code:string,message:string,details:map<string,string>>, evidence string"
 )
 
 
-def scan_scores(spark: SparkSession, runs_dir: str, run_ids: Sequence[str] = ()) -> DataFrame:
+def _schema(tag_field: str) -> str:
+    return SCORE_SCHEMA.replace(TAG_FIELD, f"`{tag_field}`", 1)
+
+
+def scan_scores(spark: SparkSession, runs_dir: str, run_ids: Sequence[str] = (), tag_field: str = TAG_FIELD) -> DataFrame:
     """Score records below ``runs_dir`` (run/scores/file), with ``run_id`` and ``file`` for their order.
 
     Broken files and other tags are passed over.  ``run_ids`` reads those runs only: the path is
-    the partition, so nothing else is listed.
+    the partition, so nothing else is listed.  ``tag_field`` names the field that holds the tag in
+    the files; the result calls it ``record_format``.
     """
     paths = [f"{runs_dir}/{r}/scores/*.json" for r in run_ids] or [f"{runs_dir}/*/scores/*.json"]
-    rows = spark.read.schema(SCORE_SCHEMA).option("mode", "PERMISSIVE").option("multiLine", True).json(paths)
+    rows = spark.read.schema(_schema(tag_field)).option("mode", "PERMISSIVE").option("multiLine", True).json(paths)
     path = F.col("_metadata.file_path")
     rows = rows.select("*", F.regexp_extract(path, "([^/]+)/scores/[^/]+$", 1).alias("run_id"), F.regexp_extract(path, "([^/]+)$", 1).alias("file"))
-    return rows.where(F.col("lumen_schema") == SCORE_TAG)
+    return rows.withColumnRenamed(tag_field, TAG_FIELD).where(F.col(TAG_FIELD) == SCORE_TAG)
 
 
-def scan_scores_strict(spark: SparkSession, runs_dir: str, expected: int | None = None) -> DataFrame:
+def scan_scores_strict(spark: SparkSession, runs_dir: str, expected: int | None = None, tag_field: str = TAG_FIELD) -> DataFrame:
     """As ``scan_scores``, but a broken file, another tag or another number of records raises."""
-    rows = spark.read.schema(SCORE_SCHEMA).option("mode", "FAILFAST").option("multiLine", True).json(f"{runs_dir}/*/scores/*.json")
-    wrong = F.raise_error(F.concat(F.lit("unknown tag: "), F.coalesce("lumen_schema", F.lit("none"))))
-    rows = rows.withColumn("lumen_schema", F.when(F.col("lumen_schema") == SCORE_TAG, F.col("lumen_schema")).otherwise(wrong))
+    rows = spark.read.schema(_schema(tag_field)).option("mode", "FAILFAST").option("multiLine", True).json(f"{runs_dir}/*/scores/*.json").withColumnRenamed(tag_field, TAG_FIELD)
+    wrong = F.raise_error(F.concat(F.lit("unknown tag: "), F.coalesce(TAG_FIELD, F.lit("none"))))
+    rows = rows.withColumn(TAG_FIELD, F.when(F.col(TAG_FIELD) == SCORE_TAG, F.col(TAG_FIELD)).otherwise(wrong))
     if expected is not None and (found := rows.count()) != expected:
         raise ValueError(f"{found} score records, not {expected}")
     return rows
