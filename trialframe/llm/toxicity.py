@@ -45,30 +45,54 @@ def features(text: str) -> list[str]:
 
 
 class Model:
-    """Word weights and the bias of a sentence."""
+    """Feature weights and the bias of a sentence."""
 
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
+        #: First characters of everything that has a weight; a word that starts otherwise needs no further look.
+        self.heads = frozenset((f[:-1] if f.endswith("*") else f)[: STARTS[0]] for f in weights)
+        self.seen: dict[str, tuple[str, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
+
+    def of_word(self, x: str) -> tuple[str, ...]:
+        """The features of a lower-cased word that have a weight; frequent words are remembered."""
+        w, weights = x.strip(_TRIM), self.weights
+        found: tuple[str, ...] = ()
+        if w[: STARTS[0]] in self.heads:
+            found = tuple(f for f in (w, *(w[:n] + "*" for n in STARTS if len(w) > n)) if f in weights)
+        if len(self.seen) < 150_000:
+            self.seen[x] = found
+        return found
+
+    def known(self, sentence: str) -> set[str]:
+        """The features of a sentence that have a weight."""
+        found, get = set(), self.seen.get
+        for x in WORD.findall(sentence.lower()):
+            own = get(x)
+            if own is None:
+                own = self.of_word(x)
+            if own:
+                found.update(own)
+        return found
 
     def score(self, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
-        """(document score, sentences, offending sentences as (start, end, score))."""
+        """(document score, sentences, offending sentences as (start, end, score)); a feature counts once in a sentence."""
         spans = sentences(text)
         clean = -float(np.log1p(np.exp(self.bias)))  # log(1 - score) of a sentence without known words
         rest, bad = 0.0, []
         for start, end in spans:
-            z = self.bias
-            known = False
-            for w in features(text[start:end]):
-                if (x := self.weights.get(w)) is not None:
-                    z, known = z + x, True
-            if not known:
+            found = self.known(text[start:end])
+            if not found:
                 rest += clean
                 continue
-            p = 1 / (1 + np.exp(-z)) if z > -700 else 0.0
+            z = self.bias + sum(self.weights[f] for f in sorted(found))
             rest += float(-np.logaddexp(0, z))
+            p = 1 / (1 + np.exp(-z)) if z > -700 else 0.0
             if p >= 0.5:
                 bad.append((start, end, float(p)))
-        return float(-np.expm1(rest)), len(spans), bad
+        return max(0.0, float(-np.expm1(rest))), len(spans), bad
 
 
 def fit(rows: list[tuple[str, int]], vocabulary: int = 4096, rounds: int = 300, rate: float = 0.3, l2: float = 1e-4, least_gap: float = 2.5) -> Model:
@@ -122,7 +146,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int = 200_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 200_000) -> Model:
     """Fits the model on at most ``sample`` labelled rows of each label, outside the held-out fifth.
 
     Rows are taken in the order of a hash of their id, so the sample depends on ids only; longer
