@@ -1,4 +1,4 @@
-"""What the operators share: reading tables, writing shared intermediate tables, words."""
+"""What the operators share: reading tables, writing shared intermediate tables."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows up to which the smaller side of a join is broadcast; past it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-_ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,16 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-cases A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
-
-
-def words(text: str) -> list[str]:
-    """Lower-cased words of a text."""
-    return WORD.findall(lower_ascii(text))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
