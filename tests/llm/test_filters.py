@@ -1,5 +1,6 @@
 """Licences, personal data, URLs, toxicity and decontamination."""
 
+import random
 import re
 import zlib
 
@@ -171,3 +172,30 @@ def test_leaks_query(spark):
     short = [(i, t) for i, t in docs if len(t) < 6000 or (i, 0) in got]
     want = plain_leaks(short, items)
     assert {x for x in got if x[0] in dict(short)} == want and want
+
+
+def test_leaks_of_short_items(spark):
+    word = lambda i, k: f"i{i}w{k}"
+    sizes = {n: [word(n, k) for k in range(n)] for n in (1, 2, 3, 5, 11, 12, 13, 14, 15, 18)}
+    items = spark.createDataFrame([(n, " ".join(w)) for n, w in sizes.items()], "item_id int, text string")
+    rows, want = [], set()
+    for n, w in sizes.items():
+        ways = [()] + [(k,) for k in range(n)] + [(a, b) for a in range(n) for b in range(a)]
+        if n >= 15:
+            ways += [(a, b, c) for a in range(n) for b in range(a) for c in range(b)]
+        for gone in ways:
+            rows.append((len(rows), "so " + " ".join("zzz" if k in gone else x for k, x in enumerate(w)) + " then"))
+            if len(gone) <= (n // 5 if n >= 12 else 0):
+                want.add((len(rows) - 1, n))
+    rows += [(-1, " ".join(sizes[15][3:])), (-2, " ".join(sizes[15][:11])), (-3, " ".join(sizes[11][1:])), (-4, None)]
+    want.add((-1, 15))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == want
+
+
+def test_leaks_with_many_replaced_words(spark):
+    rng = random.Random(5)
+    item = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join("zzz" if k in gone else w for k, w in enumerate(item))) for i in range(400) for gone in [set(rng.sample(range(30), 6))]]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id int, text string")).collect()}
+    assert got == {(i, 0) for i in range(400)}

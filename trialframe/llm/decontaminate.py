@@ -1,8 +1,9 @@
-"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
+"""Benchmark decontamination by counted word triples, in DataFrame functions only.
 
-A seed is a window of SPAN words hashed over some of its positions, which a fixed mask selects;
-a word replaced at an ignored position leaves the hash as it is.  Seeds of texts and of benchmark
-items are joined, and around every hit the words are compared along the diagonal.
+Triples of words of texts and of benchmark items are joined and counted on each diagonal (the
+distance between the place in the text and that in the item).  An overlap has a number of equal
+triples on its diagonal that follows from its limits, so diagonals with fewer are passed over
+without loss; the others are compared word by word over their whole length.
 """
 
 from __future__ import annotations
@@ -10,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, written
 
+#: Words of a gram; shorter items are one gram.
+GRAM = 3
+#: Items of fewer words count only word for word.
 SPAN = 12
-#: Positions that the masks select.  All share 0, 1 and 4, by which windows are chosen first.
+#: Masks of seeds and words compared around a hit in the registered statement; ``leaks`` has no use for them.
 MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 4, 5, 8, 9, 10), (0, 1, 4, 5, 6, 7, 9, 11))
-ANCHOR = (0, 1, 4)
-#: Words on each side of a seed that are compared.
 REACH = 52
-#: Bits of the table of anchors; a benchmark that fills it only makes it choose more windows.
+#: Bits of the table of grams; a benchmark that fills it only makes it choose more of them.
 MOST_BITS = 1 << 20
 
 
@@ -28,33 +30,33 @@ def word_hashes(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _hashed(words: Column, at: Column, positions: tuple[int, ...]) -> Column:
-    return F.xxhash64(*(F.get(words, at + p) for p in positions))
+def _grams(words: Column, size: int) -> Column:
+    """Hash of the ``size`` words from each position; ``size`` is part of it."""
+    fits = F.slice(words, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+    return F.transform(fits, lambda x, i: F.xxhash64(F.lit(size), x, *(F.get(words, i + p) for p in range(1, size))))
 
 
-def _starts(words: Column) -> Column:
-    """Positions at which a whole seed fits."""
-    return F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN)).otherwise(F.array().cast("array<int>"))
+def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, item_words and item (a hash of both) of each item with words; an item that repeats counts once."""
+    words = benchmark.select(F.col(item).alias("item_id"), word_hashes(F.col(text)).alias("item_words")).where(F.size("item_words") > 0).distinct()
+    return words.withColumn("item", F.xxhash64(F.col("item_id"), F.col("item_words")))
 
 
-def _seeds(words: Column, starts: Column) -> Column:
-    return F.flatten(F.transform(starts, lambda i: F.array(*(F.struct(i.alias("at"), F.xxhash64(F.lit(k), _hashed(words, i, m)).alias("seed")) for k, m in enumerate(MASKS)))))
+def benchmark_grams(items: DataFrame) -> DataFrame:
+    """item, n_words, item_at and gram of every gram of the items: GRAM words, or all of a shorter item."""
+    own = F.when(F.size("item_words") >= GRAM, _grams(F.col("item_words"), GRAM))
+    for size in range(1, GRAM):
+        own = own.when(F.size("item_words") == size, _grams(F.col("item_words"), size))
+    return items.select("item", F.size("item_words").alias("n_words"), F.posexplode(own).alias("item_at", "gram"))
 
 
-def benchmark_seeds(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, item_words, item_at and seed of every seed of the benchmark; an item that repeats counts once."""
-    words = benchmark.select(F.col(item).alias("item_id"), word_hashes(F.col(text)).alias("item_words")).distinct()
-    found = words.select("item_id", "item_words", F.explode(_seeds(F.col("item_words"), _starts(F.col("item_words")))).alias("s"))
-    return found.select("item_id", "item_words", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed"))
+def gram_bits(grams: DataFrame):
+    """A test of a gram against all of the benchmark's, without false negatives.
 
-
-def anchor_bits(seeds: DataFrame):
-    """A test of an anchor's hash against all of the benchmark's, without false negatives.
-
-    Two bits of a table stand for an anchor.  Spark sets the bits; at most MOST_BITS of them, a
+    Two bits of a table stand for a gram.  Spark sets the bits; at most MOST_BITS of them, a
     bound on what the driver gets and plans carry, become a constant array of longs.
     """
-    n = seeds.select("item_id", "item_at").distinct().count()
+    n = grams.select("gram").distinct().count()
     longs = min(MOST_BITS, max(1 << 12, 1 << (16 * n).bit_length())) // 64
     width = longs.bit_length() - 1
     places = ((64 - width, 0), (64 - 2 * width - 6 if 64 - 2 * width - 6 > 6 else 7, 6))
@@ -65,8 +67,7 @@ def anchor_bits(seeds: DataFrame):
     def bit(h: Column, shift: int) -> Column:
         return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63).cast("long")).cast("int")
 
-    a = _hashed(F.col("item_words"), F.col("item_at"), ANCHOR)
-    set_bits = seeds.select(a.alias("a")).distinct().select(F.explode(F.array(*(F.struct(slot(F.col("a"), x).alias("slot"), bit(F.col("a"), y).alias("bit")) for x, y in places))).alias("s"))
+    set_bits = grams.select("gram").distinct().select(F.explode(F.array(*(F.struct(slot(F.col("gram"), x).alias("slot"), bit(F.col("gram"), y).alias("bit")) for x, y in places))).alias("s"))
     rows = set_bits.select("s.*").distinct().groupBy("slot").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).collect()
     held = [0] * longs
     for r in rows:
@@ -80,6 +81,20 @@ def anchor_bits(seeds: DataFrame):
     return test
 
 
+def _spare(n: Column) -> Column:
+    """Words of an item of ``n`` that may differ where the item is met as a whole: a fifth, none below SPAN words."""
+    return F.when(n >= SPAN, F.floor(n / 5)).otherwise(0).cast("int")
+
+
+def _least_grams(n: Column, least_score: int) -> Column:
+    """Equal grams that the diagonal of an overlap has at least.
+
+    r differing words cut m equal ones into r + 1 parts, which hold m - 2 (r + 1) triples or more.
+    A run has m >= least_score + 2 r; an item met as a whole has m >= n - r and r <= _spare(n).
+    """
+    return F.greatest(F.lit(1), F.least(F.lit(least_score - 2), n - 3 * _spare(n) - 2))
+
+
 def _best_run(words: Column, item: Column, start: Column, offset: Column, size: Column) -> Column:
     """Best run of the diagonal as a struct: score (a match 1, a mismatch -2), matches, and first and last position in the text."""
     nothing = F.struct(F.lit(0).alias("score"), F.lit(0).alias("matches"), F.lit(0).alias("first"), F.lit(-1).alias("last"))
@@ -104,37 +119,49 @@ def _best_run(words: Column, item: Column, start: Column, offset: Column, size:
 def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", least: int = 13, least_score: int = 10) -> DataFrame:
     """A row for each row of ``docs`` and benchmark item that overlap: ``keep``, item_id, matches, first and last word.
 
-    A seed hit is extended by up to REACH words to both sides along its diagonal; the best run,
-    where a matching word counts 1 and another one -2, must score ``least_score`` and match
-    ``least`` words.  Of several runs with an item the one with most matches is given (of equal
-    ones the first).  Texts and items of fewer than SPAN words have no seed and no overlap; null
-    texts are empty.  Rows of ``docs`` that agree in ``keep`` give one row for an item.
-
-    The benchmark's seeds are broadcast while they are at most BROADCAST_ROWS rows, else the join
-    shuffles the seeds of the texts; a text's seeds come from windows whose anchor words the
-    benchmark has, chosen in the scan.
+    Text and item are compared word by word along each diagonal, over the whole item.  They overlap
+    where the best run, in which a matching word counts 1 and another one -2, scores ``least_score``
+    and matches ``least`` words, or where all words of the item but a fifth match; an item of fewer
+    than SPAN words must match word for word, whatever its length.  The run is given, or else the
+    matches of the whole item.  Of several places of an item the one with most matches is given (of
+    equal ones the first).  Null texts are empty, and empty items overlap with nothing.  Rows of
+    ``docs`` that agree in ``keep`` give one row for an item.
+
+    The benchmark's grams are broadcast while they are at most BROADCAST_ROWS rows, else the join
+    shuffles the grams of the texts; only grams that the benchmark has leave the scan.  ``docs`` is
+    read twice: for the grams, and for the words of the texts in which diagonals have enough.
     """
-    seeds = benchmark_seeds(benchmark)
-    few = seeds.count() <= BROADCAST_ROWS
-    words = docs.select(*keep, word_hashes(F.col(text)).alias("__w"))
-    words = words.withColumn("__a", F.transform("__w", lambda x, i: F.xxhash64(x, *(F.get(F.col("__w"), i + p) for p in ANCHOR[1:]))))
-    table = anchor_bits(seeds)
-    starts = F.filter(_starts(F.col("__w")), lambda i: table(F.get(F.col("__a"), i)))
-    window = lambda s: F.struct(
-        s["at"].alias("at"),
-        s["seed"].alias("seed"),
-        F.greatest(s["at"] - REACH, F.lit(0)).alias("from"),
-        F.slice(F.col("__w"), F.greatest(s["at"] - REACH, F.lit(0)) + 1, F.lit(2 * REACH + SPAN)).alias("near"),
-    )
-    found = words.select(*keep, F.explode(F.transform(_seeds(F.col("__w"), starts), window)).alias("s")).select(*keep, "s.*")
-    hits = found.join(F.broadcast(seeds) if few else seeds, "seed")
-    # along the diagonal: the position in the item is that in ``near`` plus ``shift``
-    hits = hits.withColumn("shift", F.col("item_at") - F.col("at") + F.col("from"))
-    low = F.greatest(F.lit(0), -F.col("shift"))
-    high = F.least(F.size("near"), F.size("item_words") - F.col("shift"))
-    run = _best_run(F.col("near"), F.col("item_words"), F.col("low"), F.col("shift"), F.col("high") - F.col("low"))
-    hits = hits.withColumns({"low": low, "high": high}).withColumn("run", run)
-    hits = hits.where((F.col("run.score") >= least_score) & (F.col("run.matches") >= least))
-    best = F.max(F.struct(F.col("run.matches").alias("matches"), (-(F.col("run.first") + F.col("from"))).alias("first"), (F.col("run.last") + F.col("from")).alias("last"))).alias("b")
-    out = hits.groupBy(*keep, "item_id").agg(best)
+    if least_score <= GRAM - 1:
+        raise ValueError(f"least_score must be {GRAM} or more: runs that score less need not share a gram")
+    items = benchmark_items(benchmark)
+    grams = written(benchmark_grams(items), "decontaminate-grams")
+    few = grams.count() <= BROADCAST_ROWS
+    sizes = sorted(r[0] for r in grams.select(F.least("n_words", F.lit(GRAM))).distinct().collect())
+    table = gram_bits(grams)
+    keyed = docs.select(*keep, F.col(text).alias("__text"), F.xxhash64(F.col(text)).alias("__t"))
+    words = keyed.select("__t", word_hashes(F.col("__text")).alias("__w"))
+    words = words.select("__t", *(_grams(F.col("__w"), k).alias(f"__g{k}") for k in sizes))
+    chosen = [F.filter(F.transform(F.col(f"__g{k}"), lambda g, i: F.struct(i.alias("at"), g.alias("gram"))), lambda s: table(s["gram"])) for k in sizes]
+    none = F.array().cast("array<struct<at:int,gram:bigint>>")
+    found = words.select("__t", F.explode(F.concat(none, *chosen)).alias("s")).select("__t", "s.*")
+    off = (F.col("at") - F.col("item_at")).alias("off")
+    hits = found.join(F.broadcast(grams) if few else grams, "gram").groupBy("__t", "item", "n_words", off).agg(F.count("*").alias("grams"))
+    hits = hits.where(F.col("grams") >= _least_grams(F.col("n_words"), least_score))
+    hits = written(hits.groupBy("__t").agg(F.collect_list(F.struct("item", "off")).alias("hits")), "decontaminate-hits")
+    near = keyed.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, "__t")
+    near = near.select(*keep, word_hashes(F.col("__text")).alias("__w"), "hits")
+    near = near.select(*keep, "__w", F.explode("hits").alias("hit")).select(*keep, "__w", "hit.*")
+    near = near.join(F.broadcast(items) if few else items, "item")
+    # along the diagonal: the position in the text is that in the item plus ``off``
+    low = F.greatest(F.lit(0), F.col("off"))
+    high = F.least(F.size("__w"), F.size("item_words") + F.col("off"))
+    run = _best_run(F.col("__w"), F.col("item_words"), low, -F.col("off"), high - low)
+    same = F.filter(F.sequence(low, high - 1), lambda q: F.get(F.col("__w"), q) == F.get(F.col("item_words"), q - F.col("off")))
+    near = near.withColumns({"run": run, "same": same})
+    whole = F.struct(F.size("same").alias("matches"), F.get("same", F.lit(0)).alias("first"), F.element_at("same", -1).alias("last"))
+    long_run = (F.col("run.score") >= least_score) & (F.col("run.matches") >= least)
+    all_of_it = F.size("same") >= F.size("item_words") - _spare(F.size("item_words"))
+    near = near.where(F.size("same") > 0).select(*keep, "item_id", F.when(long_run, F.struct("run.matches", "run.first", "run.last")).when(all_of_it, whole).alias("o")).where("o IS NOT NULL")
+    best = F.max(F.struct(F.col("o.matches").alias("matches"), (-F.col("o.first")).alias("first"), F.col("o.last").alias("last"))).alias("b")
+    out = near.groupBy(*keep, "item_id").agg(best)
     return out.select(*keep, "item_id", F.col("b.matches").cast("long").alias("matches"), (-F.col("b.first")).cast("long").alias("first_word"), F.col("b.last").cast("long").alias("last_word"))
