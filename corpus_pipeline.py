@@ -30,20 +30,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays.
+    """Of each group of linked rows one stays: that with the smallest id, or any one if none has an id.
 
-    Rows that repeat both id and text count as one document, of which one row stays.  A row
-    without an id stays only where no linked document has one.
+    Rows are told apart by a number written with them, so what goes and what stays doesn't hang
+    on ids, which may be null or repeat.  Rows without words link with nothing; of those that
+    repeat both id and text one stays.
     """
-    judged = written(jaccard.jaccard_join(docs).select(F.col("doc_id").alias("__id"), "component_id"), "pipeline-near")
-    gone = written(judged.where(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct(), "pipeline-gone")
-    repeated = written(judged.groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1").select("__id"), "pipeline-repeated")
-    kept = _without(docs, gone, {"doc_id": "__id"})
-    if repeated.isEmpty():
-        return kept
-    single = _without(kept, repeated, {"doc_id": "__id"})
-    several = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return single.unionByName(several.withColumn("__h", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "__h"]).drop("__h"))
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbered")
+    judged = jaccard.jaccard_join(numbered, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"), "n_shingles", "n_links")
+    judged = written(judged, "pipeline-near")
+    ids = numbered.select("__row", F.col("doc_id").alias("__id"))
+    linked = judged.where("n_links > 0").select("__row", "__class").join(ids, "__row")
+    bare = numbered.join(judged.where("n_shingles = 0").select("__row"), "__row", "left_semi").select("__row", F.col("doc_id").alias("__id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__class"))
+    order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")
+
+    def others(rows: DataFrame, *keys: str) -> DataFrame:
+        first = rows.groupBy(*keys).agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
+        return rows.select("__row").join(first, "__row", "left_anti")
+
+    gone = written(others(linked, "__class").unionByName(others(bare, "__id", "__class")), "pipeline-gone")
+    return _without(numbered, gone.withColumnRenamed("__row", "__gone"), {"__row": "__gone"}).drop("__row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

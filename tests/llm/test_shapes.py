@@ -329,3 +329,25 @@ def test_pipeline_odd(spark, odd, tmp_path):
             assert now.columns == docs.columns, name
         kept = sorted((r.doc_id or 0) for r in now.collect())
         assert kept == ([0, 1, 2, 3, 4, 5, 7, 9, 10, 11] if docs is odd else [])
+
+
+def test_near_copies_go_by_row(spark):
+    rng = random.Random(6)
+    text = lambda n=60: " ".join("w" + str(rng.randint(0, 9000)) for _ in range(n))
+    near = lambda t: t + " more"
+    a, b, c, d, own, other = (text() for _ in range(6))
+    rows = [
+        (5, a), (None, near(a)), (None, own), (None, other),  # only the linked row without an id goes
+        (3, b), (8, near(b)), (8, text()),  # one of the two texts under id 8 is a copy
+        (None, c), (None, near(c)), (9, d), (9, near(d)),  # near copies without id, and under one id
+        (None, ""), (None, ""), (None, None), (7, ""), (6, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    got = [tuple(r) for r in got.collect()]
+    key = lambda t: (t[0] is not None, t[0] or 0, t[1] or "")
+    one_of = [t for t in got if t[1] in (c, near(c), d, near(d))]
+    assert sorted((t[0] or 0) for t in one_of) == [0, 9]
+    rest = sorted(((i, t or "") for i, t in got if (i, t) not in one_of), key=key)
+    assert rest == sorted([(5, a), (None, own), (None, other), (3, b), rows[6], (None, ""), (7, ""), (6, "")], key=key)
