@@ -102,3 +102,12 @@ def test_streams(spark, tmp_path):
 def test_summary_lines(spark):
     df = spark.createDataFrame([("H2", "T1", 30, 80.5, -0.5), ("H1", "T1", 3, 6.0, 1.0)], "hypothesis string, task string, n_pairs int, w_plus double, r_rb double")
     assert [r.line for r in sinks.summary_lines(df).collect()] == ["H1   T1   n=  3  W=     6.0  r=+1.000", "H2   T1   n= 30  W=    80.5  r=-0.500"]
+
+
+def test_trees_of_any_depth(spark):
+    from trialframe.operators import trees
+
+    chain = spark.createDataFrame([("t", k, k - 1 if k else None) for k in range(20)], "tree_id string, node_id long, parent_id long")
+    assert {r.node_id: r.depth for r in trees.depths(chain, 2).collect()} == {k: k for k in range(20)}
+    pairs = spark.createDataFrame([("t", 0, 19), ("t", 3, 18)], "tree_id string, a long, b long")
+    assert {(r.a, r.b): r.distance for r in trees.tree_distance(pairs, chain, 2).collect()} == {(0, 19): 19, (3, 18): 15}

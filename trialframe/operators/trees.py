@@ -73,26 +73,38 @@ def labeled_edges(nodes: DataFrame) -> DataFrame:
     return nodes.join(up, ["tree_id", "parent_id"]).groupBy("tree_id", "parent_kind", "kind").agg(F.count("*").alias("n"))
 
 
+def _more(jump: DataFrame, nodes: DataFrame, rounds: int) -> bool:
+    """Whether a jump is left after ``rounds`` doublings; a path longer than there are nodes runs in a circle."""
+    if jump.isEmpty():
+        return False
+    if 2**rounds > nodes.count():
+        raise ValueError("nodes run in a circle")
+    return True
+
+
 def depths(nodes: DataFrame, rounds: int = 6) -> DataFrame:
-    """Adds depth (0 at the root) by doubling jumps: ``rounds`` joins reach depth 2 ** rounds - 1."""
+    """Adds depth (0 at the root) by doubling jumps until none is left; that is first asked after ``rounds`` joins, which reach depth 2 ** rounds."""
     jump = nodes.select("tree_id", "node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(rounds):
+    k = 0
+    while k < rounds or _more(jump.where("up IS NOT NULL"), nodes, k):
         far = jump.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__d"))
         jump = jump.join(far, ["tree_id", "up"], "left").select("tree_id", "node_id", F.col("__up").alias("up"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"))
+        k += 1
     return nodes.join(jump.select("tree_id", "node_id", "depth"), ["tree_id", "node_id"])
 
 
 def ancestors(nodes: DataFrame, rounds: int = 6) -> DataFrame:
-    """(node_id, ancestor, distance), each node being its own ancestor at distance 0; reaches distance 2 ** rounds - 1."""
+    """(node_id, ancestor, distance), each node being its own ancestor at distance 0; jumps double until none is left, as in ``depths``."""
     closed = nodes.select("tree_id", "node_id", F.col("node_id").alias("ancestor"), F.lit(0).alias("distance"))
     jump = nodes.where("parent_id IS NOT NULL").select("tree_id", F.col("node_id").alias("ancestor"), F.col("parent_id").alias("above"))
-    for k in range(rounds):
+    k = 0
+    while k < rounds or _more(jump, nodes, k):
         # every pair so far, moved up by 2 ** k
         moved = closed.join(jump, ["tree_id", "ancestor"]).select("tree_id", "node_id", F.col("above").alias("ancestor"), (F.col("distance") + 2**k).alias("distance"))
         closed = closed.unionByName(moved)
-        if k + 1 < rounds:
-            twice = jump.select("tree_id", F.col("ancestor").alias("above"), F.col("above").alias("far"))
-            jump = jump.join(twice, ["tree_id", "above"]).select("tree_id", "ancestor", F.col("far").alias("above"))
+        twice = jump.select("tree_id", F.col("ancestor").alias("above"), F.col("above").alias("far"))
+        jump = jump.join(twice, ["tree_id", "above"]).select("tree_id", "ancestor", F.col("far").alias("above"))
+        k += 1
     return closed
 
 
