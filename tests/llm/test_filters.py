@@ -199,3 +199,10 @@ def test_leaks_with_many_replaced_words(spark):
     rows = [(i, " ".join("zzz" if k in gone else w for k, w in enumerate(item))) for i in range(400) for gone in [set(rng.sample(range(30), 6))]]
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id int, text string")).collect()}
     assert got == {(i, 0) for i in range(400)}
+
+
+def test_leaks_count_long_passages(spark):
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(1, "so it goes: " + " ".join(words)), (2, " ".join(words[40:290]))], "doc_id int, text string")
+    items = spark.createDataFrame([(0, " ".join(words))], "item_id int, text string")
+    assert {tuple(r) for r in decontaminate.leaks(docs, items).collect()} == {(1, 0, 300, 3, 302), (2, 0, 250, 0, 249)}
