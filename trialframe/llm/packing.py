@@ -63,7 +63,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     A text that exceeds the capacity becomes pieces of ``capacity`` words and a rest (``starts``
     and ``lengths`` are in words); every word of every row is in exactly one bin, an empty or null
     text is a piece of length 0.  No bin holds two pieces of one source or one cluster; null
-    sources are one source.  Repeated rows are pieces of their own.  Longest pieces go first, ties
+    sources are one source.  A cluster is of copies that differ in case and white space at most;
+    near copies from different sources may share a bin.  Repeated rows are pieces of their own.  Longest pieces go first, ties
     by id and piece.  Pieces are dealt by a hash of their id and number to shards of about
     ``shard_rows`` pieces, which are packed apart: hot sources and clusters spread evenly, and a
     task holds one shard of numbers, no texts.
