@@ -195,24 +195,21 @@ def plain_join(docs, percent=80):
             x = up[x]
         return x
 
-    links = [0] * n
     for a in range(n):
         for b in range(a):
             if sets[a] and sets[b] and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])):
                 both = len(sets[a] & sets[b])
                 if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                    links[a] += 1
-                    links[b] += 1
                     up[find(a)] = find(b)
     groups: dict = {}
     for a in range(n):
         groups.setdefault(find(a), []).append(docs[a][0])
     least = {g: min((x for x in ids if x is not None), default=None) for g, ids in groups.items()}
-    return sorted((docs[a][0] is not None, docs[a][0] or 0, len(sets[a]), least[find(a)] or -1, links[a]) for a in range(n))
+    return sorted((docs[a][0] is not None, docs[a][0] or 0, len(sets[a]), least[find(a)] or -1, len(groups[find(a)]), sum(sets[a] == x for x in sets) if sets[a] else 1) for a in range(n))
 
 
 def joined(df, **k):
-    return sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id if r.component_id else -1, r.n_links) for r in jaccard.jaccard_join(df, **k).collect())
+    return sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id if r.component_id else -1, r.class_rows, r.n_copies) for r in jaccard.jaccard_join(df, **k).collect())
 
 
 def near_copies(seed=4, n=70):
@@ -233,11 +230,73 @@ def test_join_matches_brute_force(spark):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == plain_join(rows)
 
 
-def test_join_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize(("groups", "percent"), [(4096, 80), (2, 80), (4, 70)])
+def test_join_in_parts(spark, monkeypatch, groups, percent):
+    """Small parts; with few groups the bound lets pairs through that don't link, so that blocks are verified too."""
     monkeypatch.setattr(jaccard, "TILE_POINTS", 3)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(jaccard, "HUB_ROWS", 2)
     rows = near_copies(seed=8)
-    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == plain_join(rows)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), groups=groups, percent=percent) == plain_join(rows, percent)
+
+
+def test_join_through_common_passages(spark):
+    """Chains of near copies around the limit, and texts that share most of a passage and don't link."""
+    rng = random.Random(12)
+    word = lambda: "w" + str(rng.randint(0, 90_000))
+    passage = [word() for _ in range(60)]
+    rows = [(1000 + i, " ".join([*(word() for _ in range(rng.randint(5, 60))), *passage])) for i in range(60)]
+    w = [word() for _ in range(120)]
+    for i in range(60):  # each differs from the last by one or two words
+        for _ in range(rng.choice((1, 2))):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i + 1, " ".join(w)))
+    for groups in (8, 4096):
+        assert joined(spark.createDataFrame(rows, "doc_id long, text string"), groups=groups) == plain_join(rows)
+
+
+def test_slabs_lose_no_link():
+    """Any two sets that link have a slab in common, leading for the smaller one, whatever the order."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(4, 300))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.append(rng.permutation(a)[: len(a) - int(rng.integers(0, max(1, n // 4)))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)))
+        a, b = sorted((a, b), key=len)
+        both = len(np.intersect1d(a, b))
+        if both == len(b) or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        counts = rng.integers(0, 9, 1 << jaccard.SLOT_BITS)
+        (own, lead, _), (same, _, below) = (jaccard.slabs(x, counts, 80) for x in (a, b))
+        assert set(own[:lead].tolist()) & (set(same.tolist()) | set([] if below is None else below.tolist()))
+
+
+def test_forest_spans_what_the_bound_allows():
+    rng = np.random.default_rng(9)
+    for m in (2, 5, 16, 60, 200):
+        rows = rng.integers(0, 3, (m, 8)).astype(np.int32)
+        rows[: m // 2] = rows[0] + (rng.random((m // 2, 8)) < 0.1)
+        sizes = rows.sum(axis=1).astype(np.int64) + 1
+        labels = rng.integers(0, m, m)
+        least = np.minimum(rows[:, None], rows[None]).sum(axis=2)
+        allowed = (180 * least >= 80 * (sizes[:, None] + sizes[None])) & (80 * np.maximum(sizes[:, None], sizes[None]) <= 100 * np.minimum(sizes[:, None], sizes[None]))
+
+        def classes(edges):
+            up = {int(x): int(x) for x in labels}
+
+            def find(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for a, b in edges:
+                up[find(int(labels[a]))] = find(int(labels[b]))
+            return [find(int(x)) for x in labels], len({find(int(x)) for x in labels})
+
+        edges = jaccard.forest(sizes, rows, labels, 80)
+        assert all(allowed[a, b] for a, b in edges)
+        (got, count), (want, wanted) = classes(edges), classes(np.argwhere(allowed))
+        assert count == wanted and len(set(zip(got, want, strict=True))) == count and len(edges) == len(set(labels.tolist())) - count
 
 
 def test_join_odd(spark, odd, empty):
@@ -248,7 +307,7 @@ def test_join_odd(spark, odd, empty):
 
 def test_join_query(spark):
     rows = table("documents", "doc_id, text")
-    got = sorted((True, r.doc_id, r.n_shingles, r.component_id or -1, r.n_links) for r in queries.queries()["op10_jaccard_join"](spark, SF).collect())
+    got = sorted((True, r.doc_id, r.n_shingles, r.component_id or -1, r.class_rows, r.n_copies) for r in queries.queries()["op10_jaccard_join"](spark, SF).collect())
     assert got == plain_join(rows)
 
 

@@ -4,11 +4,18 @@ Texts become sets of hashed shingles; equal sets are one point.  The hash space
 groups and a point's coordinates are the numbers of its shingles in each group, so that the sum
 of coordinate minima bounds the overlap of two sets, and of a set and everything in a rectangle.
 
-The tree is distributed: its root deals points into tiles, one per smallest shingle under each
-of HASHES hash orders.  Two sets with Jaccard similarity j miss each other in all tiles with
-probability (1 - j) ** HASHES, below 2e-17 from 0.8 on.  In a tile an R-tree finds the pairs that
-the bound allows and keeps what connects them; connected points form a block.  Shingle sets are
-shipped once, to their block, where every pair of the block is verified exactly.
+The tree is distributed.  Its upper levels are size bands and, in a band, slabs: half spaces of
+the points that have a count in one group of the finest grouping (one group a hash).  A point
+lies in as many slabs as it has shingles, but only needs to be dealt to the first few in an order
+that all points share: two points whose summed minima reach the bound share one of these, whatever
+the order.  Slabs that many points share come last in the order, by a table of counts over all
+rows.  In a slab, an R-tree over coarser groups (about as many as a point has shingles) finds the
+pairs that the bound allows, and gives a forest of them; every edge of the forest is verified on
+the shingle sets.  Where an edge fails, all pairs of what it held together are verified.
+
+Two rounds: the first takes only the first few slabs of each point and joins most of what belongs
+together; the second takes all slabs, passing over those whose points one class holds already.
+No step is a matter of chance: a link is never lost.
 """
 
 from __future__ import annotations
@@ -18,17 +25,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, small_batches, written
 from .graph import components
 
-HASHES = 24
-#: Points of a tile and shingles of a block that one task takes; larger ones are dealt out as pairs of parts.
+#: Slots of the table of counts that orders the slabs.
+SLOT_BITS = 16
+#: Slabs of each point in the first round.
+FIRST = 4
+#: Points of a slab, shingles of a block and partners of a point that one task takes; larger
+#: slabs and blocks are dealt out as pairs of parts, more partners as chunks.
 TILE_POINTS = 4096
 BLOCK_SHINGLES = 2_000_000
-_MULTIPLY = np.random.default_rng(20240229).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64) | np.uint64(1)
+HUB_ROWS = 2000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,19 +73,35 @@ def digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def tiles(own: np.ndarray) -> list[int]:
-    """Keys of the tiles that hold a set: its smallest shingle under each hash order."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(own), 1024):  # all orders at once, in pieces that stay in the cache
-        x = (own[None, k : k + 1024] ^ _MULTIPLY[1][:, None]) * _MULTIPLY[0][:, None]
-        x ^= x >> np.uint64(32)
-        np.minimum(out, x.min(axis=1), out=out)
-    return _mix(out + np.arange(HASHES, dtype=np.uint64) * _P).view(np.int64).tolist()
+def slots(own: np.ndarray) -> np.ndarray:
+    """The slot of the table of counts that each shingle belongs to."""
+    return (own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def count_vector(own: np.ndarray) -> bytes:
-    """Shingles in each group of the hash space, one byte each; 255 stands for any number from there on."""
-    bits = 6 if len(own) < 1024 else 8 if len(own) < 16384 else 10
+def slabs(own: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, int, np.ndarray | None]:
+    """(keys of the slabs that a set is dealt to, number of leading ones, keys in the next smaller band).
+
+    Bands are (2 ** (b - 1), 2 ** b] shingles.  Of two sets with an overlap of t, the first
+    ``size - t + 1`` slabs of each have one in common: t is at least percent of the larger set,
+    and 2 * percent / (100 + percent) of the smaller one, whose slabs are the leading ones.  A set
+    that may be the larger partner of one from the band below is dealt to that band too.
+    """
+    n = len(own)
+    if 100 * n < percent * (n + 1):  # no other set can reach the share
+        return np.empty(0, dtype=np.int64), 0, None
+    first = own[np.argsort(table[slots(own)], kind="stable")[: n - -(-percent * n // 100) + 1]]
+    lead = n - -(-2 * percent * n // (100 + percent)) + 1
+    band = (n - 1).bit_length()
+    keys = lambda b: _mix(_mix(first + np.uint64(b << 40 | 1))).view(np.int64)
+    return keys(band), lead, keys(band - 1) if percent * n <= 100 << (band - 1) else None
+
+
+def count_vector(own: np.ndarray, most: int = 4096) -> bytes:
+    """Shingles in each group of the hash space, one byte each; 255 stands for any number from there on.
+
+    There are as many groups as the band has shingles, ``most`` (a power of two) at most.
+    """
+    bits = max(1, min((len(own) - 1).bit_length(), most.bit_length() - 1))
     counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -86,7 +113,7 @@ def _coordinates(vectors: list[bytes]) -> np.ndarray:
     for row, v in zip(rows, vectors, strict=True):
         x = np.frombuffer(v, dtype=np.uint8).astype(np.int32)
         x[x == 255] = 1 << 24
-        row[:] = x.reshape(least, -1).sum(axis=1)
+        row[:] = x.reshape(least, -1).sum(axis=1) if len(x) > least else x
     return rows
 
 
@@ -123,76 +150,92 @@ class CountTree:
         return own
 
 
-def connected(sizes: np.ndarray, rows: np.ndarray, percent: int) -> np.ndarray:
-    """For each point the first point (in the tree's order) of its component in the graph of allowed pairs.
-
-    Every point is searched once, against points that no component holds yet.
-    """
-    if len(sizes) == 2:
-        fits = percent * sizes.max() <= 100 * sizes.min() and (100 + percent) * np.minimum(rows[0], rows[1]).sum() >= percent * sizes.sum()
-        return np.array([0, 0 if fits else 1])
+def forest(sizes: np.ndarray, rows: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges (child, parent) of a spanning forest of the graph of allowed pairs, in which points of one label are one."""
+    m = len(sizes)
+    if m <= 16:
+        return _small_forest(sizes, rows, labels, percent)
     tree = CountTree(sizes, rows, percent)
-    s, r = tree.levels[0][0], tree.levels[0][2]
-    alive, label = np.ones(len(s), dtype=bool), np.empty(len(s), dtype=np.int64)
-    for first in range(len(s)):
-        if not alive[first]:
+    s, r, own = tree.levels[0][0], tree.levels[0][2], labels[tree.order]
+    names, code, count = np.unique(own, return_inverse=True, return_counts=True)
+    by_label = np.split(np.argsort(code, kind="stable"), np.cumsum(count)[:-1])
+    alive, left, edges = np.ones(m, dtype=bool), len(names), []
+    for first in np.argsort(count, kind="stable").tolist():  # the largest label last: it is only searched for
+        if not alive[by_label[first][0]]:
             continue
-        alive[first], todo = False, [first]
-        while todo:
+        if left == 1:
+            break
+        alive[by_label[first]] = False
+        left -= 1
+        todo = by_label[first].tolist()
+        while todo and left:
             at = todo.pop()
-            label[at] = first
-            if len(new := tree.search(int(s[at]), r[at], alive)):
-                alive[new] = False
-                todo += new.tolist()
-    out = np.empty(len(s), dtype=np.int64)
-    out[tree.order] = tree.order[label]
-    return out
-
-
-def links(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(label, weight of the partners) of each set, all pairs verified; with ``sides`` only pairs across count."""
+            new = tree.search(int(s[at]), r[at], alive)
+            if not len(new):
+                continue
+            for x, k in zip(*np.unique(code[new], return_index=True), strict=True):
+                edges.append((int(new[k]), at))
+                alive[by_label[x]] = False
+                left -= 1
+                todo += by_label[x].tolist()
+    return [(int(tree.order[a]), int(tree.order[b])) for a, b in edges]
+
+
+def _small_forest(sizes: np.ndarray, rows: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The same, by the pairs of greatest bound first."""
+    m = len(sizes)
+    pairs = []
+    for i in range(1, m):
+        least = np.minimum(rows[:i], rows[i]).sum(axis=1)
+        both = sizes[:i] + sizes[i]
+        ok = ((100 + percent) * least >= percent * both) & (percent * np.maximum(sizes[:i], sizes[i]) <= 100 * np.minimum(sizes[:i], sizes[i])) & (labels[:i] != labels[i])
+        pairs += [(-float(least[j] / both[j]), i, j) for j in np.flatnonzero(ok).tolist()]
+    if len(pairs) == 1:
+        return [pairs[0][1:]]
+    root: dict = {}
+
+    def find(x):
+        while x in root:
+            x = root[x]
+        return x
+
+    edges = []
+    for _, i, j in sorted(pairs):
+        a, b = find(labels[i]), find(labels[j])
+        if a != b:
+            root[a] = b
+            edges.append((i, j))
+    return edges
+
+
+def links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of different labels, all verified, one for each set and label; with ``sides`` only pairs across count.
+
+    The most frequent label is not searched from: each pair has an end outside of it.
+    """
     m = len(sets)
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    label, degree = np.arange(m), np.zeros(m, dtype=np.int64)
-
-    def join(i: int, ok: np.ndarray) -> None:
-        nonlocal label
-        degree[i] += copies[ok].sum()
-        old = np.unique(np.append(label[ok], label[i]))
-        if len(old) > 1:
-            label = np.where(np.isin(label, old), old[0], label)
-
-    if m <= 6:
-        for i in range(m):
-            for j in range(i):
-                if (sides is None or sides[i] != sides[j]) and percent * max(sizes[i], sizes[j]) <= 100 * min(sizes[i], sizes[j]):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                        join(i, np.array([j]))
-                        degree[j] += copies[i]
-        return label, degree
-    whole = np.concatenate(sets)
-    values, code = np.unique(whole, return_inverse=True)
-    code = code.astype(np.int32)
-    posted = np.repeat(np.arange(m, dtype=np.int32), sizes)[np.argsort(code, kind="stable")]
-    ends = np.cumsum(np.bincount(code, minlength=len(values)))
+    names, code, count = np.unique(labels, return_inverse=True, return_counts=True)
+    if m < 2 or len(names) == 1:
+        return []
+    whole = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    posted = np.repeat(np.arange(m, dtype=np.int32), sizes)[np.argsort(whole, kind="stable")]
+    ends = np.cumsum(np.bincount(whole))
     starts = np.concatenate(([0], ends[:-1]))
     at = np.concatenate(([0], np.cumsum(sizes)))
-    for i in range(m):
-        own = code[at[i] : at[i + 1]]
+    found = []
+    for i in np.flatnonzero(code != count.argmax()).tolist():
+        own = whole[at[i] : at[i + 1]]
         n = ends[own] - starts[own]
-        own, n = own[n > 1], n[n > 1]
-        if not len(own):
-            continue
         place = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         both = np.bincount(posted[place], minlength=m)
-        ok = 100 * both >= percent * (sizes[i] + sizes - both)
-        ok[i] = False
+        ok = (100 * both >= percent * (sizes[i] + sizes - both)) & (code != code[i])
         if sides is not None:
             ok &= sides != sides[i]
         if ok.any():
-            join(i, np.flatnonzero(ok))
-    return label, degree
+            near = np.flatnonzero(ok)
+            found += [(i, int(near[k])) for k in np.unique(code[near], return_index=True)[1]]
+    return found
 
 
 def _groups(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -215,9 +258,9 @@ def _groups(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, n
         yield {c: rest[c].to_numpy() for c in rest}
 
 
-def _dealt(points: DataFrame, parts: str, node: str = "node") -> DataFrame:
+def _dealt(points: DataFrame, parts: str) -> DataFrame:
     """Deals points of groups with more than one part to every pair of parts, as ``pi``, ``pj`` and ``side``."""
-    side = F.pmod(F.xxhash64(node), F.col(parts))
+    side = F.pmod(F.xxhash64("row"), F.col(parts))
     dealt = points.withColumn("side", side).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1)))
     return dealt.withColumns({"pi": F.least("side", "x"), "pj": F.greatest("side", "x")}).drop("x", parts)
 
@@ -235,89 +278,183 @@ def _in_batches(work: Callable[[dict[str, np.ndarray]], list[tuple]], keys: list
     return run
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, n_links.
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, marked for a broadcast if it has BROADCAST_ROWS rows (of a few numbers) at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Two rows link when their shingle sets have ``100 * intersection >= percent * union``;
-    ``component_id`` is the smallest id reachable by links and ``n_links`` the number of rows that
-    link with the row.  A null text or one without words has no shingles, no link and its own id
-    as component.  Repeated rows link with each other; null ids are rows like others but never
-    the smallest id.  Nothing is capped: tiles and blocks that are too large for a task are dealt
-    out as pairs of parts.
+
+def _tiles(nodes: DataFrame, first: int | None) -> DataFrame:
+    """key, pi, pj, row, n, vector, label of the points of every slab that holds two labels and a leading point.
+
+    Slabs with the same points are taken once.  ``nodes``: row, n, keys, lead, below, vector, label.
     """
 
-    def points(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Hashes()
+    def posted(keys: str, lead: Column) -> DataFrame:
+        own = F.slice(keys, 1, first) if first else F.col(keys)
+        return nodes.select("row", "label", "lead", F.posexplode(own).alias("pos", "key")).select("key", "row", "label", lead.alias("leads"))
+
+    postings = posted("keys", F.col("pos") < F.col("lead")).unionByName(posted("below", F.lit(False))).repartition("key")
+    shared = postings.groupBy("key").agg(
+        F.count("*").alias("points"), F.max("leads").alias("leads"), (F.min("label") != F.max("label")).alias("open"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")
+    )
+    shared = shared.where("points > 1 AND leads AND open").groupBy("points", "x", "y").agg(F.min("key").alias("key"))
+    shared = shared.select("key", F.ceil(F.col("points") / TILE_POINTS).cast("long").alias("parts"))
+    return _dealt(postings.select("key", "row").join(shared, "key"), "parts").join(nodes.select("row", "n", "vector", "label"), "row")
+
+
+def _verified(edges: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """u, v, ok of every pair of ``edges``: sets meet at the pair's parent v, whose children come in chunks."""
+    pairs = edges.select("u", "v").distinct()
+    hubs = pairs.groupBy(F.col("v").alias("hub")).agg(F.ceil(F.count("*") / HUB_ROWS).cast("long").alias("chunks"))
+    children = pairs.withColumnRenamed("v", "hub").join(hubs, "hub").select("hub", F.pmod(F.xxhash64("u"), F.col("chunks")).alias("chunk"), F.col("u").alias("wanted"), F.lit(True).alias("child"))
+    parents = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("wanted"), F.lit(False).alias("child"))
+    asked = written(children.unionByName(parents), f"{name}-asked")
+
+    def check(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub = np.empty(0, dtype=np.uint64)
         for b in it:
             rows = []
-            for key, text in zip(b["id"], b["text"], strict=True):
-                own = shingles(text, known, size)
-                rows.append((key, len(own), digest(own), tiles(own), count_vector(own)) if len(own) else (key, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["id", "n", "node", "keys", "vector"]).astype({"id": "Int64"})
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    with small_batches(docs.sparkSession):
-        base = written(source.mapInPandas(points, "id long, n long, node binary, keys array<long>, vector binary"), "jaccard-points")
-    nodes = base.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("vector").alias("vector"))
-    nodes = written(nodes, "jaccard-nodes")
-
-    # Tiles: only those with two points or more matter.
-    posted = nodes.select("node", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("points")).where("points > 1")
-    in_tiles = posted.join(shared, "key").join(nodes.select("node", "n", "vector"), "node")
-    dealt = _dealt(in_tiles.withColumn("parts", F.ceil(F.col("points") / TILE_POINTS).cast("long")).drop("points"), "parts")
+            for v, u, child, own in zip(b["hub"], b["wanted"], b["child"], b["own"], strict=True):
+                x = np.frombuffer(own, dtype=np.uint64)
+                if not child:
+                    hub = x  # it comes before its children
+                    continue
+                both = len(np.intersect1d(hub, x, assume_unique=True))
+                rows.append((u, v, 100 * both >= percent * (len(hub) + len(x) - both)))
+            yield pd.DataFrame(rows, columns=["u", "v", "ok"])
 
-    def tile(g: dict[str, np.ndarray]) -> list[tuple]:
-        node = g["node"].tolist()
-        if len(node) < 2 or percent * g["n"].max() > 100 * g["n"].min() and len(node) == 2:
-            return []
-        label = connected(g["n"], _coordinates(g["vector"].tolist()), percent)
-        return [(a, node[k]) for a, k in zip(node, label.tolist(), strict=True) if a != node[k]]
-
-    keys = ["key", "pi", "pj"]
-    allowed = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", "n", "vector").mapInPandas(_in_batches(tile, keys, ["u", "v"]), "u binary, v binary")
-    member = components(allowed, "jaccard-allowed")
-    blocks = member.select("node", F.col("root").alias("block")).unionByName(member.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct())
-    blocks = blocks.join(nodes.select("node", "id", "copies", "n"), "node")
-    sized = blocks.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("parts"))
-    wanted = written(blocks.join(sized, "block").select("node", "id", "copies", "block", "parts"), "jaccard-blocks")
-
-    # Shingle sets go to their block, read again from one row of each point.
-    few = wanted.count() <= BROADCAST_ROWS
-    asked = wanted.select(F.col("id").alias("wanted_id"), "node", "copies", "block", "parts")
-    rows = source.join(F.broadcast(asked) if few else asked, F.col("id").eqNullSafe(F.col("wanted_id")))
-
-    def read_sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Hashes()
-        for b in it:
-            own = [shingles(t, known, size) for t in b["text"]]
-            b = b.assign(shingles=[x.tobytes() for x in own])
-            yield b[[len(x) > 0 and digest(x) == bytes(n) for x, n in zip(own, b["node"], strict=True)]].drop(columns="text")
+    met = sets.join(_few(asked), F.col("row") == F.col("wanted")).select("hub", "chunk", "child", "wanted", "own")
+    with small_batches(edges.sparkSession):
+        return written(met.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "child").mapInPandas(check, "u long, v long, ok boolean"), name)
+
+
+def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``nodes`` with ``label``: the root of their component, or their own row."""
+    if roots is None:
+        return nodes.withColumn("label", F.col("row"))
+    return nodes.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("label", F.coalesce("root", "row")).drop("root")
 
-    sets = rows.select("node", "copies", "block", "parts", "text").mapInPandas(read_sets, "node binary, copies long, block binary, parts long, shingles binary")
+
+def _of_blocks(tiles: DataFrame, edges: DataFrame, judged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the points of slabs in which an edge failed.
+
+    Labels that edges of these slabs hold together are a block; sets go once to their block, and
+    its pairs of different labels are verified.
+    """
+    at = ["key", "pi", "pj"]
+    failed = edges.join(judged.where("NOT ok").select("u", "v"), ["u", "v"], "left_semi").select(*at).distinct()
+    points = written(tiles.select(*at, "row", "n", "label").join(failed, at, "left_semi").select("row", "n", "label").distinct(), "jaccard-open")
+    label = points.select("row", "label")
+    own = edges.join(failed, at, "left_semi").select("u", "v").distinct()
+    own = own.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    roots = components(own, "jaccard-open-labels")
+    member = points.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").withColumn("block", F.coalesce("root", "label")).drop("root")
+    sized = member.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("parts"), F.count_distinct("label").alias("labels")).where("labels > 1").drop("labels")
+    member = written(member.join(sized, "block").select(F.col("row").alias("wanted"), "block", "parts", "label"), "jaccard-blocks")
 
     def block(g: dict[str, np.ndarray]) -> list[tuple]:
-        once = np.append(True, g["node"][1:] != g["node"][:-1])  # rows are sorted; repeated rows say the same
-        g = {c: x[once] for c, x in g.items()}
-        node, crossing = g["node"].tolist(), g["pi"][0] != g["pj"][0]
-        if len(node) < 2:
+        row = g["row"].tolist()
+        crossing = g["pi"][0] != g["pj"][0]
+        own = [np.frombuffer(x, dtype=np.uint64) for x in g["own"]]
+        return [(row[i], row[j]) for i, j in links(own, g["label"], g["side"] if crossing else None, percent)]
+
+    at = ["block", "pi", "pj"]
+    met = sets.join(_few(member), F.col("row") == F.col("wanted")).drop("wanted")
+    met = _dealt(met, "parts").repartition(*at).sortWithinPartitions(*at, "row").select(*at, "row", "label", "side", "own")
+    with small_batches(tiles.sparkSession):
+        return written(met.mapInPandas(_in_batches(block, at, ["u", "v"]), "u long, v long"), "jaccard-block-links")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, groups: int = 4096) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, class_rows, n_copies.
+
+    Two rows link when their shingle sets have ``100 * intersection >= percent * union``;
+    ``component_id`` is the smallest id reachable by links, ``class_rows`` the number of rows that
+    have it for a link's sake (1 without links) and ``n_copies`` the rows of the very same set.  A
+    null text or one without words has no shingles, no link and its own id as component.  Repeated
+    rows link with each other; null ids are rows like others but never the smallest id: rows are
+    told apart by a number written with their sets.  An empty table gives none; other columns are
+    not looked at, whatever their names.  Nothing is capped: slabs and blocks that are too large
+    for a task are dealt out as pairs of parts.  ``groups`` is the greatest number of coordinates.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100: a set posts to its own band of sizes and to the one below")
+    spark = docs.sparkSession
+
+    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, table = _Hashes(), np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for b in it:
+            sets = [shingles(t, known, size) for t in b["text"]]
+            if sets:
+                table += np.bincount(slots(np.concatenate(sets)), minlength=len(table))
+            out = pd.DataFrame({"row": b["row"], "id": b["id"].astype("Int64"), "n": [len(x) for x in sets]})
+            out["node"] = [digest(x) if len(x) else None for x in sets]
+            out["own"] = [x.tobytes() if len(x) else None for x in sets]
+            yield out.assign(slot=pd.array([None] * len(out), dtype="Int64"), rows=pd.array([None] * len(out), dtype="Int64"))
+        held = np.flatnonzero(table)
+        none = pd.array([None] * len(held), dtype="Int64")
+        yield pd.DataFrame({"row": none, "id": none, "n": none, "node": [None] * len(held), "own": [None] * len(held), "slot": held, "rows": table[held]})
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    with small_batches(spark):
+        base = written(source.mapInPandas(scan, "row long, id long, n long, node binary, own binary, slot long, rows long"), "jaccard-sets")
+    # of a fixed size, whatever the input's
+    table = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    for r in base.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("rows").alias("rows")).collect():
+        table[r["slot"]] = r["rows"]
+    sent = spark.sparkContext.broadcast(table)
+
+    def address(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            rows = []
+            for own in b["own"]:
+                x = np.frombuffer(own, dtype=np.uint64)
+                keys, lead, below = slabs(x, sent.value, percent)
+                rows.append((keys, lead, below, count_vector(x, groups) if len(keys) else None))
+            yield pd.concat([b.drop(columns="own"), pd.DataFrame(rows, columns=["keys", "lead", "below", "vector"])], axis=1)
+
+    filled = base.where("n > 0")
+    with small_batches(spark):
+        addressed = filled.select("row", "id", "n", "node", "own").mapInPandas(address, "row long, id long, n long, node binary, keys array<long>, lead int, below array<long>, vector binary")
+        classes = addressed.groupBy("node").agg(
+            F.min("row").alias("row"), F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "keys", "lead", "below", "vector"))
+        )
+        classes = written(classes, "jaccard-nodes")
+    nodes = classes.where(F.size("keys") > 0).select("row", "n", "keys", "lead", "below", "vector")
+    sets = filled.select("row", "own")
+
+    def tile(g: dict[str, np.ndarray]) -> list[tuple]:
+        row, label = g["row"].tolist(), g["label"]
+        if (label == label[0]).all():
             return []
-        own = [np.frombuffer(x, dtype=np.uint64) for x in g["shingles"]]
-        label, degree = links(own, g["copies"], g["side"] if crossing else None, percent)
-        return [(a, node[k], int(d)) for a, k, d in zip(node, label.tolist(), degree.tolist(), strict=True) if d]
-
-    keys = ["block", "pi", "pj"]
-    verified = _dealt(sets, "parts").repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "node", "copies", "side", "shingles")
-    with small_batches(docs.sparkSession):
-        verified = written(verified.mapInPandas(_in_batches(block, keys, ["u", "v", "links"]), "u binary, v binary, links long"), "jaccard-links")
-
-    degrees = verified.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    linked = components(verified.select("u", "v"), "jaccard-linked")
-    named = degrees.join(linked, "node", "left").select("node", "links", F.coalesce("root", "node").alias("root"))
-    named = named.join(nodes.select("node", "id"), "node")
-    smallest = named.groupBy("root").agg(F.min("id").alias("least"))
-    classes = nodes.select("node", "id", "copies").join(named.join(smallest, "root").select("node", "links", "least"), "node", "left")
-    classes = classes.select(F.col("node").alias("own"), F.coalesce("least", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return base.join(classes, F.col("node") == F.col("own"), "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+        at = (int(g["key"][0]), int(g["pi"][0]), int(g["pj"][0]))
+        return [(row[a], row[b], *at) for a, b in forest(g["n"], _coordinates(g["vector"].tolist()), label, percent)]
+
+    def grown(labelled: DataFrame, first: int | None, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(points of slabs, edges of their forests, edges verified)."""
+        at = ["key", "pi", "pj"]
+        tiles = _tiles(labelled, first)
+        own = tiles.repartition(*at).sortWithinPartitions(*at).select(*at, "row", "n", "vector", "label")
+        with small_batches(spark):
+            edges = written(own.mapInPandas(_in_batches(tile, at, ["u", "v", *at]), "u long, v long, key long, pi long, pj long"), f"{name}-edges")
+        return tiles, edges, _verified(edges, sets, percent, name)
+
+    _, _, judged = grown(_labelled(nodes, None), FIRST, "jaccard-first")
+    roots = components(judged.where("ok").select("u", "v"), "jaccard-first-roots")
+    labelled = written(_labelled(nodes, roots), "jaccard-labels")
+    tiles, edges, judged = grown(labelled, None, "jaccard-all")
+    found = judged.where("ok").select("u", "v")
+    if not judged.where("NOT ok").isEmpty():
+        found = found.unionByName(_of_blocks(tiles, edges, judged, sets, percent))
+    label = labelled.select("row", "label")
+    more = found.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    more = components(more, "jaccard-roots").select(F.col("node").alias("label"), F.col("root").alias("last"))
+
+    own = classes.select("node", "row", "id", "copies").join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    own = own.join(more, "label", "left").withColumn("root", F.coalesce("last", "label"))
+    least = own.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("copies").alias("class_rows"))
+    own = own.join(least, "root").select(F.col("node").alias("mine"), "component_id", "class_rows", F.col("copies").alias("n_copies"))
+    one = F.lit(1).cast("long")
+    return base.where("slot IS NULL").select("id", "n", "node").join(own, F.col("node") == F.col("mine"), "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_rows", one).alias("class_rows"), F.coalesce("n_copies", one).alias("n_copies")
     )

@@ -81,10 +81,11 @@ def _license_sql() -> str:
 
 _JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
  s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS sh FROM w),
- n AS (SELECT doc_id, count(sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY ALL),
+ n AS (SELECT doc_id, count(sh) AS n, md5(coalesce(string_agg(sh, chr(10) ORDER BY sh), '')) AS own FROM w LEFT JOIN s USING (doc_id) GROUP BY ALL),
  l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
- r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
- SELECT n.doc_id, n AS n_shingles, min(b) AS component_id, (SELECT count(*) FROM l WHERE l.a = n.doc_id) AS n_links FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n"""
+ r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+ c AS (SELECT n.doc_id, n, own, min(b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n, own)
+ SELECT doc_id, n AS n_shingles, component_id, count(*) OVER (PARTITION BY component_id) AS class_rows, CASE WHEN n = 0 THEN 1 ELSE count(*) OVER (PARTITION BY own) END AS n_copies FROM c"""
 
 
 def _leaks_sql() -> str:
