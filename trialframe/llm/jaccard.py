@@ -4,18 +4,20 @@ Texts become sets of hashed shingles; equal sets are one point.  The hash space
 groups and a point's coordinates are the numbers of its shingles in each group, so that the sum
 of coordinate minima bounds the overlap of two sets, and of a set and everything in a rectangle.
 
-The tree is distributed.  Its upper levels are size bands and, in a band, slabs: half spaces of
-the points that have a count in one group of the finest grouping (one group a hash).  A point
-lies in as many slabs as it has shingles, but only needs to be dealt to the first few in an order
-that all points share: two points whose summed minima reach the bound share one of these, whatever
-the order.  Slabs that many points share come last in the order, by a table of counts over all
-rows.  In a slab, an R-tree over coarser groups (about as many as a point has shingles) finds the
-pairs that the bound allows, and gives a forest of them; every edge of the forest is verified on
-the shingle sets.  Where an edge fails, all pairs of what it held together are verified.
-
-Two rounds: the first takes only the first few slabs of each point and joins most of what belongs
-together; the second takes all slabs, passing over those whose points one class holds already.
-No step is a matter of chance: a link is never lost.
+The tree is distributed.  Its upper level are slabs: half spaces of the points that have a count
+in one group of the finest grouping (one group a hash).  A point lies in as many slabs as it has
+shingles, but only needs to be dealt to the first few in an order that all points share: two
+points whose summed minima reach the bound share one of these, whatever the order.  Slabs that
+many points share come last in the order, by a table of counts over all rows.  In a slab, an
+R-tree for each band of sizes, over coarser groups (about as many as a point has shingles), finds
+the pairs that the bound allows, and gives a forest of them; every edge of the forest is verified
+on the shingle sets.  Where an edge fails, all pairs of what it held together are verified.
+
+A first round is a shortcut on which nothing depends: it takes a few slabs of each point, those
+of its smallest hashes, in parts of bounded size, and joins most of what belongs together.  The
+second takes the slabs that the proof asks for, passing over those whose points one class holds
+already; in a slab that a large class fills, only the other points are searched for partners.
+So a group of near copies costs in proportion to its size.  No step is a matter of chance.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from .graph import components
 
 #: Slots of the table of counts that orders the slabs.
 SLOT_BITS = 16
-#: Slabs of each point in the first round.
+#: Slabs of each point in the first round, and points of a slab that are then looked at together.
 FIRST = 4
+FIRST_POINTS = 1024
 #: Points of a slab, shingles of a block and partners of a point that one task takes; larger
 #: slabs and blocks are dealt out as pairs of parts, more partners as chunks.
 TILE_POINTS = 4096
@@ -78,28 +81,24 @@ def slots(own: np.ndarray) -> np.ndarray:
     return (own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def slabs(own: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, int, np.ndarray | None]:
-    """(keys of the slabs that a set is dealt to, number of leading ones, keys in the next smaller band).
+def slabs(own: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """(keys of the slabs that a set is dealt to, number of leading ones).
 
-    Bands are (2 ** (b - 1), 2 ** b] shingles.  Of two sets with an overlap of t, the first
-    ``size - t + 1`` slabs of each have one in common: t is at least percent of the larger set,
-    and 2 * percent / (100 + percent) of the smaller one, whose slabs are the leading ones.  A set
-    that may be the larger partner of one from the band below is dealt to that band too.
+    Of two sets with an overlap of t, the first ``size - t + 1`` slabs of each have one in common:
+    t is at least percent of the larger set, and 2 * percent / (100 + percent) of the smaller one,
+    whose slabs are the leading ones.
     """
     n = len(own)
     if 100 * n < percent * (n + 1):  # no other set can reach the share
-        return np.empty(0, dtype=np.int64), 0, None
-    first = own[np.argsort(table[slots(own)], kind="stable")[: n - -(-percent * n // 100) + 1]]
-    lead = n - -(-2 * percent * n // (100 + percent)) + 1
-    band = (n - 1).bit_length()
-    keys = lambda b: _mix(_mix(first + np.uint64(b << 40 | 1))).view(np.int64)
-    return keys(band), lead, keys(band - 1) if percent * n <= 100 << (band - 1) else None
+        return np.empty(0, dtype=np.int64), 0
+    first = np.argsort(table[slots(own)], kind="stable")[: n - -(-percent * n // 100) + 1]
+    return own[first].view(np.int64), n - -(-2 * percent * n // (100 + percent)) + 1
 
 
 def count_vector(own: np.ndarray, most: int = 4096) -> bytes:
     """Shingles in each group of the hash space, one byte each; 255 stands for any number from there on.
 
-    There are as many groups as the band has shingles, ``most`` (a power of two) at most.
+    There are as many groups as the size band (a power of two) of the set has shingles, ``most`` at most.
     """
     bits = max(1, min((len(own) - 1).bit_length(), most.bit_length() - 1))
     counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
@@ -150,6 +149,18 @@ class CountTree:
         return own
 
 
+def banded(sizes: np.ndarray, vectors: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges of the forests of each band of sizes: of the points of a band (2 ** (b - 1), 2 ** b] and of those above that may link with them."""
+    band = np.frexp(sizes - 0.5)[1]
+    edges = []
+    for b in np.unique(band).tolist():
+        own = np.flatnonzero((band == b) | (band > b) & (percent * sizes <= 100 << b))
+        if len(own) > 1 and (labels[own] != labels[own[0]]).any():
+            found = forest(sizes[own], _coordinates(vectors[own].tolist()), labels[own], percent)
+            edges += [(int(own[i]), int(own[j])) for i, j in found]
+    return edges
+
+
 def forest(sizes: np.ndarray, rows: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Edges (child, parent) of a spanning forest of the graph of allowed pairs, in which points of one label are one."""
     m = len(sizes)
@@ -283,23 +294,41 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _tiles(nodes: DataFrame, first: int | None) -> DataFrame:
-    """key, pi, pj, row, n, vector, label of the points of every slab that holds two labels and a leading point.
+def _numbers(n: Column) -> Column:
+    """0 up to n, without n."""
+    return F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)).cast("long") - 1), lambda x: x < n)
 
-    Slabs with the same points are taken once.  ``nodes``: row, n, keys, lead, below, vector, label.
-    """
 
-    def posted(keys: str, lead: Column) -> DataFrame:
-        own = F.slice(keys, 1, first) if first else F.col(keys)
-        return nodes.select("row", "label", "lead", F.posexplode(own).alias("pos", "key")).select("key", "row", "label", lead.alias("leads"))
+def _first_tiles(postings: DataFrame) -> DataFrame:
+    """key, pi, pj, row, label of the slabs that points share, in parts; parts of different slabs cut across each other."""
+    shared = postings.groupBy("key").agg(F.count("*").alias("points")).where("points > 1")
+    own = postings.join(shared, "key").withColumn("pi", F.pmod(F.xxhash64("row", "key"), F.ceil(F.col("points") / FIRST_POINTS).cast("long")))
+    return own.select("key", "pi", F.col("pi").alias("pj"), "row", "label", "leads")
 
-    postings = posted("keys", F.col("pos") < F.col("lead")).unionByName(posted("below", F.lit(False))).repartition("key")
-    shared = postings.groupBy("key").agg(
-        F.count("*").alias("points"), F.max("leads").alias("leads"), (F.min("label") != F.max("label")).alias("open"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")
+
+def _all_tiles(postings: DataFrame) -> DataFrame:
+    """key, pi, pj, row, label of the points of every slab that holds two labels and a leading point.
+
+    Slabs with the same points are taken once.  In a slab of more than TILE_POINTS points those of
+    its largest label and the others are cut into parts; each part of the others (pi) meets each
+    one of the label (pj, below 0) and of the others.  ``postings``: partitioned by key.
+    """
+    by_label = postings.groupBy("key", "label").agg(F.count("*").alias("points"), F.max("leads").alias("leads"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    shared = by_label.groupBy("key").agg(
+        F.sum("points").alias("points"), F.count("*").alias("labels"), F.max("leads").alias("leads"), F.max(F.struct("points", "label")).alias("large"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
     )
-    shared = shared.where("points > 1 AND leads AND open").groupBy("points", "x", "y").agg(F.min("key").alias("key"))
-    shared = shared.select("key", F.ceil(F.col("points") / TILE_POINTS).cast("long").alias("parts"))
-    return _dealt(postings.select("key", "row").join(shared, "key"), "parts").join(nodes.select("row", "n", "vector", "label"), "row")
+    shared = shared.where("labels > 1 AND leads").groupBy("points", "x", "y").agg(F.min_by(F.struct("key", "large"), "key").alias("s"))
+    cut = lambda n: F.when(F.col("points") > TILE_POINTS, F.ceil(n / TILE_POINTS)).otherwise(1).cast("long")
+    whole = F.col("points") <= TILE_POINTS
+    shared = shared.select(F.col("s.key").alias("key"), F.when(~whole, F.col("s.large.label")).alias("large"), F.when(whole, 0).otherwise(cut(F.col("s.large.points"))).cast("long").alias("parts"), F.when(whole, 1).otherwise(cut(F.col("points") - F.col("s.large.points"))).cast("long").alias("rest"))
+    own = postings.join(shared, "key")  # all its columns are used, so that it shares the exchange of the counts
+    mine = F.coalesce(F.col("label") == F.col("large"), F.lit(False)) & F.col("leads").isNotNull()
+    part = F.pmod(F.xxhash64("row"), F.when(mine, F.col("parts")).otherwise(F.col("rest")))
+    own = own.withColumn("part", part)
+    met = F.transform(_numbers(F.col("rest")), lambda r: F.struct(r.alias("pi"), (-1 - F.col("part")).alias("pj")))
+    with_large = F.transform(_numbers(F.col("parts")), lambda a: F.struct(F.col("part").alias("pi"), (-1 - a).alias("pj")))
+    with_rest = F.transform(_numbers(F.col("rest")), lambda r: F.struct(F.least("part", r).alias("pi"), F.greatest("part", r).alias("pj")))
+    return own.select("key", "row", "label", F.explode(F.when(mine, met).otherwise(F.concat(with_large, with_rest))).alias("at")).select("key", "at.*", "row", "label")
 
 
 def _verified(edges: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -328,13 +357,6 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
         return written(met.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "child").mapInPandas(check, "u long, v long, ok boolean"), name)
 
 
-def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``nodes`` with ``label``: the root of their component, or their own row."""
-    if roots is None:
-        return nodes.withColumn("label", F.col("row"))
-    return nodes.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("label", F.coalesce("root", "row")).drop("root")
-
-
 def _of_blocks(tiles: DataFrame, edges: DataFrame, judged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) among the points of slabs in which an edge failed.
 
@@ -343,7 +365,8 @@ def _of_blocks(tiles: DataFrame, edges: DataFrame, judged: DataFrame, sets: Data
     """
     at = ["key", "pi", "pj"]
     failed = edges.join(judged.where("NOT ok").select("u", "v"), ["u", "v"], "left_semi").select(*at).distinct()
-    points = written(tiles.select(*at, "row", "n", "label").join(failed, at, "left_semi").select("row", "n", "label").distinct(), "jaccard-open")
+    points = tiles.select(*at, "row", "label").join(failed, at, "left_semi").select("row", "label").distinct()
+    points = written(points.join(sets.select("row", "n"), "row"), "jaccard-open")
     label = points.select("row", "label")
     own = edges.join(failed, at, "left_semi").select("u", "v").distinct()
     own = own.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
@@ -359,7 +382,7 @@ def _of_blocks(tiles: DataFrame, edges: DataFrame, judged: DataFrame, sets: Data
         return [(row[i], row[j]) for i, j in links(own, g["label"], g["side"] if crossing else None, percent)]
 
     at = ["block", "pi", "pj"]
-    met = sets.join(_few(member), F.col("row") == F.col("wanted")).drop("wanted")
+    met = sets.join(_few(member), F.col("row") == F.col("wanted")).drop("wanted", "n")
     met = _dealt(met, "parts").repartition(*at).sortWithinPartitions(*at, "row").select(*at, "row", "label", "side", "own")
     with small_batches(tiles.sparkSession):
         return written(met.mapInPandas(_in_batches(block, at, ["u", "v"]), "u long, v long"), "jaccard-block-links")
@@ -378,18 +401,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for a task are dealt out as pairs of parts.  ``groups`` is the greatest number of coordinates.
     """
     if not 50 <= percent <= 100:
-        raise ValueError("percent must be 50 to 100: a set posts to its own band of sizes and to the one below")
+        raise ValueError("percent must be 50 to 100")
     spark = docs.sparkSession
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, table = _Hashes(), np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        known, table, seen = _Hashes(), np.zeros(1 << SLOT_BITS, dtype=np.int64), set()
         for b in it:
             sets = [shingles(t, known, size) for t in b["text"]]
             if sets:
                 table += np.bincount(slots(np.concatenate(sets)), minlength=len(table))
-            out = pd.DataFrame({"row": b["row"], "id": b["id"].astype("Int64"), "n": [len(x) for x in sets]})
-            out["node"] = [digest(x) if len(x) else None for x in sets]
-            out["own"] = [x.tobytes() if len(x) else None for x in sets]
+            rows = []
+            for x in sets:
+                node, own = None, None
+                if len(x):
+                    node = digest(x)
+                    if node not in seen:  # a copy in the same task has no need of its set
+                        seen.add(node)
+                        own = x.tobytes()
+                rows.append((len(x), node, own))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            out = pd.concat([b[["row"]], b["id"].astype("Int64"), pd.DataFrame(rows, columns=["n", "node", "own"])], axis=1)
             yield out.assign(slot=pd.array([None] * len(out), dtype="Int64"), rows=pd.array([None] * len(out), dtype="Int64"))
         held = np.flatnonzero(table)
         none = pd.array([None] * len(held), dtype="Int64")
@@ -404,54 +436,59 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         table[r["slot"]] = r["rows"]
     sent = spark.sparkContext.broadcast(table)
 
-    def address(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            rows = []
-            for own in b["own"]:
-                x = np.frombuffer(own, dtype=np.uint64)
-                keys, lead, below = slabs(x, sent.value, percent)
-                rows.append((keys, lead, below, count_vector(x, groups) if len(keys) else None))
-            yield pd.concat([b.drop(columns="own"), pd.DataFrame(rows, columns=["keys", "lead", "below", "vector"])], axis=1)
+    # a point is the first row of its set; rows of other tasks with the same set step back
+    stored = base.select("row", "id", "n", "node", F.col("own").isNotNull().alias("stored")).where("node IS NOT NULL")
+    classes = written(stored.groupBy("node").agg(F.min(F.when(F.col("stored"), F.col("row"))).alias("row"), F.min("id").alias("id"), F.count("*").alias("copies"), F.count_if("stored").alias("times")), "jaccard-nodes")
+    again = stored.where("stored").join(classes.where("times > 1").select("node", F.col("row").alias("first")), "node").where("row <> first").select("row")
+    sets = base.where("own IS NOT NULL").select("row", "n", "own").join(_few(written(again, "jaccard-again")), "row", "left_anti")
 
-    filled = base.where("n > 0")
-    with small_batches(spark):
-        addressed = filled.select("row", "id", "n", "node", "own").mapInPandas(address, "row long, id long, n long, node binary, keys array<long>, lead int, below array<long>, vector binary")
-        classes = addressed.groupBy("node").agg(
-            F.min("row").alias("row"), F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "keys", "lead", "below", "vector"))
-        )
-        classes = written(classes, "jaccard-nodes")
-    nodes = classes.where(F.size("keys") > 0).select("row", "n", "keys", "lead", "below", "vector")
-    sets = filled.select("row", "own")
+    def address(first: int | None):
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in it:
+                rows = []
+                for own in b["own"]:
+                    x = np.frombuffer(own, dtype=np.uint64)
+                    keys, lead = slabs(x, sent.value, percent)
+                    rows.append((x[:first].view(np.int64) if first and lead else keys, lead))
+                yield pd.concat([b.drop(columns=["own", "n"]), pd.DataFrame(rows, columns=["keys", "lead"])], axis=1)
+
+        return run
+
+    def vectors(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            b["own"] = [count_vector(np.frombuffer(x, dtype=np.uint64), groups) for x in b["own"]]
+            yield b
 
     def tile(g: dict[str, np.ndarray]) -> list[tuple]:
-        row, label = g["row"].tolist(), g["label"]
-        if (label == label[0]).all():
-            return []
-        at = (int(g["key"][0]), int(g["pi"][0]), int(g["pj"][0]))
-        return [(row[a], row[b], *at) for a, b in forest(g["n"], _coordinates(g["vector"].tolist()), label, percent)]
-
-    def grown(labelled: DataFrame, first: int | None, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(points of slabs, edges of their forests, edges verified)."""
+        row, at = g["row"].tolist(), (int(g["key"][0]), int(g["pi"][0]), int(g["pj"][0]))
+        return [(row[a], row[b], *at) for a, b in banded(g["n"], g["own"], g["label"], percent)]
+
+    def grown(roots: DataFrame | None, first: int | None, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(points of open slabs, edges of their forests, edges verified)."""
         at = ["key", "pi", "pj"]
-        tiles = _tiles(labelled, first)
-        own = tiles.repartition(*at).sortWithinPartitions(*at).select(*at, "row", "n", "vector", "label")
         with small_batches(spark):
+            postings = sets.mapInPandas(address(first), "row long, keys array<long>, lead int")
+            if roots is None:
+                postings = postings.withColumn("label", F.col("row"))
+            else:
+                postings = postings.join(_few(roots.select(F.col("node").alias("row"), "root")), "row", "left").withColumn("label", F.coalesce("root", "row"))
+            postings = postings.select("row", "label", "lead", F.posexplode("keys").alias("pos", "key")).select("key", "row", "label", (F.col("pos") < F.col("lead")).alias("leads"))
+            tiles = written((_first_tiles if first else _all_tiles)(postings.repartition("key")), f"{name}-tiles")
+            members = _few(written(tiles.select(F.col("row").alias("wanted")).distinct(), f"{name}-members"))
+            shapes = sets.join(members, F.col("row") == F.col("wanted"), "left_semi").mapInPandas(vectors, "row long, n long, own binary")
+            own = tiles.join(shapes, "row").repartition(*at).sortWithinPartitions(*at).select(*at, "row", "n", "own", "label")
             edges = written(own.mapInPandas(_in_batches(tile, at, ["u", "v", *at]), "u long, v long, key long, pi long, pj long"), f"{name}-edges")
         return tiles, edges, _verified(edges, sets, percent, name)
 
-    _, _, judged = grown(_labelled(nodes, None), FIRST, "jaccard-first")
+    _, _, judged = grown(None, FIRST, "jaccard-first")
     roots = components(judged.where("ok").select("u", "v"), "jaccard-first-roots")
-    labelled = written(_labelled(nodes, roots), "jaccard-labels")
-    tiles, edges, judged = grown(labelled, None, "jaccard-all")
+    tiles, edges, judged = grown(roots, None, "jaccard-all")
     found = judged.where("ok").select("u", "v")
     if not judged.where("NOT ok").isEmpty():
         found = found.unionByName(_of_blocks(tiles, edges, judged, sets, percent))
-    label = labelled.select("row", "label")
-    more = found.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
-    more = components(more, "jaccard-roots").select(F.col("node").alias("label"), F.col("root").alias("last"))
+    more = components(found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "jaccard-roots")
 
-    own = classes.select("node", "row", "id", "copies").join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    own = own.join(more, "label", "left").withColumn("root", F.coalesce("last", "label"))
+    own = classes.join(more.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = own.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("copies").alias("class_rows"))
     own = own.join(least, "root").select(F.col("node").alias("mine"), "component_id", "class_rows", F.col("copies").alias("n_copies"))
     one = F.lit(1).cast("long")
