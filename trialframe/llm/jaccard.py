@@ -72,6 +72,21 @@ def shingles(text: str | None, known: dict, size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
+def packed(own: np.ndarray) -> bytes:
+    """The upper six bytes of each hash, byte by byte (the uppermost ones are in order and take little room).
+
+    A false match of a pair needs one of some hundred words to agree in 48 bits.
+    """
+    return own.view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes()
+
+
+def unpacked(stored: bytes) -> np.ndarray:
+    """The set, each hash without its lower two bytes."""
+    out = np.zeros((len(stored) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(stored, dtype=np.uint8).reshape(6, -1).T
+    return out.view(np.uint64)[:, 0]
+
+
 def digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
@@ -92,15 +107,15 @@ def slabs(own: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray,
     if 100 * n < percent * (n + 1):  # no other set can reach the share
         return np.empty(0, dtype=np.int64), 0
     first = np.argsort(table[slots(own)], kind="stable")[: n - -(-percent * n // 100) + 1]
-    return own[first].view(np.int64), n - -(-2 * percent * n // (100 + percent)) + 1
+    return (own[first] >> np.uint64(16)).view(np.int64), n - -(-2 * percent * n // (100 + percent)) + 1
 
 
 def count_vector(own: np.ndarray, most: int = 4096) -> bytes:
     """Shingles in each group of the hash space, one byte each; 255 stands for any number from there on.
 
-    There are as many groups as the size band (a power of two) of the set has shingles, ``most`` at most.
+    There are half as many groups as the size band (a power of two) of the set has shingles, ``most`` at most.
     """
-    bits = max(1, min((len(own) - 1).bit_length(), most.bit_length() - 1))
+    bits = max(3, min((len(own) - 1).bit_length(), most.bit_length()) - 1)
     counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -310,17 +325,21 @@ def _all_tiles(postings: DataFrame) -> DataFrame:
     """key, pi, pj, row, label of the points of every slab that holds two labels and a leading point.
 
     Slabs with the same points are taken once.  In a slab of more than TILE_POINTS points those of
-    its largest label and the others are cut into parts; each part of the others (pi) meets each
-    one of the label (pj, below 0) and of the others.  ``postings``: partitioned by key.
+    one large label (more than half as many) and the others are cut into parts; each part of the
+    others (pi) meets each one of the label (pj, below 0) and of the others.  ``postings``:
+    partitioned by key.
     """
     by_label = postings.groupBy("key", "label").agg(F.count("*").alias("points"), F.max("leads").alias("leads"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    is_large = F.col("points") > TILE_POINTS // 2
     shared = by_label.groupBy("key").agg(
-        F.sum("points").alias("points"), F.count("*").alias("labels"), F.max("leads").alias("leads"), F.max(F.struct("points", "label")).alias("large"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
-    )
-    shared = shared.where("labels > 1 AND leads").groupBy("points", "x", "y").agg(F.min_by(F.struct("key", "large"), "key").alias("s"))
-    cut = lambda n: F.when(F.col("points") > TILE_POINTS, F.ceil(n / TILE_POINTS)).otherwise(1).cast("long")
+        F.sum("points").alias("points"), F.count("*").alias("labels"), F.max("leads").alias("leads"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+        F.max(F.when(is_large, F.col("label"))).alias("large"), F.coalesce(F.max(F.when(is_large, F.col("points"))), F.lit(0)).alias("most"),
+    )
+    # slabs of the same points have the same labels, too
+    shared = shared.where("labels > 1 AND leads").groupBy("points", "x", "y", "large", "most").agg(F.min("key").alias("key"))
+    cut = lambda n: F.ceil(n / TILE_POINTS).cast("long")
     whole = F.col("points") <= TILE_POINTS
-    shared = shared.select(F.col("s.key").alias("key"), F.when(~whole, F.col("s.large.label")).alias("large"), F.when(whole, 0).otherwise(cut(F.col("s.large.points"))).cast("long").alias("parts"), F.when(whole, 1).otherwise(cut(F.col("points") - F.col("s.large.points"))).cast("long").alias("rest"))
+    shared = shared.select("key", F.when(~whole, F.col("large")).alias("large"), F.when(whole, 0).otherwise(cut(F.col("most"))).alias("parts"), F.when(whole, 1).otherwise(F.greatest(cut(F.col("points") - F.col("most")), F.lit(1))).alias("rest"))
     own = postings.join(shared, "key")  # all its columns are used, so that it shares the exchange of the counts
     mine = F.coalesce(F.col("label") == F.col("large"), F.lit(False)) & F.col("leads").isNotNull()
     part = F.pmod(F.xxhash64("row"), F.when(mine, F.col("parts")).otherwise(F.col("rest")))
@@ -344,7 +363,7 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
         for b in it:
             rows = []
             for v, u, child, own in zip(b["hub"], b["wanted"], b["child"], b["own"], strict=True):
-                x = np.frombuffer(own, dtype=np.uint64)
+                x = unpacked(own)
                 if not child:
                     hub = x  # it comes before its children
                     continue
@@ -378,7 +397,7 @@ def _of_blocks(tiles: DataFrame, edges: DataFrame, judged: DataFrame, sets: Data
     def block(g: dict[str, np.ndarray]) -> list[tuple]:
         row = g["row"].tolist()
         crossing = g["pi"][0] != g["pj"][0]
-        own = [np.frombuffer(x, dtype=np.uint64) for x in g["own"]]
+        own = [unpacked(x) for x in g["own"]]
         return [(row[i], row[j]) for i, j in links(own, g["label"], g["side"] if crossing else None, percent)]
 
     at = ["block", "pi", "pj"]
@@ -417,7 +436,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     node = digest(x)
                     if node not in seen:  # a copy in the same task has no need of its set
                         seen.add(node)
-                        own = x.tobytes()
+                        own = packed(x)
                 rows.append((len(x), node, own))
             if len(seen) > 1_000_000:
                 seen.clear()
@@ -447,16 +466,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for b in it:
                 rows = []
                 for own in b["own"]:
-                    x = np.frombuffer(own, dtype=np.uint64)
+                    x = unpacked(own)
                     keys, lead = slabs(x, sent.value, percent)
-                    rows.append((x[:first].view(np.int64) if first and lead else keys, lead))
+                    rows.append(((x[:first] >> np.uint64(16)).view(np.int64) if first and lead else keys, lead))
                 yield pd.concat([b.drop(columns=["own", "n"]), pd.DataFrame(rows, columns=["keys", "lead"])], axis=1)
 
         return run
 
     def vectors(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            b["own"] = [count_vector(np.frombuffer(x, dtype=np.uint64), groups) for x in b["own"]]
+            b["own"] = [count_vector(unpacked(x), groups) for x in b["own"]]
             yield b
 
     def tile(g: dict[str, np.ndarray]) -> list[tuple]:
@@ -469,11 +488,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         with small_batches(spark):
             postings = sets.mapInPandas(address(first), "row long, keys array<long>, lead int")
             if roots is None:
-                postings = postings.withColumn("label", F.col("row"))
+                postings = postings.withColumn("root", F.lit(None).cast("long"))
             else:
-                postings = postings.join(_few(roots.select(F.col("node").alias("row"), "root")), "row", "left").withColumn("label", F.coalesce("root", "row"))
-            postings = postings.select("row", "label", "lead", F.posexplode("keys").alias("pos", "key")).select("key", "row", "label", (F.col("pos") < F.col("lead")).alias("leads"))
-            tiles = written((_first_tiles if first else _all_tiles)(postings.repartition("key")), f"{name}-tiles")
+                postings = postings.join(_few(roots.select(F.col("node").alias("row"), "root")), "row", "left")
+            postings = postings.select("row", "root", "lead", F.posexplode("keys").alias("pos", "key")).select("key", "row", "root", (F.col("pos") < F.col("lead")).alias("leads"))
+            postings = postings.where("key IS NOT NULL").repartition("key").withColumn("label", F.coalesce("root", "row"))
+            tiles = written((_first_tiles if first else _all_tiles)(postings), f"{name}-tiles")
             members = _few(written(tiles.select(F.col("row").alias("wanted")).distinct(), f"{name}-members"))
             shapes = sets.join(members, F.col("row") == F.col("wanted"), "left_semi").mapInPandas(vectors, "row long, n long, own binary")
             own = tiles.join(shapes, "row").repartition(*at).sortWithinPartitions(*at).select(*at, "row", "n", "own", "label")
