@@ -1,9 +1,11 @@
-"""Benchmark decontamination by counted word triples, in DataFrame functions only.
-
-Triples of words of texts and of benchmark items are joined and counted on each diagonal (the
-distance between the place in the text and that in the item).  An overlap has a number of equal
-triples on its diagonal that follows from its limits, so diagonals with fewer are passed over
-without loss; the others are compared word by word over their whole length.
+"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
+
+A seed is the hash of the words that a fixed mask selects from a place; the words between them may
+differ.  Seeds of texts and of benchmark items are joined and counted on each diagonal (the
+distance between the place in the text and that in the item).  A differing word spoils as many
+seeds of a mask as the mask selects words, so an overlap has a number of seeds on its diagonal
+that follows from its limits: diagonals with fewer are passed over without loss, and the others
+are compared word by word over the whole item, tolerating substitutions.
 """
 
 from __future__ import annotations
@@ -13,14 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, written
 
-#: Words of a gram; shorter items are one gram.
-GRAM = 3
+#: Fixed masks: places of the words that a seed selects; the others are ignored.
+MASKS = ((0, 1, 3), (0, 2, 3))
+#: Words that a mask covers, and those that it selects; shorter items are one seed of all their words.
+REACH, WEIGHT = 4, 3
 #: Items of fewer words count only word for word.
 SPAN = 12
-#: Masks of seeds and words compared around a hit in the registered statement; ``leaks`` has no use for them.
-MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 4, 5, 8, 9, 10), (0, 1, 4, 5, 6, 7, 9, 11))
-REACH = 52
-#: Bits of the table of grams; a benchmark that fills it only makes it choose more of them.
+#: Bits of the table of seeds; a benchmark that fills it only makes it choose more of them.
 MOST_BITS = 1 << 20
 
 
@@ -30,10 +31,15 @@ def word_hashes(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _grams(words: Column, size: int) -> Column:
-    """Hash of the ``size`` words from each position; ``size`` is part of it."""
-    fits = F.slice(words, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
-    return F.transform(fits, lambda x, i: F.xxhash64(F.lit(size), x, *(F.get(words, i + p) for p in range(1, size))))
+def _seeds(words: Column, mask: tuple[int, ...]) -> Column:
+    """Hash of the words that ``mask`` selects from each position; the mask is part of it."""
+    fits = F.slice(words, F.lit(1), F.greatest(F.size(words) - mask[-1], F.lit(0)))
+    return F.transform(fits, lambda x, i: F.xxhash64(F.lit(str(mask)), x, *(F.get(words, i + p) for p in mask[1:])))
+
+
+def _masks(size: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of items of ``size`` words, REACH standing for all longer ones."""
+    return MASKS if size >= REACH else (tuple(range(size)),)
 
 
 def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -42,18 +48,20 @@ def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "te
     return words.withColumn("item", F.xxhash64(F.col("item_id"), F.col("item_words")))
 
 
-def benchmark_grams(items: DataFrame) -> DataFrame:
-    """item, n_words, item_at and gram of every gram of the items: GRAM words, or all of a shorter item."""
-    own = F.when(F.size("item_words") >= GRAM, _grams(F.col("item_words"), GRAM))
-    for size in range(1, GRAM):
-        own = own.when(F.size("item_words") == size, _grams(F.col("item_words"), size))
-    return items.select("item", F.size("item_words").alias("n_words"), F.posexplode(own).alias("item_at", "gram"))
+def benchmark_seeds(items: DataFrame) -> DataFrame:
+    """item, n_words, item_at and gram (the hash) of every seed of the items."""
+    placed = lambda own: F.transform(own, lambda g, i: F.struct(i.alias("item_at"), g.alias("gram")))
+    words = F.col("item_words")
+    own = F.when(F.size(words) >= REACH, F.concat(*(placed(_seeds(words, m)) for m in MASKS)))
+    for size in range(1, REACH):
+        own = own.when(F.size(words) == size, placed(_seeds(words, _masks(size)[0])))
+    return items.select("item", F.size(words).alias("n_words"), F.explode(own).alias("s")).select("item", "n_words", "s.*")
 
 
-def gram_bits(grams: DataFrame):
-    """A test of a gram against all of the benchmark's, without false negatives.
+def seed_bits(grams: DataFrame):
+    """A test of a seed against all of the benchmark's, without false negatives.
 
-    Two bits of a table stand for a gram.  Spark sets the bits; at most MOST_BITS of them, a
+    Two bits of a table stand for a seed.  Spark sets the bits; at most MOST_BITS of them, a
     bound on what the driver gets and plans carry, become a constant array of longs.
     """
     n = grams.select("gram").distinct().count()
@@ -86,13 +94,15 @@ def _spare(n: Column) -> Column:
     return F.when(n >= SPAN, F.floor(n / 5)).otherwise(0).cast("int")
 
 
-def _least_grams(n: Column, least_score: int) -> Column:
-    """Equal grams that the diagonal of an overlap has at least.
+def _least_seeds(n: Column, least_score: int) -> Column:
+    """Equal seeds that the diagonal of an overlap has at least.
 
-    r differing words cut m equal ones into r + 1 parts, which hold m - 2 (r + 1) triples or more.
-    A run has m >= least_score + 2 r; an item met as a whole has m >= n - r and r <= _spare(n).
+    A stretch of k words has k - REACH + 1 seeds of a mask, and each of its r differing words spoils
+    WEIGHT of them at most.  A run has k >= least_score + 3 r (a match counts 1, another word -2),
+    so least_score - REACH + 1 are left; an item met as a whole has k = n and r <= _spare(n).
     """
-    return F.greatest(F.lit(1), F.least(F.lit(least_score - 2), n - 3 * _spare(n) - 2))
+    long_one = F.least(F.lit(least_score), n - WEIGHT * _spare(n)) - (REACH - 1)
+    return F.when(n >= REACH, F.greatest(F.lit(1), len(MASKS) * long_one)).otherwise(1)
 
 
 def _best_run(words: Column, item: Column, start: Column, offset: Column, size: Column) -> Column:
@@ -127,28 +137,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_i
     equal ones the first).  Null texts are empty, and empty items overlap with nothing.  Rows of
     ``docs`` that agree in ``keep`` give one row for an item.
 
-    The benchmark's grams are broadcast while they are at most BROADCAST_ROWS rows, else the join
-    shuffles the grams of the texts; only grams that the benchmark has leave the scan.  ``docs`` is
-    read twice: for the grams, and for the words of the texts in which diagonals have enough.
+    The benchmark's seeds are broadcast while they are at most BROADCAST_ROWS rows, else the join
+    shuffles the seeds of the texts; only seeds that the benchmark has leave the scan.  ``docs`` is
+    read twice: for the seeds, and for the words of the texts in which diagonals have enough.
+    Empty tables give no rows; columns of ``docs`` other than ``keep`` and ``text`` are not looked at.
     """
-    if least_score <= GRAM - 1:
-        raise ValueError(f"least_score must be {GRAM} or more: runs that score less need not share a gram")
+    if least_score < REACH:
+        raise ValueError(f"least_score must be {REACH} or more: runs that score less need not share a seed")
     items = benchmark_items(benchmark)
-    grams = written(benchmark_grams(items), "decontaminate-grams")
+    grams = written(benchmark_seeds(items), "decontaminate-seeds")
     few = grams.count() <= BROADCAST_ROWS
-    sizes = sorted(r[0] for r in grams.select(F.least("n_words", F.lit(GRAM))).distinct().collect())
-    table = gram_bits(grams)
+    sizes = sorted(r[0] for r in grams.select(F.least("n_words", F.lit(REACH))).distinct().collect())
+    masks = [m for k in sizes for m in _masks(k)]
+    table = seed_bits(grams)
     keyed = docs.select(*keep, F.col(text).alias("__text"), F.xxhash64(F.col(text)).alias("__t"))
     words = keyed.select("__t", word_hashes(F.col("__text")).alias("__w"))
-    words = words.select("__t", *(_grams(F.col("__w"), k).alias(f"__g{k}") for k in sizes))
-    chosen = [F.filter(F.transform(F.col(f"__g{k}"), lambda g, i: F.struct(i.alias("at"), g.alias("gram"))), lambda s: table(s["gram"])) for k in sizes]
+    words = words.select("__t", *(_seeds(F.col("__w"), m).alias(f"__g{k}") for k, m in enumerate(masks)))
+    chosen = [F.filter(F.transform(F.col(f"__g{k}"), lambda g, i: F.struct(i.alias("at"), g.alias("gram"))), lambda s: table(s["gram"])) for k in range(len(masks))]
     none = F.array().cast("array<struct<at:int,gram:bigint>>")
     found = words.select("__t", F.explode(F.concat(none, *chosen)).alias("s")).select("__t", "s.*")
     off = (F.col("at") - F.col("item_at")).alias("off")
-    hits = found.join(F.broadcast(grams) if few else grams, "gram").groupBy("__t", "item", "n_words", off).agg(F.count("*").alias("grams"))
-    hits = hits.where(F.col("grams") >= _least_grams(F.col("n_words"), least_score))
+    hits = found.join(F.broadcast(grams) if few else grams, "gram").groupBy("__t", "item", "n_words", off).agg(F.count("*").alias("seeds"))
+    hits = hits.where(F.col("seeds") >= _least_seeds(F.col("n_words"), least_score))
     hits = written(hits.groupBy("__t").agg(F.collect_list(F.struct("item", "off")).alias("hits")), "decontaminate-hits")
-    near = keyed.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, "__t")
+    near = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= BROADCAST_ROWS
+    hits = F.broadcast(hits) if near else hits
+    near = keyed.join(hits, "__t")
     near = near.select(*keep, word_hashes(F.col("__text")).alias("__w"), "hits")
     near = near.select(*keep, "__w", F.explode("hits").alias("hit")).select(*keep, "__w", "hit.*")
     near = near.join(F.broadcast(items) if few else items, "item")

@@ -89,20 +89,19 @@ _JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_r
 
 
 def _leaks_sql() -> str:
-    """Seeds as joined words, and the best run of each hit's diagonal by running sums: it starts after the last lowest sum."""
+    """By the definition, without seeds: equal words of each diagonal, and its best run by running sums, which starts after the last lowest sum."""
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    seed = ", ".join(f"'{k}:' || " + " || ' ' || ".join(f"w[i + {p + 1}]" for p in m) for k, m in enumerate(decontaminate.MASKS))
-    span, reach = decontaminate.SPAN, decontaminate.REACH
-    seeds = lambda key, src: f"SELECT {key}, i, unnest([{seed}]) AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {span - 1})) AS i FROM {src} WHERE len(w) >= {span})"
-    by = "doc_id, item_id, hit, off"
-    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark), ds AS ({seeds('doc_id', 'd')}), bs AS ({seeds('item_id', 'b')}),
- h AS (SELECT DISTINCT doc_id, item_id, ds.i AS hit, ds.i - bs.i AS off FROM ds JOIN bs USING (seed)),
- r AS (SELECT h.*, d.w AS dw, b.w AS iw, greatest(hit - {reach}, 0, off) AS lo, least(greatest(hit - {reach}, 0) + {2 * reach + span}, len(d.w), len(b.w) + off) AS hi FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
- p AS (SELECT {by}, q, (dw[q + 1] = iw[q - off + 1])::INT AS m FROM (SELECT *, unnest(range(lo, hi)) AS q FROM r)),
+    by = "doc_id, item, off"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT row_number() OVER () AS item, *, len(w) - CASE WHEN len(w) >= {decontaminate.SPAN} THEN len(w) // 5 ELSE 0 END AS enough FROM (SELECT DISTINCT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+ dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d), bw AS (SELECT item, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM b),
+ x AS (SELECT doc_id, item, dw.p - bw.p AS off, count(*) AS same, min(dw.p) AS same_first, max(dw.p) AS same_last FROM dw JOIN bw USING (word) GROUP BY ALL),
+ r AS (SELECT x.*, item_id, enough, d.w AS dw, b.w AS iw FROM x JOIN b USING (item) JOIN d USING (doc_id) WHERE same >= least(13, enough)),
+ p AS (SELECT {by}, q, (dw[q + 1] = iw[q - off + 1])::INT AS m FROM (SELECT *, unnest(range(greatest(0, off), least(len(dw), len(iw) + off))) AS q FROM r)),
  c AS (SELECT *, sum(3 * m - 2) OVER w AS s, sum(m) OVER w AS n FROM p WINDOW w AS (PARTITION BY {by} ORDER BY q ROWS UNBOUNDED PRECEDING)),
- f AS (SELECT *, max((3 * m - 2 - s, q, n - m)) OVER (PARTITION BY {by} ORDER BY q ROWS UNBOUNDED PRECEDING) AS low FROM (SELECT * FROM c)),
- g AS (SELECT {by}, s + low[1] AS score, n - low[3] AS matches, low[2] AS first, q AS last, row_number() OVER (PARTITION BY {by} ORDER BY s + low[1] DESC, q) AS best FROM f)
- SELECT doc_id, item_id, x[1]::BIGINT AS matches, (-x[2])::BIGINT AS first_word, x[3]::BIGINT AS last_word FROM (SELECT doc_id, item_id, max((matches, -first, last)) AS x FROM g WHERE best = 1 AND score >= 10 AND matches >= 13 GROUP BY ALL)"""
+ f AS (SELECT *, max((3 * m - 2 - s, q, n - m)) OVER (PARTITION BY {by} ORDER BY q ROWS UNBOUNDED PRECEDING) AS low FROM c),
+ g AS (SELECT {by}, s + low[1] AS score, n - low[3] AS matches, low[2] AS first, q AS last, row_number() OVER (PARTITION BY {by} ORDER BY s + low[1] DESC, q) AS best FROM f),
+ o AS (SELECT doc_id, item_id, CASE WHEN score >= 10 AND matches >= 13 THEN (matches, -first, last) WHEN same >= enough THEN (same, -same_first, same_last) END AS o FROM r JOIN g USING (doc_id, item, off) WHERE best = 1)
+ SELECT doc_id, item_id, x[1]::BIGINT AS matches, (-x[2])::BIGINT AS first_word, x[3]::BIGINT AS last_word FROM (SELECT doc_id, item_id, max(o) AS x FROM o WHERE o IS NOT NULL GROUP BY ALL)"""
 
 
 # windows are cut by a recursion over the turns of each conversation: p and c are running sums of tokens and written characters
