@@ -1,5 +1,6 @@
 """Licences, personal data, URLs, toxicity and decontamination."""
 
+import math
 import random
 import re
 import zlib
@@ -114,19 +115,42 @@ def test_toxicity_learns_sentences(spark, odd, empty):
 def test_toxicity_query(spark):
     out = queries.queries()["op5_toxicity"](spark, SF).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in out)
-    labels = dict(table("labels", "doc_id, toxic"))
-    seen = [(r.score, labels[r.doc_id]) for r in out if r.doc_id in labels and not r.held_out]
-    assert min(s for s, y in seen if y) > 0.2 or sum((s >= 0.5) == bool(y) for s, y in seen) / len(seen) > 0.9
+    assert {r.doc_id for r in out} == {i for i, in table("documents", "doc_id")} and len(out) == len({r.doc_id for r in out})
+
+
+def plain_toxicity(model, text):
+    """Noisy-or over the sentences, with the features of each found by the plain function."""
+    clean = 1.0
+    for start, end in toxicity.sentences(text):
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in set(toxicity.features(text[start:end])))
+        clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
 
 
 def test_toxicity_held_out_accuracy(spark):
+    """Through the very model that the query trains, on the fifth that it never saw; some of the toxic labels stand on texts without any cue."""
+    from trialframe.llm.common import table as read
+
     big = SF.replace("sf0.001", "sf0.1")
-    rows = duckdb.sql(f"SELECT doc_id, text, toxic FROM '{big}/documents.parquet' JOIN '{big}/labels.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
+    model = toxicity.train(read(spark, big, "documents"), read(spark, big, "labels"))
+    rows = duckdb.sql(f"SELECT doc_id, coalesce(text, ''), toxic FROM '{big}/documents.parquet' JOIN '{big}/labels.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
     part = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
-    model = toxicity.fit([(t, y) for i, t, y in rows if not part(i)])
     held = [(model.score(t)[0] >= 0.5, y) for i, t, y in rows if part(i)]
     assert sum(p and not y for p, y in held) <= 0.01 * sum(not y for _, y in held)
-    assert sum(p and y for p, y in held) >= 0.8 * sum(y for _, y in held)
+    assert sum(p and y for p, y in held) >= 0.9 * sum(y for _, y in held)
+    for _, t, _ in rows[:300]:
+        assert abs(model.score(t)[0] - plain_toxicity(model, t)) < 1e-9
+
+
+def test_toxicity_trains_alike_on_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"A day {i}. {'You vile thing. ' if i % 2 else ''}Sun.") for i in range(40)] + [(i, "z other text under the same id") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = toxicity.train(docs, labels), toxicity.train(docs.orderBy(F.desc("text")).repartition(5), labels)
+    assert one.weights == two.weights and one.bias == two.bias
+    assert toxicity.train(docs, labels, characters=0).weights == {} == toxicity.train(docs.where("false"), labels).weights
 
 
 # -- op7 ----------------------------------------------------------------------------------------

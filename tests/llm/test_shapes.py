@@ -161,9 +161,13 @@ def test_best_fit_is_tightest():
         assert [x[:2] for x in packing.best_fit(pieces, 50)] == plain_best_fit(pieces, 50)
 
 
-def check_bins(bins, docs, capacity):
+def check_bins(bins, docs, capacity, sources=None):
+    """Every word in one bin; with ``sources`` (id to source), no source and no copies (but for case and white space) twice in a bin."""
     spent: dict = {}
+    texts = {i: " ".join((t or "").lower().split()) for i, t in docs}
     for b in bins:
+        if sources:
+            assert len({sources[i] for i in b.doc_ids}) == len(b.doc_ids) == len({texts[i] for i in b.doc_ids})
         assert sum(b.lengths) == b.used == capacity - b.residual <= capacity and b.n_sources == len(b.doc_ids)
         for i, s, n in zip(b.doc_ids, b.starts, b.lengths, strict=True):
             spent.setdefault(i, []).append((s, n))
@@ -177,10 +181,31 @@ def check_bins(bins, docs, capacity):
 def test_packing(spark, odd, empty):
     check_bins(packing.pack(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()], 1024)
     assert packing.pack(empty).count() == 0
-    check_bins(queries.queries()["op9_best_fit_packing"](spark, SF).collect(), table("documents", "doc_id, text"), 1024)
+    check_bins(queries.queries()["op9_best_fit_packing"](spark, SF).collect(), table("documents", "doc_id, text"), 1024, dict(table("documents", "doc_id, source")))
     check_bins(packing.pack(odd, shard_rows=3, capacity=100).collect(), [(r.doc_id, r.text) for r in odd.collect()], 100)
 
 
+def test_packing_of_repeated_rows(spark):
+    """A third of all rows is one row: it is dealt to many shards, none of which is overfull, and each copy has a bin of its own."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b c").otherwise(F.concat_ws(" ", F.lit("w"), "id")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("source"))
+    bins = packing.pack(docs, shard_rows=2048).select("shard", "doc_ids").collect()
+    size: dict = {}
+    for b in bins:
+        assert b.doc_ids.count(0) <= 1
+        size[b.shard] = size.get(b.shard, 0) + len(b.doc_ids)
+    assert sum(size.values()) == 60_000 and max(size.values()) <= 3 * 2048
+
+
+def test_packing_by_given_clusters(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"word{i} more", f"s{i}", 5 if i < 4 else None) for i in range(8)], "doc_id long, text string, source string, class long")
+    bins = packing.pack(docs, cluster=F.col("class")).collect()
+    assert len(bins) == 4 and all(len({0, 1, 2, 3} & set(b.doc_ids)) <= 1 for b in bins)
+
+
 # -- op10 ---------------------------------------------------------------------------------------
 def plain_join(docs, percent=80):
     sets = []
