@@ -169,93 +169,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int =
     return fit(list(zip(got["__t"], got["__y"], strict=True)))
 
 
-def score(self, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
-        """(document score, sentences, offending sentences as (start, end, score)); a feature counts once in a sentence."""
-        spans = sentences(text)
-        clean = -float(np.log1p(np.exp(self.bias)))  # log(1 - score) of a sentence without known words
-        rest, bad = 0.0, []
-        for start, end in spans:
-            found = self.known(text[start:end])
-            if not found:
-                rest += clean
-                continue
-            z = self.bias + sum(self.weights[f] for f in sorted(found))
-            rest += float(-np.logaddexp(0, z))
-            p = 1 / (1 + np.exp(-z)) if z > -700 else 0.0
-            if p >= 0.5:
-                bad.append((start, end, float(p)))
-        return max(0.0, float(-np.expm1(rest))), len(spans), bad
-
-
-def fit(rows: list[tuple[str, int]], vocabulary: int = 4096, rounds: int = 300, rate: float = 0.3, l2: float = 1e-4, least_gap: float = 2.5, prior: float = 100.0) -> Model:
-    """Adam on the noisy-or likelihood; words are the ``vocabulary`` ones that tell the labels apart best,
-    by at least ``least_gap`` standard errors of the log ratio of their shares.  Where rows of label
-    1 are fewer than half as many as the others they weigh more, up to half of what they lack;
-    ``prior`` rows of each kind are reckoned in first, so that few rows are weighed alike.
-
-    Without rows of both labels the model scores every text 0.
-    """
-    y = np.array([v for _, v in rows], dtype=float)
-    if not len(y) or y.min() == y.max():
-        return Model({}, -1e9)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, v in rows:
-        seen[int(v)].update(set(features(text)))
-    n1, n0 = y.sum(), len(y) - y.sum()
-
-    def gap(w: str) -> float:
-        a, b = seen[1][w], seen[0][w]
-        p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        return abs(np.log(p / q)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-
-    kept = sorted((w for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= 3 and gap(w) >= least_gap), key=lambda w: (-gap(w), w))[:vocabulary]
-    index = {w: k for k, w in enumerate(kept)}
-    bag, sent, word, n = [], [], [], 0
-    for k, (text, _) in enumerate(rows):
-        for start, end in sentences(text):
-            own = {index[w] for w in features(text[start:end]) if w in index}
-            bag.append(k)
-            sent += [n] * len(own)
-            word += own
-            n += 1
-    bag_, sent_, word_ = np.array(bag, dtype=np.int64), np.array(sent, dtype=np.int64), np.array(word, dtype=np.int64)
-    share = max(1.0, (n0 + prior) / (2 * n1 + prior))
-    w = np.zeros(len(kept) + 1)
-    w[-1] = -3.0
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, rounds + 1):
-        z = np.bincount(sent_, weights=w[word_], minlength=n) + w[-1]
-        p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(bag_, weights=-np.logaddexp(0, z), minlength=len(y)))
-        whole = np.clip(1 - clean, 1e-9, 1)
-        pull = np.where(y == 1, -share * np.clip(clean, 0, 1) / whole, 1.0) / len(y)
-        dz = p * pull[bag_]
-        g = np.append(np.bincount(word_, weights=dz[sent_], minlength=len(kept)) + l2 * w[:-1], dz.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return Model({x: float(k) for x, k in zip(kept, w[:-1], strict=True) if abs(k) > 1e-6}, float(w[-1]))
-
-
-def held_out(doc_id="doc_id"):
-    """Rows kept from training: crc32 of the id as text, modulo 5, is 0.  A null id is held out."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 200_000) -> Model:
-    """Fits the model on at most ``sample`` labelled rows of each label, outside the held-out fifth.
-
-    Rows are taken in the order of a hash of their id, so the sample depends on ids only; longer
-    texts than ``longest`` characters are not trained on.  Null labels and ids are passed over, a
-    document with several labels counts as toxic when one of them says so.
-    """
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__y"))
-    order = F.xxhash64(F.col("doc_id"))
-    picked = own.where("__y = 1").orderBy(order).limit(sample).unionByName(own.where("__y = 0").orderBy(order).limit(sample))
-    text = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("__t")).where(F.length("__t") <= longest)
-    rows = text.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("__t", "__y").toPandas()
-    return fit(list(zip(rows["__t"], rows["__y"], strict=True)))
-
-
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep``, score, predicted, sentences and the offending ones' places of every row; nothing is shuffled.
 
