@@ -138,6 +138,30 @@ def test_html_query(spark):
         assert got[i].text == "\n".join(x for x in parts if x) and got[i].n_chars == len(got[i].text)
 
 
+def test_html_odd(spark):
+    page_of = "<nav>Menu words</nav><article><header><h1>The title</h1></header><p>A sentence that stands in the article.</p></article>"
+    rows = [(1, "u", None), (2, None, ""), (None, "u", page_of), (None, "u", page_of), (3, "u", "<div>" * 20_000 + "deep words in a row" + "</div>" * 20_000), (4, "u", "<p>x" * 20_000)]
+    df = spark.createDataFrame([(*r, "clash", 0) for r in rows], "page_id int, url string, html string, text string, n_chars int")
+    out = {r.page_id: r.text for r in page.extract(df).collect()}
+    assert page.extract(df).count() == len(rows) and page.extract(df.where("false")).count() == 0
+    assert out[1] == out[2] == "" and out[None] == "The title\nA sentence that stands in the article." and out[3] == "deep words in a row"
+    with pytest.raises(ValueError, match="text"):
+        page.extract(df, keep=("page_id", "text"))
+
+
+def test_html_without_names():
+    """Pages whose elements and classes say nothing: lengths and link densities alone still tell menus from text."""
+    import collections
+
+    kept = found = wanted = 0
+    for _, source in table("pages", "page_id, html"):
+        bare = re.sub(r"<(/?)(nav|footer|aside|header|article|main|form|section)\b", r"<\1div", source)
+        bare = re.sub(r"\s(?:class|id|role)=\"?[^\">\s]*\"?", "", bare)
+        want, got = (collections.Counter(text_of(x).split()) for x in (source, bare))
+        kept, found, wanted = kept + sum((want & got).values()), found + sum(got.values()), wanted + sum(want.values())
+    assert kept >= 0.93 * found and kept >= 0.99 * wanted
+
+
 # -- op9 ----------------------------------------------------------------------------------------
 def plain_best_fit(pieces, capacity):
     bins = []

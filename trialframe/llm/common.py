@@ -28,9 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset and driver and executors are one process, a new local folder; on a cluster
+    that is an error, as every machine would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trialframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -49,6 +55,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_of(keep: tuple[str, ...], *added: str) -> None:
+    """Kept columns must not have the name of one that an operator adds."""
+    if both := sorted({k.lower() for k in keep} & set(added)):
+        raise ValueError(f"keep names columns that are added: {', '.join(both)}")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Inside, what is written hands Python workers batches of ``rows`` rows: long texts and their copies then fit beside the JVM."""

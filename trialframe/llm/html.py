@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import clear_of
+
 #: HTML elements whose text is never shown as text.
 UNSEEN = {"script", "style", "noscript", "template", "title", "textarea", "select", "option", "svg", "iframe", "object", "button", "head", "canvas", "math", "audio", "video"}
 #: HTML elements that start and end a block.
@@ -56,8 +59,9 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
 
-def _aside(name: str, attributes: str) -> bool:
-    if name in ASIDE:
+def _aside(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element starts a part that is no article text; a ``header`` inside an article holds its title."""
+    if name in ASIDE and not (inside and name == "header"):
         return True
     if not attributes.strip() or name in ("body", "html"):
         return False
@@ -77,10 +81,18 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """
     found: list[tuple[str, int, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
+    opened: Counter[str] = Counter()  # names on the stack
     parts: list[str] = []
     linked, at, size = 0, 0, len(page)
     state = (False, False)
 
+    def pop() -> str:
+        nonlocal state
+        name = stack.pop()[0]
+        opened[name] -= 1
+        state = stack[-1][1:] if stack else (False, False)
+        return name
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -97,7 +109,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if lt > at:
             text = _html.unescape(page[at:lt])
             parts.append(text)
-            if any(x[0] == "a" for x in stack):
+            if opened["a"]:
                 linked += len(text.split())
             at = lt
             continue
@@ -122,10 +134,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         elif name == "br":
             parts.append(" ")
         if closing:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+            if opened[name]:
+                while pop() != name:
                     pass
-                state = stack[-1][1:] if stack else (False, False)
         elif name in UNSEEN and not m[2].endswith("/"):
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             if not end and name == "head":
@@ -133,10 +144,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             at = end.end() if end else size
         elif name in KEPT and name not in VOID and not m[2].endswith("/"):
             if name in ("li", "dt", "dd", "tr", "td", "th", "a") and stack and stack[-1][0] == name:
-                stack.pop()
-                state = stack[-1][1:] if stack else (False, False)
-            state = (state[0] or _aside(name, m[2]), state[1] or name in ("article", "main"))
+                pop()
+            state = (state[0] or _aside(name, m[2], state[1]), state[1] or name in ("article", "main"))
             stack.append((name, *state))
+            opened[name] += 1
     flush()
     return found
 
@@ -185,8 +196,11 @@ def main_text(page: str | None, tree: tuple) -> tuple[str, int, int]:
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), labelled: Sequence[tuple] = tuple(LABELLED)) -> DataFrame:
     """``keep``, the article text, its code points and the counts of blocks, for every row; nothing is shuffled.
 
-    A null or empty page has an empty text.
+    A null or empty page has an empty text; rows are independent, so repeated ones and null ids are
+    rows like others and an empty table gives none.  ``keep`` must not name a column that is added
+    (ValueError); other columns are not looked at, whatever their names.
     """
+    clear_of(keep, "text", "n_chars", "n_blocks", "n_article_blocks")
     tree = grow(labelled)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

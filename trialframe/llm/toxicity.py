@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, clear_of
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Lengths of the word starts that are features beside the words: unseen words of a known family count too.
@@ -174,8 +174,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
     An empty or null text has no sentence and the score 0.  Rows are independent: repeated ones and
     null ids are rows like others, an empty table gives none.  ``keep`` must not name a column that
-    is added; other columns are not looked at, whatever their names.
+    is added (ValueError); other columns are not looked at, whatever their names.
     """
+    clear_of(keep, "score", "predicted", "n_sentences", "offending")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
