@@ -75,6 +75,62 @@ def test_patterns_discover(spark, odd, empty):
     assert {r.doc_id for r in got.where("spans <> ''").collect()} <= {11}
 
 
+def plain_find(rows, rounds=3, least=0.8, support=5):
+    """The added spans of each row, by dictionaries: patterns are the last one and two words before a place."""
+    found = []
+    for key, text in rows:
+        base = plain_spans(text)
+        places = [(s, e, True) for s, _, e in base]
+        for m in re.finditer(r"(?<![^\s\"'=:(\[])[A-Za-z0-9](?:[A-Za-z0-9_./-]*[A-Za-z0-9])?", text):
+            if len(m[0]) >= 6 and len(re.findall(r"\d", m[0])) >= 4 and not any(s < m.end() and m.start() < e for s, _, e in base):
+                places.append((m.start(), m.end(), False))
+        for s, e, seed in places:
+            words = text[:s].lower().split()[-2:]
+            found.append((key, s, e, seed, text[s:e].lower(), [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]))
+    seeds: dict = {}
+    edges = set()
+    for _, _, _, seed, instance, ps in found:
+        for p in ps:
+            edges.add((p, instance))
+            seeds[p, instance] = seeds.get((p, instance), False) or seed
+    sure = {i for (_, i), v in seeds.items() if v}
+    belief = {i: float(i in sure) for _, i in edges}
+    by_pattern: dict = {}
+    by_instance: dict = {}
+    for p, i in edges:
+        by_pattern.setdefault(p, []).append(i)
+        by_instance.setdefault(i, []).append(p)
+    strong = {p: sum(seeds[p, i] for i in own) for p, own in by_pattern.items()}
+    for _ in range(rounds):
+        score = {p: sum(belief[i] for i in own) / (len(own) + 1) for p, own in by_pattern.items()}
+        belief = {i: 1.0 if i in sure else 1 - math.prod(1 - score[p] for p in own if strong[p] >= support) for i, own in by_instance.items()}
+    good = {p for p, x in score.items() if x >= least and strong[p] >= support}
+    more: dict = {key: set() for key, _ in rows}
+    for key, s, e, seed, _, ps in found:
+        if not seed and good & set(ps):
+            more[key].add((s, e))
+    return more
+
+
+def test_pii_added_spans(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(("call", "mail", "us", "at", "room", "id", "write", "to", "number", "order"))
+    data = lambda: rng.choice((f"+1 743 555 {rng.randint(1000, 9999)}", f"10.0.0.{rng.randint(1, 99)}", f"a{rng.randint(1, 99)}@b.org", f"X{rng.randint(10000, 99999)}", f"{rng.randint(100000, 999999)}", "w" * 200 + str(rng.randint(0, 3))))
+    rows = [(i, " ".join(f"{word()} {'at' if rng.random() < 0.5 else word()} {data()}" for _ in range(rng.randint(1, 6)))) for i in range(150)]
+    for own in (rows, [(i, t or "") for i, t in table("documents", "doc_id, text")]):
+        got = {r.doc_id: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("other")} for r in pii.find(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+        assert got == plain_find(own)
+    assert any(x for x in plain_find(rows).values())
+
+
+def test_long_words_before_an_entity():
+    long = "x" * 300
+    one, two, three = (pii.Before(t).patterns(len(t)) for t in (f"a {long}1 ", f"a {long}2 ", f"a {'y' + long}1 "))
+    assert len({one[0], two[0], three[0]}) == 3 and one == pii.Before(f"b a {long}1  ").patterns(len(f"b a {long}1  "))
+    text = "w=1234567," * 30_000
+    assert len(pii.candidates(text, [])) == 30_000  # one word of 300,000 characters, read once
+
+
 def test_pii_query(spark):
     got = {r.doc_id: r.spans for r in queries.queries()["op2_pii"](spark, SF).collect()}
     for i, text in table("documents", "doc_id, text"):

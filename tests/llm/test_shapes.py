@@ -104,6 +104,52 @@ def test_sniffing(spark):
     assert out == {1: ("image/png", True, len(png())), 2: ("a/b", False, 0), 3: (None, False, 0)}
 
 
+def crc(data, poly, bits):
+    c = 0
+    for x in data:
+        c ^= x << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (bits - 1) & 1 else 0)) & (1 << bits) - 1
+    return c
+
+
+def ogg_page(flags, segments):
+    head = b"OggS\0" + bytes([flags]) + struct.pack("<QII", 0, 7, 0)
+    tail = bytes([len(segments)]) + bytes(map(len, segments)) + b"".join(segments)
+    return head + struct.pack("<I", crc(head + bytes(4) + tail, 0x04C11DB7, 32)) + tail
+
+
+def flac(frames):
+    info = struct.pack(">HH", 16, 16) + bytes(6) + ((44100 << 44) | (15 << 36) | 16 * frames).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + bytes([0x80]) + len(info).to_bytes(3, "big") + info
+    for k in range(frames):
+        head = bytes([0xFF, 0xF8, 0x60, 0x08, k, 15])  # 16 samples, mono, 16 bits
+        frame = head + bytes([crc(head, 0x07, 8)]) + b"\0\x12\x34"  # a constant subframe
+        out += frame + struct.pack(">H", crc(frame, 0x8005, 16))
+    return out
+
+
+def test_audio_validators():
+    stream = ogg_page(2, [b"one", b"two"]) + ogg_page(4, [b"three"])
+    assert [x for x in media.carve(b"xx" + stream + b"tail") if x[0] == "audio/ogg"][0] == ("audio/ogg", 2, 2 + len(stream), 2 + 29, 2 + len(stream))
+    broken = bytearray(stream)
+    broken[30] ^= 1
+    assert not media.carve(bytes(broken))
+    for n in (1, 3):
+        f = flac(n)
+        assert media.carve(b"ab" + f + b"tail that is no frame") == [("audio/flac", 2, 2 + len(f), 2 + 42, 2 + len(f))]
+        assert not media.carve(f[:-1])
+
+
+def test_magics_in_great_numbers_take_linear_time():
+    import time
+
+    for magic in (b"%PDF-1 ", b"PK\x03\x04 ", b"startxref %PDF-1 "):
+        start = time.time()
+        media.carve(magic * 60_000)
+        assert time.time() - start < 5
+
+
 def test_media_digest(spark, odd, empty):
     for r in media.media_digest(odd).collect():
         assert r.payload_bytes % 64 == 0 and r.payload_bytes >= 64 and r.media_bytes == r.payload_bytes + 44

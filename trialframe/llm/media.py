@@ -37,7 +37,37 @@ SCHEMA = "detected string, corrected boolean, n_bytes long, carved array<struct<
 CARVED = ["kind", "start", "end", "data_start", "data_end"]
 
 
-def _png(b: bytes, at: int):
+class Finder:
+    """Forward searches in one content; what is asked in ascending order costs one pass in all."""
+
+    def __init__(self, content: bytes) -> None:
+        self.content = content
+        self.known: dict[bytes, tuple[int, int]] = {}
+
+    def __call__(self, what: bytes, at: int) -> int:
+        start, found = self.known.get(what, (len(self.content) + 1, -1))
+        if not (start <= at and (found < 0 or at <= found)):
+            found = self.content.find(what, at)
+            self.known[what] = (at, found)
+        return found
+
+
+def _crc_table(poly: int, bits: int) -> list[int]:
+    """The table of a checksum that takes the highest bit first."""
+    out = []
+    for k in range(256):
+        c = k << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (bits - 1) & 1 else 0)) & (1 << bits) - 1
+        out.append(c)
+    return out
+
+
+#: Fixed values of the public formats: polynomials of Ogg pages, FLAC frame headers and FLAC frames.
+_OGG_CRC, _FLAC_CRC8, _FLAC_CRC16 = _crc_table(0x04C11DB7, 32), _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _png(b: bytes, at: int, find: Finder):
     p = at + 8
     if b[p + 4 : p + 8] != b"IHDR":
         return None
@@ -51,7 +81,7 @@ def _png(b: bytes, at: int):
     return None
 
 
-def _gif(b: bytes, at: int):
+def _gif(b: bytes, at: int, find: Finder):
     def blocks(p: int) -> int:
         while p < len(b) and b[p]:
             p += 1 + b[p]
@@ -74,7 +104,7 @@ def _gif(b: bytes, at: int):
     return None
 
 
-def _jpeg(b: bytes, at: int):
+def _jpeg(b: bytes, at: int, find: Finder):
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
@@ -91,7 +121,7 @@ def _jpeg(b: bytes, at: int):
     return None
 
 
-def _bmp(b: bytes, at: int):
+def _bmp(b: bytes, at: int, find: Finder):
     if at + 30 > len(b):
         return None
     size, reserved, offset, header = struct.unpack_from("<IIII", b, at + 2)
@@ -101,7 +131,7 @@ def _bmp(b: bytes, at: int):
     return "image/bmp", at + size, at + offset, at + size
 
 
-def _riff(b: bytes, at: int):
+def _riff(b: bytes, at: int, find: Finder):
     if at + 12 > len(b):
         return None
     size, form = struct.unpack_from("<I4s", b, at + 4)
@@ -121,40 +151,85 @@ def _riff(b: bytes, at: int):
     return {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}[form], end, *data
 
 
-def _flac(b: bytes, at: int):
-    p, first = at + 4, True
-    while p + 4 <= len(b):
+def _flac_frame(b: bytes, p: int) -> tuple[int, int] | None:
+    """(samples, end of the header) of the frame header at ``p``, its checksum confirmed."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8:
+        return None
+    size, rate, q = b[p + 2] >> 4, b[p + 2] & 15, p + 4
+    lead = b[q]
+    q += 1 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length()  # a number in the style of UTF-8
+    more = {6: 1, 7: 2}.get(size, 0)
+    samples = 192 if size == 1 else 576 << (size - 2) if 2 <= size <= 5 else 256 << (size - 8) if size >= 8 else int.from_bytes(b[q : q + more], "big") + 1 if more else 0
+    q += more + (1 if rate == 12 else 2 if rate in (13, 14) else 0)
+    if q >= len(b) or not samples or rate == 15:
+        return None
+    crc = 0
+    for x in b[p:q]:
+        crc = _FLAC_CRC8[crc ^ x]
+    return (samples, q + 1) if crc == b[q] else None
+
+
+def _flac(b: bytes, at: int, find: Finder):
+    """Metadata blocks, then frames; a frame ends where its checksum holds and the next one starts or all samples are there."""
+    p, first, total = at + 4, True, 0
+    while True:
+        if p + 4 > len(b):
+            return None
         kind, n = b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
         if first and (kind, n) != (0, 34) or p + 4 + n > len(b):
             return None
+        if first:
+            total = int.from_bytes(b[p + 17 : p + 22], "big") & (1 << 36) - 1
         first, last, p = False, b[p] & 0x80, p + 4 + n
         if last:
-            return ("audio/flac", len(b), p, len(b)) if b[p : p + 1] == b"\xff" else None
-    return None
+            break
+    start, done, end = p, 0, None
+    while (head := _flac_frame(b, p)) and not (total and done >= total):
+        crc, q, ends = 0, p, None
+        while q < len(b):
+            crc = (crc << 8 & 0xFFFF) ^ _FLAC_CRC16[crc >> 8 ^ b[q]]
+            q += 1
+            if not crc and q >= head[1] + 2 and (total and done + head[0] >= total or q == len(b) or _flac_frame(b, q)):
+                ends = q
+                break
+        if ends is None:
+            break
+        done, p, end = done + head[0], ends, ends
+    if end is None or total and done < total:
+        return None
+    return "audio/flac", end, start, end
 
 
-def _ogg(b: bytes, at: int):
-    p, start = at, at
+def _ogg(b: bytes, at: int, find: Finder):
+    """Pages from the one that begins a stream up to the one that ends it, each one's checksum confirmed; the data start after the first page's segment table."""
+    p = at
+    if not b[at + 5 : at + 6] or not b[at + 5] & 2:
+        return None
     while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
         n = b[p + 26]
         end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
         if end > len(b):
             return None
+        crc = 0
+        for x in b[p : p + 22] + bytes(4) + b[p + 26 : end]:
+            crc = (crc << 8 & 0xFFFFFFFF) ^ _OGG_CRC[crc >> 24 ^ x]
+        if crc != int.from_bytes(b[p + 22 : p + 26], "little"):
+            return None
         if b[p + 5] & 4:
-            return "audio/ogg", end, start + 27, end
+            return "audio/ogg", end, at + 27 + b[at + 26], end
         p = end
     return None
 
 
-def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    if not b[at + 5 : at + 6].isdigit() or end < 0 or b.find(b"startxref", at, end) < 0:
+def _pdf(b: bytes, at: int, find: Finder):
+    end, table = find(b"%%EOF", at), find(b"startxref", at)
+    if not b[at + 5 : at + 6].isdigit() or end < 0 or not 0 <= table < end:
         return None
     return "application/pdf", end + 5, at + 8, end
 
 
-def _zip(b: bytes, at: int):
-    p = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, find: Finder):
+    p = find(b"PK\x05\x06", at)
     if p < 0 or p + 22 > len(b):
         return None
     size, offset, comment = struct.unpack_from("<IIH", b, p + 12)
@@ -163,7 +238,7 @@ def _zip(b: bytes, at: int):
     return "application/zip", p + 22 + comment, at, at + offset
 
 
-def _gzip(b: bytes, at: int):
+def _gzip(b: bytes, at: int, find: Finder):
     inflate, p = zlib.decompressobj(31), at
     try:
         while not inflate.eof and p < len(b):  # in pieces, so that a bomb costs no memory
@@ -179,7 +254,7 @@ def _gzip(b: bytes, at: int):
     return "application/gzip", end, at + 10, end - 8
 
 
-def _mp4(b: bytes, at: int):
+def _mp4(b: bytes, at: int, find: Finder):
     p, kinds, data = at, [], None
     while p + 8 <= len(b):
         n, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
@@ -212,11 +287,11 @@ def carve(content: bytes) -> list[tuple]:
 
     Each magic is tried once; an object inside another one is listed too, after it.
     """
-    found = []
+    found, find = [], Finder(content)
     for last, (k, n) in _automaton().iter(content.decode("latin-1")):
         _, kind, offset = SIGNATURES[k]
         at = last - n + 1 - offset
-        if at >= 0 and (hit := _VALIDATE[kind](content, at)):
+        if at >= 0 and (hit := _VALIDATE[kind](content, at, find)):
             found.append((hit[0], at, *hit[1:]))
     return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 

@@ -9,6 +9,7 @@ its patterns.  Identifier-like words behind patterns of high confidence are repo
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +28,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 #: Identifier-like: six characters or more, four digits or more.
 _CANDIDATE = re.compile(r"(?<![^\s\"'=:(\[])[A-Za-z0-9](?:[A-Za-z0-9_./-]*[A-Za-z0-9])?")
 _WORD_BEFORE = re.compile(r"\S+")
+#: Longer words before an entity go by a checksum.
+LONG_WORD = 80
 
 
 def luhn(digits: str) -> bool:
@@ -77,17 +80,47 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def patterns(text: str, start: int) -> list[str]:
-    """The last word, and the last two words, before a place (of at most 80 characters before it)."""
-    before = [w.lower() for w in _WORD_BEFORE.findall(text, max(0, start - 80), start)][-2:]
-    return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
+class Before:
+    """The words before places that are asked in ascending order; the text is read once in all.
+
+    A word of more than LONG_WORD characters goes by its length and a running checksum.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.words = text, _WORD_BEFORE.finditer(text)
+        self.last: list[str] = []  # the last two words that end before the place
+        self.now: tuple[int, int] | None = None  # the word that the place is in or before
+        self.read, self.sum = 0, 0
+
+    def _name(self, start: int, end: int) -> str:
+        if end - start <= LONG_WORD:
+            return self.text[start:end].lower()
+        if not start <= self.read <= end:
+            self.read, self.sum = start, 0
+        self.sum = zlib.crc32(self.text[self.read : end].lower().encode("utf-8", "surrogatepass"), self.sum)
+        self.read = end
+        return f"{end - start}:{self.sum:08x}"
+
+    def patterns(self, start: int) -> list[str]:
+        """The last word, and the last two words, before ``start``."""
+        while True:
+            if self.now is None:
+                m = next(self.words, None)
+                self.now = m.span() if m else (len(self.text) + 1, 0)
+            if self.now[0] > len(self.text) or self.now[1] > start:
+                break
+            self.last = [*self.last, self._name(*self.now)][-2:]
+            self.now = None
+        before = [*self.last, self._name(self.now[0], start)] if self.now[0] < start else self.last
+        return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds, and identifier-like words that overlap none, with their patterns."""
-    found = [{"start": s, "end": e, "seed": True, "instance": text[s:e].lower(), "patterns": patterns(text, s)} for s, _, e in base]
+    before = Before(text)
+    found = [{"start": s, "end": e, "seed": True, "instance": text[s:e].lower(), "patterns": before.patterns(s)} for s, _, e in base]
     if any(c.isdigit() for c in text):
-        k, reach, spans = 0, 0, base
+        k, reach, spans, before = 0, 0, base, Before(text)
         for m in _CANDIDATE.finditer(text):
             word = m[0]
             if len(word) < 6 or sum(c.isdigit() for c in word) < 4:
@@ -96,7 +129,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
                 reach = max(reach, spans[k][2])
                 k += 1
             if reach <= m.start():
-                found.append({"start": m.start(), "end": m.end(), "seed": False, "instance": word.lower(), "patterns": patterns(text, m.start())})
+                found.append({"start": m.start(), "end": m.end(), "seed": False, "instance": word.lower(), "patterns": before.patterns(m.start())})
     return found
 
 
