@@ -45,14 +45,23 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts the lineage.
 
-    Lost executors cost nothing that was written.  The folder goes when the driver's JVM ends.
+    Lost executors cost nothing that was written.  The folder goes when the driver's JVM ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tf-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def clear_of(keep: tuple[str, ...], *added: str) -> None:

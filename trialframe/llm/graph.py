@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        last, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

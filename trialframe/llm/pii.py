@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_batches, written
+from .common import BROADCAST_ROWS, discard, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "other")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -171,12 +171,15 @@ def confident_patterns(scanned: DataFrame, rounds: int = 3, least: float = 0.8,
         scored = edges.join(belief, "instance").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("score"), F.sum("seed").alias("seeds"))
         if k + 1 < rounds:
             scored = written(scored, "pii-patterns")
-            belief = written(
+            last, belief = belief, written(
                 edges.join(scored, "pattern")
                 .groupBy("instance")
                 .agg(F.when(F.max("seed") == 1, 1.0).otherwise(1 - F.exp(F.sum(F.when(F.col("seeds") >= support, F.log(1 - F.col("score"))).otherwise(0.0)))).alias("belief")),
                 "pii-belief",
             )
+            discard(scored)
+            if k:
+                discard(last)
     return scored.where((F.col("score") >= least) & (F.col("seeds") >= support)).select("pattern")
 
 
