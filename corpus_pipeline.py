@@ -24,7 +24,11 @@ def _without(docs: DataFrame, gone: DataFrame, keys: dict[str, str]) -> DataFram
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, trained on the labelled ones among them, rejects go."""
+    """Documents that the model, trained on the labelled ones among them, rejects go.
+
+    Empty and null texts stay (score 0), repeated rows go or stay together, null ids are rows like
+    others; without labels of both kinds nothing goes.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(~toxicity.rejected(model)(F.col("text")))
 
@@ -53,7 +57,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go.
+
+    What goes is told by id and text, so rows that repeat both go together and another text under
+    the same id stays; null ids are matched like others, empty and null texts stay, and without
+    benchmark items all do.
+    """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
     found = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), keep=("doc_id", "__hash"))
     gone = written(found.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__gone")).distinct(), "pipeline-leaks")
@@ -61,7 +70,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by the name of its kind; ``n_chars`` becomes the new length."""
+    """Personal data in texts is replaced by the name of its kind; ``n_chars`` becomes the new length.
+
+    Every row stays, repeated ones and those without an id too; a text without personal data, also
+    a null one, stays as it is.
+    """
     names = docs.columns
     numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
     own = f"c{names.index('text')}"
@@ -74,7 +87,11 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins of the documents that are left."""
+    """The bins of the documents that are left.
+
+    One document of each class of near copies is left, so classes need not be told to the packer;
+    empty and null texts are pieces of length 0, repeated rows pieces of their own.
+    """
     return packing.pack(docs)
 
 
