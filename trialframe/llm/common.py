@@ -49,14 +49,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tf-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    for made in _SCRATCH:
+        made.append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those taken from the list that it gives."""
+    made: list[DataFrame] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.pop()
+        for df in made:
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing will read again."""
     spark = df.sparkSession

@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, small_batches, written
@@ -41,7 +41,7 @@ FIRST_POINTS = 1024
 #: Points of a slab, shingles of a block and partners of a point that one task takes; larger
 #: slabs and blocks are dealt out as pairs of parts, more partners as chunks.
 TILE_POINTS = 4096
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 HUB_ROWS = 2000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -314,34 +314,40 @@ def _numbers(n: Column) -> Column:
     return F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)).cast("long") - 1), lambda x: x < n)
 
 
-def _first_tiles(postings: DataFrame) -> DataFrame:
-    """key, pi, pj, row, label of the slabs that points share, in parts; parts of different slabs cut across each other."""
-    shared = postings.groupBy("key").agg(F.count("*").alias("points")).where("points > 1")
-    own = postings.join(shared, "key").withColumn("pi", F.pmod(F.xxhash64("row", "key"), F.ceil(F.col("points") / FIRST_POINTS).cast("long")))
-    return own.select("key", "pi", F.col("pi").alias("pj"), "row", "label", "leads")
+def _open_slabs(postings: DataFrame) -> DataFrame:
+    """key, row, label of the slabs that hold two labels and a leading point: one exchange by key, whatever it is joined with."""
+    slab = Window.partitionBy("key")
+    told = postings.select("*", F.max("leads").over(slab).alias("led"), F.min("label").over(slab).alias("low"), F.max("label").over(slab).alias("high"))
+    return told.where("led AND low <> high").select("key", "row", "label")
 
 
-def _all_tiles(postings: DataFrame) -> DataFrame:
-    """key, pi, pj, row, label of the points of every slab that holds two labels and a leading point.
+def _first_tiles(slabs: DataFrame) -> DataFrame:
+    """key, pi, pj, row, label of open slabs in parts of FIRST_POINTS; parts of different slabs cut across each other."""
+    parts = slabs.groupBy("key").agg(F.ceil(F.count("*") / FIRST_POINTS).cast("long").alias("parts"))
+    own = slabs.join(parts, "key").withColumn("pi", F.pmod(F.xxhash64("row", "key"), F.col("parts")))
+    return own.select("key", "pi", F.col("pi").alias("pj"), "row", "label")
+
+
+def _all_tiles(slabs: DataFrame) -> DataFrame:
+    """key, pi, pj, row, label of open slabs in parts of TILE_POINTS.
 
     Slabs with the same points are taken once.  In a slab of more than TILE_POINTS points those of
     one large label (more than half as many) and the others are cut into parts; each part of the
-    others (pi) meets each one of the label (pj, below 0) and of the others.  ``postings``:
-    partitioned by key.
+    others (pi) meets each one of the label (pj, below 0) and of the others.
     """
-    by_label = postings.groupBy("key", "label").agg(F.count("*").alias("points"), F.max("leads").alias("leads"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    by_label = slabs.groupBy("key", "label").agg(F.count("*").alias("points"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
     is_large = F.col("points") > TILE_POINTS // 2
     shared = by_label.groupBy("key").agg(
-        F.sum("points").alias("points"), F.count("*").alias("labels"), F.max("leads").alias("leads"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+        F.sum("points").alias("points"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
         F.max(F.when(is_large, F.col("label"))).alias("large"), F.coalesce(F.max(F.when(is_large, F.col("points"))), F.lit(0)).alias("most"),
     )
     # slabs of the same points have the same labels, too
-    shared = shared.where("labels > 1 AND leads").groupBy("points", "x", "y", "large", "most").agg(F.min("key").alias("key"))
+    shared = shared.groupBy("points", "x", "y", "large", "most").agg(F.min("key").alias("key"))
     cut = lambda n: F.ceil(n / TILE_POINTS).cast("long")
     whole = F.col("points") <= TILE_POINTS
     shared = shared.select("key", F.when(~whole, F.col("large")).alias("large"), F.when(whole, 0).otherwise(cut(F.col("most"))).alias("parts"), F.when(whole, 1).otherwise(F.greatest(cut(F.col("points") - F.col("most")), F.lit(1))).alias("rest"))
-    own = postings.join(shared, "key")  # all its columns are used, so that it shares the exchange of the counts
-    mine = F.coalesce(F.col("label") == F.col("large"), F.lit(False)) & F.col("leads").isNotNull()
+    own = slabs.join(shared, "key")
+    mine = F.coalesce(F.col("label") == F.col("large"), F.lit(False))
     part = F.pmod(F.xxhash64("row"), F.when(mine, F.col("parts")).otherwise(F.col("rest")))
     own = own.withColumn("part", part)
     met = F.transform(_numbers(F.col("rest")), lambda r: F.struct(r.alias("pi"), (-1 - F.col("part")).alias("pj")))
@@ -492,8 +498,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             else:
                 postings = postings.join(_few(roots.select(F.col("node").alias("row"), "root")), "row", "left")
             postings = postings.select("row", "root", "lead", F.posexplode("keys").alias("pos", "key")).select("key", "row", "root", (F.col("pos") < F.col("lead")).alias("leads"))
-            postings = postings.where("key IS NOT NULL").repartition("key").withColumn("label", F.coalesce("root", "row"))
-            tiles = written((_first_tiles if first else _all_tiles)(postings), f"{name}-tiles")
+            open_slabs = written(_open_slabs(postings.repartition("key").withColumn("label", F.coalesce("root", "row"))), f"{name}-slabs")
+            tiles = written((_first_tiles if first else _all_tiles)(open_slabs), f"{name}-tiles")
             members = _few(written(tiles.select(F.col("row").alias("wanted")).distinct(), f"{name}-members"))
             shapes = sets.join(members, F.col("row") == F.col("wanted"), "left_semi").mapInPandas(vectors, "row long, n long, own binary")
             own = tiles.join(shapes, "row").repartition(*at).sortWithinPartitions(*at).select(*at, "row", "n", "own", "label")
