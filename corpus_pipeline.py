@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm import decontaminate, jaccard, packing, pii, toxicity
-from trialframe.llm.common import BROADCAST_ROWS, table, written
+from trialframe.llm.common import BROADCAST_ROWS, scratch, table, written
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -41,8 +41,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeat both id and text one stays.
     """
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbered")
-    judged = jaccard.jaccard_join(numbered, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"), "n_shingles", "class_rows")
-    judged = written(judged, "pipeline-near")
+    with scratch() as made:
+        judged = jaccard.jaccard_join(numbered, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"), "n_shingles", "class_rows")
+        judged = written(judged, "pipeline-near")
+        made.remove(judged)
     ids = numbered.select("__row", F.col("doc_id").alias("__id"))
     linked = judged.where("class_rows > 1").select("__row", "__class").join(ids, "__row")
     bare = numbered.join(judged.where("n_shingles = 0").select("__row"), "__row", "left_semi").select("__row", F.col("doc_id").alias("__id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__class"))
