@@ -13,6 +13,12 @@ from trialframe.llm.common import BROADCAST_ROWS, scratch, table, written
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most ``rows`` texts at once, also in what a stage returns and its caller writes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, min(rows, int(spark.conf.get(name))))
+
+
 def _without(docs: DataFrame, gone: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Rows of ``docs`` that match no row of ``gone``; nulls match nulls.  ``keys``: expression of docs to column of gone."""
     few = gone.count() <= BROADCAST_ROWS
@@ -29,6 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Empty and null texts stay (score 0), repeated rows go or stay together, null ids are rows like
     others; without labels of both kinds nothing goes.
     """
+    _small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(~toxicity.rejected(model)(F.col("text")))
 
@@ -77,6 +84,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Every row stays, repeated ones and those without an id too; a text without personal data, also
     a null one, stays as it is.
     """
+    _small_batches(spark)
     names = docs.columns
     numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
     own = f"c{names.index('text')}"
