@@ -49,12 +49,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbered")
     with scratch() as made:
-        judged = jaccard.jaccard_join(numbered, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"), "n_shingles", "class_rows")
+        judged = jaccard.jaccard_join(numbered, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"), "class_rows")
         judged = written(judged, "pipeline-near")
         made.remove(judged)
     ids = numbered.select("__row", F.col("doc_id").alias("__id"))
     linked = judged.where("class_rows > 1").select("__row", "__class").join(ids, "__row")
-    bare = numbered.join(judged.where("n_shingles = 0").select("__row"), "__row", "left_semi").select("__row", F.col("doc_id").alias("__id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__class"))
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    bare = numbered.where(wordless).select("__row", F.col("doc_id").alias("__id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__class"))
     order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")
 
     def others(rows: DataFrame, *keys: str) -> DataFrame:
