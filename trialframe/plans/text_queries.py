@@ -97,18 +97,18 @@ def key_terms(spark, d):
     return _read(spark, d, "benchmark").select("item_id", joined(t.key_terms(F.col("text"))).alias("terms"))
 
 
-# answers to a statement: the words of the item, some denied, some missing
+# answers to a statement, the words of the whole item: all of them, all of them denied, every other one, all of them twice
 _ANSWER = """st AS (SELECT item_id, string_split(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' ') AS words FROM benchmark),
  two AS (SELECT item_id, list_filter(words, lambda x: length(x) >= 4) AS w FROM st),
- qa AS (SELECT item_id, w[1] || ' ' || w[2] || ' ' || w[3] AS statement, CASE item_id % 4 WHEN 0 THEN w[1] || ', (' || w[2] || ') here' WHEN 1 THEN 'It is not ' || w[1] || ' but ' || w[2] WHEN 2 THEN 'only ' || w[1] || ' here' ELSE w[1] || ' it is far from here, never mind; ' || w[2] END AS answer FROM two)"""
+ qa AS (SELECT item_id, array_to_string(w, ' ') AS statement, CASE item_id % 4 WHEN 0 THEN array_to_string(w, ', (') || ') here' WHEN 1 THEN 'It is not ' || array_to_string(w, ' ') WHEN 2 THEN 'only ' || array_to_string(list_filter(w, lambda x, i: i % 2 = 1), ' ') || ' here' ELSE array_to_string(w, ' ') || ' it is far from here, never mind what was told of it; ' || array_to_string(w, ' ') END AS answer FROM two)"""
 
 
 def _answers(spark, d) -> DataFrame:
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", " "), " "), lambda x: F.length(x) >= 4)
-    w = [F.get("w", k) for k in range(3)]
+    all_of_them, some = F.array_join("w", " "), F.array_join(F.filter("w", lambda x, i: i % 2 == 0), " ")
     k = F.col("item_id") % 4
-    say = F.when(k == 0, F.concat(w[0], F.lit(", ("), w[1], F.lit(") here"))).when(k == 1, F.concat(F.lit("It is not "), w[0], F.lit(" but "), w[1])).when(k == 2, F.concat(F.lit("only "), w[0], F.lit(" here")))
-    return _read(spark, d, "benchmark").select("item_id", words.alias("w")).select("item_id", F.concat_ws(" ", *w).alias("statement"), say.otherwise(F.concat(w[0], F.lit(" it is far from here, never mind; "), w[1])).alias("answer"))
+    say = F.when(k == 0, F.concat(F.array_join("w", ", ("), F.lit(") here"))).when(k == 1, F.concat(F.lit("It is not "), all_of_them)).when(k == 2, F.concat(F.lit("only "), some, F.lit(" here")))
+    return _read(spark, d, "benchmark").select("item_id", words.alias("w")).select("item_id", all_of_them.alias("statement"), say.otherwise(F.concat(all_of_them, F.lit(" it is far from here, never mind what was told of it; "), all_of_them)).alias("answer"))
 
 
 _NORMAL = "trim(regexp_replace(regexp_replace(lower(answer), '[^\\w\\s=<>!?\\-_.]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -245,7 +245,7 @@ def type_cleanup(spark, d):
 
 
 # sections of a text: a line that ends in ':' heads the lines after it
-_SECTIONS = """ln AS (SELECT item_id, i, string_split(replace(text, '. ', ':' || chr(10)), chr(10))[i] AS s FROM benchmark, range(1, 60) r(i) WHERE i <= len(string_split(replace(text, '. ', ':' || chr(10)), chr(10)))),
+_SECTIONS = """ln AS (SELECT item_id, i, x[i] AS s FROM (SELECT item_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT item_id, string_split(replace(text, '. ', ':' || chr(10)), chr(10)) AS x FROM benchmark))),
  hd AS (SELECT *, last_value(CASE WHEN s LIKE '%:' THEN s END IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY i) AS header FROM ln)"""
 
 

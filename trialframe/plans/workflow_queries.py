@@ -28,8 +28,10 @@ def query(sql: str | None = None):
 
 
 def _plan(spark, d) -> DataFrame:
-    units = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 7 <> 0 AND s_acctbal IS NOT NULL")
-    return wf.plan_items(units, "s_suppkey", TASKS, CONDITIONS, MODELS).where("NOT (task = 'R' AND unit_id % 2 = 1)")
+    units = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal >= 0")
+    plan = wf.plan_items(units, "s_suppkey", TASKS, CONDITIONS, MODELS)
+    able = units.where("s_nationkey < 13").select(F.col("s_suppkey").alias("unit_id"))
+    return plan.where("task <> 'R'").unionByName(plan.where("task = 'R'").join(able, "unit_id", "left_semi"))
 
 
 def _values(name: str, values) -> str:
@@ -37,7 +39,7 @@ def _values(name: str, values) -> str:
 
 
 _PLAN = f"""plan AS (SELECT s_suppkey AS unit_id, t AS task, c AS condition, m AS model_id, (ot * 5 + oc) * 2 + om AS place, s_suppkey || '::' || t || '::' || c || '::' || m AS item_id
- FROM supplier, {_values('t', TASKS)}, {_values('c', CONDITIONS)}, {_values('m', MODELS)} WHERE s_suppkey % 7 <> 0 AND s_acctbal IS NOT NULL AND NOT (t = 'R' AND s_suppkey % 2 = 1))"""
+ FROM supplier, {_values('t', TASKS)}, {_values('c', CONDITIONS)}, {_values('m', MODELS)} WHERE s_acctbal >= 0 AND (t <> 'R' OR s_nationkey < 13))"""
 
 
 @query(f"WITH {_PLAN} SELECT unit_id, task, condition, model_id, place::BIGINT AS place, item_id FROM plan")
@@ -58,7 +60,7 @@ def preflight_items(spark, d):
 # the ledger: the last attempt of each cell, its state from the order
 _STATE = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'error' END"
 _LEDGER = f"""ledger AS (SELECT l_suppkey || '::' || l_returnflag || '::' || o_orderpriority || '::' || l_linestatus AS item_id, {_STATE} AS status, count(*) OVER w AS attempt_count, l_quantity AS score,
- row_number() OVER (w ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 5 <> 0 WINDOW w AS (PARTITION BY l_suppkey, l_returnflag, o_orderpriority, l_linestatus)),
+ row_number() OVER (w ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT (l_returnflag = 'R' AND o_orderpriority LIKE '5%') WINDOW w AS (PARTITION BY l_suppkey, l_returnflag, o_orderpriority, l_linestatus)),
  last AS (SELECT item_id, CASE WHEN status = 'error' THEN 'failed' ELSE status END AS status, attempt_count, score FROM ledger WHERE rn = 1),
  merged AS (SELECT plan.*, coalesce(status, 'planned') AS status, coalesce(attempt_count, 0) AS attempt_count, score FROM plan LEFT JOIN last USING (item_id)),
  fixed AS (SELECT *, CASE WHEN status = 'running' THEN 'interrupted' WHEN status = 'completed' AND score < 10 THEN 'missing_artifact' END AS error,
@@ -66,10 +68,11 @@ _LEDGER = f"""ledger AS (SELECT l_suppkey || '::' || l_returnflag || '::' || o_o
 
 
 def _ledger(spark, d) -> DataFrame:
-    items = spark.read.parquet(f"{d}/lineitem.parquet").where("l_suppkey % 5 <> 0")
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("error")
-    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("item_id", F.concat_ws("::", F.col("l_suppkey").cast("string"), "l_returnflag", "o_orderpriority", "l_linestatus"))
+    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("NOT (l_returnflag = 'R' AND o_orderpriority LIKE '5%')")
+    rows = rows.withColumn("item_id", F.concat_ws("::", F.col("l_suppkey").cast("string"), "l_returnflag", "o_orderpriority", "l_linestatus"))
     last = F.max_by(F.struct(status.alias("status"), F.col("l_quantity").alias("score")), F.struct(*ORDER)).alias("r")
     held = rows.groupBy("item_id").agg(last, F.count("*").alias("attempt_count"))
     return held.select("item_id", wf.normal_status(F.col("r.status")).alias("status"), "attempt_count", F.col("r.score").alias("score"))
