@@ -66,7 +66,7 @@ def _license_sql() -> str:
  n AS (SELECT count(*) AS n FROM d), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_intersect(list_distinct(w), {listed(vocabulary)})) AS term FROM d) GROUP BY ALL),
  idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) LEFT JOIN df USING (term), n),
  tw AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS t_w FROM t JOIN idf USING (term)),
- s AS (SELECT doc_id, pos, {words % "parts[pos]"} AS w FROM (SELECT doc_id, string_split_regex(body, '[.!?]\\s+|\\n+') AS parts FROM d WHERE list_has_any(w, {listed(licenses.ANCHORS)})), range(1, 100000) r(pos) WHERE pos <= len(parts)),
+ s AS (SELECT doc_id, pos, {words % "parts[pos]"} AS w FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, string_split_regex(body, '[.!?]\\s+|\\n+') AS parts FROM d WHERE list_has_any(w, {listed(licenses.ANCHORS)})))),
  c AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest(w) AS term FROM s WHERE list_has_any(w, {listed(licenses.ANCHORS)})) GROUP BY ALL),
  cw AS (SELECT doc_id, pos, term, tf, tf * coalesce(idf, ln((n + 1) / 1) + 1) AS w FROM c LEFT JOIN idf USING (term), n),
  size AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM cw GROUP BY ALL),
@@ -75,7 +75,7 @@ def _license_sql() -> str:
  own AS (SELECT doc_id, max(b)[1] AS cosine, max(b)[2] AS license, sum(words) AS matched FROM sec WHERE b[1] >= 0.6 GROUP BY ALL),
  j AS (SELECT d.doc_id, path, len(w) AS words, cosine, license, matched, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM d LEFT JOIN own USING (doc_id)),
  dl AS (SELECT dir AS above, max((cosine, license))[2] AS dir_license FROM j WHERE license IS NOT NULL AND matched >= 0.25 * words GROUP BY ALL),
- near AS (SELECT dir, max((depth, above, dir_license)) AS x FROM (SELECT DISTINCT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS above FROM j, range(0, 5) r(depth) WHERE depth <= len(string_split(dir, '/'))) JOIN dl USING (above) GROUP BY ALL)
+ near AS (SELECT dir, max((depth, above, dir_license)) AS x FROM (SELECT DISTINCT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS above FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS depth FROM j)) JOIN dl USING (above) GROUP BY ALL)
  SELECT doc_id, path, license AS own_license, cosine, coalesce(license, x[3]) AS license, CASE WHEN license IS NULL THEN x[2] END AS inherited_from FROM j LEFT JOIN near USING (dir)"""
 
 
