@@ -1,6 +1,7 @@
 """Published figures and hand-made cases of the statistics layer."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,14 @@ def test_last_wins_and_medians(spark):
     assert even.agg(F.percentile("d", 0.5).alias("m")).first().m == 2.5
     one = spark.createDataFrame([("a", 1.0)], "g string, score double")
     assert stats.tie_mass(one, ["g"]).first().tie_mass == 0.0
+
+
+def test_normal_p_from_counts(spark):
+    """Against the kernel, which sees every difference; ties and zeros included."""
+    rng = random.Random(4)
+    rows = [(t, u, rng.choice((0.0, 0.25, 0.5, -0.25, 1.0, -0.75))) for t in ("a", "b") for u in range(80)] + [("c", 0, 0.0), ("d", 0, 1.0)]
+    tests = stats.normal_p(stats.signed_rank(spark.createDataFrame(rows, "t string, u int, d double"), ["t"]))
+    got = {r.t: r.p for r in tests.collect()}
+    assert got["c"] is None and got["d"] is None
+    for t in ("a", "b"):
+        assert abs(got[t] - k.signed_rank_p([d for x, _, d in rows if x == t])[1]) < 2e-7

@@ -122,11 +122,14 @@ def smallest_covering(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return hit.groupBy("tree_id", "line").agg(F.min_by("node_id", F.struct((F.col("hi") - F.col("lo")).alias("w"), (-F.col("depth")).alias("d"), F.col("node_id"))).alias("node_id"))
 
 
-def bag_retention(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Share of a bag that another one keeps, by counts; 1.0 for an empty bag has no row here."""
+def bag_retention(before: DataFrame, after: DataFrame, keys: list[str], value: str, bags: DataFrame | None = None) -> DataFrame:
+    """Share of a bag that another one keeps, by counts; an empty bag of ``bags`` (the keys of all bags) keeps 1.0."""
     a = before.groupBy(*keys, value).agg(F.count("*").alias("a"))
     b = after.groupBy(*keys, value).agg(F.count("*").alias("b"))
-    return a.join(b, [*keys, value], "left").groupBy(*keys).agg((F.sum(F.least("a", F.coalesce("b", F.lit(0)))) / F.sum("a")).alias("retention"))
+    out = a.join(b, [*keys, value], "left").groupBy(*keys).agg((F.sum(F.least("a", F.coalesce("b", F.lit(0)))) / F.sum("a")).alias("retention"))
+    if bags is None:
+        return out
+    return bags.select(*keys).distinct().join(out, keys, "left").withColumn("retention", F.coalesce("retention", F.lit(1.0)))
 
 
 def set_retention(before: Column, after: Column) -> Column:

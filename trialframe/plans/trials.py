@@ -134,6 +134,29 @@ def holm_family(spark, sf_dir):
     return stats.holm(tests, "p", ["hypothesis", "task"], alpha=0.45).withColumn("holm_p", F.round("holm_p", 6))
 
 
+# fixed values: the two interpretations
+_REJECT, _KEEP = (f"{x} H₀ at α=0.05 (Holm–Bonferroni corrected)" for x in ("Reject", "Fail to reject"))
+# the tail of the normal distribution by the fixed values of ``stats``
+_NORMAL_P = f""", z AS (SELECT *, n_pos + n_neg AS m FROM tests),
+ z2 AS (SELECT *, CASE WHEN m >= 2 THEN (w_plus - m * (m + 1) / 4.0::DOUBLE) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - tie_term / 48.0::DOUBLE) END AS z FROM z),
+ z3 AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x, 1 / (1 + {stats.ERFC_T}::DOUBLE * abs(z) / sqrt(2.0::DOUBLE)) AS t FROM z2),
+ z4 AS (SELECT *, 0.5::DOUBLE * exp(-x * x) * ({' + '.join(f'({a}::DOUBLE) * t ** {k + 1}' for k, a in enumerate(stats.ERFC_A))}) AS half FROM z3),
+ pv AS (SELECT *, round(CASE WHEN z >= 0 THEN half ELSE 1 - half END, 6) AS p FROM z4)"""
+
+
+@query(_diffs() + _tests() + _NORMAL_P + f""", k AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p, hypothesis, task) + 1 AS rest FROM pv)
+ SELECT hypothesis, task, cond_a AS condition_a, cond_b AS condition_b, n_pairs AS n_complete_pairs, w_plus AS wilcoxon_statistic, p AS p_value_one_sided, round(r_rb, 6) AS rank_biserial_r, round(max(least(1.0::DOUBLE, p * rest)) OVER o, 6) AS holm_p,
+ min(CASE WHEN p <= 0.05 / rest THEN 1 ELSE 0 END) OVER o = 1 AS holm_bonferroni_rejected, CASE WHEN holm_bonferroni_rejected THEN '{_REJECT}' ELSE '{_KEEP}' END AS interpretation FROM k JOIN (VALUES {", ".join(map(str, HYPOTHESES))}) v(hypothesis, cond_a, cond_b) USING (hypothesis) WINDOW o AS (ORDER BY p, hypothesis, task ROWS UNBOUNDED PRECEDING)""")
+def confirmatory_family(spark, sf_dir):
+    """From the scores to the corrected decisions: paired differences, signed ranks, p by the normal approximation, Holm over all tests."""
+    tests = stats.normal_p(stats.signed_rank(_differences(spark, sf_dir), ["hypothesis", "task"])).withColumn("p", F.round("p", 6))
+    out = stats.holm(tests, "p", ["hypothesis", "task"]).join(F.broadcast(hypotheses(spark)), "hypothesis")
+    return out.select(
+        "hypothesis", "task", F.col("cond_a").alias("condition_a"), F.col("cond_b").alias("condition_b"), F.col("n_pairs").alias("n_complete_pairs"), F.col("w_plus").alias("wilcoxon_statistic"), F.col("p").alias("p_value_one_sided"),
+        F.round("r_rb", 6).alias("rank_biserial_r"), F.round("holm_p", 6).alias("holm_p"), F.col("holm_rejected").alias("holm_bonferroni_rejected"), F.when(F.col("holm_rejected"), _REJECT).otherwise(_KEEP).alias("interpretation"),
+    )
+
+
 _PER_MODEL = _diffs().replace("SELECT hypothesis, a.task, a.unit_id", "SELECT hypothesis, a.task, a.model_id, a.unit_id").replace("JOIN cells a", "JOIN scores a").replace("JOIN cells b", "JOIN scores b").replace("AND b.task = a.task", "AND b.model_id = a.model_id AND b.task = a.task")
 
 
