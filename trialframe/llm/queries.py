@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, jaccard, licenses, media, packing, pii, toxicity, urls
+from . import chat, decontaminate, html, jaccard, licenses, lines, media, names, packing, pii, search, toxicity, urls
 from .common import table
 
 
@@ -52,8 +52,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(lines.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.vendor_clients(table(spark, sf_dir, "clients"), table(spark, sf_dir, "vendors"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_url_filter, op4_chat_format, op5_toxicity, op6_media_columns, op7_decontaminate, op8_html_extract, op9_best_fit_packing, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii, op3_url_filter, op4_chat_format, op5_toxicity, op6_media_columns, op7_decontaminate, op8_html_extract, op9_best_fit_packing, op10_jaccard_join, op11_ranked_search, op12_line_dedup, op13_name_join)}
 
 
 def _license_sql() -> str:
@@ -120,5 +132,5 @@ _CHAT_SQL = r"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITIO
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the licence scan, chat formatting, decontamination and the join; the others are held against brute force in the tests."""
-    return {"op1_license_scan": _license_sql(), "op4_chat_format": _CHAT_SQL, "op7_decontaminate": _leaks_sql(), "op10_jaccard_join": _JACCARD_SQL}
+    """SQL for the licence scan, chat formatting, decontamination, the n-gram join, ranked search and line dedup; the others are held against brute force in the tests."""
+    return {"op1_license_scan": _license_sql(), "op4_chat_format": _CHAT_SQL, "op7_decontaminate": _leaks_sql(), "op10_jaccard_join": _JACCARD_SQL, "op11_ranked_search": search.SQL, "op12_line_dedup": lines.SQL}
