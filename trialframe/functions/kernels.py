@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from trialframe.operators import stats
 
 #: Fixed seeds of the study.
 BOOTSTRAP_SEED = 20260427
@@ -113,21 +116,83 @@ def similarity(a: str, b: str) -> float:
     return round(SequenceMatcher(None, a, b).ratio(), 6)
 
 
-def signed_rank_tests(diffs: DataFrame, by: Sequence[str], order: str, d: str = "d", alternative: str = "greater", resamples: int = 0) -> DataFrame:
-    """Per test: n, statistic, p, r_rb and, with ``resamples``, the bootstrap interval.
+#: Distinct sizes of a test that one row holds, and resamples that one task draws at a time.
+BLOCK, CHUNK = 5_000, 250
+
+
+def bootstrap_intervals(diffs: DataFrame, by: Sequence[str], d: str = "d", resamples: int = 10_000, seed: int = BOOTSTRAP_SEED, level: float = 0.95) -> DataFrame:
+    """Per test: ci_low, ci_high, the percentile interval of the rank-biserial correlation; null for fewer than two non-zero differences.
 
-    A test's differences meet in one task: a test has one for each unit of the study, a number
-    that the study fixes.  They are put in the order of ``order`` first, on which the bootstrap depends.
+    A resample is a multinomial draw of how often each distinct difference occurs, zeros included.  Sizes go
+    in blocks of ``BLOCK`` and resamples in chunks of ``CHUNK``: a task draws a block's share of a chunk, with seeds
+    of both, so the result doesn't depend on the partitions; ranks are put together from the counts of the blocks before.
+    No task sees a test's differences.
     """
-    schema = ", ".join([*(f"{k} {dict(diffs.dtypes)[k]}" for k in by), "n bigint, statistic double, p double, r_rb double, ci_low double, ci_high double"])
+    keys = list(by)
+    counts = diffs.where(F.col(d).isNotNull()).groupBy(*keys, F.abs(F.col(d)).alias("__a")).agg(F.count("*").alias("n"), F.count_if(F.col(d) > 0).alias("up"))
+    place = W.partitionBy(*keys).orderBy("__a")
+    blocks = counts.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK)).groupBy(*keys, "block").agg(
+        F.sort_array(F.collect_list(F.struct("__a", "n", "up"))).alias("sizes"), F.sum("n").alias("total"), F.sum(F.when(F.col("__a") > 0, F.col("n")).otherwise(0)).alias("some"))
+    parts = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "total"))).alias("parts"), F.sum("some").alias("some")).where("some >= 2").drop("some")
+    work = blocks.join(parts, keys).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(CHUNK))))
+    work = work.select(*keys, "block", "first", F.transform("sizes", lambda x: x["__a"]).alias("a"), F.transform("sizes", lambda x: x["n"]).alias("n"), F.transform("sizes", lambda x: x["up"]).alias("up"), F.transform("parts", lambda x: x["total"]).alias("parts"))
+    kinds = dict(diffs.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "block bigint, draw int, found bigint, up bigint, plus double"])
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.to_dict("records"):
+                m = min(CHUNK, resamples - row["first"])
+                parts, n, up = (np.asarray(row[c], dtype=np.int64) for c in ("parts", "n", "up"))
+                share = np.random.default_rng([seed, row["first"]]).multinomial(parts.sum(), parts / parts.sum(), size=m)[:, row["block"]]
+                rng = np.random.default_rng([seed, row["first"], row["block"] + 1])
+                odds = np.concatenate((up, n - up)) / n.sum()
+                counted = rng.multinomial(share, odds)
+                ups, all_ = counted[:, : len(n)], counted[:, : len(n)] + counted[:, len(n) :]
+                if row["a"][0] == 0:  # the first size of the first block: no difference, no rank
+                    ups, all_ = ups[:, 1:], all_[:, 1:]
+                rank = np.cumsum(all_, axis=1) - (all_ - 1) / 2.0
+                yield pd.DataFrame({k: [row[k]] * m for k in keys} | {"block": row["block"], "draw": np.arange(row["first"], row["first"] + m, dtype=np.int32), "found": all_.sum(axis=1), "up": ups.sum(axis=1), "plus": (rank * ups).sum(axis=1)})
+
+    each = work.repartition(F.xxhash64(*keys, "block", "first")).mapInPandas(drawn, schema)
+    before = F.coalesce(F.sum("found").over(W.partitionBy(*keys, "draw").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = each.withColumn("plus", F.col("plus") + before * F.col("up")).groupBy(*keys, "draw").agg(F.sum("plus").alias("plus"), F.sum("found").cast("double").alias("found"))
+    total = F.col("found") * (F.col("found") + 1) / 2
+    r = sums.select(*keys, F.when(total > 0, 2 * F.col("plus") / F.when(total > 0, total) - 1).otherwise(0.0).alias("r"))
+    ends = r.groupBy(*keys).agg(F.percentile("r", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("x")).select(*keys, F.col("x")[0].alias("ci_low"), F.col("x")[1].alias("ci_high"))
+    return diffs.select(*keys).distinct().join(ends, keys, "left")
+
+
+def required_pairs(dz: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """``required_n`` of a column of effects; null for no effect."""
+    z = NormalDist().inv_cdf
+    return F.ceil((F.lit(z(1 - alpha) + z(power)) / F.when(dz != 0, dz)) ** 2 / (3 / math.pi))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows.sort_values(order)[d].to_numpy()
-        w, p = signed_rank_p(values, alternative)
-        low, high = bootstrap_interval(values, resamples) if resamples else (math.nan, math.nan)
-        return pd.DataFrame([(*(rows[k].iloc[0] for k in by), len(values), w, p, rank_biserial(values), low, high)], columns=[*by, "n", "statistic", "p", "r_rb", "ci_low", "ci_high"])
 
-    return diffs.select(*by, order, d).groupBy(*by).applyInPandas(one, schema)
+def detectable(n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """``detectable_effect`` of a column of numbers of pairs."""
+    z = NormalDist().inv_cdf
+    return F.lit(z(1 - alpha) + z(power)) / F.sqrt(n * (3 / math.pi))
+
+
+def power_simulation(designs: DataFrame, by: Sequence[str], alpha: float = 0.05, draws: int = 4000, seed: int = POWER_SEED) -> DataFrame:
+    """Per design (``by``, n pairs, effect dz): power, the share of normal samples for which the one-sided signed-rank test rejects.
+
+    Every draw has a seed of its own and is a row of work, so draws spread over all tasks; all samples are then
+    tested by one plan over counts of their differences, see ``stats.signed_rank_tests``.
+    """
+    keys = list(by)
+    kinds = dict(designs.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "draw int, d double"])
+    work = designs.where("n >= 1").select(*keys, F.col("n").cast("int").alias("n"), F.col("dz").cast("double").alias("dz"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).repartition(F.xxhash64(*keys, "draw"))
+
+    def samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.to_dict("records"):
+                yield pd.DataFrame({k: [row[k]] * row["n"] for k in keys} | {"draw": np.int32(row["draw"]), "d": np.random.default_rng([seed, row["draw"]]).normal(row["dz"], 1.0, row["n"])})
+
+    tests = stats.signed_rank_tests(work.mapInPandas(samples, schema), [*keys, "draw"])
+    return tests.groupBy(*keys).agg(F.avg(F.when(F.col("p") < alpha, 1.0).otherwise(0.0)).alias("power"))
 
 
 def similarity_column():

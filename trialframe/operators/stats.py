@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,45 +47,104 @@ def mid_ranks(diffs: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
     return sized.join(ranked, [*by, "__a"]).drop("__a")
 
 
+def _sizes(diffs: DataFrame, by: Sequence[str], d: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of distinct differences (__d, __c), and distinct sizes (__a) with how many there are (__t), how many of them are positive (__up), mid-rank (__r) and how many are not larger (__upto)."""
+    t, up, c, x = (F.col(n) for n in ("__t", "__up", "__c", "__d"))
+    counts = diffs.groupBy(*by, F.col(d).alias("__d")).agg(F.count("*").alias("__c"))
+    sizes = counts.where(x != 0).groupBy(*by, F.abs(x).alias("__a")).agg(F.sum(c).alias("__t"), F.sum(F.when(x > 0, c).otherwise(0)).alias("__up"))
+    upto = W.partitionBy(*by).orderBy("__a").rowsBetween(W.unboundedPreceding, 0)
+    return counts, sizes.withColumn("__upto", F.sum(t).over(upto)).withColumn("__r", F.col("__upto") - (t - 1) / F.lit(2.0))
+
+
 def signed_rank(diffs: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
     """Per test: n_pairs, n_pos, n_neg, n_tie, w_plus, w_minus, tie_term (sum of t^3 - t) and the rank-biserial r_rb (0 without a difference).
 
     Everything comes from the counts of distinct differences.
     """
+    return _signed_rank(diffs, by, d).drop("__steps")
+
+
+#: Up to so many differences p is exact if none tie, or in any case.
+EXACT_UNTIED, EXACT_TIED = 50, 13
+
+
+def _signed_rank(diffs: DataFrame, by: Sequence[str], d: str) -> DataFrame:
+    """``signed_rank`` and __steps: the doubled ranks of the smallest ``EXACT_UNTIED`` differences, with repeats, all that an exact p needs."""
     t, up, r, c, x = (F.col(n) for n in ("__t", "__up", "__r", "__c", "__d"))
-    counts = diffs.groupBy(*by, F.col(d).alias("__d")).agg(F.count("*").alias("__c"))
-    sizes = counts.where(x != 0).groupBy(*by, F.abs(x).alias("__a")).agg(F.sum(c).alias("__t"), F.sum(F.when(x > 0, c).otherwise(0)).alias("__up"))
-    upto = W.partitionBy(*by).orderBy("__a").rowsBetween(W.unboundedPreceding, 0)
-    ranked = sizes.withColumn("__r", F.sum(t).over(upto) - (t - 1) / F.lit(2.0))
-    sums = ranked.groupBy(*by).agg(F.sum(r * up).alias("w_plus"), F.sum(r * (t - up)).alias("w_minus"), F.sum(t * t * t - t).alias("tie_term"))
+    counts, ranked = _sizes(diffs, by, d)
+    steps = F.sort_array(F.collect_list(F.when(F.col("__upto") <= EXACT_UNTIED, F.struct((2 * r).cast("int").alias("r"), t.cast("int").alias("t")))))
+    sums = ranked.groupBy(*by).agg(F.sum(r * up).alias("w_plus"), F.sum(r * (t - up)).alias("w_minus"), F.sum(t * t * t - t).alias("tie_term"), steps.alias("__steps"))
     signs = counts.groupBy(*by).agg(*(F.sum(F.when(ok, c).otherwise(0)).alias(n) for n, ok in (("n_pairs", F.lit(True)), ("n_pos", x > 0), ("n_neg", x < 0), ("n_tie", x == 0))))
     out = signs.join(sums, list(by), "left").withColumns({"w_plus": F.coalesce("w_plus", F.lit(0.0)), "w_minus": F.coalesce("w_minus", F.lit(0.0)), "tie_term": F.coalesce("tie_term", F.lit(0))})
     total = F.col("w_plus") + F.col("w_minus")
     r_rb = F.when(total == 0, 0.0).otherwise((F.col("w_plus") - F.col("w_minus")) / F.when(total == 0, 1.0).otherwise(total))
-    return out.select(*by, "n_pairs", "n_pos", "n_neg", "n_tie", "w_plus", "w_minus", "tie_term", r_rb.alias("r_rb"))
+    return out.select(*by, "n_pairs", "n_pos", "n_neg", "n_tie", "w_plus", "w_minus", "tie_term", r_rb.alias("r_rb"), "__steps")
 
 
-#: The rational approximation of the complementary error function (error below 1.5e-7), as published.
-ERFC_T, ERFC_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+def _sided(above: Column, below: Column, alternative: str) -> Column:
+    return {"greater": above, "less": below, "two-sided": F.least(F.lit(1.0), 2 * F.least(above, below))}[alternative]
 
 
-def normal_p(tests: DataFrame) -> DataFrame:
-    """Adds p: the chance of w_plus or more under the normal approximation with the tie term, from the counts alone.
+def upper_tail(z: Column) -> Column:
+    """The chance that a standard normal variable is above z, to about fifteen digits: near 0 by the error function's series, beyond by its continued fraction."""
+    x = F.abs(z) / 2**0.5
+    start = F.struct(x.alias("sum"), x.alias("term"))
+    step = lambda a, k: F.struct((a["sum"] + a["term"] * 2 * x * x / (2 * k + 3)).alias("sum"), (a["term"] * 2 * x * x / (2 * k + 3)).alias("term"))
+    near = 0.5 - F.aggregate(F.sequence(F.lit(0), F.lit(70)), start, step)["sum"] * F.exp(-x * x) / math.pi**0.5
+    far = F.exp(-x * x) / (2 * math.pi**0.5 * F.aggregate(F.sequence(F.lit(80), F.lit(1)), x, lambda a, k: x + k / 2.0 / a))
+    half = F.when(x < 2.5, near).otherwise(far)
+    return F.when(z >= 0, half).otherwise(1 - half)
 
-    No task sees a test's differences, so a study of any size is tested where it lies.  Below 50
-    differences the exact distribution (``kernels.signed_rank_p``) is the better one.  Without two
-    differences p is null.
-    """
+
+def normal_p(tests: DataFrame, alternative: str = "greater") -> DataFrame:
+    """Adds p under the normal approximation with the tie term, from the counts alone, so a study of any size is tested where it lies; without two differences p is null."""
     n = (F.col("n_pos") + F.col("n_neg")).cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48)
     z = F.when((n >= 2) & (spread > 0), (F.col("w_plus") - n * (n + 1) / 4) / F.when(spread > 0, spread))
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + ERFC_T * x)
-    tail = F.lit(0.0)
-    for a in reversed(ERFC_A):
-        tail = t * (tail + a)
-    half = 0.5 * tail * F.exp(-x * x)
-    return tests.withColumn("p", F.when(z >= 0, half).otherwise(1 - half))
+    return tests.withColumn("p", _sided(upper_tail(z), upper_tail(-z), alternative))
+
+
+def _exact(steps: Column, w_plus: Column, alternative: str) -> Column:
+    """p over all sign flips: the distribution of the doubled rank sum grows by one difference after another."""
+    each = F.flatten(F.transform(steps, lambda s: F.array_repeat(s["r"], s["t"])))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    chances = F.aggregate(each, F.array(F.lit(1.0)), lambda have, r: F.zip_with(F.concat(have, zeros(r)), F.concat(zeros(r), have), lambda a, b: (a + b) / 2))
+    at = (2 * w_plus).cast("int")
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+    # the array of one element binds the distribution, which both tails read
+    return F.transform(F.array(chances), lambda c: _sided(add(F.slice(c, at + 1, F.size(c))), add(F.slice(c, F.lit(1), at + 1)), alternative))[0]
+
+
+def signed_rank_tests(diffs: DataFrame, by: Sequence[str], d: str = "d", alternative: str = "greater") -> DataFrame:
+    """``signed_rank`` with p and status (``ok``, or ``insufficient_data`` and a null p without two differences).
+
+    Up to 13 differences, or 50 without ties, p is exact over all sign flips, by a fold over at most
+    50 ranks in the test's own row; beyond, it is the normal approximation with the tie term.  No task sees a test's differences, only counts of them.
+    """
+    n = F.col("n_pos") + F.col("n_neg")
+    exact = (n <= EXACT_TIED) | ((n <= EXACT_UNTIED) & (F.col("tie_term") == 0))
+    out = normal_p(_signed_rank(diffs, by, d), alternative)
+    p = F.when(n < 2, None).when(exact, _exact(F.col("__steps"), F.col("w_plus"), alternative)).otherwise(F.col("p"))
+    return out.withColumn("p", p).withColumn("status", F.when(n < 2, "insufficient_data").otherwise("ok")).drop("__steps")
+
+
+# What a decision says.
+REJECT, KEEP = (f"{x} H₀ at α=0.05 (Holm–Bonferroni corrected)" for x in ("Reject", "Fail to reject"))
+INSUFFICIENT = "Insufficient data"
+
+
+def decisions(tests: DataFrame, hypotheses: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The rows of a confirmatory result: Holm over all ``tests`` (hypothesis, task and the columns of ``signed_rank_tests``), numbers to six digits after it.
+
+    Columns in the order of the result file: hypothesis, task, condition_A, condition_B, n_complete_pairs, wilcoxon_statistic,
+    p_value_one_sided, rank_biserial_r, holm_bonferroni_rejected, interpretation, then holm_p.  Without two differences statistic and p are null.
+    """
+    out = holm(tests, "p", ["hypothesis", "task"], alpha=alpha).join(F.broadcast(hypotheses), "hypothesis")
+    enough, rejected = F.col("status") == "ok", F.col("holm_rejected")
+    return out.select(
+        "hypothesis", "task", F.col("cond_a").alias("condition_A"), F.col("cond_b").alias("condition_B"), F.col("n_pairs").alias("n_complete_pairs"), F.when(enough, F.col("w_plus")).alias("wilcoxon_statistic"), F.round("p", 6).alias("p_value_one_sided"),
+        F.round("r_rb", 6).alias("rank_biserial_r"), rejected.alias("holm_bonferroni_rejected"), F.when(~enough, INSUFFICIENT).when(rejected, REJECT).otherwise(KEEP).alias("interpretation"), F.round("holm_p", 6).alias("holm_p"),
+    )
 
 
 def holm(tests: DataFrame, p: str, order: Sequence[str], family: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
@@ -102,6 +162,20 @@ def holm(tests: DataFrame, p: str, order: Sequence[str], family: Sequence[str] =
     return out.withColumn("holm_rejected", F.min(F.when(F.col("__p") <= alpha / F.col("__left"), 1).otherwise(0)).over(upto) == 1).drop("__p", "__left")
 
 
+def exploratory(diffs: DataFrame, by: Sequence[str], hypotheses: DataFrame, intervals: DataFrame | None = None, analysis: str = "per_model") -> DataFrame:
+    """The rows of an exploratory result over ``diffs`` (hypothesis, task, model_id, d): two-sided tests, Holm within a model, numbers to six digits.
+
+    ``intervals`` (the keys, ci_low, ci_high) may come from ``kernels.bootstrap_intervals``; without it both are null.
+    """
+    tests = holm(signed_rank_tests(diffs, by, alternative="two-sided"), "p", ["hypothesis", "task"], family=["model_id"])
+    out = tests.join(diffs.groupBy(*by).agg(F.percentile("d", 0.5).alias("median_diff")), list(by)).join(F.broadcast(hypotheses), "hypothesis")
+    out = out.withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double")}) if intervals is None else out.join(intervals, list(by), "left")
+    return out.select(
+        F.lit(analysis).alias("analysis"), "hypothesis", "task", "cond_a", "cond_b", F.col("model_id").alias("model"), "n_pairs", "n_pos", "n_neg", "n_tie", "median_diff",
+        F.when(F.col("status") == "ok", F.col("w_plus")).alias("statistic"), F.round("p", 6).alias("raw_p"), F.round("holm_p", 6).alias("holm_p"), F.round("r_rb", 6).alias("r_rb"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "status",
+    )
+
+
 def upper_median(value: str) -> Column:
     """The element at position n div 2 of the sorted values."""
     held = F.sort_array(F.collect_list(value))

@@ -134,27 +134,37 @@ def holm_family(spark, sf_dir):
     return stats.holm(tests, "p", ["hypothesis", "task"], alpha=0.45).withColumn("holm_p", F.round("holm_p", 6))
 
 
-# fixed values: the two interpretations
-_REJECT, _KEEP = (f"{x} H₀ at α=0.05 (Holm–Bonferroni corrected)" for x in ("Reject", "Fail to reject"))
-# the tail of the normal distribution by the fixed values of ``stats``
-_NORMAL_P = f""", z AS (SELECT *, n_pos + n_neg AS m FROM tests),
+# p by other ways than ``stats``: the normal tail by Simpson's rule over 2,000 steps up to 9, exact p by a fold over the doubled ranks
+_P = """, z AS (SELECT *, n_pos + n_neg AS m FROM tests),
  z2 AS (SELECT *, CASE WHEN m >= 2 THEN (w_plus - m * (m + 1) / 4.0::DOUBLE) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - tie_term / 48.0::DOUBLE) END AS z FROM z),
- z3 AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x, 1 / (1 + {stats.ERFC_T}::DOUBLE * abs(z) / sqrt(2.0::DOUBLE)) AS t FROM z2),
- z4 AS (SELECT *, 0.5::DOUBLE * exp(-x * x) * ({' + '.join(f'({a}::DOUBLE) * t ** {k + 1}' for k, a in enumerate(stats.ERFC_A))}) AS half FROM z3),
- pv AS (SELECT *, round(CASE WHEN z >= 0 THEN half ELSE 1 - half END, 6) AS p FROM z4)"""
+ z3 AS (SELECT *, least(abs(z), 9) / 2000 AS h FROM z2),
+ z4 AS (SELECT *, 0.5::DOUBLE - h / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(i * h) * (i * h) / 2))) AS half FROM z3),
+ nv AS (SELECT *, CASE WHEN z >= 0 THEN half ELSE 1 - half END AS normal FROM z4),
+ ex AS (SELECT {by}, list_reduce(list_prepend([1.0::DOUBLE], list([2 * r]::DOUBLE[])), lambda c, x: list_transform(range(1, len(c) + x[1]::BIGINT + 1), lambda i: (coalesce(c[i], 0) + CASE WHEN i > x[1] THEN coalesce(c[i - x[1]::BIGINT], 0) ELSE 0 END) / 2)) AS c
+  FROM nz JOIN (SELECT {by} FROM z WHERE m BETWEEN 2 AND 13 OR m BETWEEN 2 AND 50 AND tie_term = 0) USING ({by}) GROUP BY ALL),
+ pv AS (SELECT nv.*, CASE WHEN m < 2 THEN NULL WHEN c IS NOT NULL THEN list_sum(c[(2 * w_plus)::BIGINT + 1:]) ELSE normal END AS p, CASE WHEN m < 2 THEN NULL ELSE least(1, 2 * least(CASE WHEN c IS NOT NULL THEN list_sum(c[(2 * w_plus)::BIGINT + 1:]) ELSE normal END, CASE WHEN c IS NOT NULL THEN list_sum(c[:(2 * w_plus)::BIGINT + 1]) ELSE 1 - normal END)) END AS p_two_sided FROM nv LEFT JOIN ex USING ({by}))"""
 
 
-@query(_diffs() + _tests() + _NORMAL_P + f""", k AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p, hypothesis, task) + 1 AS rest FROM pv)
- SELECT hypothesis, task, cond_a AS condition_a, cond_b AS condition_b, n_pairs AS n_complete_pairs, w_plus AS wilcoxon_statistic, p AS p_value_one_sided, round(r_rb, 6) AS rank_biserial_r, round(max(least(1.0::DOUBLE, p * rest)) OVER o, 6) AS holm_p,
- min(CASE WHEN p <= 0.05 / rest THEN 1 ELSE 0 END) OVER o = 1 AS holm_bonferroni_rejected, CASE WHEN holm_bonferroni_rejected THEN '{_REJECT}' ELSE '{_KEEP}' END AS interpretation FROM k JOIN (VALUES {", ".join(map(str, HYPOTHESES))}) v(hypothesis, cond_a, cond_b) USING (hypothesis) WINDOW o AS (ORDER BY p, hypothesis, task ROWS UNBOUNDED PRECEDING)""")
+@query(_diffs() + _tests() + _P.format(by="hypothesis, task") + f""", k AS (SELECT *, coalesce(p, 1) AS q, count(*) OVER () - row_number() OVER (ORDER BY coalesce(p, 1), hypothesis, task) + 1 AS rest FROM pv)
+ SELECT hypothesis, task, cond_a AS condition_A, cond_b AS condition_B, n_pairs AS n_complete_pairs, CASE WHEN m >= 2 THEN w_plus END AS wilcoxon_statistic, round(p, 6) AS p_value_one_sided, round(r_rb, 6) AS rank_biserial_r, round(max(least(1.0::DOUBLE, q * rest)) OVER o, 6) AS holm_p,
+ min(CASE WHEN q <= 0.05 / rest THEN 1 ELSE 0 END) OVER o = 1 AS holm_bonferroni_rejected, CASE WHEN m < 2 THEN '{stats.INSUFFICIENT}' WHEN holm_bonferroni_rejected THEN '{stats.REJECT}' ELSE '{stats.KEEP}' END AS interpretation FROM k JOIN (VALUES {", ".join(map(str, HYPOTHESES))}) v(hypothesis, cond_a, cond_b) USING (hypothesis) WINDOW o AS (ORDER BY q, hypothesis, task ROWS UNBOUNDED PRECEDING)""")
 def confirmatory_family(spark, sf_dir):
-    """From the scores to the corrected decisions: paired differences, signed ranks, p by the normal approximation, Holm over all tests."""
-    tests = stats.normal_p(stats.signed_rank(_differences(spark, sf_dir), ["hypothesis", "task"])).withColumn("p", F.round("p", 6))
-    out = stats.holm(tests, "p", ["hypothesis", "task"]).join(F.broadcast(hypotheses(spark)), "hypothesis")
-    return out.select(
-        "hypothesis", "task", F.col("cond_a").alias("condition_a"), F.col("cond_b").alias("condition_b"), F.col("n_pairs").alias("n_complete_pairs"), F.col("w_plus").alias("wilcoxon_statistic"), F.col("p").alias("p_value_one_sided"),
-        F.round("r_rb", 6).alias("rank_biserial_r"), F.round("holm_p", 6).alias("holm_p"), F.col("holm_rejected").alias("holm_bonferroni_rejected"), F.when(F.col("holm_rejected"), _REJECT).otherwise(_KEEP).alias("interpretation"),
-    )
+    """From the scores to the corrected decisions: paired differences, signed ranks, p, Holm over all tests."""
+    return stats.decisions(stats.signed_rank_tests(_differences(spark, sf_dir), ["hypothesis", "task"]), hypotheses(spark))
+
+
+_BY_NATION = _diffs().replace("SELECT hypothesis, a.task, a.unit_id", "SELECT hypothesis, a.task, s_nationkey AS nation, a.unit_id").replace("WHERE a.score IS NOT NULL", "JOIN supplier ON s_suppkey = a.unit_id WHERE a.score IS NOT NULL")
+
+
+@query(_BY_NATION + _tests("hypothesis, task, nation") + _P.format(by="hypothesis, task, nation") + " SELECT hypothesis, task, nation, n_pairs, n_pos, n_neg, w_plus, tie_term, round(p, 9) AS p_one_sided, round(p_two_sided, 9) AS p_two_sided, CASE WHEN m < 2 THEN 'insufficient_data' ELSE 'ok' END AS status FROM pv")
+def exact_signed_rank(spark, sf_dir):
+    """A test for each nation: small ones, whose p is exact."""
+    units = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("unit_id"), F.col("s_nationkey").alias("nation"))
+    by = ["hypothesis", "task", "nation"]
+    d = _differences(spark, sf_dir).join(units, "unit_id")
+    one = stats.signed_rank_tests(d, by).withColumn("p_one_sided", F.round("p", 9))
+    two = stats.signed_rank_tests(d, by, alternative="two-sided").select(*by, F.round("p", 9).alias("p_two_sided"))
+    return one.join(two, by).select(*by, "n_pairs", "n_pos", "n_neg", "w_plus", "tie_term", "p_one_sided", "p_two_sided", "status")
 
 
 _PER_MODEL = _diffs().replace("SELECT hypothesis, a.task, a.unit_id", "SELECT hypothesis, a.task, a.model_id, a.unit_id").replace("JOIN cells a", "JOIN scores a").replace("JOIN cells b", "JOIN scores b").replace("AND b.task = a.task", "AND b.model_id = a.model_id AND b.task = a.task")
@@ -269,7 +279,44 @@ def input_summary(spark, sf_dir):
 
 @query()
 def signed_rank_p_values(spark, sf_dir):
-    return kernels.signed_rank_tests(_differences(spark, sf_dir), ["hypothesis", "task"], "unit_id", resamples=10_000)
+    """p and the bootstrap interval of every test, from counts of differences."""
+    d, by = _differences(spark, sf_dir), ["hypothesis", "task"]
+    tests = stats.signed_rank_tests(d, by).select(*by, F.col("n_pairs").alias("n"), F.col("w_plus").alias("statistic"), "p", "r_rb")
+    return tests.join(kernels.bootstrap_intervals(d, by), by)
+
+
+# the closed form by fixed values: quantiles of the normal distribution at 0.95 and 0.8
+_Z = "(1.6448536269514715::DOUBLE + 0.8416212335729144::DOUBLE)"
+
+
+def _designs(spark, sf_dir) -> DataFrame:
+    d = _differences(spark, sf_dir).groupBy("hypothesis", "task").agg(F.count("*").alias("n"), (F.avg("d") / F.stddev_samp("d")).alias("dz"))
+    return d.withColumn("dz", F.round(F.abs("dz"), 3))
+
+
+@query(_diffs() + f""", x AS (SELECT hypothesis, task, count(*) AS n, round(abs(avg(d) / stddev_samp(d)), 3) AS dz FROM diffs GROUP BY ALL)
+ SELECT hypothesis, task, n, dz, CASE WHEN dz <> 0 THEN ceil(({_Z} / dz) ** 2 / (3 / pi())) END AS required, round({_Z} / sqrt(n * (3 / pi())), 9) AS detectable FROM x""")
+def power_closed_form(spark, sf_dir):
+    """Pairs that each test's own effect would need, and the effect that its pairs can show."""
+    return _designs(spark, sf_dir).withColumns({"required": kernels.required_pairs(F.col("dz")).cast("double"), "detectable": F.round(kernels.detectable(F.col("n")), 9)})
+
+
+@query()
+def power_simulation(spark, sf_dir):
+    """The power of each test for its own effect, by 200 drawn samples of its size."""
+    own = _designs(spark, sf_dir)
+    return own.join(kernels.power_simulation(own, ["hypothesis", "task"], draws=200), ["hypothesis", "task"])
+
+
+@query(_PER_MODEL + _tests("hypothesis, task, model_id") + _P.format(by="hypothesis, task, model_id") + """, md AS (SELECT hypothesis, task, model_id, median(d) AS median_diff FROM diffs GROUP BY ALL),
+ k AS (SELECT *, coalesce(p_two_sided, 1) AS q, count(*) OVER (PARTITION BY model_id) - row_number() OVER (PARTITION BY model_id ORDER BY coalesce(p_two_sided, 1), hypothesis, task) + 1 AS rest FROM pv)
+ SELECT 'per_model' AS analysis, hypothesis, task, cond_a, cond_b, model_id AS model, n_pairs, n_pos, n_neg, n_tie, median_diff, CASE WHEN m >= 2 THEN w_plus END AS statistic, round(p_two_sided, 6) AS raw_p, round(max(least(1.0::DOUBLE, q * rest)) OVER (PARTITION BY model_id ORDER BY q, hypothesis, task ROWS UNBOUNDED PRECEDING), 6) AS holm_p, round(r_rb, 6) AS r_rb, CASE WHEN m < 2 THEN 'insufficient_data' ELSE 'ok' END AS status
+ FROM k JOIN md USING (hypothesis, task, model_id) JOIN (VALUES """ + ", ".join(map(str, HYPOTHESES)) + """) v(hypothesis, cond_a, cond_b) USING (hypothesis)""")
+def exploratory_family(spark, sf_dir):
+    """Two-sided tests of each model, corrected in the model's family: the columns of an exploratory result but the intervals, which are in ``signed_rank_p_values``."""
+    by = ["hypothesis", "task", "model_id"]
+    d = stats.paired_differences(scores(spark, sf_dir), hypotheses(spark), ["unit_id", "task", "model_id"])
+    return stats.exploratory(d, by, hypotheses(spark)).drop("ci_low", "ci_high")
 
 
 @query(f"""WITH {_SCORES}, x AS (SELECT task, round(score / 50, 4) AS v FROM scores), c AS (SELECT task, v, count(*) AS c FROM x GROUP BY ALL)
