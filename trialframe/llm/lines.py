@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of
+from .common import clear_of, written
 
 #: ASCII white space, stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -51,7 +51,8 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), least_chars: int =
     """
     clear_of(keep, "doc_id", "text", "n_lines", "n_dropped")
     lines = line_hashes(docs, least_chars)
-    met = lines.join(common_lines(lines, least_documents), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # written, so that both sides of the join have exchanges of their own and Spark can split a line that every document holds
+    met = lines.join(written(common_lines(lines, least_documents), "lines"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = met.groupBy(F.col("doc_id").alias("of_id"), F.col("body").alias("of_body")).agg(F.collect_set("pos").alias("gone_at"))
     own = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
     both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_body")), "left")
