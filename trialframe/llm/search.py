@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import discard, small_batches, written
 
 #: Documents and postings of a shard; the last document may go beyond the latter.
-SHARD_DOCS, SHARD_POSTINGS = 16_384, 1_500_000
+SHARD_DOCS, SHARD_POSTINGS = 16_384, 1_000_000
 #: Items and terms that are searched for at once; further ones are other blocks.
 BLOCK_ITEMS, BLOCK_TERMS = 1_000, 200_000
 #: Nodes of a tree that are opened together.
