@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import ast
+import math
 from collections.abc import Iterator
+from typing import get_origin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from trialframe.operators.sequences import in_order, running
+from trialframe.sources.scratch import stored
 
 NODE = "tree_id string, node_id long, parent_id long, field string, pos long, kind string, depth long, lo long, hi long, scalar string"
 
@@ -73,39 +79,187 @@ def labeled_edges(nodes: DataFrame) -> DataFrame:
     return nodes.join(up, ["tree_id", "parent_id"]).groupBy("tree_id", "parent_kind", "kind").agg(F.count("*").alias("n"))
 
 
-def _more(jump: DataFrame, nodes: DataFrame, rounds: int) -> bool:
-    """Whether a jump is left after ``rounds`` doublings; a path longer than there are nodes runs in a circle."""
-    if jump.isEmpty():
-        return False
-    if 2**rounds > nodes.count():
+def _circle(rounds: int, most: int) -> None:
+    if 2**rounds > most:
         raise ValueError("nodes run in a circle")
-    return True
 
 
 def depths(nodes: DataFrame, rounds: int = 6) -> DataFrame:
-    """Adds depth (0 at the root) by doubling jumps until none is left; that is first asked after ``rounds`` joins, which reach depth 2 ** rounds."""
+    """Adds depth (0 at the root) by doubling jumps until none is left.
+
+    The table of jumps is written every second round, so the plan stays small and a path of any length takes
+    the logarithm of its length in joins; whether a jump is left is first asked after ``rounds`` joins.
+    """
     jump = nodes.select("tree_id", "node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
-    k = 0
-    while k < rounds or _more(jump.where("up IS NOT NULL"), nodes, k):
+    last, k = None, 0
+    while True:
         far = jump.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__d"))
         jump = jump.join(far, ["tree_id", "up"], "left").select("tree_id", "node_id", F.col("__up").alias("up"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"))
         k += 1
+        if k % 2 == 0:
+            last = jump = stored(jump, "depths", last)
+            if k >= rounds:
+                if jump.where("up IS NOT NULL").isEmpty():
+                    break
+                _circle(k, 2 * jump.count())
     return nodes.join(jump.select("tree_id", "node_id", "depth"), ["tree_id", "node_id"])
 
 
 def ancestors(nodes: DataFrame, rounds: int = 6) -> DataFrame:
-    """(node_id, ancestor, distance), each node being its own ancestor at distance 0; jumps double until none is left, as in ``depths``."""
+    """(node_id, ancestor, distance), each node being its own ancestor at distance 0; jumps double until none is left, written as in ``depths``."""
     closed = nodes.select("tree_id", "node_id", F.col("node_id").alias("ancestor"), F.lit(0).alias("distance"))
     jump = nodes.where("parent_id IS NOT NULL").select("tree_id", F.col("node_id").alias("ancestor"), F.col("parent_id").alias("above"))
-    k = 0
-    while k < rounds or _more(jump, nodes, k):
+    last, old, k = None, None, 0
+    while True:
         # every pair so far, moved up by 2 ** k
         moved = closed.join(jump, ["tree_id", "ancestor"]).select("tree_id", "node_id", F.col("above").alias("ancestor"), (F.col("distance") + 2**k).alias("distance"))
         closed = closed.unionByName(moved)
         twice = jump.select("tree_id", F.col("ancestor").alias("above"), F.col("above").alias("far"))
         jump = jump.join(twice, ["tree_id", "above"]).select("tree_id", "ancestor", F.col("far").alias("above"))
         k += 1
-    return closed
+        if k % 2 == 0:
+            old, last = stored(closed, "closed", old), stored(jump, "jump", last)
+            closed, jump = old, last
+            if k >= rounds:
+                if jump.isEmpty():
+                    return closed
+                _circle(k, 2 * nodes.count())
+
+
+def euler_order(nodes: DataFrame, order: str = "node_id", rounds: int = 6) -> DataFrame:
+    """Adds pre (place in depth-first order from 0), size (of the subtree), depth and arity; siblings go by ``order``.
+
+    The walk around a tree enters and leaves every node, a list of twice its nodes, which is ranked by doubling
+    jumps: trees of any shape, chains and stars, take the logarithm of their size in joins.  Node ids are not
+    negative, parents are in the table; a tree with several roots is walked root by root.
+    """
+    key = ["tree_id", "node_id"]
+    beside = W.partitionBy("tree_id", "parent_id").orderBy(order, "node_id")
+    below = nodes.where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.min_by("node_id", F.struct(F.col(order).alias("o"), F.col("node_id").alias("n"))).alias("first"), F.count("*").alias("arity"))
+    own = nodes.select(*key, "parent_id", F.lead("node_id").over(beside).alias("next")).join(below, key, "left")
+    enter, leave = (lambda n: F.col(n) * 2), (lambda n: F.col(n) * 2 + 1)
+    step = lambda e, to, n, d: F.struct(e.alias("e"), to.alias("to"), F.lit(n).cast("long").alias("entered"), F.lit(d).cast("long").alias("deeper"))
+    walk = own.select("tree_id", F.explode(F.array(step(enter("node_id"), F.coalesce(enter("first"), leave("node_id")), 1, 1), step(leave("node_id"), F.coalesce(enter("next"), leave("parent_id")), 0, -1))).alias("s")).select("tree_id", "s.*")
+    last, k = None, 0
+    while True:
+        far = walk.select("tree_id", F.col("e").alias("to"), F.col("to").alias("__to"), F.col("entered").alias("__n"), F.col("deeper").alias("__d"))
+        both = walk.join(far, ["tree_id", "to"], "left")
+        walk = both.select("tree_id", "e", F.col("__to").alias("to"), (F.col("entered") + F.coalesce("__n", F.lit(0))).alias("entered"), (F.col("deeper") + F.coalesce("__d", F.lit(0))).alias("deeper"))
+        k += 1
+        if k % 2 == 0:
+            last = walk = stored(walk, "walk", last)
+            if k >= rounds:
+                if walk.where("to IS NOT NULL").isEmpty():
+                    break
+                _circle(k, 4 * walk.count())
+    ends = walk.groupBy("tree_id", F.floor(F.col("e") / 2).alias("node_id")).agg(*(F.sum(F.when(F.col("e") % 2 == x, F.col(c))).alias(n) for n, x, c in (("__in", 0, "entered"), ("__out", 1, "entered"), ("__deep", 0, "deeper"))))
+    total = nodes.groupBy("tree_id").agg(F.count("*").alias("__all"))
+    placed = ends.join(total, "tree_id").select(*key, (F.col("__all") - F.col("__in")).alias("pre"), (F.col("__in") - F.col("__out")).alias("size"), (-F.col("__deep")).alias("depth"))
+    return nodes.drop("depth").join(placed, key).join(below.select(*key, "arity"), key, "left").withColumn("arity", F.coalesce("arity", F.lit(0)))
+
+
+def subtree_sums(placed: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds to a table of ``euler_order`` the sum of ``value`` below each node, itself included: a difference of two running sums, by blocks of places."""
+    upto = running(placed.withColumn("pos", F.col("pre")), value, "__upto", seq="tree_id")
+    last = upto.select("tree_id", (F.col("pos")).alias("__last"), F.col("__upto").alias("__end"))
+    both = upto.withColumn("__last", F.col("pre") + F.col("size") - 1).join(last, ["tree_id", "__last"])
+    return both.withColumn(out, F.col("__end") - F.col("__upto") + F.col(value)).drop("pos", "__upto", "__last", "__end")
+
+
+#: A prime below 2 ** 31, and the bases of the three sums that tell subtrees apart.
+PRIME, BASES = 2**31 - 1, (1_000_003, 48_271, 69_621)
+
+
+def subtree_hashes(placed: DataFrame, label: Column) -> DataFrame:
+    """Adds subtree_hash to a table of ``euler_order``: equal for subtrees of equal shape and labels, whatever tree they are in.
+
+    Labels and numbers of children in depth-first order tell an ordered tree.  A subtree is a range of that order, so
+    its hash is a difference of running sums of label times a power of the place, moved back to the range's start, for
+    three bases; together they hold 93 bits, so subtrees that differ share a hash by chance only.
+    """
+    code = F.md5(F.concat_ws("\x1f", F.length(label).cast("string"), label, F.col("arity").cast("string")).cast("binary"))
+    out, names = placed.withColumn("__code", code), []
+    for k, base in enumerate(BASES):
+        powers = "array(" + ", ".join(f"{pow(base, 2**i, PRIME)}L" for i in range(32)) + ")"
+        power = lambda e: f"aggregate(sequence(0, 31), 1L, (a, k) -> IF(shiftright({e}, k) % 2 = 1, a * {powers}[k] % {PRIME}, a))"  # noqa: B023, E731
+        term = F.conv(F.substring("__code", 1 + 7 * k, 7), 16, 10).cast("long") + 1
+        out = out.withColumn("__e", F.col("pre") % (PRIME - 1)).withColumn("__v", term * F.expr(power("__e")) % PRIME)
+        out = subtree_sums(out, "__v", "__s").withColumn("__e", F.pmod(-F.col("pre"), F.lit(PRIME - 1)))
+        out = out.withColumn(f"__h{k}", F.col("__s") % PRIME * F.expr(power("__e")) % PRIME).drop("__e", "__v", "__s")
+        names.append(f"__h{k}")
+    return out.withColumn("subtree_hash", F.concat_ws("-", F.col("size").cast("string"), *(F.lower(F.hex(n)) for n in names))).drop("__code", *names)
+
+
+def tree_hashes(placed: DataFrame, label: Column) -> DataFrame:
+    """tree_id and tree_hash, the SHA-256 of a tree's labels and numbers of children in depth-first order, which is equal exactly for equal trees."""
+    sign = F.concat(F.length(label).cast("string"), F.lit(":"), label, F.lit("/"), F.col("arity").cast("string"))
+    return placed.groupBy("tree_id").agg(F.sha2(F.array_join(in_order(sign, F.col("pre")), ",").cast("binary"), 256).alias("tree_hash"))
+
+
+def rendered(placed: DataFrame, before: Column, after: Column) -> DataFrame:
+    """tree_id and text: every node says ``before`` where the walk around its tree enters it and ``after`` where it leaves it.
+
+    All nodes write at once at the places that ``euler_order`` tells; a tree's text is one row, put together from its nodes' parts.
+    """
+    enter = 2 * F.col("pre") - F.col("depth")
+    parts = placed.select("tree_id", F.explode(F.array(F.struct(enter.alias("at"), before.alias("said")), F.struct((enter + 2 * F.col("size") - 1).alias("at"), after.alias("said")))).alias("p"))
+    return parts.groupBy("tree_id").agg(F.array_join(in_order("p.said", "p.at"), "").alias("text"))
+
+
+def _built(rows: pd.DataFrame) -> ast.AST:
+    """The syntax tree of a node table's rows: children have greater ids, so they are built first."""
+    held: dict[int, dict[str, dict[int, object]]] = {}
+    made = None
+    for r in rows.sort_values("node_id", ascending=False).itertuples(index=False):
+        if r.kind == "scalar":
+            made = {"Ellipsis": ..., "inf": math.inf}[r.scalar] if r.scalar in ("Ellipsis", "inf") else complex(0, math.inf) if r.scalar == "infj" else ast.literal_eval(r.scalar)
+        else:
+            cls, own = getattr(ast, r.kind), held.pop(r.node_id, {})
+            fields: dict[str, object] = {}
+            for name, kind in cls._field_types.items():
+                at = own.get(name, {})
+                if get_origin(kind) is list:
+                    fields[name] = [at.get(i) for i in range(max(at, default=-1) + 1)]
+                else:
+                    fields[name] = at.get(0)
+            for short, full in (("keys", "values"), ("kw_defaults", "kwonlyargs")):  # empty places at the end
+                if isinstance(fields.get(short), list) and full in fields:
+                    fields[short] += [None] * (len(fields[full]) - len(fields[short]))
+            made = cls(**fields)
+        if not pd.isna(r.parent_id):
+            held.setdefault(int(r.parent_id), {}).setdefault(r.field, {})[int(r.pos)] = made
+    return ast.fix_missing_locations(made)
+
+
+def _base(note: ast.AST | None) -> str | None:
+    """The name of an annotation without its parameters and modules."""
+    if isinstance(note, ast.Subscript):
+        return _base(note.value)
+    return note.id if isinstance(note, ast.Name) else note.attr if isinstance(note, ast.Attribute) else "None" if isinstance(note, ast.Constant) and note.value is None else None
+
+
+PARTS = "tree_id string, source string, name string, params array<struct<name:string,base:string>>, returns string, doc string, imports array<string>, body array<string>"
+
+
+def to_source(nodes: DataFrame) -> DataFrame:
+    """From the node table back to text: tree_id, source, and of the first function name, params (annotated ones, with the annotation's base), returns, doc, the imports before it, and the lines of its body without the docstring.
+
+    A tree's nodes meet in one task, as its text did when it was parsed.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        tree = _built(rows)
+        f = next((x for x in tree.body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)), None)
+        found: list = [rows["tree_id"].iloc[0], ast.unparse(tree), None, [], None, None, [], []]
+        if f is not None:
+            doc = ast.get_docstring(f, clean=True)
+            params = [{"name": a.arg, "base": b} for a in f.args.args if (b := _base(a.annotation)) is not None]
+            imports = [ast.unparse(x) for x in tree.body[: tree.body.index(f)] if isinstance(x, ast.Import | ast.ImportFrom)]
+            body = [line for x in f.body[doc is not None :] for line in ast.unparse(x).split("\n")]
+            found[2:] = [f.name, params, _base(f.returns), doc, imports, body]
+        return pd.DataFrame([found], columns=[c.split()[0] for c in PARTS.split(", ")])
+
+    return nodes.select("tree_id", "node_id", "parent_id", "field", "pos", "kind", "scalar").groupBy("tree_id").applyInPandas(one, PARTS)
 
 
 def tree_distance(pairs: DataFrame, nodes: DataFrame, rounds: int = 6) -> DataFrame:

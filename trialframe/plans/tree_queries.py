@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.functions import kernels
-from trialframe.operators import trees
+from trialframe.operators import ir, trees
 from trialframe.plans.sequence_queries import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,17 +79,42 @@ def set_retention(spark, d):
     return held.select("tree_id", F.round(trees.set_retention(F.col("a"), F.col("b")), 6).alias("retention"))
 
 
-@query(f"WITH {_NODES} SELECT tree_id, sha256(string_agg(kind, ',' ORDER BY node_id)) AS tree_hash FROM node GROUP BY ALL")
+# the way to a node in its heap by letters; its order is depth-first
+_WAY = f"""WITH RECURSIVE {_NODES}, way AS (SELECT tree_id, node_id, '' AS way FROM node WHERE parent_id IS NULL UNION ALL SELECT n.tree_id, n.node_id, way || CASE WHEN n.node_id % 2 = 1 THEN 'a' ELSE 'b' END FROM node n JOIN way ON n.tree_id = way.tree_id AND n.parent_id = way.node_id),
+ kid AS (SELECT tree_id, parent_id AS node_id, count(*) AS arity FROM node WHERE parent_id IS NOT NULL GROUP BY ALL), w AS (SELECT way.*, kind, lo, coalesce(arity, 0) AS arity FROM way JOIN node USING (tree_id, node_id) LEFT JOIN kid USING (tree_id, node_id)),
+ sub AS (SELECT v.tree_id, v.node_id, v.way, count(*) AS size, sum(x.lo)::BIGINT AS lo_below, string_agg(substr(x.way, length(v.way) + 1) || x.kind, ',' ORDER BY x.way) AS shape FROM w v JOIN w x ON x.tree_id = v.tree_id AND starts_with(x.way, v.way) GROUP BY ALL)"""
+
+
+@query(f"{_WAY} SELECT tree_id, sha256(string_agg(length(kind) || ':' || kind || '/' || arity, ',' ORDER BY way)) AS tree_hash FROM w GROUP BY ALL")
 def canonical_hash(spark, d):
-    from trialframe.operators.sequences import in_order
+    return trees.tree_hashes(trees.euler_order(nodes(spark, d)), F.col("kind"))
+
+
+@query(f"{_WAY} SELECT tree_id, node_id, row_number() OVER (PARTITION BY tree_id ORDER BY way) - 1 AS pre, size, length(way) AS depth, lo_below FROM sub")
+def euler_order(spark, d):
+    """Place in depth-first order, size and depth of every node, and a sum over its subtree."""
+    return trees.subtree_sums(trees.euler_order(nodes(spark, d)), "lo", "lo_below").select("tree_id", "node_id", "pre", "size", "depth", "lo_below")
+
 
-    return nodes(spark, d).groupBy("tree_id").agg(F.sha2(F.array_join(in_order("kind", "node_id"), ",").cast("binary"), 256).alias("tree_hash"))
+@query(f"{_WAY}, least AS (SELECT shape, min((tree_id, node_id)) AS x FROM sub GROUP BY ALL) SELECT tree_id, node_id, x[1] AS class_tree, x[2] AS class_node FROM sub JOIN least USING (shape)")
+def equal_subtrees(spark, d):
+    """Every node with the first node whose subtree equals its own, over all trees."""
+    own = trees.subtree_hashes(trees.euler_order(nodes(spark, d)), F.col("kind")).select("tree_id", "node_id", "subtree_hash")
+    first = own.groupBy("subtree_hash").agg(F.min(F.struct("tree_id", "node_id")).alias("x"))
+    return own.join(first, "subtree_hash").select("tree_id", "node_id", F.col("x.tree_id").alias("class_tree"), F.col("x.node_id").alias("class_node"))
 
 
-@query("WITH t AS (SELECT item_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark) SELECT w, count(*) AS clauses FROM t GROUP BY ALL HAVING count(*) >= 2")
+@query(f"{_WAY}, ev AS (SELECT tree_id, way || '(' AS place, kind || '(' AS said FROM w UNION ALL SELECT tree_id, way || 'c', ')' FROM w) SELECT tree_id, string_agg(said, '' ORDER BY place) AS text FROM ev GROUP BY ALL")
+def rendered_trees(spark, d):
+    """Every heap tree as text, children inside their parent's brackets."""
+    return trees.rendered(trees.euler_order(nodes(spark, d)), F.concat("kind", F.lit("(")), F.lit(")"))
+
+
+@query("WITH c AS (SELECT item_id, unnest(string_split(text, ' ')) AS c FROM benchmark), t AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(c), '[a-z_][a-z0-9_]*'))) AS token FROM c) SELECT item_id, token, count(*) AS clauses FROM t GROUP BY ALL HAVING count(*) >= 2")
 def shared_identifiers(spark, d):
-    words = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    return words.groupBy("w").agg(F.count("*").alias("clauses")).where("clauses >= 2")
+    """Identifiers that two or more words of an item hold."""
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.explode(F.split("text", " ")).alias("clause"))
+    return ir.shared_tokens(words, "item_id", "clause")
 
 
 def _sources(spark, d) -> DataFrame:
@@ -110,12 +134,53 @@ def direct_recursion(spark, d):
     return trees.direct_recursion(trees.parse(_sources(spark, d), "tree_id", "source"))
 
 
-@query()
+def _records(spark, d):
+    """Typed sources, contracts and records for every part; contracts of large parts are missing, those of cheap ones are of another source, some have no postcondition."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    kind = F.when(size % 3 == 0, "builtins.int").when(size % 3 == 1, "builtins.list[builtins.int]").otherwise("Any")
+    info = F.struct(F.array(F.struct(F.lit("a").alias("name"), kind.alias("mypy_type"))).alias("params"), F.lit("builtins.int").alias("return_type"))
+    typed = p.select(key.alias("func_id"), F.concat(F.lit("h"), key).alias("source_hash"), F.lit("typed_ast-v1").alias("record_format"), info.alias("type_info"))
+    none = F.array().cast("array<string>")
+    own = F.concat(F.when(F.col("p_retailprice") < 902, "x").otherwise("h"), key)
+    post = F.when(size % 7 != 0, F.array(F.concat(F.lit("result   is below "), size.cast("string")), F.lit("a is kept, result is new"))).otherwise(none)
+    contracts = p.where("p_size <= 45").select(key.alias("func_id"), own.alias("source_hash"), F.lit("contract-reviewed-v1").alias("record_format"), F.array(F.lit("a is given")).alias("preconditions"), post.alias("postconditions"), none.alias("invariants"))
+    return typed, contracts
+
+
+@query("""SELECT 'contract_missing' AS rule_id, p_partkey::VARCHAR AS key FROM part WHERE p_size > 45 UNION ALL SELECT 'hash_mismatch', p_partkey::VARCHAR FROM part WHERE p_size <= 45 AND p_retailprice < 902
+ UNION ALL SELECT 'contract.postcondition_given', p_partkey::VARCHAR FROM part WHERE p_size <= 45 AND p_size % 7 = 0""")
+def record_violations(spark, d):
+    return ir.assemble(*_records(spark, d))[1].select("rule_id", "key")
+
+
+_FITS = "p_size <= 45 AND p_size % 7 <> 0 AND p_retailprice >= 902"
+_TYPE = "CASE p_size % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'list[int]' ELSE 'Any' END"
+_BODY = "CASE WHEN p_partkey % 3 = 0 THEN '    return f(a - 1) if a else 0' ELSE '    x = a * ' || p_partkey % 10 || chr(10) || '    return x' END"
+
+
+def _annotated(spark, d):
+    records, _ = ir.assemble(*_records(spark, d))
+    held = trees.parse(_sources(spark, d), "tree_id", "source")
+    parts = trees.to_source(held).select(F.col("tree_id").alias("func_id"), "imports", "body")
+    text = ir.annotated_text(F.concat(F.lit("f"), F.col("func_id")), F.col("type_info"), F.col("contracts"), F.col("imports"), F.col("body"))
+    return records, held, records.join(parts, "func_id").select("func_id", text.alias("text"))
+
+
+@query(f"""SELECT p_partkey::VARCHAR AS func_id, array_to_string([CASE WHEN p_size % 3 = 2 THEN 'from typing import Any' || chr(10) END, 'def f' || p_partkey || '(a: ' || {_TYPE} || ') -> int:', '    \"\"\"', '    Preconditions:', '    - a is given', '', '    Postconditions:', '    - result   is below ' || p_size, '    - a is kept, result is new', '', '    Invariants:', '    - None.', '    \"\"\"', {_BODY}, ''], chr(10)) AS text
+ FROM part WHERE {_FITS} AND p_partkey % 8 <> 0""")
+def annotated_sources(spark, d):
+    """The sources of parts, through the node table, as text with types and contracts."""
+    return _annotated(spark, d)[2]
+
+
+# what the text keeps is known: all but the hash, as the docstring and the annotations are new nodes; sources that don't parse have no text
+@query(f"SELECT p_partkey::VARCHAR AS func_id, 1.0::DOUBLE AS node_kinds, 1.0::DOUBLE AS edges, 1.0::DOUBLE AS types, 1.0::DOUBLE AS preconditions, 1.0::DOUBLE AS postconditions, 1.0::DOUBLE AS invariants, 1.0::DOUBLE AS cross_references, false AS hash_agrees FROM part WHERE {_FITS} AND p_partkey % 8 <> 0")
 def round_trip(spark, d):
-    again = trees.normal_source()
-    own = _sources(spark, d).withColumn("again", again(F.col("source")))
-    own = own.withColumn("similarity", kernels.similarity_column()(F.col("source"), F.col("again")))
-    return own.agg(F.count("again").alias("n"), F.round(F.avg(F.when(F.col("again").isNotNull(), F.col("similarity"))), 4).alias("mean"), F.min(F.when(F.col("again").isNotNull(), F.col("similarity"))).alias("least"), F.count_if(F.trim("source") == F.col("again")).alias("same"))
+    """Source to nodes to annotated text to nodes, and what was kept of every record."""
+    records, held, texts = _annotated(spark, d)
+    again = trees.parse(texts, "func_id", "text")
+    return ir.recovery(records.join(texts.select("func_id"), "func_id", "left_semi"), held, trees.to_source(again), again)
 
 
 @query(f"""WITH RECURSIVE {_NODES}, up AS (SELECT tree_id, node_id, node_id AS a, 0::BIGINT AS d FROM node UNION ALL SELECT up.tree_id, up.node_id, n.parent_id, d + 1 FROM up JOIN node n ON n.tree_id = up.tree_id AND n.node_id = up.a WHERE n.parent_id IS NOT NULL),
