@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialframe.operators import manifest as mf
 from trialframe.operators import workflow as wf
 from trialframe.plans.trials import HYPOTHESES, ORDER, hypotheses, scores, trials
 from trialframe.plans.trials import _SCORES, _TRIALS
@@ -259,3 +260,84 @@ def representation_paths(spark, d):
     k = F.col("p_size") % 3
     condition = F.when(k == 0, "C2").when(k == 1, "C1+").otherwise("C1")
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", representation_path(F.concat(F.lit("u"), F.col("p_partkey").cast("string")), condition, F.when(k == 1, "T2").otherwise("T1")).alias("path"))
+
+
+# -- the manifest: a unit for each part; what is wrong follows from sizes and prices ----------------
+def _manifest(spark, d) -> dict[str, DataFrame]:
+    p = spark.read.parquet(f"{d}/part.parquet")
+    size, unit = F.col("p_size"), F.concat(F.lit("u"), F.col("p_partkey").cast("string"))
+    own = F.sha2(F.col("p_name"), 256)
+    stored = F.when(size % 11 == 0, "wrong").otherwise(own)
+    path = lambda what: F.concat(F.lit(f"{what}/"), unit)
+    m = lambda **x: F.map_from_arrays(F.array(*(F.lit(k.replace("1p", "1+")) for k in x)), F.array(*x.values()))
+    typed = size % 3 != 0
+    task = lambda able, ref: F.struct(able.alias("available"), ref.alias("ground_truth_ref"))
+    none = F.lit(None).cast("string")
+    can = lambda bad, word: F.when(bad, word).otherwise("eligible")
+    items = p.select(
+        unit.alias("func_id"), stored.alias("source_hash"), F.when(size == 50, "odd").when(size % 4 < 2, "included").when(size % 4 == 2, "excluded").otherwise("deferred").alias("inclusion_status"), F.when(size < 10, "pilot").otherwise("full").alias("dataset_tier"),
+        F.struct(can(size % 5 == 0, "ineligible").alias("non_recursive"), can(size % 6 == 0, "unknown").alias("single_function")).alias("eligibility"),
+        m(raw_source=path("raw"), annotated_text=F.when(size % 2 == 0, path("annotated")), ast=path("ast"), typed_ast=F.when(typed, path("typed")), ir=F.when(typed, path("ir"))).alias("artifacts"),
+        m(C1=F.lit(True), C1p=(size % 2 == 0) | (size % 13 == 0), C2=F.lit(True), C3=typed, C4=typed).alias("representations"),
+        m(T1=task(F.lit(True), path("t1")), T2=task((size % 2 == 0) | (size % 17 == 0), F.when(size % 2 == 0, path("t2"))), T3=task(F.lit(False), none)).alias("tasks"),
+        m(raw_source_hash=stored, ast_source_hash=own, typed_ast_source_hash=F.when(typed, own), ir_source_hash=F.when(typed, own), t1_source_hash=F.when(size % 19 != 0, stored)).alias("lineage"),
+    )
+    made = [p.where(keep).select(path(w).alias("path"), own.alias("source_hash")) for w, keep in (("annotated", size % 2 == 0), ("ast", size % 23 != 0), ("typed", typed), ("ir", typed & (size % 7 != 0)))]
+    artifacts = made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+    truth = lambda task, keep, kind, of: p.where(keep).select(path(task).alias("path"), F.lit(kind).alias("record_format"), of.alias("func_id"), own.alias("source_hash"))
+    truths = truth("t1", size > 0, "t1-checklist-v1", F.when(size % 29 == 0, "other").otherwise(unit)).unionByName(truth("t2", (size % 2 == 0) & (size % 31 != 0), "t3-transform-v1", unit))
+    facts = p.select(unit.alias("func_id"), (size % 10 != 0).alias("non_recursive"), F.lit(True).alias("single_function"))
+    return {"items": items, "sources": p.select(path("raw").alias("path"), F.col("p_name").alias("text")), "artifacts": artifacts, "truths": truths, "facts": facts}
+
+
+def _rules_sql(*rules: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS rule_id, 'u' || p_partkey AS key FROM part WHERE {when}" for n, when in rules)
+
+
+@query(_rules_sql(("inclusion_known", "p_size = 50"), ("shown_iff_held_C1+", "p_size % 13 = 0 AND p_size % 2 = 1"), ("truth_iff_available_T2", "p_size % 17 = 0 AND p_size % 2 = 1"),
+    ("included_is_non_recursive", "p_size <> 50 AND p_size % 4 < 2 AND p_size % 5 = 0"), ("included_is_single_function", "p_size <> 50 AND p_size % 4 < 2 AND p_size % 6 = 0")))
+def manifest_items(spark, d):
+    """Items that break a rule by themselves."""
+    return mf.item_violations(_manifest(spark, d)["items"]).select("rule_id", "key")
+
+
+@query(_rules_sql(("path_ast", "p_size % 23 = 0"), ("path_ir", "p_size % 3 <> 0 AND p_size % 7 = 0"), ("source_hash", "p_size % 11 = 0"), ("claims_non_recursive", "p_size % 5 = 0 AND p_size % 10 <> 0"), ("truth_unit_T1", "p_size % 29 = 0"), ("truth_hash_T1", "p_size % 11 = 0"),
+    ("truth_missing_T2", "p_size % 62 = 0"), ("truth_format_T2", "p_size % 2 = 0 AND p_size % 31 <> 0"), ("truth_hash_T2", "p_size % 22 = 0 AND p_size % 31 <> 0")))
+def manifest_references(spark, d):
+    """Items against the sources, artifacts, truths and facts they name."""
+    m = _manifest(spark, d)
+    return mf.reference_violations(m["items"], m["sources"], m["artifacts"], m["truths"], m["facts"]).select("rule_id", "key")
+
+
+@query(_rules_sql(("lineage_ast_source_hash", "p_size % 23 = 0"), ("lineage_ir_source_hash", "p_size % 3 <> 0 AND p_size % 7 = 0"), ("lineage_t1_source_hash", "p_size % 19 = 0 OR p_size % 11 = 0")))
+def manifest_lineage(spark, d):
+    """Lineage hashes that aren't those of what they name."""
+    m = _manifest(spark, d)
+    return mf.lineage_violations(m["items"], m["artifacts"], m["truths"]).select("rule_id", "key")
+
+
+# an input for every lineitem: its part is the unit, its return flag the task; quantities say which responses exist
+_INPUTS = """i AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS ref, 'u' || (l_partkey + CASE WHEN l_linenumber = 7 THEN 10000000 ELSE 0 END) AS unit, CASE l_returnflag WHEN 'A' THEN 'T1' WHEN 'N' THEN 'T2' ELSE 'T3' END AS task, l_quantity AS q, p_size, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+def _scorer_inputs(spark, d):
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    ref = F.concat_ws("-", *(F.col(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")))
+    unit = F.concat(F.lit("u"), (F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 10_000_000).otherwise(0)).cast("string"))
+    task = F.when(F.col("l_returnflag") == "A", "T1").when(F.col("l_returnflag") == "N", "T2").otherwise("T3")
+    inputs = x.select(F.lit(mf.INPUT_TAG).alias("record_format"), unit.alias("func_id"), task.alias("task"), F.lit("C1+").alias("condition"), F.col("l_linestatus").alias("model_id"), ref.alias("response_ref"))
+    return mf.scorer_inputs(inputs, _manifest(spark, d)["items"], x.where("l_quantity >= 5").select(ref.alias("path")))
+
+
+@query(f"""WITH {_INPUTS}, a AS (SELECT *, task = 'T1' OR task = 'T2' AND (p_size % 2 = 0 OR p_size % 17 = 0) AS able FROM i),
+ r AS (SELECT ref AS key, unnest([CASE WHEN l_linenumber = 7 THEN 'unit_unknown' END, CASE WHEN l_linenumber <> 7 AND NOT able THEN 'task_unavailable' END, CASE WHEN l_linenumber <> 7 AND task = 'T2' AND able AND p_size % 2 = 1 THEN 'truth_unset' END, CASE WHEN q < 5 THEN 'response_missing' END]) AS rule_id FROM a)
+ SELECT rule_id, count(*) AS n, min(key) AS first_key FROM r WHERE rule_id IS NOT NULL GROUP BY ALL""")
+def scorer_input_violations(spark, d):
+    """Why inputs can't be scored, with counts."""
+    return _scorer_inputs(spark, d)[1].groupBy("rule_id").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+
+
+@query(f"WITH {_INPUTS} SELECT ref AS response_ref, lower(task) || '/' || unit AS ground_truth_ref, CASE WHEN p_size % 11 = 0 THEN 'wrong' ELSE sha256(p_name) END AS source_hash FROM i JOIN part USING (p_size) WHERE l_linenumber <> 7 AND q >= 5 AND 'u' || p_partkey = unit AND (task = 'T1' OR task = 'T2' AND p_size % 2 = 0)")
+def scorer_input_lookup(spark, d):
+    """Inputs that can be scored, with their truth and source hash from the manifest."""
+    return _scorer_inputs(spark, d)[0].select("response_ref", "ground_truth_ref", "source_hash")
