@@ -174,13 +174,14 @@ def splice(source: Column, start: Column, end: Column, fix: Column) -> Column:
 
 
 def code_candidate(response: Column, name: Column) -> Column:
-    """The fenced block that defines the function, else the first one, blocks tagged python before others; null without a block."""
+    """The fenced block that defines the function, else the first one, blocks tagged python before others; without a block the function's text in the prose, up to the next one; else null."""
     text = F.coalesce(response, F.lit(""))
     tagged = F.regexp_extract_all(text, F.lit(r"(?s)```(?:python|py)\s*\n(.*?)```"), F.lit(1))
     plain = F.regexp_extract_all(text, F.lit(r"(?s)```\s*\n(.*?)```"), F.lit(1))
-    blocks = F.when(F.size(tagged) > 0, tagged).otherwise(plain)
+    blocks = F.concat(tagged, plain)
     own = F.filter(blocks, lambda b: b.contains(F.concat(F.lit("def "), name, F.lit("("))))
-    return F.regexp_replace(F.coalesce(F.get(own, 0), F.get(blocks, 0)), r"^\s+|\s+$", "")
+    prose = F.regexp_substr(text, F.concat(F.lit(r"(?s)def\s+\Q"), name, F.lit(r"\E\s*\(.*?(?=\ndef\s|\z)")))
+    return F.regexp_replace(F.coalesce(F.get(own, 0), F.get(blocks, 0), prose), r"^\s+|\s+$", "")
 
 
 # -- types, documents, results ------------------------------------------------------------------

@@ -141,3 +141,35 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 
 def dense_place(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+# What an item in a state must have written.
+EXPECTED = {"completed": ("prompt", "response", "score"), "running": ("prompt",)}
+
+
+def sorted_json(m: Column) -> Column:
+    """A map of numbers as JSON with its keys in order; null for null."""
+    entries = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(": "), e["value"].cast("string")))
+    return F.when(m.isNotNull(), F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")))
+
+
+def export_table(run_id: Column, ledger: DataFrame, payloads: DataFrame, files: DataFrame, expected: dict[str, Sequence[str]] = EXPECTED) -> DataFrame:
+    """The long export, 26 columns: each item with its state, the files it should have and what its score file says.
+
+    ``payloads`` (path, status, failure_reason, subscores, evidence) are the score files that could be read, ``files`` (path) all that exist.
+    The files of an item are met by one join over (item, kind, path), its score file by another.
+    """
+    kinds = ("prompt", "response", "score")
+    paths = ledger.select("item_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}_path").alias("path")) for k in kinds))).alias("x")).select("item_id", "x.*").where("path IS NOT NULL")
+    there = paths.join(files.select("path").distinct(), "path", "left_semi").groupBy("item_id").agg(F.collect_set("kind").alias("__there"))
+    score = payloads.select(F.col("path").alias("score_path"), F.struct("status", "failure_reason", "subscores", "evidence").alias("__score"))
+    rows = ledger.join(there, "item_id", "left").join(score, "score_path", "left").withColumn("__there", F.coalesce("__there", F.array().cast("array<string>")))
+    should = F.coalesce(*(F.when(F.col("status") == s, F.array(*map(F.lit, ks))) for s, ks in expected.items()), F.array().cast("array<string>"))
+    missing = F.filter(should, lambda k: ~F.array_contains(F.col("__there"), k))
+    return rows.select(
+        run_id.alias("run_id"), "item_id", "model", F.col("func_id").alias("function"), "task", "condition", F.col("status").alias("item_status"), "started_at", "finished_at", "attempt_count",
+        *(F.col(f"{k}_path").alias(f"{k}_artifact_path") for k in kinds), *(F.array_contains("__there", k).alias(f"{k}_artifact_exists") for k in kinds), "score",
+        F.col("__score.status").alias("scorer_status"), F.col("__score.failure_reason.code").alias("scorer_failure_reason_code"), F.col("__score.failure_reason.message").alias("scorer_failure_reason_message"),
+        sorted_json(F.col("__score.subscores")).alias("score_subscores_json"), F.col("__score.evidence").alias("score_evidence_json"),
+        F.col("failure_reason.code").alias("execution_failure_reason_code"), F.col("failure_reason.message").alias("execution_failure_reason_message"), "skip_reason", F.to_json(missing).alias("missing_expected_artifacts_json"),
+    )

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.plans import sequence_queries, state_queries, text_queries, tree_queries, trials, workflow_queries
+from trialframe.plans import scoring_queries, sequence_queries, state_queries, text_queries, tree_queries, trials, workflow_queries
 
-MODULES = (trials, sequence_queries, text_queries, tree_queries, workflow_queries, state_queries)
+MODULES = (trials, sequence_queries, text_queries, tree_queries, workflow_queries, state_queries, scoring_queries)
 
 
 def _wide(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
