@@ -141,13 +141,33 @@ def test_audio_validators():
         assert not media.carve(f[:-1])
 
 
-def test_magics_in_great_numbers_take_linear_time():
+@pytest.mark.parametrize("kind", range(len(media.SIGNATURES)))
+def test_magics_in_great_numbers_take_linear_time(kind):
+    """A megabyte of each magic, bare, among text, and as a header that promises more."""
     import time
 
-    for magic in (b"%PDF-1 ", b"PK\x03\x04 ", b"startxref %PDF-1 "):
+    magic, name, offset = media.SIGNATURES[kind]
+    headers = {"video/mp4": b"\0\0\0\x08ftyp", "application/gzip": magic + b"\x08\0\0\0\0\0\0" + b"n", "application/pdf": b"startxref %PDF-1 ", "riff": b"RIFF\xff\xff\0\0WAVEdata\x02\0\0\0ab", "image/jpeg": b"\xff\xd8\xff\xe0\0\x04ab", "image/png": magic + b"\0\0\0\0IDAT\0\0\0\0", "audio/ogg": b"OggS\0\x02" + bytes(20) + b"\x01\x01a"}
+    for unit in (bytes(offset) + magic, bytes(offset) + magic + b" abc ", headers.get(name, magic + bytes(26))):
         start = time.time()
-        media.carve(magic * 60_000)
-        assert time.time() - start < 5
+        media.carve(unit * (1_000_000 // len(unit)) + b"\0")
+        assert time.time() - start < 5, (name, unit)
+
+
+def test_gzip_members():
+    """Headers with names, comments, extra fields; a wrong checksum or length is no member."""
+    import gzip
+    import io
+
+    out = io.BytesIO()
+    with gzip.GzipFile("a name", "wb", fileobj=out, mtime=0) as f:
+        f.write(b"text " * 100_000)
+    named = out.getvalue()
+    bare = gzip.compress(b"abc", mtime=0)
+    extra = bare[:3] + b"\x16" + bare[4:10] + b"\x02\0xy" + b"note\0" + b"hc" + bare[10:]
+    for member in (named, bare, extra):
+        assert [x[:3] for x in media.carve(b"pre" + member + b"post")] == [("application/gzip", 3, 3 + len(member))]
+        assert media.carve(member[:-8] + b"\0" * 4 + member[-4:]) == [] and media.carve(member[:-1] + b"\7") == [] and media.carve(member[:-9]) == []
 
 
 def test_media_digest(spark, odd, empty):

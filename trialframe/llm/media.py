@@ -43,6 +43,8 @@ class Finder:
     def __init__(self, content: bytes) -> None:
         self.content = content
         self.known: dict[bytes, tuple[int, int]] = {}
+        self.boxes: dict[int, tuple] = {}
+        self.members: dict[int, int | None] = {}
 
     def __call__(self, what: bytes, at: int) -> int:
         start, found = self.known.get(what, (len(self.content) + 1, -1))
@@ -238,34 +240,64 @@ def _zip(b: bytes, at: int, find: Finder):
     return "application/zip", p + 22 + comment, at, at + offset
 
 
-def _gzip(b: bytes, at: int, find: Finder):
-    inflate, p = zlib.decompressobj(31), at
+def _inflated(b: bytes, p: int) -> int | None:
+    """The end of a gzip member whose compressed data begin at ``p``, if checksum and length agree; read in pieces, so that a bomb costs no memory."""
+    inflate, crc, size, piece = zlib.decompressobj(-15), 0, 0, 1 << 10
     try:
-        while not inflate.eof and p < len(b):  # in pieces, so that a bomb costs no memory
-            inflate.decompress(b[p : p + 65536], 1 << 20)
-            while inflate.unconsumed_tail:
-                inflate.decompress(inflate.unconsumed_tail, 1 << 20)
-            p += 65536
+        while not inflate.eof and p < len(b):
+            data = b[p : p + piece]
+            p += len(data)
+            piece = min(2 * piece, 1 << 16)
+            while data and not inflate.eof:
+                out = inflate.decompress(data, 1 << 20)
+                crc, size, data = zlib.crc32(out, crc), size + len(out), inflate.unconsumed_tail
     except zlib.error:
         return None
-    if not inflate.eof:
+    end = p - len(inflate.unused_data)
+    if not inflate.eof or b[end : end + 8] != struct.pack("<II", crc, size & 0xFFFFFFFF):
         return None
-    end = min(p, len(b)) - len(inflate.unused_data)
-    return "application/gzip", end, at + 10, end - 8
+    return end + 8
 
 
-def _mp4(b: bytes, at: int, find: Finder):
-    p, kinds, data = at, [], None
-    while p + 8 <= len(b):
+def _gzip(b: bytes, at: int, find: Finder):
+    p = at + 10
+    if p > len(b) or (flags := b[at + 3]) & 0xE0:
+        return None
+    if flags & 4:
+        p += 2 + int.from_bytes(b[p : p + 2], "little")
+    for bit in (8, 16):  # a name and a comment, each up to a zero byte
+        if flags & bit:
+            if (p := find(b"\0", p) + 1) == 0:
+                return None
+    p += flags & 2
+    if p not in find.members:
+        find.members[p] = _inflated(b, p)
+    end = find.members[p]
+    return end and ("application/gzip", end, at + 10, end - 8)
+
+
+def _boxes(b: bytes, at: int, seen: dict[int, tuple]) -> tuple:
+    """Where the chain of boxes from ``at`` ends, and the extent of its last ``mdat``; every place is walked once for all chains."""
+    path, p = [], at
+    while p not in seen:
         n, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
-        if n < 8 or p + n > len(b) or not kind.isalnum():
-            break
-        kinds.append(kind)
-        data = (p + 8, p + n) if kind == b"mdat" else data
-        p += n
-    if kinds[:1] != [b"ftyp"] or data is None:
+        if p + 8 > len(b) or n < 8 or p + n > len(b) or not kind.isalnum():
+            seen[p] = p, None
+        else:
+            path.append((p, n, kind))
+            p += n
+    end, data = seen[p]
+    for q, n, kind in reversed(path):
+        data = (q + 8, q + n) if data is None and kind == b"mdat" else data
+        seen[q] = end, data
+    return seen[at]
+
+
+def _mp4(b: bytes, at: int, find: Finder):
+    end, data = _boxes(b, at, find.boxes)
+    if b[at + 4 : at + 8] != b"ftyp" or end == at or data is None:
         return None
-    return "video/mp4", p, *data
+    return "video/mp4", end, *data
 
 
 _VALIDATE = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "riff": _riff, "audio/flac": _flac, "audio/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "video/mp4": _mp4}
