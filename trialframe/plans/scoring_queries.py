@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.functions import text as t
+from trialframe.sources import runs
+from trialframe.sources.scratch import shared_dir
 from trialframe.operators import rules, workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +134,53 @@ def export_table(spark, d):
     bad = size % 16 == 8
     payloads = p.where("p_size % 8 = 0").select(F.concat(F.lit("s/"), unit).alias("path"), F.when(bad, "parse_failure").otherwise("ok").alias("status"), F.when(bad, F.struct(F.lit("c").alias("code"), F.lit('m "q"').alias("message"))).alias("failure_reason"), F.when(~bad, F.create_map(F.lit("location"), F.lit(0), F.lit("fix"), F.lit(1))).alias("subscores"), F.concat(F.lit('{"n": '), size.cast("string"), F.lit("}")).alias("evidence"))
     return workflow.export_table(F.lit("run1"), ledger, payloads, files)
+
+
+# a run for each return flag, a record for each lineitem; records of small quantities have another tag, those of large discounts failed
+def _runs(spark, d) -> DataFrame:
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    failed = F.col("l_discount") > 0.08
+    rows = x.select(
+        F.when(F.col("l_quantity") < 3, "other-v1").otherwise(runs.SCORE_TAG).alias("record_format"), F.concat(F.lit("u"), F.col("l_partkey").cast("string")).alias("func_id"), F.lit("T1").alias("task"), F.lit("C1").alias("condition"), F.col("l_linestatus").alias("model_id"),
+        (F.col("l_quantity") / 50).alias("score"), F.when(failed, "execution_failure").otherwise("ok").alias("status"), F.when(failed, F.struct(F.lit("module_load_failure").alias("code"), F.lit("m").alias("message"))).alias("failure_reason"), F.concat(F.lit("run"), "l_returnflag").alias("run_id"))
+    path = f"{shared_dir(spark)}/tf-runs-{uuid.uuid4().hex}"
+    runs.write_runs(rows, path)
+    x.where("l_linenumber = 7").select(F.concat(F.lit("{broken "), F.col("l_partkey").cast("string")).alias("value"), F.concat(F.lit("run"), "l_returnflag").alias("run_id")).write.mode("append").partitionBy("run_id").text(path)
+    return runs.scan_runs(spark, path)
+
+
+@query("""SELECT 'run' || l_returnflag AS run_id, model_id, count(*) AS n, sum(q)::BIGINT AS total FROM (SELECT l_returnflag, l_linestatus AS model_id, l_quantity AS q FROM lineitem WHERE l_quantity >= 3 AND l_returnflag IN ('A', 'R')) GROUP BY ALL""")
+def score_files(spark, d):
+    """Two runs of the table of score files, through files; the other run's folder isn't read."""
+    rows = runs.usable(_runs(spark, d).where(F.col("run_id").isin("runA", "runR")))
+    return rows.groupBy("run_id", "model_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 50).cast("bigint")).alias("total"))
+
+
+@query("""SELECT rule_id, run_id, count(*) AS n FROM (SELECT 'tag' AS rule_id, 'run' || l_returnflag AS run_id FROM lineitem WHERE l_quantity < 3 UNION ALL SELECT 'corrupt', 'run' || l_returnflag FROM lineitem WHERE l_linenumber = 7
+ UNION ALL SELECT 'scorer_failed', 'run' || l_returnflag FROM lineitem WHERE l_quantity >= 3 AND l_discount > 0.08) GROUP BY ALL""")
+def score_file_violations(spark, d):
+    """What is wrong in the files: broken lines, other tags, scorers that failed."""
+    rows = _runs(spark, d)
+    wrong = runs.unusable(rows).unionByName(runs.not_ok(rows).drop("code"))
+    return wrong.groupBy("rule_id", F.substring_index("key", "/", 1).alias("run_id")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE o_orderkey % 4 WHEN 0 THEN 'T1' WHEN 1 THEN 'T2' WHEN 2 THEN 'T3' ELSE 'T9' END AS task, CASE WHEN o_orderkey % 4 = 3 THEN 'scoring_error' WHEN o_orderkey % 4 = 0 AND o_custkey % 2 = 0 THEN 'invalid_response' WHEN o_orderkey % 4 = 2 AND o_custkey % 2 = 0 THEN 'parse_failure' ELSE 'ok' END AS status,
+ count(*) AS n, round(sum(CASE WHEN o_orderkey % 4 = 1 THEN o_custkey % 3 WHEN o_orderkey % 4 = 2 AND o_custkey % 2 = 1 THEN 0.5 WHEN o_orderkey % 4 = 0 AND o_custkey % 2 = 1 THEN 1 ELSE 0 END), 6)::DOUBLE AS total FROM orders GROUP BY ALL""")
+def task_dispatch(spark, d):
+    """Answers of three tasks through their scorers, those of an unknown task as errors."""
+    k, odd = F.col("o_orderkey") % 4, F.col("o_custkey") % 2 == 1
+    task = F.element_at(F.array(*map(F.lit, ("T1", "T2", "T3", "T9"))), (k + 1).cast("int"))
+    said = F.when(k == 0, F.when(odd, "the total rises").otherwise(" ")).when(k == 2, F.when(odd, "```python\ndef g(): pass\n```").otherwise("none"))
+    x = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"), task.alias("task"), F.lit("u").alias("unit"), F.lit("g").alias("name"), said.alias("said"), (F.col("o_custkey") % 3).alias("parts"))
+    properties = spark.createDataFrame([("u", "The total rises")], "unit string, statement string")
+    results = lambda df: df.select("key", F.lit(1).alias("passed"), F.lit(2).alias("total"), F.lit("").alias("error"))
+    scorers = {"T1": lambda df: rules.checklist_scores(df, properties), "T2": lambda df: df.select("key", F.col("parts").alias("score"), F.lit("ok").alias("status")), "T3": lambda df: rules.transform_scores(df, results(df))}
+    return runs.dispatched(x, scorers).groupBy("task", "status").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+
+
+@query("SELECT b AS backend, count(*) AS n FROM (SELECT CASE p_size % 5 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai' WHEN 2 THEN 'openai' WHEN 3 THEN 'openai' END AS b FROM part) GROUP BY ALL")
+def model_backends(spark, d):
+    k = F.col("p_size") % 5
+    name = F.when(k == 0, "claude-x").when(k == 1, "gpt-4").when(k == 2, "o3").when(k == 3, "o4-mini").otherwise(F.concat(F.lit("Claude-"), "p_brand"))
+    return spark.read.parquet(f"{d}/part.parquet").groupBy(runs.backend(name).alias("backend")).agg(F.count("*").alias("n"))
