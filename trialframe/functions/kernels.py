@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import math
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
@@ -203,3 +204,29 @@ def similarity_column():
         return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
     return ratio
+
+
+def _plain_function(source: str | None, name: str) -> str | None:
+    """The dump of a function without its docstring, decorators and return annotation; None without the function."""
+    try:
+        found = next((x for x in ast.walk(ast.parse(source or "")) if isinstance(x, ast.FunctionDef) and x.name == name), None)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+    if found is None:
+        return None
+    body = found.body[ast.get_docstring(found, clean=False) is not None :] or [ast.Pass()]
+    return ast.dump(ast.fix_missing_locations(ast.FunctionDef(name=found.name, args=found.args, body=body, decorator_list=[], returns=None, type_comment=None)))
+
+
+def structure_column():
+    """A column function of two sources and a function's name: (status, ast_equivalent, similarity); ``not_applicable`` where either lacks the function."""
+
+    @F.pandas_udf("status string, ast_equivalent boolean, similarity double")
+    def compare(a: pd.Series, b: pd.Series, name: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y, n in zip(a, b, name, strict=True):
+            p, q = _plain_function(x, n), _plain_function(y, n)
+            rows.append(("not_applicable", None, None) if p is None or q is None else ("ok", p == q, similarity(p, q)))
+        return pd.DataFrame(rows, columns=["status", "ast_equivalent", "similarity"])
+
+    return compare

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,22 +51,27 @@ def tokenize_arithmetic(s: Column, split_operators: bool = False) -> Column:
 def balanced_spans(s: Column, opening: str, closing: str, nested: bool = False) -> Column:
     """(start, end) of the outermost bracket pairs, or of all pairs, by start; unmatched brackets are passed over.
 
-    Only the places of brackets are folded over, with a stack of open ones.
+    A stack over each text in Arrow batches, linear in its length; a fold in SQL copies its stack and its result at every bracket.
     """
-    ch = F.split(s, "")
-    marks = F.filter(F.transform(ch, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda m: m["c"].isin(opening, closing))
-    empty = F.array().cast("array<int>")
-    none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(a: Column, m: Column) -> Column:
-        opens = m["c"] == opening
-        shut = ~opens & (F.size(a["stack"]) > 0)
-        span = F.struct(F.element_at(a["stack"], -1).alias("start"), m["i"].alias("end"))
-        wanted = shut if nested else shut & (F.size(a["stack"]) == 1)
-        stack = F.when(opens, F.concat(a["stack"], F.array(m["i"]))).when(shut, F.slice(a["stack"], F.lit(1), F.greatest(F.size(a["stack"]) - 1, F.lit(0)))).otherwise(a["stack"])
-        return F.struct(stack.alias("stack"), F.when(wanted, F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict] | None:
+            if text is None:
+                return None
+            stack, found = [], []
+            for i, c in enumerate(text):
+                if c == opening:
+                    stack.append(i)
+                elif c == closing and stack:
+                    start = stack.pop()
+                    if nested or not stack:
+                        found.append((start, i))
+            return [{"start": x, "end": y} for x, y in sorted(found)]
 
-    return F.sort_array(F.aggregate(marks, F.struct(empty.alias("stack"), none.alias("found")), step, lambda a: a["found"]))
+        return pd.Series([one(x) for x in texts], dtype=object)
+
+    return spans(s)
 
 
 # -- checklist scoring --------------------------------------------------------------------------
@@ -215,6 +221,66 @@ def outcome_counts(s: Column) -> Column:
     return F.struct(number("passed").alias("passed"), number("failed").alias("failed"))
 
 
+# What in a run's output tells of files, errors, issues and blockers.
+FILE_PATTERNS = (r"""(?i)(?:Created|Modified|Added|Wrote|Updated|Saved|Written)(?:\s+file)?\s*[:`]?\s*['"`]?([^\s'"`,]+\.[a-zA-Z]{1,10})['"`]?""", r"(?i)`([a-zA-Z0-9_./ -]+\.[a-zA-Z]{2,10})`")
+ERROR_SIGNS = ("traceback (most recent call last)", "syntaxerror", "nameerror", "importerror", "filenotfounderror", "error:", "failed to", "cannot proceed", "unable to")
+SUMMARY_HEADS = ("## Summary", "# Summary", "**Summary**", "Summary:")
+ISSUE_PATTERNS = (r"(?i)(?:TODO|FIXME|HACK):\s*(.+)", r"(?i)\[BLOCKING\]\s*(.+)", r"(?i)(?:Issue|Problem|Bug):\s*(.+)")
+BLOCKER_PATTERNS = (r"(?i)\[BLOCKING\]\s*(.+)", r"(?i)BLOCKED BY:\s*(.+)", r"(?i)Cannot proceed[,\s]+because[:\s]+(.+)", r"(?i)BLOCKER:\s*(.+)")
+#: What a report shows at most: files, issues, and characters of an issue, a blocker and a summary.
+MOST_FILES, MOST_ISSUES, ISSUE_CHARS, BLOCKER_CHARS, SUMMARY_CHARS = 20, 5, 120, 200, 400
+
+
+def _all(text: Column, patterns: tuple[str, ...]) -> Column:
+    return F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns))
+
+
+def run_report(output: Column) -> Column:
+    """What a run's output says: files (first seen first), tests_run, passed, failed, status, summary, issues, blocker.
+
+    A report is cut to what it shows (``MOST_FILES`` and the others beside it); the output itself is read whole.
+    """
+    text = F.coalesce(output, F.lit(""))
+    dots = lambda x: F.length(x) - F.length(F.replace(x, F.lit("."), F.lit("")))
+    files = F.filter(F.transform(_all(text, FILE_PATTERNS), lambda x: F.trim(x)), lambda x: x.contains("/") | (dots(x) == 1))
+    count = lambda what: F.try_to_number(F.nullif(F.regexp_extract(text, rf"(\d+)\s+{what}", 1), F.lit("")), F.lit("9" * 18)).cast("bigint")
+    passed, failed = count("passed"), count("failed")
+    ran = F.nullif(F.coalesce(passed, F.lit(0)) + F.coalesce(failed, F.lit(0)), F.lit(0).cast("bigint"))
+    low = F.lower(text)
+    trouble = F.lit(False)
+    for sign in ERROR_SIGNS:
+        trouble |= low.contains(sign)
+    status = F.when((F.coalesce(failed, F.lit(0)) > 0) | trouble, "partial").otherwise("success")
+    stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    sentences = lambda x: F.array_join(F.slice(F.filter(F.split(stripped(x), r"(?<=[.!?])\s+"), lambda y: stripped(y) != ""), 1, 3), " ")
+    told = [F.when(text.contains(h), F.nullif(F.substring(sentences(F.substring(text, F.instr(text, h) + len(h), F.length(text))), F.lit(1), F.lit(SUMMARY_CHARS)), F.lit(""))) for h in SUMMARY_HEADS]
+    lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: (x != "") & ~x.startswith("#"))
+    first = F.nullif(F.substring(F.array_join(F.slice(lines, 1, 3), " "), F.lit(1), F.lit(SUMMARY_CHARS)), F.lit(""))
+    issues = F.filter(F.transform(_all(text, ISSUE_PATTERNS), lambda x: F.substring(stripped(x), F.lit(1), F.lit(ISSUE_CHARS))), lambda x: x != "")
+    blocker = F.coalesce(*(F.get(F.regexp_extract_all(text, F.lit(p), F.lit(1)), 0) for p in BLOCKER_PATTERNS))
+    return F.struct(
+        F.slice(F.array_distinct(files), 1, MOST_FILES).alias("files"), ran.alias("tests_run"), passed.alias("passed"), failed.alias("failed"), status.alias("status"), F.coalesce(*told, first, F.lit("No summary available.")).alias("summary"),
+        F.slice(F.array_distinct(issues), 1, MOST_ISSUES).alias("issues"), F.substring(stripped(blocker), F.lit(1), F.lit(BLOCKER_CHARS)).alias("blocker"),
+    )
+
+
+def contract_errors(response: Column) -> Column:
+    """What is wrong with a response that should be a JSON object of three lists of strings, fenced or not: an array of texts, empty if it is one.
+
+    Elements are looked at as JSON texts, so a number in a list of strings is seen.
+    """
+    raw = F.from_json(strip_fence(response), "map<string,string>", {"mode": "PERMISSIVE"})
+    shape = lambda k: F.trim(raw[k])
+    items = lambda k: F.from_json(shape(k), "array<string>")
+    # each element as JSON again: a string that was quoted gives the list back, anything else doesn't
+    again = lambda k: F.regexp_replace(F.to_json(items(k)), r"\s", "") == F.regexp_replace(shape(k), r"\s", "")
+    named = [F.when(~F.map_contains_key(raw, k), f"missing required key: '{k}'").when(~F.coalesce(shape(k).startswith("["), F.lit(False)), f"'{k}' is not a JSON array").when(~F.coalesce(again(k), F.lit(False)), f"'{k}' contains non-string items") for k in ("preconditions", "postconditions", "invariants")]
+    found = F.array_compact(F.array(*named))
+    empty = F.array(F.lit("postconditions array is empty"))
+    none = F.array().cast("array<string>")
+    return F.when(raw.isNull(), F.array(F.lit("response is not a JSON object"))).when(F.size(found) > 0, found).when(F.size(items("postconditions")) == 0, empty).otherwise(none)
+
+
 def close_to(a: Column, b: Column, rel: float = 1e-9, absolute: float = 1e-9) -> Column:
     return F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
 

@@ -177,9 +177,19 @@ def exploratory(diffs: DataFrame, by: Sequence[str], hypotheses: DataFrame, inte
 
 
 def upper_median(value: str) -> Column:
-    """The element at position n div 2 of the sorted values."""
-    held = F.sort_array(F.collect_list(value))
-    return F.element_at(held, (F.size(held) / 2).cast("int") + 1)
+    """The element at position n div 2 of the sorted values, from counts of distinct ones: the lower median of the negated values."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{value}`)")
+
+
+def demand_models(scores: DataFrame, keys: Sequence[str], required: int, value: str = "score") -> DataFrame:
+    """``cell_means`` where every cell must have ``required`` models; reading a cell that lacks one raises."""
+    lost = F.raise_error(F.concat(F.lit("models missing for "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))).cast("double")
+    return scores.groupBy(*keys).agg(F.when(F.count(value) == required, F.avg(value)).otherwise(lost).alias(value))
+
+
+def restrict_units(scores: DataFrame, units: DataFrame | None, key: str = "unit_id") -> DataFrame:
+    """The scores of the given units; of all without a list."""
+    return scores if units is None else scores.join(units.select(key).distinct(), key, "left_semi")
 
 
 def tie_mass(scores: DataFrame, by: Sequence[str], value: str = "score", digits: int = 4) -> DataFrame:

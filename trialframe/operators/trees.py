@@ -271,8 +271,20 @@ def tree_distance(pairs: DataFrame, nodes: DataFrame, rounds: int = 6) -> DataFr
 
 
 def smallest_covering(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For (tree_id, line) the node with the tightest span lo..hi around it: least width, then depth, then the first."""
-    hit = points.join(nodes.where("lo IS NOT NULL"), "tree_id").where(F.col("line").between(F.col("lo"), F.col("hi")))
+    """For (tree_id, line) the node with the tightest span lo..hi around it: least width, then depth, then the first.
+
+    Spans are cut at powers of two of their width, so that a span and a line meet in a bucket of the span's own level: a node has at
+    most two buckets, a line one for each level that its tree has, and no line meets all nodes of its tree.
+    """
+    level = lambda w: F.when(w < 1, 0).otherwise(F.floor(F.log2(F.greatest(w, F.lit(1)).cast("double"))) + 1).cast("int")
+    width = F.col("hi") - F.col("lo")
+    own = nodes.where("lo IS NOT NULL AND hi >= lo").select("tree_id", "node_id", "lo", "hi", "depth", level(width).alias("level"))
+    size = lambda k: F.expr(f"shiftleft(1L, {k})")
+    at = lambda x, k: F.floor(F.col(x) / size(k)).cast("long")
+    placed = own.select("*", F.explode(F.array_distinct(F.array(at("lo", "level"), at("hi", "level")))).alias("bucket"))
+    used = own.select("tree_id", "level").distinct()
+    asked = points.join(used, "tree_id").select("tree_id", "line", "level", at("line", "level").alias("bucket"))
+    hit = asked.join(placed, ["tree_id", "level", "bucket"]).where(F.col("line").between(F.col("lo"), F.col("hi")))
     return hit.groupBy("tree_id", "line").agg(F.min_by("node_id", F.struct((F.col("hi") - F.col("lo")).alias("w"), (-F.col("depth")).alias("d"), F.col("node_id"))).alias("node_id"))
 
 

@@ -291,7 +291,7 @@ def weighted_quality(spark, d):
     return x.select("l_suppkey", F.round(t.quality(tiers), 6).alias("quality"), F.round(t.quality([(p, q, 1) for p, q, _ in tiers]), 6).alias("fraction"))
 
 
-@query("SELECT o_orderkey, abs(o_totalprice - (o_totalprice + CASE o_orderkey % 2 WHEN 0 THEN 1e-12 ELSE 1 END)) < 0.5 AS same FROM orders")
+@query("SELECT o_orderkey, abs(o_totalprice - (o_totalprice + CASE o_orderkey % 2 WHEN 0 THEN 1e-12 ELSE 1 END)) <= greatest(1e-9 * greatest(abs(o_totalprice), abs(o_totalprice + CASE o_orderkey % 2 WHEN 0 THEN 1e-12 ELSE 1 END)), 1e-9) AS same FROM orders")
 def deep_equality(spark, d):
     other = F.col("o_totalprice") + F.when(F.col("o_orderkey") % 2 == 0, 1e-12).otherwise(1.0)
     return _read(spark, d, "orders").select("o_orderkey", t.close_to(F.col("o_totalprice"), other).alias("same"))

@@ -70,7 +70,7 @@ def smallest_covering_node(spark, d):
  SELECT a.tree_id, round(sum(least(a.n, coalesce(b.n, 0))) / sum(a.n), 6)::DOUBLE AS retention FROM a LEFT JOIN b USING (tree_id, kind) GROUP BY ALL""")
 def multiset_retention(spark, d):
     own = nodes(spark, d)
-    return trees.bag_retention(own.where("node_id % 2 = 0"), own.where("node_id % 2 = 1"), ["tree_id"], "kind").withColumn("retention", F.round("retention", 6))
+    return trees.bag_retention(own.where("node_id % 2 = 0"), own.where("node_id % 2 = 1"), ["tree_id"], "kind", own).withColumn("retention", F.round("retention", 6))
 
 
 @query(f"""WITH {_NODES}, x AS (SELECT DISTINCT tree_id, lo FROM node WHERE node_id < 20), y AS (SELECT DISTINCT tree_id, lo FROM node WHERE node_id >= 20) SELECT x.tree_id, round(count(y.lo) / count(*), 6) AS retention FROM x LEFT JOIN y ON x.tree_id = y.tree_id AND x.lo = y.lo GROUP BY ALL""")

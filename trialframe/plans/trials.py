@@ -126,14 +126,6 @@ def diff_summary(spark, sf_dir):
     return _differences(spark, sf_dir).groupBy("hypothesis", "task").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("n_pos"), F.count_if(F.col("d") < 0).alias("n_neg"), F.count_if(F.col("d") == 0).alias("n_tie"), F.percentile("d", 0.5).alias("median_diff"))
 
 
-@query(_diffs() + _tests() + """, p AS (SELECT hypothesis, task, round(0.5 * (1 - r_rb), 6) AS p FROM tests), k AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p, hypothesis, task) + 1 AS rest FROM p)
- SELECT hypothesis, task, p, round(max(least(1.0::DOUBLE, p * rest)) OVER (ORDER BY p, hypothesis, task ROWS UNBOUNDED PRECEDING), 6) AS holm_p,
- min(CASE WHEN p <= 0.45 / rest THEN 1 ELSE 0 END) OVER (ORDER BY p, hypothesis, task ROWS UNBOUNDED PRECEDING) = 1 AS holm_rejected FROM k""")
-def holm_family(spark, sf_dir):
-    tests = stats.signed_rank(_differences(spark, sf_dir), ["hypothesis", "task"]).select("hypothesis", "task", F.round(0.5 * (1 - F.col("r_rb")), 6).alias("p"))
-    return stats.holm(tests, "p", ["hypothesis", "task"], alpha=0.45).withColumn("holm_p", F.round("holm_p", 6))
-
-
 # p by other ways than ``stats``: the normal tail by Simpson's rule over 2,000 steps up to 9, exact p by a fold over the doubled ranks
 _P = """, z AS (SELECT *, n_pos + n_neg AS m FROM tests),
  z2 AS (SELECT *, CASE WHEN m >= 2 THEN (w_plus - m * (m + 1) / 4.0::DOUBLE) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - tie_term / 48.0::DOUBLE) END AS z FROM z),
@@ -145,6 +137,15 @@ _P = """, z AS (SELECT *, n_pos + n_neg AS m FROM tests),
  pv AS (SELECT nv.*, CASE WHEN m < 2 THEN NULL WHEN c IS NOT NULL THEN list_sum(c[(2 * w_plus)::BIGINT + 1:]) ELSE normal END AS p, CASE WHEN m < 2 THEN NULL ELSE least(1, 2 * least(CASE WHEN c IS NOT NULL THEN list_sum(c[(2 * w_plus)::BIGINT + 1:]) ELSE normal END, CASE WHEN c IS NOT NULL THEN list_sum(c[:(2 * w_plus)::BIGINT + 1]) ELSE 1 - normal END)) END AS p_two_sided FROM nv LEFT JOIN ex USING ({by}))"""
 
 
+@query(_diffs() + _tests() + _P.format(by="hypothesis, task") + """, k AS (SELECT *, coalesce(p, 1) AS q, count(*) OVER () - row_number() OVER (ORDER BY coalesce(p, 1), hypothesis, task) + 1 AS rest FROM pv)
+ SELECT hypothesis, task, round(p, 6) AS p, round(max(least(1.0::DOUBLE, q * rest)) OVER (ORDER BY q, hypothesis, task ROWS UNBOUNDED PRECEDING), 6) AS holm_p,
+ min(CASE WHEN q <= 0.45 / rest THEN 1 ELSE 0 END) OVER (ORDER BY q, hypothesis, task ROWS UNBOUNDED PRECEDING) = 1 AS holm_rejected FROM k""")
+def holm_family(spark, sf_dir):
+    """Corrected p-values and decisions at a level that some of the tests pass."""
+    tests = stats.signed_rank_tests(_differences(spark, sf_dir), ["hypothesis", "task"]).select("hypothesis", "task", "p")
+    return stats.holm(tests, "p", ["hypothesis", "task"], alpha=0.45).withColumns({"p": F.round("p", 6), "holm_p": F.round("holm_p", 6)})
+
+
 @query(_diffs() + _tests() + _P.format(by="hypothesis, task") + f""", k AS (SELECT *, coalesce(p, 1) AS q, count(*) OVER () - row_number() OVER (ORDER BY coalesce(p, 1), hypothesis, task) + 1 AS rest FROM pv)
  SELECT hypothesis, task, cond_a AS condition_A, cond_b AS condition_B, n_pairs AS n_complete_pairs, CASE WHEN m >= 2 THEN w_plus END AS wilcoxon_statistic, round(p, 6) AS p_value_one_sided, round(r_rb, 6) AS rank_biserial_r, round(max(least(1.0::DOUBLE, q * rest)) OVER o, 6) AS holm_p,
  min(CASE WHEN q <= 0.05 / rest THEN 1 ELSE 0 END) OVER o = 1 AS holm_bonferroni_rejected, CASE WHEN m < 2 THEN '{stats.INSUFFICIENT}' WHEN holm_bonferroni_rejected THEN '{stats.REJECT}' ELSE '{stats.KEEP}' END AS interpretation FROM k JOIN (VALUES {", ".join(map(str, HYPOTHESES))}) v(hypothesis, cond_a, cond_b) USING (hypothesis) WINDOW o AS (ORDER BY q, hypothesis, task ROWS UNBOUNDED PRECEDING)""")
@@ -179,12 +180,12 @@ def per_model_split(spark, sf_dir):
     return _rounded(_per_model(spark, sf_dir))
 
 
-@query(_PER_MODEL + _tests("hypothesis, task, model_id") + """, p AS (SELECT hypothesis, task, model_id, round(0.5 * (1 - r_rb), 6) AS p FROM tests),
- k AS (SELECT *, count(*) OVER (PARTITION BY model_id) - row_number() OVER (PARTITION BY model_id ORDER BY p, hypothesis, task) + 1 AS rest FROM p)
- SELECT hypothesis, task, model_id, round(max(least(1.0::DOUBLE, p * rest)) OVER (PARTITION BY model_id ORDER BY p, hypothesis, task ROWS UNBOUNDED PRECEDING), 6) AS holm_p FROM k""")
+@query(_PER_MODEL + _tests("hypothesis, task, model_id") + _P.format(by="hypothesis, task, model_id") + """, k AS (SELECT *, coalesce(p, 1) AS q, count(*) OVER (PARTITION BY model_id) - row_number() OVER (PARTITION BY model_id ORDER BY coalesce(p, 1), hypothesis, task) + 1 AS rest FROM pv)
+ SELECT hypothesis, task, model_id, round(max(least(1.0::DOUBLE, q * rest)) OVER (PARTITION BY model_id ORDER BY q, hypothesis, task ROWS UNBOUNDED PRECEDING), 6) AS holm_p FROM k""")
 def holm_per_model(spark, sf_dir):
-    tests = _per_model(spark, sf_dir).select("hypothesis", "task", "model_id", F.round(0.5 * (1 - F.col("r_rb")), 6).alias("p"))
-    return stats.holm(tests, "p", ["hypothesis", "task"], family=["model_id"]).select("hypothesis", "task", "model_id", F.round("holm_p", 6).alias("holm_p"))
+    by = ["hypothesis", "task", "model_id"]
+    tests = stats.signed_rank_tests(stats.paired_differences(scores(spark, sf_dir), hypotheses(spark), ["unit_id", "task", "model_id"]), by)
+    return stats.holm(tests, "p", ["hypothesis", "task"], family=["model_id"]).select(*by, F.round("holm_p", 6).alias("holm_p"))
 
 
 @query(_PER_MODEL + _tests("hypothesis, task, model_id") + " SELECT hypothesis, task, bool_and(r_rb < 0) AS all_negative, bool_and(r_rb > 0) AS all_positive FROM tests GROUP BY ALL")
@@ -257,8 +258,10 @@ def histogram_averaged(spark, sf_dir):
 
 @query(f"WITH {_TRIALS} SELECT task, condition, model_id, count(*) FILTER (status <> 'ok') AS n_failed, count(*) AS n, round(avg(CASE WHEN status <> 'ok' THEN 1.0 ELSE 0.0 END), 4) AS rate FROM trials GROUP BY GROUPING SETS ((task, condition, model_id), (condition), ())")
 def parse_failures(spark, sf_dir):
-    trials(spark, sf_dir).createOrReplaceTempView("__trials")
-    return spark.sql("SELECT task, condition, model_id, count_if(status <> 'ok') AS n_failed, count(*) AS n, round(avg(CASE WHEN status <> 'ok' THEN 1.0D ELSE 0.0D END), 4) AS rate FROM __trials GROUP BY GROUPING SETS ((task, condition, model_id), (condition), ())")
+    sets = [[F.col("task"), F.col("condition"), F.col("model_id")], [F.col("condition")], []]
+    failed = F.col("status") != "ok"
+    out = trials(spark, sf_dir).groupingSets(sets, "task", "condition", "model_id").agg(F.count_if(failed).alias("n_failed"), F.count("*").alias("n"), F.round(F.avg(F.when(failed, 1.0).otherwise(0.0)), 4).alias("rate"))
+    return out.select("task", "condition", "model_id", "n_failed", "n", "rate")
 
 
 @query(f"WITH {_TRIALS} SELECT condition, model_id, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'parse_failure') AS parse_failure FROM trials GROUP BY ALL")

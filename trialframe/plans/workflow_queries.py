@@ -169,8 +169,9 @@ def workflow_summary(spark, d):
 
 @query(f"WITH {_CAND} SELECT final, anchor, count(*) AS n, count(s2) AS n_stage2, count(s3) AS n_stage3 FROM st GROUP BY GROUPING SETS ((final, anchor), (final), ())")
 def tracker_summary(spark, d):
-    _candidates(spark, d).createOrReplaceTempView("__candidates")
-    return spark.sql("SELECT final, anchor, count(*) AS n, count(s2) AS n_stage2, count(s3) AS n_stage3 FROM __candidates GROUP BY GROUPING SETS ((final, anchor), (final), ())")
+    own = _candidates(spark, d)
+    out = own.groupingSets([[F.col("final"), F.col("anchor")], [F.col("final")], []], "final", "anchor").agg(F.count("*").alias("n"), F.count("s2").alias("n_stage2"), F.count("s3").alias("n_stage3"))
+    return out.select("final", "anchor", "n", "n_stage2", "n_stage3")
 
 
 @query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name, 0.0 FROM supplier WHERE s_suppkey % 10 = 0")
@@ -201,10 +202,16 @@ def duplicate_keys(spark, d):
     return wf.duplicate_keys(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 
 
-@query(f"WITH {_SCORES}, h(hypothesis, cond_a, cond_b) AS (VALUES {', '.join(map(str, HYPOTHESES))}) SELECT hypothesis, task, model_id, count(score) AS n FROM h CROSS JOIN (SELECT DISTINCT task FROM scores) t CROSS JOIN (SELECT DISTINCT model_id FROM scores) m LEFT JOIN scores USING (task, model_id) WHERE condition = cond_a GROUP BY ALL")
+@query(f"WITH {_SCORES}, h(hypothesis, cond_a, cond_b) AS (VALUES {', '.join(map(str, HYPOTHESES))}, ('H9', 'none', '5-LOW')) SELECT hypothesis, task, model_id, count(score) AS n FROM h CROSS JOIN (SELECT DISTINCT task FROM scores) t CROSS JOIN (SELECT DISTINCT model_id FROM scores) m LEFT JOIN scores USING (task, model_id) WHERE condition = cond_a GROUP BY ALL UNION ALL SELECT 'H9', task, model_id, 0 FROM (SELECT DISTINCT task FROM scores) CROSS JOIN (SELECT DISTINCT model_id FROM scores)")
 def hypothesis_grid(spark, d):
+    """Every hypothesis with every task and model; combinations without a score count 0."""
     s = scores(spark, d)
-    return s.join(F.broadcast(hypotheses(spark)), F.col("condition") == F.col("cond_a")).groupBy("hypothesis", "task", "model_id").agg(F.count("score").alias("n"))
+    asked = hypotheses(spark, [*HYPOTHESES, ("H9", "none", "5-LOW")])
+    # hypotheses, tasks and models are few by the study's design
+    grid = asked.crossJoin(F.broadcast(s.select("task").distinct())).crossJoin(F.broadcast(s.select("model_id").distinct()))
+    held = s.groupBy("task", "model_id", "condition").agg(F.count("score").alias("n"))
+    met = grid.join(held.withColumnRenamed("condition", "cond_a"), ["task", "model_id", "cond_a"], "left")
+    return met.select("hypothesis", "task", "model_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {_TRIALS} SELECT unit_id, model_id, min(l_orderkey) AS first_order FROM trials WHERE status = 'parse_failure' AND unit_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY ALL")
