@@ -98,3 +98,32 @@ def test_stages(spark):
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
     table, new = stages.seed(cand, cand.where("candidate_id = 'a'").unionByName(cand.where("candidate_id = 'a'").withColumn("candidate_id", F.lit("n"))))
     assert table.count() == 5 and [r.candidate_id for r in new.collect()] == ["n"]
+
+
+def test_run_report(spark):
+    """Counts of any length, statuses, the places where a summary is looked for, cut lists."""
+    texts = [
+        None, "", "# A\n#b", "Summary: one. two? three! four.", "**Summary**\n\n", "12345678901234567890 passed", "1 passed, 0 failed", "2 failed", "unable to go",
+        "".join(f"Created f{i}/a.py\n" for i in range(30)) + "`no dot` `two.dots.py` `x y.py` `x/y.tar.gz`", "Issue: a\nissue: a\nBug: " + "z" * 200 + "\nTODO: t\n[BLOCKING] b", "cannot proceed, because: of it\nBLOCKER: that",
+    ]
+    r = [x.r for x in spark.createDataFrame(list(enumerate(texts)), "n int, s string").orderBy("n").select(t.run_report(F.col("s")).alias("r")).collect()]
+    assert [x.summary for x in r[:5]] == ["No summary available."] * 3 + ["one. two? three!", "**Summary**"]
+    assert r[5].status == "success" and (r[6].tests_run, r[6].passed, r[6].failed, r[6].status) == (1, 1, 0, "success") and (r[7].tests_run, r[7].passed, r[7].status) == (2, None, "partial") and r[8].status == "partial"
+    assert r[9].files == [f"f{i}/a.py" for i in range(20)] and r[10].issues == ["a".replace("a", "t"), "b", "a", "z" * 120] and r[10].blocker == "b" and r[11].blocker == "of it" and r[11].status == "partial"
+
+
+def test_structure_and_edits(spark):
+    from trialframe.functions import kernels
+
+    rows = [("def f(a):\n  'd'\n", "@x\ndef f(a) -> int:\n    pass", "f"), ("def f(a): return 1", "def f(a): return 2", "f"), ("x(", "def f(): 1", "f"), (None, "def f(): 1", "f"), ("class C:\n  def f(self): 1", "def f(self): 1", "f")]
+    got = [tuple(r.s) for r in spark.createDataFrame(rows, "a string, b string, n string").select(kernels.structure_column()(F.col("a"), F.col("b"), F.col("n")).alias("s")).collect()]
+    assert got[0] == ("ok", True, 1.0) and got[1][:2] == ("ok", False) and 0.9 < got[1][2] < 1 and got[2] == got[3] == ("not_applicable", None, None) and got[4] == ("ok", True, 1.0)
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    with pytest.raises(ValueError, match="exists"):
+        workflow.add_rows(table, table, "k")
+    with pytest.raises(ValueError, match="missing"):
+        workflow.update_rows(table, spark.createDataFrame([("z", 1)], "k string, v int"), "k")
+    assert sorted(map(tuple, workflow.update_rows(table, spark.createDataFrame([("a", None), ("b", 5)], "k string, v int"), "k").collect())) == [("a", 1), ("b", 5)]
+    assert workflow.listed(table, k="b").count() == 1
+    errors = [r.e for r in spark.createDataFrame([('{"preconditions": ["a \\"q\\""], "postconditions": ["é, b"], "invariants": [ ]}',), ("[1]",), ('{"preconditions": [null], "postconditions": {}, "invariants": []}',), (None,)], "s string").select(t.contract_errors(F.col("s")).alias("e")).collect()]
+    assert errors[0] == [] and errors[1] == ["response is not a JSON object"] and errors[2] == ["'preconditions' contains non-string items", "'postconditions' is not a JSON array"] and errors[3] == ["response is not a JSON object"]

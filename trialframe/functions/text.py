@@ -274,7 +274,7 @@ def contract_errors(response: Column) -> Column:
     items = lambda k: F.from_json(shape(k), "array<string>")
     # each element as JSON again: a string that was quoted gives the list back, anything else doesn't
     again = lambda k: F.regexp_replace(F.to_json(items(k)), r"\s", "") == F.regexp_replace(shape(k), r"\s", "")
-    named = [F.when(~F.map_contains_key(raw, k), f"missing required key: '{k}'").when(~F.coalesce(shape(k).startswith("["), F.lit(False)), f"'{k}' is not a JSON array").when(~F.coalesce(again(k), F.lit(False)), f"'{k}' contains non-string items") for k in ("preconditions", "postconditions", "invariants")]
+    named = [F.when(~F.map_contains_key(raw, k), f"missing required key: '{k}'").when(~F.coalesce(shape(k).startswith("["), F.lit(False)), f"'{k}' is not a JSON array").when(~F.coalesce(again(k), F.lit(False)) | F.exists(items(k), lambda x: x.isNull()), f"'{k}' contains non-string items") for k in ("preconditions", "postconditions", "invariants")]
     found = F.array_compact(F.array(*named))
     empty = F.array(F.lit("postconditions array is empty"))
     none = F.array().cast("array<string>")

@@ -173,3 +173,53 @@ def export_table(run_id: Column, ledger: DataFrame, payloads: DataFrame, files:
         sorted_json(F.col("__score.subscores")).alias("score_subscores_json"), F.col("__score.evidence").alias("score_evidence_json"),
         F.col("failure_reason.code").alias("execution_failure_reason_code"), F.col("failure_reason.message").alias("execution_failure_reason_message"), "skip_reason", F.to_json(missing).alias("missing_expected_artifacts_json"),
     )
+
+
+def tracker_report(rows: DataFrame) -> DataFrame:
+    """The tracker in 14 fields, one row: counts of all, of anchors and others, of each stage's results and final decisions (maps), who waits for a stage, and the diversity of families.
+
+    Who waits is listed: the ids are what the report is for; everything else is counted where the rows are.
+    """
+    anchor = F.coalesce("is_anchor", F.lit(False))
+    inn = ~anchor & (F.col("stage2_result") == "INCLUDE")
+    wait2 = ~anchor & (F.col("stage1_result") == "PASS") & (F.col("stage2_result") == "not_run")
+    wait3 = inn & (F.col("stage3_result") == "not_run")
+
+    def counts(name: str, of: Column = F.lit(True)) -> DataFrame:
+        held = rows.where(of).groupBy(F.coalesce(name, F.lit("missing")).alias("k")).agg(F.count("*").alias("n"))
+        return held.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+
+    ids = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("candidate_id").cast("string"))))
+    one = rows.agg(
+        F.count("*").alias("total"), F.count_if(anchor).alias("anchors"), F.count_if(~anchor).alias("non_anchors"), F.count_if(inn).alias("screened_in_non_anchor"), F.count_if(wait2).alias("stage2_eligible_awaiting"), ids(wait2).alias("stage2_eligible_ids"),
+        F.count_if(wait3).alias("stage3_eligible_awaiting"), ids(wait3).alias("stage3_eligible_ids"))
+    for name, column, of in (("stage1_counts", "stage1_result", F.lit(True)), ("stage2_counts", "stage2_result", F.lit(True)), ("stage3_counts", "stage3_result", ~anchor), ("final_decision_counts", "final_decision", F.lit(True)), ("t2_family_diversity", "t2_bug_family_draft", inn), ("t3_family_diversity", "t3_transform_family_draft", inn)):
+        one = one.crossJoin(counts(column, of).withColumnRenamed(column, name))  # one row each
+    return one
+
+
+def add_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The table with new rows; raises if a key is there already or stands twice."""
+    demand_none(rows.join(table.select(key), key, "left_semi").select(F.lit("exists").alias("rule_id"), key))
+    demand_none(duplicate_keys(rows, [key]))
+    return table.unionByName(rows.select(table.columns))
+
+
+def update_rows(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The table with the columns of ``changes`` set where they aren't null; raises for a key that the table lacks."""
+    demand_none(changes.join(table.select(key), key, "left_anti").select(F.lit("missing").alias("rule_id"), key))
+    new = [c for c in changes.columns if c != key]
+    met = table.join(changes.select(key, *(F.col(c).alias(f"__{c}") for c in new)), key, "left")
+    return met.select(*(F.coalesce(f"__{c}", c).alias(c) if c in new else F.col(c) for c in table.columns))
+
+
+def listed(table: DataFrame, **wanted: str) -> DataFrame:
+    """The rows whose columns have the wanted values."""
+    for name, value in wanted.items():
+        table = table.where(F.col(name) == value)
+    return table
+
+
+def readiness_lines(counts: DataFrame) -> DataFrame:
+    """A line of text for each state (state, n), in their order; a report of a few rows."""
+    return counts.orderBy("state").select(F.format_string("  %-20s %5d", "state", "n").alias("line"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialframe.functions import kernels
 from trialframe.functions import text as t
 from trialframe.sources import runs
 from trialframe.sources.scratch import shared_dir
@@ -184,3 +185,74 @@ def model_backends(spark, d):
     k = F.col("p_size") % 5
     name = F.when(k == 0, "claude-x").when(k == 1, "gpt-4").when(k == 2, "o3").when(k == 3, "o4-mini").otherwise(F.concat(F.lit("Claude-"), "p_brand"))
     return spark.read.parquet(f"{d}/part.parquet").groupBy(runs.backend(name).alias("backend")).agg(F.count("*").alias("n"))
+
+
+# what runs print, in turn: counts, an error, a summary with issues, blockers, headings only
+_OUT = """CASE o_orderkey % 6 WHEN 0 THEN 'Created file: `src/a' || o_custkey || '.py`' || chr(10) || '3 passed, ' || o_custkey % 3 || ' failed' WHEN 1 THEN 'Traceback (most recent call last)' || chr(10) || 'NameError: x' || o_custkey
+ WHEN 2 THEN '## Summary' || chr(10) || 'First done. Second ' || o_custkey || '! Third? Fourth.' || chr(10) || 'TODO: tidy up' || chr(10) || 'Bug: off by one' || chr(10) || 'fixme: tidy up' WHEN 3 THEN 'all well' || chr(10) || 'BLOCKED BY: order ' || o_custkey || chr(10) || 'blocker: none'
+ WHEN 4 THEN '# Title' || chr(10) || '## More' ELSE 'Saved data/x.json and wrote ''b.txt''' || chr(10) || '[BLOCKING] no disk ' END"""
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'src/a' || o_custkey || '.py' WHEN 5 THEN 'data/x.json|b.txt' ELSE '' END AS files, CASE WHEN o_orderkey % 6 = 0 THEN 3 + o_custkey % 3 END::DOUBLE AS tests_run, CASE WHEN o_orderkey % 6 = 1 OR o_orderkey % 6 = 0 AND o_custkey % 3 > 0 THEN 'partial' ELSE 'success' END AS status,
+ CASE o_orderkey % 6 WHEN 0 THEN 'Created file: `src/a' || o_custkey || '.py` 3 passed, ' || o_custkey % 3 || ' failed' WHEN 1 THEN 'Traceback (most recent call last) NameError: x' || o_custkey WHEN 2 THEN 'First done. Second ' || o_custkey || '! Third?' WHEN 3 THEN 'all well BLOCKED BY: order ' || o_custkey || ' blocker: none' WHEN 4 THEN 'No summary available.' ELSE 'Saved data/x.json and wrote ''b.txt'' [BLOCKING] no disk' END AS summary,
+ CASE o_orderkey % 6 WHEN 2 THEN 'tidy up|off by one' WHEN 5 THEN 'no disk' ELSE '' END AS issues, CASE o_orderkey % 6 WHEN 3 THEN 'order ' || o_custkey WHEN 5 THEN 'no disk' END AS blocker FROM orders""")
+def run_reports(spark, d):
+    """What the output of runs says."""
+    said = F.expr(_OUT.replace("chr(10)", "'\\n'").replace("''b.txt''", "\\'b.txt\\'"))
+    r = t.run_report(said)
+    x = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", r.alias("r"))
+    return x.select("o_orderkey", F.array_join("r.files", "|").alias("files"), F.col("r.tests_run").cast("double").alias("tests_run"), "r.status", "r.summary", F.array_join("r.issues", "|").alias("issues"), "r.blocker")
+
+
+@query("""SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN '' WHEN 1 THEN 'missing required key: ''invariants''' WHEN 2 THEN '''preconditions'' is not a JSON array' WHEN 3 THEN '''postconditions'' contains non-string items' WHEN 4 THEN 'postconditions array is empty' ELSE 'response is not a JSON object' END AS errors FROM part""")
+def contract_shapes(spark, d):
+    """What is wrong with generated contracts, fenced or bare."""
+    k, name = F.col("p_size") % 7, F.to_json(F.array("p_name"))
+    said = (
+        F.when(k == 0, F.concat(F.lit('```json\n{"preconditions": [], "postconditions": '), name, F.lit(', "invariants": ["a, b"]}\n```')))
+        .when(k == 1, F.concat(F.lit('{"preconditions": [], "postconditions": '), name, F.lit("}")))
+        .when(k == 2, F.lit('{"preconditions": "x", "postconditions": ["a"], "invariants": []}'))
+        .when(k == 3, F.lit('{"preconditions": [], "postconditions": ["a", 1], "invariants": []}'))
+        .when(k == 4, F.lit('{"preconditions": [], "postconditions": [], "invariants": []}'))
+        .when(k == 5, F.lit("no json"))
+    )
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(t.contract_errors(said), "|").alias("errors"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'not_applicable' ELSE 'ok' END AS status, CASE p_size % 4 WHEN 0 THEN NULL WHEN 3 THEN false ELSE true END AS ast_equivalent, CASE WHEN p_size % 4 IN (1, 2) THEN true WHEN p_size % 4 = 3 THEN false END AS similarity_is_one FROM part""")
+def structural_similarity(spark, d):
+    """Functions compared by their trees, whatever their docstrings, decorators and layout."""
+    k, n = F.col("p_size") % 4, F.col("p_partkey").cast("string")
+    body = F.concat(F.lit("x = a * "), n)
+    ref = F.concat(F.lit("def f(a):\n    "), body, F.lit("\n    return x\n"))
+    other = F.when(k == 0, "def g(a): pass").when(k == 1, F.concat(F.lit('@dec\ndef f(a) -> int:\n  """Doc."""\n  '), body, F.lit(";  return (x)\n"))).when(k == 2, ref).otherwise(F.replace(ref, F.lit("return x"), F.lit("return a")))
+    x = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", kernels.structure_column()(other, ref, F.lit("f")).alias("s"))
+    return x.select("p_partkey", "s.status", "s.ast_equivalent", (F.col("s.similarity") == 1.0).alias("similarity_is_one"))
+
+
+_TRACK = """c AS (SELECT p_partkey, p_size % 10 = 0 AS anchor, CASE WHEN p_size % 6 = 0 THEN 'EXCLUDE' ELSE 'PASS' END AS s1, CASE WHEN p_size % 4 = 0 THEN 'not_run' WHEN p_size % 4 = 1 THEN 'EXCLUDE' ELSE 'INCLUDE' END AS s2, CASE WHEN p_size % 3 = 0 THEN 'preferred' ELSE 'not_run' END AS s3, p_brand FROM part)"""
+
+
+@query(f"""WITH {_TRACK}, m AS (SELECT (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT s1 AS k, count(*) AS n FROM c GROUP BY ALL)) AS stage1_counts, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT s2 AS k, count(*) AS n FROM c GROUP BY ALL)) AS stage2_counts,
+ (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT s3 AS k, count(*) AS n FROM c WHERE NOT anchor GROUP BY ALL)) AS stage3_counts, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT p_brand AS k, count(*) AS n FROM c WHERE NOT anchor AND s2 = 'INCLUDE' GROUP BY ALL)) AS t2_family_diversity)
+ SELECT count(*) AS total, count(*) FILTER (anchor) AS anchors, count(*) FILTER (NOT anchor) AS non_anchors, count(*) FILTER (NOT anchor AND s2 = 'INCLUDE') AS screened_in_non_anchor, count(*) FILTER (NOT anchor AND s1 = 'PASS' AND s2 = 'not_run') AS stage2_eligible_awaiting, count(*) FILTER (NOT anchor AND s2 = 'INCLUDE' AND s3 = 'not_run') AS stage3_eligible_awaiting,
+ sha256(coalesce(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) FILTER (NOT anchor AND s1 = 'PASS' AND s2 = 'not_run'), '')) AS stage2_eligible_sha, any_value(stage1_counts) AS stage1_counts, any_value(stage2_counts) AS stage2_counts, any_value(stage3_counts) AS stage3_counts, any_value(t2_family_diversity) AS t2_family_diversity FROM c, m""")
+def tracker_report(spark, d):
+    """The tracker's report; maps and lists as texts."""
+    size = F.col("p_size")
+    rows = spark.read.parquet(f"{d}/part.parquet").select(
+        F.col("p_partkey").alias("candidate_id"), (size % 10 == 0).alias("is_anchor"), F.when(size % 6 == 0, "EXCLUDE").otherwise("PASS").alias("stage1_result"), F.when(size % 4 == 0, "not_run").when(size % 4 == 1, "EXCLUDE").otherwise("INCLUDE").alias("stage2_result"),
+        F.when(size % 3 == 0, "preferred").otherwise("not_run").alias("stage3_result"), F.lit("INCLUDE").alias("final_decision"), F.col("p_brand").alias("t2_bug_family_draft"), F.col("p_type").alias("t3_transform_family_draft"))
+    said = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(m)
+    out = workflow.tracker_report(rows)
+    return out.select("total", "anchors", "non_anchors", "screened_in_non_anchor", "stage2_eligible_awaiting", "stage3_eligible_awaiting", F.sha2(F.array_join("stage2_eligible_ids", ","), 256).alias("stage2_eligible_sha"), said("stage1_counts"), said("stage2_counts"), said("stage3_counts"), said("t2_family_diversity"))
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name, s_acctbal FROM supplier WHERE s_nationkey < 5")
+def tracker_edits(spark, d):
+    """Rows added and updated by key; keys that exist, or are missing, would raise."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
+    table = s.drop("s_nationkey")
+    changed = workflow.update_rows(table, table.where("s_acctbal < 0").select("s_suppkey", F.lit(0.0).alias("s_acctbal")), "s_suppkey")
+    new = s.where("s_nationkey < 5").select((F.col("s_suppkey") + 1_000_000).alias("s_suppkey"), "s_name", "s_acctbal")
+    return workflow.add_rows(changed, new, "s_suppkey")

@@ -334,3 +334,12 @@ def rubric_summary(spark, sf_dir):
 def pulled_below_ceiling(spark, sf_dir):
     cells = scores(spark, sf_dir).groupBy("unit_id", "task", "condition").agg(F.max("score").alias("top"), F.avg("score").alias("mean"))
     return cells.groupBy("task").agg(F.count_if(F.col("top") == 50).alias("at_ceiling"), F.count_if((F.col("top") == 50) & (F.col("mean") < 50)).alias("pulled_below"))
+
+
+@query(f"WITH {_SCORES}, u AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0), w AS (SELECT unit_id, task, condition, count(*) AS n, avg(score) AS score FROM scores WHERE unit_id IN (SELECT s_suppkey FROM u) GROUP BY ALL) SELECT unit_id, task, condition, score FROM w WHERE n = 2")
+def demanded_models(spark, sf_dir):
+    """Means of the chosen units' cells that have both models; a cell without would raise, so those are left out first."""
+    units = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 0").select(F.col("s_suppkey").alias("unit_id"))
+    own, by = stats.restrict_units(scores(spark, sf_dir), units), ["unit_id", "task", "condition"]
+    whole = own.groupBy(*by).agg(F.count("score").alias("n")).where("n = 2").select(*by)
+    return stats.demand_models(own.join(whole, by, "left_semi"), by, 2)
