@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -16,47 +17,29 @@ from .common import clear_of
 #: Default rules: (action, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: The labelled URL table: hosts and paths that are to be blocked (1) or not (0), by subject.  It is made of
-#: common English words on reserved domains; hosts of a subject share words, as such sites do.
-LABELLED = [
-    *((u, 1) for u in (
-        "http://online-casino.test/play/slots", "https://casino-royal.example/bonus", "http://www.best-casino.test/free-spins", "https://poker-room.example/join?ref=8", "http://video-poker.test/table/3",
-        "https://sports-betting.example/odds", "http://bet-now.test/live-betting", "https://bets365.example/free-bets", "http://lottery-win.example/jackpot", "https://jackpot-slots.test/spin",
-        "http://cheap-meds.test/pharmacy/viagra", "https://online-pharmacy.example/cheap-pills", "http://pills-store.test/order", "https://diet-pills.example/buy-now", "http://buy-pills-cheap.test/no-prescription",
-        "http://adult-videos.test/watch/18", "https://xxx-tube.example/adult", "http://www.hot-adult-dating.test/singles", "https://sex-chat.example/live", "http://porn-videos.test/free",
-        "http://warez-download.test/crack/keygen", "https://crack-serial.example/full-version", "http://torrent-movies.test/free-download", "https://free-movies-stream.example/watch",
-        "http://malware-drop.test/setup.exe", "https://login-verify-account.example/secure/update", "http://account-verify.test/login.php", "https://phishing-bank.example/signin", "http://win-prize-now.test/claim?id=4",
-        "https://fast-cash-loans.example/apply", "http://payday-loans.test/cheap-loans", "https://make-money-fast.example/earn", "http://get-rich-quick.test/offer", "https://crypto-doubler.example/free-bitcoin",
-        "http://replica-watches.test/cheap/rolex", "https://cheap-replica-bags.example/sale", "http://buy-followers.test/likes", "https://cheap-followers-likes.example/buy", "http://seo-links-spam.test/backlinks",
-        "https://link-farm.example/backlinks/7", "http://spam-blog.test/post?tag=pills", "https://ad-clicks.example/click?banner=2", "http://ads-tracker.test/click/9", "https://popup-ads.example/banner",
-        "http://www.vegas-casino.test/en/12.html", "https://casino-games.example/de/870?page=2", "http://m.win-at-casino.test/fr/33", "https://big-win-slots.example/es/7/", "http://blog.free-slots.test/en/605",
-        "https://bets-online.example/en/410.html", "http://m.free-bet-tips.test/de/5#top", "https://www.football-bets.example/fr/290", "http://free-poker.test/en/77?utm_source=feed", "https://lucky-win.example/es/18",
-        "http://www.buy-cheap-viagra.test/en/6/", "https://cheap-pharmacy.example/fr/300", "http://m.weight-loss-pills.test/en/91", "https://sleeping-pills.example/de/4.html", "http://blog.cheap-tablets.test/es/50",
-        "https://www.adult-cams.example/en/3", "http://m.free-adult-chat.test/fr/71", "https://adult-singles.example/en/800?page=2", "http://xxx-videos.test/es/69", "https://hot-sex-videos.example/en/1/",
-        "http://spam-mail-lists.test/en/40", "https://www.spam-links.example/fr/6", "http://blog.link-spam.test/de/11?utm_source=feed", "https://article-farm.example/en/2020", "http://m.content-farm.test/en/8.html",
-        "https://free-download-crack.example/en/15", "http://www.keygen-warez.test/de/9", "https://free-gift-cards.example/claim/en/2", "http://m.free-money-now.test/en/55", "https://cheap-flights-deal-click.example/ads/3",
-        "http://ads-network.test/en/14", "https://www.ads-server.example/track/88", "http://click-track-ads.test/fr/2", "https://banner-ads.example/en/64?ref=x", "http://m.track-clicks.test/ads/en/5",
-        "https://cheap-watches.example/en/31", "http://www.cheap-shoes-sale.test/de/12", "https://cheap-loans-fast.example/en/7", "http://win-free-prizes.test/fr/93", "https://get-free-followers.example/en/10",
-    )),
-    *((u, 0) for u in (
-        "https://www.university.example/courses/history", "http://university-press.test/books/14", "https://library.example/catalogue/8812", "http://city-library.test/en/hours", "https://museum.example/exhibitions/spring",
-        "http://www.science-museum.test/visit", "https://journal.example/articles/2019/04", "http://medical-journal.test/vol/7/issue/2", "https://news.example/world/2021/05/11", "http://daily-news.test/sport/results",
-        "https://weather.example/forecast/london", "http://weather-service.test/radar", "https://docs.example/guide/install.html", "http://developer-docs.test/reference/api", "https://wiki.example/index.php/Rivers",
-        "http://open-wiki.test/page/Gardens", "https://blog.example/2020/01/bread-recipe", "http://garden-blog.test/posts/roses", "https://recipes.example/soup/tomato", "http://family-recipes.test/en/22",
-        "https://city-council.example/minutes/2018", "http://council.test/planning/application/99", "https://health-service.example/conditions/asthma", "http://hospital.test/contact", "https://school.example/term-dates",
-        "http://primary-school.test/news/4", "https://bookshop.example/fiction?page=2", "http://music-shop.test/guitars", "https://travel.example/guides/lisbon", "http://rail-travel.test/timetable#monday",
-        "https://forum.example/thread/5120", "http://photo-forum.test/topic/31", "https://mail.example/help", "http://maps.test/route?from=a&to=b", "https://code.example/project/tree/main",
-        "http://software-project.test/releases", "https://theatre.example/whats-on", "http://orchestra.test/concerts/june", "https://football-club.example/fixtures", "http://chess-club.test/games/1972",
-        "https://www.bank.example/branches", "http://insurance.test/claims/car", "https://charity.example/about-us", "http://church.test/events",
-        "https://blog.painter.example/en/4410.html", "http://m.the-baker.test/fr/18", "https://blog.teacher.example/de/307?page=2", "http://m.mother.test/es/52#top", "https://www.northern-trust.example/en/9001",
-        "http://blog.weather-station.test/en/77/", "https://m.brother.example/en/640", "http://www.thirteen.test/fr/2210.html", "https://the-author.example/es/81?utm_source=feed", "http://anthology.test/en/350",
-        "https://m.evening-paper.example/de/19", "http://the-other-side.test/en/8", "https://nation-today.example/en/1200.html", "http://station.test/fr/44#top", "https://blog.leather-works.example/en/5",
-        "http://m.heather.test/de/731", "https://www.another-thing.example/es/60/", "http://eastern.test/en/2?page=3", "https://rotation.example/fr/990", "http://blog.printing-house.test/en/15",
-        "https://tenth-street.example/en/6", "http://shop.thread-and-needle.test/en/41", "https://m.thunder.example/en/207.html", "http://mountain-hut.test/de/3", "https://blog.month-by-month.example/fr/12",
-        "http://ethics.test/en/84?page=2&ref=x", "https://rhythm.example/es/3100", "http://www.enthusiast.test/en/27/", "https://lantern.example/en/5088", "http://m.orchard.test/fr/9",
-        "https://thatched-roofs.example/en/73", "http://blog.inheritance.test/de/1010.html", "https://the-inn.example/es/6#top", "http://m.tonic.test/en/480", "https://theory.example/en/2045?utm_source=feed",
-    )),
-]
+#: The labelled URL table is made by ``labelled`` of plain English words for what sites are about: those to be blocked and the others.
+#: The words come from no URL of any data; a few dozen of them are an example of such a table, and no substitute for a real list.
+BLOCKED = """casino poker betting slots jackpot lottery roulette bingo wager blackjack gambling bookmaker
+ pills viagra steroids tablets slimming painkillers diet prescription adult porn xxx sex nude escort webcam singles
+ warez crack keygen torrent pirated serial malware phishing trojan spyware ransomware botnet
+ payday loans cash bitcoin doubler scam forex investment replica fake counterfeit followers likes backlinks spam adserver popup banner clickbait tracker""".split()
+HARMLESS = """university college school library museum science history nature news weather travel recipes garden music theatre cinema
+ football cycling hiking swimming health hospital doctor dentist council government parliament court police harbour river mountain forest village
+ city market bakery florist bookshop tailor carpenter plumber painter teacher student research journal article review encyclopedia dictionary
+ language grammar maths physics chemistry biology astronomy geology software programming manual forum community charity church festival concert
+ orchestra gallery railway airport hotel restaurant kitchen furniture clothing shoes bicycle camera computer telephone insurance accounting architect engineer farm horse""".split()
+
+
+def labelled() -> list[tuple[str, int]]:
+    """Three hosts for each word, alone and with other words of its kind; both kinds get the same paths, so paths tell nothing."""
+    paths, rows = ("/", "/about", "/page/3", "/item?id=4", "/2021/05/list.html"), []
+    for kind, words in ((1, BLOCKED), (0, HARMLESS)):
+        for i, word in enumerate(words):
+            near, far = words[(i + 3) % len(words)], words[(i + 7) % len(words)]
+            rows += [(f"{'http' if k % 2 else 'https'}://{host}{paths[(i + k) % len(paths)]}", kind) for k, host in enumerate((f"{word}.test", f"www.{word}-{far}.example", f"{near}{word}.test"))]
+    return rows
+
+
 DIMENSIONS = 1 << 15
 
 
@@ -79,31 +62,38 @@ def grams(host: str, path: str, sizes: Sequence[int] = (3, 4, 5)) -> np.ndarray:
     return np.unique(np.array(found, dtype=np.int64))
 
 
-def train(labelled: Sequence[tuple[str, int]] = tuple(LABELLED), rounds: int = 1000, rate: float = 4.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient descent on the table; the same table gives the same model."""
-    rows = [grams(*split_url(u)) for u, _ in labelled]
-    y = np.array([v for _, v in labelled], dtype=float)
-    x = np.zeros((len(rows), DIMENSIONS))
-    for r, own in zip(x, rows, strict=True):
-        r[own] = 1 / np.sqrt(max(1, len(own)))
+def train(table: Sequence[tuple[str, int]], rounds: int = 1000, rate: float = 4.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient descent on the table, over the n-grams that it has; the same table gives the same model."""
+    rows = [grams(*split_url(u)) for u, _ in table]
+    y = np.array([v for _, v in table], dtype=float)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    used, at = np.unique(np.concatenate(rows), return_inverse=True)
+    value = np.concatenate([np.full(len(x), 1 / np.sqrt(max(1, len(x)))) for x in rows])
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both labels weigh alike
-    w, b = np.zeros(DIMENSIONS), 0.0
+    w, b = np.zeros(len(used)), 0.0
     for _ in range(rounds):
-        error = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
-        w -= rate * (x.T @ error + l2 * w)
+        error = share * (1 / (1 + np.exp(-(np.bincount(row, value * w[at], minlength=len(y)) + b))) - y)
+        w -= rate * (np.bincount(at, value * error[row], minlength=len(w)) + l2 * w)
         b -= rate * error.sum()
-    return w, b
+    out = np.zeros(DIMENSIONS)
+    out[used] = w
+    return out, b
+
+
+@cache
+def default_model() -> tuple[np.ndarray, float]:
+    return train(labelled())
 
 
-def rule_for(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) -> tuple[str | None, str | None]:
-    """(rule, action) of the longest rule whose host is ``host`` or a parent domain and whose path starts ``path``."""
+def rule_for(host: str, path: str, rules: dict[str, list[tuple[str, str]]], lengths: Sequence[int]) -> tuple[str | None, str | None]:
+    """(rule, action) of the longest rule whose host is ``host`` or a parent domain and whose path starts ``path``; ``lengths`` are those of the rules' hosts."""
     best: tuple[int, int, str, str] | None = None
-    name = host
-    while name:
-        for start, action in rules.get(name, ()):
-            if path.startswith(start):
-                best = max(best or (0, 0, "", ""), (len(name) + len(start), len(name), name + start, action))
-        name = name.partition(".")[2]
+    for n in lengths:
+        if n == len(host) or n < len(host) and host[-n - 1] == ".":
+            name = host[len(host) - n :]
+            for start, action in rules.get(name, ()):
+                if path.startswith(start):
+                    best = max(best or (0, 0, "", ""), (len(name) + len(start), len(name), name + start, action))
     return (best[2], best[3]) if best else (None, None)
 
 
@@ -114,14 +104,15 @@ def url_filter(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_i
     (on equal length the longer host).  Rows without a rule get the model's verdict.  A null or
     malformed URL has an empty host and path and goes to the model.  Rows are independent: nothing
     is shuffled, repeated rows and null ids are rows like others, an empty table gives none.  Rules
-    are looked up by parent domain, so their number doesn't slow a row.  ``keep`` must not name a
+    are looked up by parent domains of their hosts' lengths, so their number doesn't slow a row.  ``keep`` must not name a
     column that is added (ValueError); other columns are not looked at, whatever their names.
     """
     clear_of(keep, "host", "path", "rule", "verdict", "score")
-    weights, bias = model or train()
+    weights, bias = model or default_model()
     by_host: dict[str, list[tuple[str, str]]] = {}
     for action, host, path in rules:
         by_host.setdefault(host, []).append((path, action))
+    lengths = sorted({len(h) for h in by_host if h})
     sent = df.sparkSession.sparkContext.broadcast((weights.astype(np.float32), by_host))
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +123,7 @@ def url_filter(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_i
                 host, path = split_url(u)
                 own = grams(host, path)
                 score = float(1 / (1 + np.exp(-(w[own].sum() / np.sqrt(max(1, len(own))) + bias))))
-                rule, action = rule_for(host, path, known)
+                rule, action = rule_for(host, path, known, lengths)
                 rows.append((host, path, rule, action or ("block" if score >= threshold else "allow"), score))
             yield pd.concat([b.drop(columns="__url"), pd.DataFrame(rows, columns=["host", "path", "rule", "verdict", "score"])], axis=1)
 
