@@ -170,6 +170,25 @@ def test_gzip_members():
         assert media.carve(member[:-8] + b"\0" * 4 + member[-4:]) == [] and media.carve(member[:-1] + b"\7") == [] and media.carve(member[:-9]) == []
 
 
+def test_kept_columns_must_not_clash(spark):
+    from trialframe.llm import licenses
+
+    df = spark.createDataFrame([(1, b"GIF", "x", "a/b", "MIT", 0.5, "t")], "doc_id long, content binary, declared string, path string, license string, cosine double, text string")
+    for call in (lambda: media.sniff(df.withColumn("carved", df.path), keep=("carved",)), lambda: licenses.license_scan(df, keep=("doc_id", "license")), lambda: licenses.license_scan(df, keep=("path",))):
+        with pytest.raises(ValueError, match="keep names"):
+            call()
+    assert media.sniff(df, keep=("doc_id", "path")).first().detected == "x" and licenses.license_scan(df).count() == 1
+
+
+def test_chat_with_clashing_columns(spark, empty):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    more = rows.select("*", *(F.lit("clash").alias(c) for c in ("n_tokens", "n_context", "loss", "window", "over_budget")))
+    assert [tuple(r) for r in chat.chat_windows(more).collect()] == [tuple(r) for r in chat.chat_windows(rows).collect()]
+    assert chat.chat_windows(more.where("false")).count() == 0
+
+
 def test_media_digest(spark, odd, empty):
     for r in media.media_digest(odd).collect():
         assert r.payload_bytes % 64 == 0 and r.payload_bytes >= 64 and r.media_bytes == r.payload_bytes + 44

@@ -105,7 +105,8 @@ def chat_windows(turns: DataFrame, budget: int = 512, history: int = 128, conv:
     texts are empty ones, null conversation ids form one conversation.  A turn that exceeds the
     budget with the system turn has a window to itself (``over_budget``); nothing is cut.  The
     shuffle is by conversation and rows then stream in order, so a conversation of any length
-    needs the memory of one window.
+    needs the memory of one window.  An empty table gives no window; other columns are not looked
+    at, whatever their names.
     """
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

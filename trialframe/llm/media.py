@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import clear_of
+
 #: Fixed values of the public formats: magic bytes, type, offset of the magic from the object's start.
 SIGNATURES = [
     (b"\x89PNG\r\n\x1a\n", "image/png", 0),
@@ -339,9 +341,12 @@ def sniff_bytes(content: bytes | None, declared: str | None) -> tuple:
 def sniff(df: DataFrame, content: str = "content", declared: str = "declared", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: ``keep``, then detected, corrected, n_bytes and the carved objects (start, end, extent of the data).
 
-    A null or empty content has no objects and keeps its declared type.  The magic search is
-    linear; rows are independent, so nothing is shuffled.
+    A null or empty content has no objects and keeps its declared type.  Search and validation are
+    linear in a content of any length; rows are independent, so nothing is shuffled, and repeated rows and null
+    ids are rows like others.  An empty table gives none.  ``keep`` must not name a column that is
+    added (ValueError); other columns are not looked at, whatever their names.
     """
+    clear_of(keep, "detected", "corrected", "n_bytes", "carved")
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -366,7 +371,8 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The text's UTF-8 bytes are followed by zeros up to a positive multiple of 64.  The column is
     declared ``application/octet-stream``; only the sniffer knows that it is audio and where its
-    samples lie.  A null text is an empty one; repeated rows give repeated rows.
+    samples lie.  A null text is an empty one, null ids are kept, repeated rows give repeated rows, texts of any
+    length are stored whole.  An empty table gives none; other columns are not looked at, whatever their names.
     """
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
