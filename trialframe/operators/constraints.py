@@ -128,6 +128,12 @@ def candidate_rules() -> list[tuple[str, Column]]:
     ]
 
 
+def tracker_violations(rows: DataFrame) -> DataFrame:
+    """Candidates that break a rule, whose id or another required field is missing, and ids that stand twice (``duplicate``)."""
+    twice = rows.groupBy("candidate_id").agg(F.count("*").alias("n")).where("n > 1").select(c("candidate_id").cast("string").alias("key"), F.lit("duplicate").alias("rule_id"))
+    return broken(rows, c("candidate_id"), [*filled("candidate_id"), ("anchor_set", c("is_anchor").isNotNull()), *candidate_rules()]).unionByName(twice)
+
+
 def broken(records: DataFrame, key: Column, rules: list[tuple[str, Column]]) -> DataFrame:
     return violations(records, key, rules)
 

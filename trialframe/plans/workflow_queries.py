@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialframe.operators import constraints as rows_rules
 from trialframe.operators import manifest as mf
 from trialframe.operators import workflow as wf
 from trialframe.plans.trials import HYPOTHESES, ORDER, hypotheses, scores, trials
@@ -119,10 +120,10 @@ def export_rows(spark, d):
     return _repaired(spark, d).select("item_id", wf.slug(F.col("unit_id").cast("string"), F.col("task"), F.col("condition"), F.col("model_id")).alias("slug"), "status", "attempt_count", failure.alias("failure"))
 
 
-@query(f"WITH {_PLAN}, o AS (SELECT item_id FROM plan WHERE unit_id % 3 <> 0 OR task = 'A') SELECT item_id FROM plan WHERE unit_id % 2 = 0 AND item_id NOT IN (SELECT item_id FROM o WHERE split_part(item_id, '::', 1)::INT % 2 = 0)")
+@query(f"WITH {_PLAN} SELECT item_id FROM plan WHERE task = 'R' AND condition = '5-LOW'")
 def plan_difference(spark, d):
-    a = _plan(spark, d).where("unit_id % 2 = 0").select("item_id", "unit_id", "task")
-    return wf.same_plan(a.select("item_id"), a.where("unit_id % 3 <> 0 OR task = 'A'").select("item_id"))
+    a = _plan(spark, d).select("item_id", "task", "condition")
+    return wf.same_plan(a.select("item_id"), a.where("task <> 'R' OR condition <> '5-LOW'").select("item_id"))
 
 
 @query("SELECT event_type, min(event_id) AS first_pos FROM events GROUP BY ALL")
@@ -348,3 +349,17 @@ def scorer_input_violations(spark, d):
 def scorer_input_lookup(spark, d):
     """Inputs that can be scored, with their truth and source hash from the manifest."""
     return _scorer_inputs(spark, d)[0].select("response_ref", "ground_truth_ref", "source_hash")
+
+
+# a tracker row for each supplier; account balances and nations say what is wrong
+@query("""WITH t AS (SELECT CASE WHEN s_acctbal > 9000 THEN 'same' ELSE 'c' || s_suppkey END AS id, s_nationkey AS n, s_acctbal AS b FROM supplier),
+ r AS (SELECT id, unnest([CASE WHEN n = 0 THEN 'complexity_known' END, CASE WHEN n = 1 THEN 'stage1_known' END, CASE WHEN n IN (1, 2, 3) THEN 'stage2_after_pass' END, CASE WHEN n = 4 THEN 'anchor_named' END, CASE WHEN n = 5 THEN 'stage2_score' END, CASE WHEN n = 6 THEN 'stage3_score' END, CASE WHEN n = 7 THEN 'stage3_after_include' END, CASE WHEN n = 7 THEN 'include_screened' END, CASE WHEN n IN (1, 2, 3) THEN 'include_after_pass' END]) AS rule_id FROM t)
+ SELECT rule_id, id AS key FROM r WHERE rule_id IS NOT NULL UNION ALL SELECT 'duplicate', id FROM t GROUP BY id HAVING count(*) > 1""")
+def tracker_violations(spark, d):
+    """Rules that rows of the tracker break, and ids that stand twice."""
+    n, null = F.col("s_nationkey"), F.lit(None).cast("double")
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(
+        F.when(F.col("s_acctbal") > 9000, "same").otherwise(F.concat(F.lit("c"), F.col("s_suppkey").cast("string"))).alias("candidate_id"), F.when(n == 0, "odd").otherwise("low").alias("estimated_complexity"),
+        F.when(n == 1, "ODD").when(n.isin(2, 3), "EXCLUDE").otherwise("PASS").alias("stage1_result"), F.when(n == 7, "DEFER").otherwise("INCLUDE").alias("stage2_result"), F.lit("preferred").alias("stage3_result"), F.lit("INCLUDE").alias("final_decision"), (n == 4).alias("is_anchor"),
+        F.when(n != 5, 2.0).otherwise(null).alias("stage2_t2_c1_screen_score"), F.create_map(F.lit("fix"), F.lit(1)).alias("stage2_t2_subscores"), F.when(n != 6, 0.5).otherwise(null).alias("stage3_t3_c2_screen_score"))
+    return rows_rules.tracker_violations(rows).select("rule_id", "key")
