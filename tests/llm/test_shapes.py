@@ -171,10 +171,10 @@ def test_gzip_members():
 
 
 def test_kept_columns_must_not_clash(spark):
-    from trialframe.llm import licenses
+    from trialframe.llm import decontaminate, licenses, pii
 
     df = spark.createDataFrame([(1, b"GIF", "x", "a/b", "MIT", 0.5, "t")], "doc_id long, content binary, declared string, path string, license string, cosine double, text string")
-    for call in (lambda: media.sniff(df.withColumn("carved", df.path), keep=("carved",)), lambda: licenses.license_scan(df, keep=("doc_id", "license")), lambda: licenses.license_scan(df, keep=("path",))):
+    for call in (lambda: media.sniff(df.withColumn("carved", df.path), keep=("carved",)), lambda: licenses.license_scan(df, keep=("doc_id", "license")), lambda: licenses.license_scan(df, keep=("path",)), lambda: pii.find(df.withColumn("spans", df.path), keep=("spans",)), lambda: decontaminate.leaks(df.withColumn("matches", df.path), df.withColumn("item_id", df.path), keep=("matches",))):
         with pytest.raises(ValueError, match="keep names"):
             call()
     assert media.sniff(df, keep=("doc_id", "path")).first().detected == "x" and licenses.license_scan(df).count() == 1
@@ -516,6 +516,9 @@ def test_pipeline(spark):
 def test_pipeline_odd(spark, odd, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    from pyspark.sql import functions as F
+
+    odd = odd.select("*", *(F.lit("clash").alias(n) for n in ("__row", "__gone", "__id", "__hash", "__class", "__SPANS", "__more")))
     for docs in (odd, odd.where("false")):
         now = docs
         for name, stage in corpus_pipeline.STAGES[:-1]:

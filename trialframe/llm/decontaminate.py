@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, clear_of, written
 
 #: Fixed masks: places of the words that a seed selects; the others are ignored.
 MASKS = ((0, 1, 3), (0, 2, 3))
@@ -140,8 +140,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_i
     The benchmark's seeds are broadcast while they are at most BROADCAST_ROWS rows, else the join
     shuffles the seeds of the texts; only seeds that the benchmark has leave the scan.  ``docs`` is
     read twice: for the seeds, and for the words of the texts in which diagonals have enough.
-    Empty tables give no rows; columns of ``docs`` other than ``keep`` and ``text`` are not looked at.
+    Texts of any length are compared whole.  Empty tables give no rows; columns of ``docs`` other
+    than ``keep`` and ``text`` are not looked at, and ``keep`` must not name one that is added (ValueError).
     """
+    clear_of(keep, "item_id", "matches", "first_word", "last_word")
     if least_score < REACH:
         raise ValueError(f"least_score must be {REACH} or more: runs that score less need not share a seed")
     items = benchmark_items(benchmark)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, small_batches, written
+from .common import BROADCAST_ROWS, clear_of, discard, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "other")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -189,8 +189,11 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     ``spans`` lists the base spans and, as kind ``other``, those that patterns add.  A null text is
     an empty one; rows may repeat, and null ids are rows like others: spans return to their row by
     a number given when the scan is written, never by id.  Only contexts are shuffled, and
-    where the added spans exceed BROADCAST_ROWS the scan's rows, to meet them.
+    where the added spans exceed BROADCAST_ROWS the scan's rows, to meet them.  Texts of any length
+    are scanned whole; an empty table gives no rows.  ``keep`` must not name a column that is added
+    or used on the way (ValueError); other columns are not looked at, whatever their names.
     """
+    clear_of(keep, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found", "base", "found", "__row", "__more")
     with small_batches(docs.sparkSession):
         scanned = written(scan(docs, keep, text).withColumn("__row", F.monotonically_increasing_id()), "pii-scan")
     accepted = confident_patterns(scanned, rounds, least, support)
