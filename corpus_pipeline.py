@@ -29,6 +29,12 @@ def _without(docs: DataFrame, gone: DataFrame, keys: dict[str, str]) -> DataFram
     return docs.join(F.broadcast(gone) if few else gone, on, "left_anti")
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, longer where ``docs`` has columns of these names."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := name + "_" * k).lower() not in taken) for name in names]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, trained on the labelled ones among them, rejects go.
 
@@ -45,9 +51,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart by a number written with them, so what goes and what stays doesn't hang
     on ids, which may be null or repeat.  Rows without words link with nothing; of those that
-    repeat both id and text one stays.
+    repeat both id and text one stays.  Other columns are kept, whatever their names.
     """
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbered")
+    row, out = _free(docs, "__row", "__gone")
+    whole = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-numbered")
+    numbered = whole.select(F.col(row).alias("__row"), "doc_id", "text")
     with scratch() as made:
         judged = jaccard.jaccard_join(numbered, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"), "class_rows")
         judged = written(judged, "pipeline-near")
@@ -63,7 +71,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         return rows.select("__row").join(first, "__row", "left_anti")
 
     gone = written(others(linked, "__class").unionByName(others(bare, "__id", "__class")), "pipeline-gone")
-    return _without(numbered, gone.withColumnRenamed("__row", "__gone"), {"__row": "__gone"}).drop("__row")
+    return _without(whole, gone.withColumnRenamed("__row", out), {row: out}).drop(row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +83,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"))
     found = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), keep=("doc_id", "__hash"))
-    gone = written(found.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__gone")).distinct(), "pipeline-leaks")
-    return _without(docs, gone, {"doc_id": "__id", "xxhash64(text)": "__gone"})
+    key, out = _free(docs, "__id", "__gone")
+    gone = written(found.select(F.col("doc_id").alias(key), F.col("__hash").alias(out)).distinct(), "pipeline-leaks")
+    return _without(docs, gone, {"doc_id": key, "xxhash64(text)": out})
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,15 +95,15 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     a null one, stays as it is.
     """
     _small_batches(spark)
-    names = docs.columns
+    names, (told,) = docs.columns, _free(docs, "__spans")
     numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
     own = f"c{names.index('text')}"
     found = pii.find(numbered, keep=tuple(numbered.columns), text=own)
     masked = F.when(F.col("spans") == "", F.col(own)).otherwise(pii.redacted()(F.col(own), F.col("spans")))
-    out = found.select(*(masked.alias(n) if f"c{i}" == own else F.col(f"c{i}").alias(n) for i, n in enumerate(names)), F.col("spans").alias("__spans"))
+    out = found.select(*(masked.alias(n) if f"c{i}" == own else F.col(f"c{i}").alias(n) for i, n in enumerate(names)), F.col("spans").alias(told))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__spans") == "", F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.drop("__spans")
+        out = out.withColumn("n_chars", F.when(F.col(told) == "", F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return out.drop(told)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
