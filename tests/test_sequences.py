@@ -138,3 +138,25 @@ def test_blocks_change_nothing(seq, block):
     whole = [[x for x in own if x is not None] or [0] for own in lists]
     best = lambda b: sorted(map(tuple, q.max_subarray(seq(*whole), block=b).collect()))
     assert best(block) == best(None)
+
+
+def test_windows_across_blocks(spark, monkeypatch):
+    """Blocks of three positions give what a plain loop gives, ties and repeats included."""
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    own = {t: [rng.randrange(6) for _ in range(n)] for t, n in (("a", 1), ("b", 7), ("c", 20))}
+    df = spark.createDataFrame([(t, p, float(v) + 1e6) for t, vs in own.items() for p, v in enumerate(vs)], "seq_id string, pos long, v double")
+    monkeypatch.setattr(q, "BLOCK", 3)
+    for r in q.running_stats(df).collect():
+        vs = [v + 1e6 for v in own[r.seq_id][: r.pos + 1]]
+        assert r.n == len(vs) and abs(r["mean"] - statistics.fmean(vs)) < 1e-9 * 1e6 and abs(r.var_pop - statistics.pvariance(vs)) < 1e-6 and abs(r.var_samp - (statistics.variance(vs) if len(vs) > 1 else 0)) < 1e-6
+    for k in (1, 2, 4, 9):
+        got = sorted((r.seq_id, r.pos, r.window_max - 1e6, r.window_argmax) for r in q.sliding_window_max(df, k).collect())
+        assert got == sorted((t, p, max(w := vs[p : p + k]), p + w.index(max(w))) for t, vs in own.items() for p in range(len(vs) - k + 1))
+    for size, stride in ((1, 1), (4, 3), (2, 5), (5, 1)):
+        got = {(r.seq_id, r.pos): [int(x - 1e6) for x in r.window] for r in q.strided_windows(df, size, stride).collect()}
+        assert got == {(t, p): vs[p : p + size] for t, vs in own.items() for p in range(0, len(vs) - size + 1, stride)}
+    got = {(r.seq_id, r.pos): (r.dense_rank, r.competition_rank) for r in q.dense_rank(df).collect()}
+    assert got == {(t, p): (sorted(set(vs)).index(v) + 1, sum(x > v for x in vs) + 1) for t, vs in own.items() for p, v in enumerate(vs)}

@@ -84,8 +84,12 @@ def frequency_table(df: DataFrame, value: str, seq: str = S, by_count: bool = Fa
 
 # -- ranking and choosing -----------------------------------------------------------------------
 def dense_rank(df: DataFrame, value: str = "v", seq: str = S) -> DataFrame:
-    """Adds dense_rank (ascending) and competition_rank (descending)."""
-    return df.withColumns({"dense_rank": F.dense_rank().over(W.partitionBy(seq).orderBy(value)), "competition_rank": F.rank().over(W.partitionBy(seq).orderBy(F.desc(value)))})
+    """Adds dense_rank (ascending) and competition_rank (descending); equal values are counted first, so windows see distinct values only."""
+    own = W.partitionBy("__seq")
+    above = F.sum("__n").over(own.orderBy(F.desc("__value")).rowsBetween(W.unboundedPreceding, -1))
+    counts = df.groupBy(F.col(seq).alias("__seq"), F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    ranks = counts.withColumns({"dense_rank": F.dense_rank().over(own.orderBy("__value")), "competition_rank": F.coalesce(above, F.lit(0)) + 1})
+    return df.join(ranks, F.col(seq).eqNullSafe(F.col("__seq")) & F.col(value).eqNullSafe(F.col("__value"))).drop("__seq", "__value", "__n")
 
 
 def top_k_by(df: DataFrame, k: int, key: str | Column = "v", tiebreak: str | Column = P, seq: str = S, bottom: bool = False) -> DataFrame:
@@ -106,15 +110,27 @@ def sliding_window_max(df: DataFrame, k: int, value: str = "v", seq: str = S) ->
     """Largest value of every full window of k rows and its leftmost place; no row for k < 1."""
     if k < 1:
         return df.select(seq, P, F.col(value).alias("window_max"), F.col(P).alias("window_argmax")).where("false")
-    frame = w(seq).rowsBetween(0, k - 1)
+    # blocks of positions; the first rows of a block are known to the one before, whose last windows reach them
+    size = max(BLOCK, k)
+    block = F.floor(F.col(P) / size)
+    dealt = df.withColumn("__b", F.explode(F.sequence(F.greatest(F.floor((F.col(P) - (k - 1)) / size), F.lit(0)), block)))
+    frame = W.partitionBy(seq, "__b").orderBy(P).rowsBetween(0, k - 1)
     best = F.max(F.struct(F.col(value).alias("v"), (-F.col(P)).alias("p"))).over(frame)
-    return df.withColumns({"__b": best, "__n": F.count("*").over(frame)}).where(F.col("__n") == k).select(seq, P, F.col("__b.v").alias("window_max"), (-F.col("__b.p")).alias("window_argmax"))
+    own = dealt.withColumns({"__m": best, "__n": F.count("*").over(frame)}).where((F.col("__n") == k) & (F.col("__b") == block))
+    return own.select(seq, P, F.col("__m.v").alias("window_max"), (-F.col("__m.p")).alias("window_argmax"))
 
 
 def strided_windows(df: DataFrame, size: int, stride: int, value: str = "v", seq: str = S, partial: bool = False) -> DataFrame:
-    """Windows from 0, stride, 2 * stride, ... as lists; with ``partial`` also the first one that the end cuts."""
-    frame = w(seq).rowsBetween(0, size - 1)
-    own = df.withColumns({"window": F.collect_list(value).over(frame), "__n": F.count("*").over(W.partitionBy(seq))}).where(F.col(P) % stride == 0)
+    """Windows from 0, stride, 2 * stride, ... as lists; with ``partial`` also the first one that the end cuts.
+
+    A row goes to the windows that hold it (size / stride of them), which are then grouped; no window of a whole sequence is sorted.
+    """
+    first = F.greatest(F.ceil((F.col(P) - (size - 1)) / stride), F.lit(0)).cast("long")
+    last = F.floor(F.col(P) / stride).cast("long")
+    starts = F.transform(F.sequence(F.least(first, last), last), lambda x: x * stride)
+    held = df.select(seq, F.col(P).alias("__p"), F.col(value).alias("__v"), F.explode(F.filter(starts, lambda x: F.col(P) < x + size)).alias(P))
+    own = held.groupBy(seq, P).agg(in_order("__v", "__p").alias("window"))
+    own = own.join(df.groupBy(seq).agg(F.count("*").alias("__n")), seq)
     full = F.col(P) + size <= F.col("__n")
     first_cut = ~full & ((F.col(P) == 0) | (F.col(P) - stride + size <= F.col("__n")))
     return own.where(full | first_cut if partial else full).select(seq, P, "window")
@@ -127,10 +143,25 @@ def batch_list(df: DataFrame, n: int, value: str = "v", seq: str = S) -> DataFra
     return df.groupBy(seq, F.floor(F.col(P) / n).alias("batch")).agg(in_order(value).alias("items"))
 
 
-def running_stats(df: DataFrame, value: str = "v", seq: str = S) -> DataFrame:
-    """Running count, mean, population variance and sample variance (0.0 for one row)."""
-    upto = w(seq).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({"n": F.count("*").over(upto), "mean": F.avg(value).over(upto), "var_pop": F.var_pop(value).over(upto), "var_samp": F.coalesce(F.var_samp(value).over(upto), F.lit(0.0))})
+def running_stats(df: DataFrame, value: str = "v", seq: str = S, block: int | None = None) -> DataFrame:
+    """Running count, mean, population variance and sample variance (0.0 for one row), by blocks as in ``previous``.
+
+    A block's count, mean and squared deviations are joined with those of all blocks before, around the sequence's mean, so nothing large cancels.
+    """
+    centre = df.groupBy(seq).agg(F.avg(value).alias("__c"))
+    own = _blocked(df.join(centre, seq), block).withColumn("__x", F.col(value) - F.col("__c"))
+    parts = own.groupBy(seq, "__b").agg(F.count("__x").alias("__k"), F.sum("__x").alias("__s"), F.coalesce(F.sum(F.col("__x") * F.col("__x")), F.lit(0.0)).alias("__q"))
+    before = W.partitionBy(seq).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(seq, "__b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__k", "__s", "__q")))
+    upto = W.partitionBy(seq, "__b").orderBy(P).rowsBetween(W.unboundedPreceding, 0)
+    out = own.withColumns({"__n": F.count("__x").over(upto), "__m": F.avg("__x").over(upto), "__v": F.var_pop("__x").over(upto)}).join(parts, [seq, "__b"])
+    n, k = F.col("__n") + F.col("__k"), F.col("__k")
+    own_mean, old_mean = F.coalesce("__m", F.lit(0.0)), F.try_divide("__s", k.cast("double"))
+    apart = own_mean - F.coalesce(old_mean, F.lit(0.0))
+    squares = F.coalesce("__v", F.lit(0.0)) * F.col("__n") + F.greatest(F.col("__q") - F.coalesce(F.col("__s") * old_mean, F.lit(0.0)), F.lit(0.0)) + apart * apart * F.try_divide((F.col("__n") * k).cast("double"), n.cast("double"))
+    mean = F.try_divide(own_mean * F.col("__n") + F.col("__s"), n.cast("double")) + F.col("__c")
+    out = out.withColumns({"n": n, "mean": mean, "var_pop": F.try_divide(squares, n.cast("double")), "var_samp": F.coalesce(F.try_divide(squares, n - 1.0), F.lit(0.0))})
+    return out.drop("__b", "__c", "__x", "__k", "__s", "__q", "__n", "__m", "__v")
 
 
 # -- runs and islands ---------------------------------------------------------------------------
