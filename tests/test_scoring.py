@@ -127,3 +127,26 @@ def test_structure_and_edits(spark):
     assert workflow.listed(table, k="b").count() == 1
     errors = [r.e for r in spark.createDataFrame([('{"preconditions": ["a \\"q\\""], "postconditions": ["é, b"], "invariants": [ ]}',), ("[1]",), ('{"preconditions": [null], "postconditions": {}, "invariants": []}',), (None,)], "s string").select(t.contract_errors(F.col("s")).alias("e")).collect()]
     assert errors[0] == [] and errors[1] == ["response is not a JSON object"] and errors[2] == ["'preconditions' contains non-string items", "'postconditions' is not a JSON array"] and errors[3] == ["response is not a JSON object"]
+
+
+def test_result_files(spark, tmp_path):
+    """Columns in their order, undefined numbers as the files have them."""
+    from trialframe.operators import stats
+    from trialframe.plans import scoring_queries
+    from trialframe.sources import sinks
+
+    diffs = spark.createDataFrame([("H1", "T1", "m", float(x)) for x in (1, 2, -1, 3)] + [("H1", "T2", "m", 0.0)], "hypothesis string, task string, model_id string, d double")
+    hyp = spark.createDataFrame([("H1", "A", "B")], "hypothesis string, cond_a string, cond_b string")
+    sinks.write_confirmatory(stats.decisions(stats.signed_rank_tests(diffs, ["hypothesis", "task"]), hyp), str(tmp_path / "c"))
+    lines = next((tmp_path / "c").glob("part-*")).read_text().splitlines()
+    assert lines[0] == ",".join(sinks.CONFIRMATORY) and lines[1].startswith("H1,T1,A,B,4,8.5,0.1875,0.7,false,") and lines[2] == "H1,T2,A,B,1,nan,nan,0.0,false,Insufficient data"
+    rows = stats.exploratory(diffs, ["hypothesis", "task", "model_id"], hyp)
+    sinks.write_exploratory(rows, str(tmp_path / "e"))
+    lines = next((tmp_path / "e").glob("part-*")).read_text().splitlines()
+    assert lines[0] == ",".join(sinks.EXPLORATORY) and lines[2].endswith(",insufficient_data") and len(lines) == 3
+    shown = [r.line for r in sinks.exploratory_lines(rows).collect()]
+    assert shown[0].startswith("H1   T1    A     B     m                    4   3   1   0    1.500     8.500   0.375   0.750   0.700     nan     nan ok") and "insufficient_data" in shown[1]
+    export = scoring_queries.QUERIES["export_table"](spark, "/root/testdata/sf0.001")
+    assert tuple(export.columns) == sinks.EXPORT and len(sinks.EXPORT) == 26
+    sinks.write_run(export.select("item_id"), export.where("missing_expected_artifacts_json <> '[]'").select("item_id"), export, str(tmp_path / "run"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "run/export")).count() == spark.read.parquet(str(tmp_path / "run/index")).count() == 200

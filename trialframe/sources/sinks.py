@@ -48,3 +48,43 @@ def summary_lines(tests: DataFrame) -> DataFrame:
     """A line of text for each test (hypothesis, task, n_pairs, w_plus, r_rb), in their order; a report of a few rows."""
     line = F.format_string("%-4s %-4s n=%3d  W=%8.1f  r=%+.3f", "hypothesis", "task", "n_pairs", "w_plus", "r_rb")
     return tests.orderBy("hypothesis", "task").select(line.alias("line"))
+
+
+# The columns of the other result files, in their order.
+EXPLORATORY = ("analysis", "hypothesis", "task", "cond_a", "cond_b", "model", "n_pairs", "n_pos", "n_neg", "n_tie", "median_diff", "statistic", "raw_p", "holm_p", "r_rb", "ci_low", "ci_high", "status")
+EXPORT = (
+    "run_id", "item_id", "model", "function", "task", "condition", "item_status", "started_at", "finished_at", "attempt_count", "prompt_artifact_path", "response_artifact_path", "score_artifact_path", "prompt_artifact_exists",
+    "response_artifact_exists", "score_artifact_exists", "score", "scorer_status", "scorer_failure_reason_code", "scorer_failure_reason_message", "score_subscores_json", "score_evidence_json", "execution_failure_reason_code",
+    "execution_failure_reason_message", "skip_reason", "missing_expected_artifacts_json",
+)
+
+
+def write_confirmatory(decisions: DataFrame, path: str) -> None:
+    """The ten columns of a confirmatory result (see ``stats.decisions``) as CSV, a statistic or p that is undefined as the text ``nan``; a report of a few rows."""
+    text = lambda c: F.coalesce(F.when(F.isnan(c), "nan").otherwise(F.col(c).cast("string")), F.lit("nan")).alias(c)
+    shown = [text(c) if c in ("wilcoxon_statistic", "p_value_one_sided") else F.col(c) for c in CONFIRMATORY]
+    write_csv(decisions.orderBy("hypothesis", "task").select(*shown), path, CONFIRMATORY, single=True)
+
+
+def write_exploratory(rows: DataFrame, path: str) -> None:
+    """The 18 columns of an exploratory result (see ``stats.exploratory``) as CSV, what is undefined left empty; a report of a few rows."""
+    write_csv(rows.orderBy("analysis", "model", "hypothesis", "task"), path, EXPLORATORY, single=True)
+
+
+def write_export(rows: DataFrame, path: str) -> None:
+    """The 26 columns of the long export (see ``workflow.export_table``) as CSV with a header in every part."""
+    write_csv(rows, path, EXPORT)
+
+
+def write_run(ledger: DataFrame, audit: DataFrame, export: DataFrame, path: str) -> None:
+    """A run's state after a batch: ledger and audit as tables, the long export as CSV, each replaced as a whole."""
+    write_ledger(ledger, f"{path}/index")
+    write_ledger(audit, f"{path}/audit")
+    write_export(export, f"{path}/export")
+
+
+def exploratory_lines(rows: DataFrame) -> DataFrame:
+    """A line of text for each row of an exploratory result, in their order; a report of a few rows."""
+    number = lambda c, width: F.lpad(F.when(F.col(c).isNull(), "nan").otherwise(F.format_string("%.3f", c)), width, " ")
+    line = F.concat_ws(" ", F.format_string("%-4s %-5s %-5s %-5s %-18s %3d %3d %3d %3d", "hypothesis", "task", "cond_a", "cond_b", "model", "n_pairs", "n_pos", "n_neg", "n_tie"), number("median_diff", 8), number("statistic", 9), number("raw_p", 7), number("holm_p", 7), number("r_rb", 7), number("ci_low", 7), number("ci_high", 7), F.col("status"))
+    return rows.orderBy("analysis", "model", "hypothesis", "task").select(line.alias("line"))
