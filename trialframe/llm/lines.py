@@ -54,10 +54,10 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), least_chars: int =
     # written, so that both sides of the join have exchanges of their own and Spark can split a line that every document holds
     met = lines.join(written(common_lines(lines, least_documents), "lines"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = met.groupBy(F.col("doc_id").alias("of_id"), F.col("body").alias("of_body")).agg(F.collect_set("pos").alias("gone_at"))
-    own = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select("doc_id", *(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.coalesce("text", F.lit("")).alias("text"))
     both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_body")), "left")
     return both.select(
-        "doc_id", *keep, F.when(F.col("gone_at").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone_at"))).alias("text"),
+        "doc_id", *(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), F.when(F.col("gone_at").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone_at"))).alias("text"),
         F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size("gone_at"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
