@@ -96,12 +96,15 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def normal_p(tests: DataFrame, alternative: str = "greater") -> DataFrame:
-    """Adds p under the normal approximation with the tie term, from the counts alone, so a study of any size is tested where it lies; without two differences p is null."""
+def _z() -> Column:
     n = (F.col("n_pos") + F.col("n_neg")).cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48)
-    z = F.when((n >= 2) & (spread > 0), (F.col("w_plus") - n * (n + 1) / 4) / F.when(spread > 0, spread))
-    return tests.withColumn("p", _sided(upper_tail(z), upper_tail(-z), alternative))
+    return F.when((n >= 2) & (spread > 0), (F.col("w_plus") - n * (n + 1) / 4) / F.when(spread > 0, spread))
+
+
+def normal_p(tests: DataFrame, alternative: str = "greater") -> DataFrame:
+    """Adds p under the normal approximation with the tie term, from the counts alone, so a study of any size is tested where it lies; without two differences p is null."""
+    return tests.withColumn("p", _sided(upper_tail(_z()), upper_tail(-_z()), alternative))
 
 
 def _exact(steps: Column, w_plus: Column, alternative: str) -> Column:
@@ -115,17 +118,19 @@ def _exact(steps: Column, w_plus: Column, alternative: str) -> Column:
     return F.transform(F.array(chances), lambda c: _sided(add(F.slice(c, at + 1, F.size(c))), add(F.slice(c, F.lit(1), at + 1)), alternative))[0]
 
 
-def signed_rank_tests(diffs: DataFrame, by: Sequence[str], d: str = "d", alternative: str = "greater") -> DataFrame:
-    """``signed_rank`` with p and status (``ok``, or ``insufficient_data`` and a null p without two differences).
+def signed_rank_tests(diffs: DataFrame, by: Sequence[str], d: str = "d", alternative: str = "greater", also: Sequence[str] = ()) -> DataFrame:
+    """``signed_rank`` with p and status (``ok``, or ``insufficient_data`` and a null p without two differences); p_<name> for each further alternative in ``also``.
 
     Up to 13 differences, or 50 without ties, p is exact over all sign flips, by a fold over at most
     50 ranks in the test's own row; beyond, it is the normal approximation with the tie term.  No task sees a test's differences, only counts of them.
     """
     n = F.col("n_pos") + F.col("n_neg")
     exact = (n <= EXACT_TIED) | ((n <= EXACT_UNTIED) & (F.col("tie_term") == 0))
-    out = normal_p(_signed_rank(diffs, by, d), alternative)
-    p = F.when(n < 2, None).when(exact, _exact(F.col("__steps"), F.col("w_plus"), alternative)).otherwise(F.col("p"))
-    return out.withColumn("p", p).withColumn("status", F.when(n < 2, "insufficient_data").otherwise("ok")).drop("__steps")
+    out = _signed_rank(diffs, by, d)
+    for name, side in (("p", alternative), *((f"p_{x.replace('-', '_')}", x) for x in also)):
+        p = F.when(n < 2, None).when(exact, _exact(F.col("__steps"), F.col("w_plus"), side)).otherwise(_sided(upper_tail(_z()), upper_tail(-_z()), side))
+        out = out.withColumn(name, p)
+    return out.withColumn("status", F.when(n < 2, "insufficient_data").otherwise("ok")).drop("__steps")
 
 
 # What a decision says.

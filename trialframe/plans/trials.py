@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import kernels
 from trialframe.operators import stats
+from trialframe.sources.scratch import stored
 
 KEYS = ["unit_id", "task", "condition", "model_id"]
 ORDER = ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -163,9 +164,8 @@ def exact_signed_rank(spark, sf_dir):
     units = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("unit_id"), F.col("s_nationkey").alias("nation"))
     by = ["hypothesis", "task", "nation"]
     d = _differences(spark, sf_dir).join(units, "unit_id")
-    one = stats.signed_rank_tests(d, by).withColumn("p_one_sided", F.round("p", 9))
-    two = stats.signed_rank_tests(d, by, alternative="two-sided").select(*by, F.round("p", 9).alias("p_two_sided"))
-    return one.join(two, by).select(*by, "n_pairs", "n_pos", "n_neg", "w_plus", "tie_term", "p_one_sided", "p_two_sided", "status")
+    both = stats.signed_rank_tests(d, by, also=["two-sided"])
+    return both.select(*by, "n_pairs", "n_pos", "n_neg", "w_plus", "tie_term", F.round("p", 9).alias("p_one_sided"), F.round("p_two_sided", 9).alias("p_two_sided"), "status")
 
 
 _PER_MODEL = _diffs().replace("SELECT hypothesis, a.task, a.unit_id", "SELECT hypothesis, a.task, a.model_id, a.unit_id").replace("JOIN cells a", "JOIN scores a").replace("JOIN cells b", "JOIN scores b").replace("AND b.task = a.task", "AND b.model_id = a.model_id AND b.task = a.task")
@@ -283,7 +283,8 @@ def input_summary(spark, sf_dir):
 @query()
 def signed_rank_p_values(spark, sf_dir):
     """p and the bootstrap interval of every test, from counts of differences."""
-    d, by = _differences(spark, sf_dir), ["hypothesis", "task"]
+    # written, as p and intervals both read it
+    d, by = stored(_differences(spark, sf_dir), "differences"), ["hypothesis", "task"]
     tests = stats.signed_rank_tests(d, by).select(*by, F.col("n_pairs").alias("n"), F.col("w_plus").alias("statistic"), "p", "r_rb")
     return tests.join(kernels.bootstrap_intervals(d, by), by)
 
