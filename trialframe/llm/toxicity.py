@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int =
 
     Rows are taken in the order of a hash of their id, so the sample depends on ids only; longer
     texts than ``longest`` are not trained on, nor what comes after ``characters`` in all: that
-    bounds what the driver gets.  Null labels and ids are passed over, a document with several
+    bounds what the task gets that fits the model.  Null labels and ids are passed over, a document with several
     labels counts as toxic when one of them says so, and of several texts under one id the first
     in their order counts.  Empty tables give a model that scores every text 0.
     """
@@ -165,8 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int =
     rows = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "__y").agg(F.min("__t").alias("__t"))
     # a window over 2 * sample rows at most
     rows = rows.withColumn("__sum", F.sum(F.length("__t")).over(Window.orderBy(order, "doc_id"))).where(F.col("__sum") <= characters)
-    got = rows.orderBy("doc_id").select("__t", "__y").toPandas()
-    return fit(list(zip(got["__t"], got["__y"], strict=True)))
+    # the fit is a task's work on this bounded sample; the driver only gets the words' weights
+    got = rows.orderBy("doc_id").select("__t", "__y").coalesce(1).mapInPandas(_fitted, "word string, weight double").collect()
+    return Model({r.word: r.weight for r in got if r.word is not None}, next((r.weight for r in got if r.word is None), -1e9))
+
+
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of texts and labels to the model's words with their weights, and its bias without a word."""
+    model = fit([row for b in batches for row in zip(b["__t"], b["__y"], strict=True)])
+    yield pd.DataFrame({"word": pd.Series([*model.weights, None], dtype=object), "weight": [*model.weights.values(), model.bias]})
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
