@@ -121,3 +121,9 @@ def test_records_and_recovery(spark):
     assert measure(source.withColumnRenamed("source", "text")).hash_agrees
     summary = {x.metric: x for x in ir.recovery_summary(ir.recovery(records, nodes, trees.to_source(nodes), nodes)).collect()}
     assert summary["hash_agrees"].mean == 1.0 and summary["node_kinds"].n == 1
+
+
+def test_written_tables_are_not_broadcast(shapes):
+    """Files of a written table are small, its rows may be many: no join sends them through the driver."""
+    deep = trees.depths(shapes, 2)
+    assert "Broadcast" not in deep._jdf.queryExecution().executedPlan().toString()

@@ -23,6 +23,8 @@ def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
     """Writes ``df`` as Parquet and reads it back: the lineage ends, a lost executor costs nothing that was written.
 
     The table goes when the driver's JVM ends; ``instead_of``, a table of an earlier call that nothing will read again, goes now.
+    Its joins are merged: by the size of its files, which are packed far below what their rows take, Spark would
+    send millions of rows through the driver as a broadcast.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tf-{name}-{uuid.uuid4().hex}"
@@ -32,6 +34,6 @@ def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
     files.deleteOnExit(place(path))
     if instead_of is not None:
         files.delete(place(instead_of._stored_path), True)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).hint("merge")
     out._stored_path = path
     return out
