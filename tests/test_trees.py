@@ -127,3 +127,14 @@ def test_written_tables_are_not_broadcast(shapes):
     """Files of a written table are small, its rows may be many: no join sends them through the driver."""
     deep = trees.depths(shapes, 2)
     assert "Broadcast" not in deep._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_are_dealt_by_number(spark, monkeypatch):
+    """Parsing goes by the number of sources; trees whose rows lie apart come back whole, one after the other."""
+    monkeypatch.setattr(trees, "SOURCES", 10)
+    df = spark.range(95).select(F.col("id").alias("t"), F.concat(F.lit("x = "), F.col("id").cast("string"), F.lit("\ndef f(a):\n    return 'y'\n")).alias("s")).coalesce(1)
+    nodes = trees.parse(df, "t", "s")
+    assert nodes.rdd.getNumPartitions() == 10
+    got = {int(r.tree_id): r.source for r in trees.to_source(nodes.repartition(7)).collect()}
+    assert got == {k: f"x = {k}\n\ndef f(a):\n    return 'y'" for k in range(95)}
+    assert "FlatMapGroupsInPandas" not in trees.to_source(nodes)._jdf.queryExecution().optimizedPlan().toString()

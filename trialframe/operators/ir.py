@@ -38,14 +38,15 @@ def assemble(typed: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataFra
     """The records that fit together, and why the others don't (rule_id, key).
 
     Rows that break a rule of their own, typed sources without a contract (``contract_missing``), and pairs
-    whose source hashes differ (``hash_mismatch``) give no record.
+    whose source hashes differ (``hash_mismatch``) give no record.  Joins are merged: by the size of their files, which are
+    packed, both sides would be broadcast with millions of records.
     """
     own = violations(typed, F.col("func_id"), [(f"typed.{n}", ok) for n, ok in typed_rules()]).unionByName(violations(contracts, F.col("func_id"), [(f"contract.{n}", ok) for n, ok in contract_rules()]))
-    c = contracts.select(F.col("func_id").alias("__of"), F.col("source_hash").alias("__hash"), F.struct(*KINDS).alias("contracts"))
+    c = contracts.select(F.col("func_id").alias("__of"), F.col("source_hash").alias("__hash"), F.struct(*KINDS).alias("contracts")).hint("merge")
     both = typed.join(c, F.col("func_id") == F.col("__of"), "left")
     pair = [("contract_missing", F.col("__of").isNotNull()), ("hash_mismatch", F.col("__of").isNull() | F.col("source_hash").eqNullSafe(F.col("__hash")))]
     broken = own.unionByName(violations(both, F.col("func_id"), pair))
-    fits = both.join(broken.select(F.col("key").alias("func_id")).distinct(), "func_id", "left_anti")
+    fits = both.join(broken.select(F.col("key").alias("func_id")).distinct().hint("merge"), "func_id", "left_anti")
     return fits.select("func_id", "source_hash", "type_info", "contracts"), broken
 
 

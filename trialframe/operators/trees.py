@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import math
 from collections.abc import Iterator
+from functools import cache, lru_cache
 from typing import get_origin
 
 import pandas as pd
@@ -41,8 +42,12 @@ def parse_rows(tree_id: str, source: str | None) -> list[tuple]:
     return rows
 
 
+#: Sources that one task parses: their nodes take many times their bytes, by which Spark would deal them.
+SOURCES = 20_000
+
+
 def parse(sources: DataFrame, tree_id: str, source: str) -> DataFrame:
-    """The node table of a column of sources; rows are independent, nothing is shuffled."""
+    """The node table of a column of sources; rows are independent and dealt out by their number, ``SOURCES`` to a task."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in NODE.split(", ")]
@@ -50,7 +55,10 @@ def parse(sources: DataFrame, tree_id: str, source: str) -> DataFrame:
             rows = [r for t, s in zip(b["t"], b["s"], strict=True) for r in parse_rows(t, s)]
             yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("parent_id", "lo", "hi")})
 
-    return sources.select(F.col(tree_id).cast("string").alias("t"), F.col(source).cast("string").alias("s")).mapInPandas(batches, NODE)
+    rows = sources.select(F.col(tree_id).cast("string").alias("t"), F.col(source).cast("string").alias("s"))
+    tasks = -(-rows.count() // SOURCES)
+    # its joins are merged, as what Spark holds for its size is that of the sources
+    return (rows.repartition(tasks) if tasks > 1 else rows).mapInPandas(batches, NODE).hint("merge")
 
 
 def normal_source():
@@ -206,28 +214,41 @@ def rendered(placed: DataFrame, before: Column, after: Column) -> DataFrame:
     return parts.groupBy("tree_id").agg(F.array_join(in_order("p.said", "p.at"), "").alias("text"))
 
 
-def _built(rows: pd.DataFrame) -> ast.AST:
-    """The syntax tree of a node table's rows: children have greater ids, so they are built first."""
+@cache
+def _fields(kind: str) -> tuple[type, list[tuple[str, bool]]]:
+    """The class of a kind, and its fields with whether they are lists."""
+    cls = getattr(ast, kind)
+    return cls, [(name, get_origin(t) is list) for name, t in cls._field_types.items()]
+
+
+@lru_cache(10_000)
+def _short_scalar(said: str):
+    return {"Ellipsis": ..., "inf": math.inf}[said] if said in ("Ellipsis", "inf") else complex(0, math.inf) if said == "infj" else ast.literal_eval(said)
+
+
+def _scalar(said: str):
+    return _short_scalar(said) if len(said) <= 100 else ast.literal_eval(said)
+
+
+def _built(rows: list[tuple]) -> ast.AST:
+    """The syntax tree of (node_id, parent_id, field, pos, kind, scalar) in the order of node_id: children have greater ids, so they are built first."""
     held: dict[int, dict[str, dict[int, object]]] = {}
     made = None
-    for r in rows.sort_values("node_id", ascending=False).itertuples(index=False):
-        if r.kind == "scalar":
-            made = {"Ellipsis": ..., "inf": math.inf}[r.scalar] if r.scalar in ("Ellipsis", "inf") else complex(0, math.inf) if r.scalar == "infj" else ast.literal_eval(r.scalar)
+    for node_id, parent_id, field, pos, kind, scalar in reversed(rows):
+        if kind == "scalar":
+            made = _scalar(scalar)
         else:
-            cls, own = getattr(ast, r.kind), held.pop(r.node_id, {})
+            (cls, names), own = _fields(kind), held.pop(node_id, {})
             fields: dict[str, object] = {}
-            for name, kind in cls._field_types.items():
+            for name, many in names:
                 at = own.get(name, {})
-                if get_origin(kind) is list:
-                    fields[name] = [at.get(i) for i in range(max(at, default=-1) + 1)]
-                else:
-                    fields[name] = at.get(0)
+                fields[name] = [at.get(i) for i in range(max(at, default=-1) + 1)] if many else at.get(0)
             for short, full in (("keys", "values"), ("kw_defaults", "kwonlyargs")):  # empty places at the end
                 if isinstance(fields.get(short), list) and full in fields:
                     fields[short] += [None] * (len(fields[full]) - len(fields[short]))
             made = cls(**fields)
-        if not pd.isna(r.parent_id):
-            held.setdefault(int(r.parent_id), {}).setdefault(r.field, {})[int(r.pos)] = made
+        if not pd.isna(parent_id):
+            held.setdefault(int(parent_id), {}).setdefault(field, {})[int(pos)] = made
     return ast.fix_missing_locations(made)
 
 
@@ -244,22 +265,39 @@ PARTS = "tree_id string, source string, name string, params array<struct<name:st
 def to_source(nodes: DataFrame) -> DataFrame:
     """From the node table back to text: tree_id, source, and of the first function name, params (annotated ones, with the annotation's base), returns, doc, the imports before it, and the lines of its body without the docstring.
 
-    A tree's nodes meet in one task, as its text did when it was parsed.
+    A tree's nodes meet in one task, as its text did when it was parsed; a task reads its trees one after the other from sorted rows.
     """
+    columns = ["node_id", "parent_id", "field", "pos", "kind", "scalar"]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(tree_id: str, rows: list[tuple]) -> list:
         tree = _built(rows)
         f = next((x for x in tree.body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)), None)
-        found: list = [rows["tree_id"].iloc[0], ast.unparse(tree), None, [], None, None, [], []]
+        found: list = [tree_id, ast.unparse(tree), None, [], None, None, [], []]
         if f is not None:
             doc = ast.get_docstring(f, clean=True)
             params = [{"name": a.arg, "base": b} for a in f.args.args if (b := _base(a.annotation)) is not None]
             imports = [ast.unparse(x) for x in tree.body[: tree.body.index(f)] if isinstance(x, ast.Import | ast.ImportFrom)]
             body = [line for x in f.body[doc is not None :] for line in ast.unparse(x).split("\n")]
             found[2:] = [f.name, params, _base(f.returns), doc, imports, body]
-        return pd.DataFrame([found], columns=[c.split()[0] for c in PARTS.split(", ")])
+        return found
 
-    return nodes.select("tree_id", "node_id", "parent_id", "field", "pos", "kind", "scalar").groupBy("tree_id").applyInPandas(one, PARTS)
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PARTS.split(", ")]
+        held: tuple | None = None
+        for b in it:
+            found = []
+            for tree_id, row in zip(b["tree_id"].tolist(), zip(*(b[c].tolist() for c in columns), strict=True), strict=True):
+                if held is None or held[0] != tree_id:
+                    if held is not None:
+                        found.append(one(*held))
+                    held = (tree_id, [])
+                held[1].append(row)
+            yield pd.DataFrame(found, columns=names)
+        if held is not None:
+            yield pd.DataFrame([one(*held)], columns=names)
+
+    together = nodes.select("tree_id", *columns).repartition("tree_id").sortWithinPartitions("tree_id", "node_id")
+    return together.mapInPandas(batches, PARTS).hint("merge")
 
 
 def tree_distance(pairs: DataFrame, nodes: DataFrame, rounds: int = 6) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialframe.operators import ir, trees
 from trialframe.plans.sequence_queries import events
+from trialframe.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,7 +132,8 @@ def source_to_nodes(spark, d):
 
 @query("SELECT p_partkey::VARCHAR AS tree_id, p_partkey % 3 = 0 AS recursive FROM part WHERE p_partkey % 8 <> 0")
 def direct_recursion(spark, d):
-    return trees.direct_recursion(trees.parse(_sources(spark, d), "tree_id", "source"))
+    # written, as names, definitions and calls all read it
+    return trees.direct_recursion(stored(trees.parse(_sources(spark, d), "tree_id", "source"), "nodes"))
 
 
 def _records(spark, d):
@@ -159,12 +161,16 @@ _TYPE = "CASE p_size % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'list[int]' ELSE 'Any' EN
 _BODY = "CASE WHEN p_partkey % 3 = 0 THEN '    return f(a - 1) if a else 0' ELSE '    x = a * ' || p_partkey % 10 || chr(10) || '    return x' END"
 
 
-def _annotated(spark, d):
+def _annotated(spark, d, keep: bool = False):
+    """Records, their node table and annotated texts; with ``keep`` the last two are written, for those that read them more than once."""
     records, _ = ir.assemble(*_records(spark, d))
     held = trees.parse(_sources(spark, d), "tree_id", "source")
+    if keep:
+        held = stored(held, "nodes")
     parts = trees.to_source(held).select(F.col("tree_id").alias("func_id"), "imports", "body")
     text = ir.annotated_text(F.concat(F.lit("f"), F.col("func_id")), F.col("type_info"), F.col("contracts"), F.col("imports"), F.col("body"))
-    return records, held, records.join(parts, "func_id").select("func_id", text.alias("text"))
+    texts = records.join(parts, "func_id").select("func_id", text.alias("text"))
+    return records, held, stored(texts, "texts") if keep else texts
 
 
 @query(f"""SELECT p_partkey::VARCHAR AS func_id, array_to_string([CASE WHEN p_size % 3 = 2 THEN 'from typing import Any' || chr(10) END, 'def f' || p_partkey || '(a: ' || {_TYPE} || ') -> int:', '    \"\"\"', '    Preconditions:', '    - a is given', '', '    Postconditions:', '    - result   is below ' || p_size, '    - a is kept, result is new', '', '    Invariants:', '    - None.', '    \"\"\"', {_BODY}, ''], chr(10)) AS text
@@ -178,8 +184,8 @@ def annotated_sources(spark, d):
 @query(f"SELECT p_partkey::VARCHAR AS func_id, 1.0::DOUBLE AS node_kinds, 1.0::DOUBLE AS edges, 1.0::DOUBLE AS types, 1.0::DOUBLE AS preconditions, 1.0::DOUBLE AS postconditions, 1.0::DOUBLE AS invariants, 1.0::DOUBLE AS cross_references, false AS hash_agrees FROM part WHERE {_FITS} AND p_partkey % 8 <> 0")
 def round_trip(spark, d):
     """Source to nodes to annotated text to nodes, and what was kept of every record."""
-    records, held, texts = _annotated(spark, d)
-    again = trees.parse(texts, "func_id", "text")
+    records, held, texts = _annotated(spark, d, keep=True)
+    again = stored(trees.parse(texts, "func_id", "text"), "again")
     return ir.recovery(records.join(texts.select("func_id"), "func_id", "left_semi"), held, trees.to_source(again), again)
 
 
