@@ -327,3 +327,11 @@ def test_leaks_count_long_passages(spark):
     docs = spark.createDataFrame([(1, "so it goes: " + " ".join(words)), (2, " ".join(words[40:290]))], "doc_id int, text string")
     items = spark.createDataFrame([(0, " ".join(words))], "item_id int, text string")
     assert {tuple(r) for r in decontaminate.leaks(docs, items).collect()} == {(1, 0, 300, 3, 302), (2, 0, 250, 0, 249)}
+
+
+def test_license_sentence_without_anchor_word(spark):
+    """A sentence that reaches the least cosine counts, whether or not it has one of the words that most licences have."""
+    t = "and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    df = spark.createDataFrame([(1, "a/x.txt", t), (2, "b/y.txt", "and in the with or of that"), (3, "c/z.txt", "nothing")], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in licenses.license_scan(df).collect()}
+    assert got == {1: "BSD-3-Clause", 2: None, 3: None}

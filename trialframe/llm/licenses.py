@@ -37,7 +37,7 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: A sentence without any of these words states no licence.
+#: Words of the SQL statement, which looks at sentences with one of them only; ``license_scan`` looks at all.
 ANCHORS = ("license", "licensed", "licence", "licenced", "released", "permission", "redistribution", "redistribute", "domain", "mozilla", "apache", "gnu", "bsd", "mit", "cc", "cc0")
 _BREAK = r"[.!?]\s+|\n+"
 _APART = r"[^\p{L}\p{N}]+"
@@ -78,7 +78,8 @@ def license_scan(files: DataFrame, path: str = "path", text: str = "text", keep:
     words stand in matched sentences; rows without an own licence take that of the nearest
     directory on their path, their own included, with a licence file (of several the best match).
     Null texts are empty, null paths inherit nothing, repeated rows are judged one by one.  One
-    pass reads the texts; only words of sentences with an anchor word are shuffled.  An empty table
+    pass reads the texts.  Only words of sentences that can reach ``least`` are shuffled: a cosine is at
+    most the length of that part of a template's unit vector whose words the sentence has, so none is lost.  An empty table
     gives none.  ``keep`` must not name a column that is added (ValueError); other columns are not
     looked at, whatever their names.
     """
@@ -88,7 +89,7 @@ def license_scan(files: DataFrame, path: str = "path", text: str = "text", keep:
     body = F.coalesce(F.col(text), F.lit(""))
     scanned = files.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(path).alias("path"), body.alias("body"), tokens(body).alias("words"))
     scanned = scanned.withColumn("present", F.array_intersect(_strings(vocabulary), "words"))
-    scanned = scanned.select(*(f"k{i}" for i in range(len(keep))), "path", F.size("words").alias("n_words"), "present", F.when(F.arrays_overlap("present", _strings(ANCHORS)), F.col("body")).alias("body"), F.monotonically_increasing_id().alias("row"))
+    scanned = scanned.select(*(f"k{i}" for i in range(len(keep))), "path", F.size("words").alias("n_words"), "present", F.when(F.size("present") > 0, F.col("body")).alias("body"), F.monotonically_increasing_id().alias("row"))
     scanned = written(scanned, "license-scan")
 
     total = scanned.agg(F.count("*").alias("n"))
@@ -101,8 +102,18 @@ def license_scan(files: DataFrame, path: str = "path", text: str = "text", keep:
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     weights = weights.join(F.broadcast(norms), "template").select("template", "license", "term", (F.col("w") / F.col("t_norm")).alias("t_w"))
 
-    sentence = scanned.where("body is not null").select("row", F.posexplode(F.split("body", _BREAK)).alias("at", "s")).select("row", "at", tokens(F.col("s")).alias("words"))
-    sentence = sentence.where(F.arrays_overlap("words", _strings(ANCHORS)))
+    # one row of squared weights: of each term in the template where it weighs most, and of each template
+    square = F.col("t_w") * F.col("t_w")
+    as_map = lambda v: F.map_from_entries(F.collect_list(F.struct("term", v)))
+    most = weights.groupBy("term").agg(F.max(square).alias("most")).agg(as_map(F.col("most")).alias("__most"))
+    each = weights.groupBy("template").agg(as_map(square).alias("m")).agg(F.collect_list("m").alias("__each"))
+    bounds = F.broadcast(most.crossJoin(each))
+    enough = max(least - 1e-6, 0.0) ** 2 - 1e-9
+    reach = lambda terms, held: F.aggregate(terms, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(held, w), F.lit(0.0))) >= enough
+    able = scanned.where("body is not null").crossJoin(bounds).where(reach(F.col("present"), F.col("__most")))
+    sentence = able.select("row", F.posexplode(F.split("body", _BREAK)).alias("at", "s"), "__most", "__each").select("row", "at", tokens(F.col("s")).alias("words"), "__most", "__each")
+    sentence = sentence.withColumn("own", F.array_intersect(_strings(vocabulary), "words")).where(F.size("own") > 0).where(reach(F.col("own"), F.col("__most")))
+    sentence = sentence.where(F.exists("__each", lambda m: reach(F.col("own"), m))).select("row", "at", "words")
     counted = sentence.select("row", "at", F.explode("words").alias("term")).groupBy("row", "at", "term").agg(F.count("*").alias("tf"))
     counted = counted.join(F.broadcast(idf), "term", "left").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * F.coalesce("idf", weigh(F.lit(0))))
     size = counted.groupBy("row", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n"))
