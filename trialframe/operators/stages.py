@@ -88,26 +88,29 @@ def stage_stream(candidates: DataFrame, events: DataFrame) -> DataFrame:
     Events of a candidate must arrive in their order, those of one micro-batch in any.
     """
     names = ["candidate_id", "pos", "stage", "score", "outcome", "result"]
+    read = ["pos", "stage", "score", "known", "stage1_result", "stage2_result", "stage3_result", "is_anchor"]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         two, three = state.get if state.exists else (None, None)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("pos").itertuples(index=False):
+        # lists, as most candidates have a few events and a frame for each would take longer than its rows
+        own = [row for b in batches for row in zip(*(b[c].tolist() for c in read), strict=True)]
+        out: list[tuple] = []
+        for pos, stage, score, known, first, second, third, anchor in sorted(own, key=lambda row: row[0]):
             if two is None and three is None:
-                two, three = r.stage2_result or "not_run", r.stage3_result or "not_run"
-            why = "unknown_candidate" if not r.known else "unknown_stage" if r.stage not in (2, 3) else "no_score" if pd.isna(r.score) else "stage1_not_passed" if r.stage == 2 and r.stage1_result != "PASS" else None
+                two, three = second or "not_run", third or "not_run"
+            why = "unknown_candidate" if not known else "unknown_stage" if stage not in (2, 3) else "no_score" if score is None or score != score else "stage1_not_passed" if stage == 2 and first != "PASS" else None
             result = None
-            if why is None and r.stage == 3 and not (r.is_anchor or two == "INCLUDE"):
+            if why is None and stage == 3 and not (anchor or two == "INCLUDE"):
                 why = "not_included"
-            elif why is None and (two if r.stage == 2 else three) != "not_run":
+            elif why is None and (two if stage == 2 else three) != "not_run":
                 why = "already_run"
-            elif why is None and r.stage == 2:
-                two = result = "EXCLUDE" if r.score >= 3 else "INCLUDE" if r.score >= 1 else "DEFER"
+            elif why is None and stage == 2:
+                two = result = "EXCLUDE" if score >= 3 else "INCLUDE" if score >= 1 else "DEFER"
             elif why is None:
-                three = result = "ceiling_risk" if r.score >= 1.0 else "preferred"
-            rows.append((key[0], r.pos, r.stage, r.score, why or "applied", result))
+                three = result = "ceiling_risk" if score >= 1.0 else "preferred"
+            out.append((key[0], pos, stage, score, why or "applied", result))
         state.update((two, three))
-        yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(dict(zip(names, zip(*out, strict=True), strict=True)))
 
     known = candidates.select("candidate_id", "stage1_result", "stage2_result", "stage3_result", "is_anchor", F.lit(True).alias("known"))
     own = events.select("candidate_id", F.col("pos").cast("long").alias("pos"), F.col("stage").cast("long").alias("stage"), F.col("score").cast("double").alias("score")).join(known, "candidate_id", "left").fillna(False, ["known", "is_anchor"])
