@@ -105,6 +105,24 @@ def test_power(spark):
     assert (row.r, row.none) == (k.required_n(0.5), None) and row.d == pytest.approx(k.detectable_effect(28))
 
 
+def test_power_by_ranges(spark, monkeypatch):
+    """A sample that is larger than what a task holds is summed up by ranges of sizes, with the result of the whole sample."""
+    import numpy as np
+
+    d = np.random.default_rng([5, 3]).normal(-0.3, 1.0, 200)
+    df = spark.createDataFrame([("a", 200, 0.12), ("b", 20, 0.4), ("c", 1, None)], "t string, n int, dz double")
+    want = {t: np.mean([k.signed_rank_p(np.random.default_rng([k.POWER_SEED, i]).normal(dz, 1.0, n))[1] < 0.05 for i in range(60)]) for t, n, dz in (("a", 200, 0.12), ("b", 20, 0.4))}
+    for most in (1_000_000, 64, 7):
+        monkeypatch.setattr(k, "SAMPLE", most)
+        parts = [k._sample_sums([5, 3], 200, -0.3, i) for i in range(-(-200 // most))]
+        assert sum(p[0] for p in parts) == 200 and sum(p[1] for p in parts) == (d > 0).sum() and sum(p[2] for p in parts) == k.signed_rank_p(d)[0]
+        assert max(p[0] for p in parts) < 3 * most
+        out = {r.t: r.power for r in k.power_simulation(df.where("n <> 20"), ["t"], draws=60).collect()}
+        assert out["a"] == pytest.approx(want["a"]) and out["c"] == 0.0
+    monkeypatch.setattr(k, "SAMPLE", 1_000_000)
+    assert {r.t: r.power for r in k.power_simulation(df, ["t"], draws=60).collect()}["b"] == pytest.approx(want["b"])
+
+
 def test_exploratory(spark, diffs):
     hyp = spark.createDataFrame(HYPOTHESES, "hypothesis string, cond_a string, cond_b string")
     d = diffs.withColumn("model_id", F.lit("m"))

@@ -176,24 +176,63 @@ def detectable(n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
     return F.lit(z(1 - alpha) + z(power)) / F.sqrt(n * (3 / math.pi))
 
 
+#: Values of a drawn sample that a task holds at once, and draws of a design that go to one task.
+SAMPLE, DRAWS = 1_000_000, 4
+
+
+def _cut(share: float, dz: float) -> float:
+    """The size below which ``share`` of a normal sample with mean dz lies."""
+    if not 0 < share < 1 or math.isnan(dz):
+        return 0.0 if share <= 0 else math.inf
+    cdf, far = NormalDist().cdf, abs(dz)
+    low, high = 0.0, far + 40.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if cdf(mid - far) - cdf(-mid - far) < share else (low, mid)
+    return high
+
+
+def _sample_sums(seed: Sequence[int], n: int, dz: float, part: int) -> tuple[int, int, float, float, float | None]:
+    """Of the ``part``-th of all ranges of sizes of a drawn sample: non-zero differences, positive ones, their rank sum in the whole sample, the tie term; and p if the sample is small enough for an exact one.
+
+    The sample is drawn ``SAMPLE`` values at a time and only the range's are kept, so a sample of any size takes the memory of one range.
+    """
+    parts = -(-n // SAMPLE)
+    low, high = _cut(part / parts, dz), _cut((part + 1) / parts, dz)
+    rng, below, kept = np.random.default_rng(seed), 0, []
+    for first in range(0, n, SAMPLE):
+        d = rng.normal(dz, 1.0, min(SAMPLE, n - first))
+        size = np.abs(d)
+        below += np.count_nonzero((size > 0) & (size < low))
+        kept.append(d[(size > 0) & (size >= low) & (size < high)])
+    d = np.concatenate(kept)
+    _, inverse, counts = np.unique(np.abs(d), return_inverse=True, return_counts=True)
+    up = np.bincount(inverse[d > 0], minlength=len(counts))
+    rank = below + np.cumsum(counts) - (counts - 1) / 2.0
+    p = signed_rank_p(d)[1] if n <= stats.EXACT_UNTIED and len(d) > 1 else None
+    return len(d), int(up.sum()), float((rank * up).sum()), float((counts.astype(float) ** 3 - counts).sum()), p
+
+
 def power_simulation(designs: DataFrame, by: Sequence[str], alpha: float = 0.05, draws: int = 4000, seed: int = POWER_SEED) -> DataFrame:
     """Per design (``by``, n pairs, effect dz): power, the share of normal samples for which the one-sided signed-rank test rejects.
 
-    Every draw has a seed of its own and is a row of work, so draws spread over all tasks; all samples are then
-    tested by one plan over counts of their differences, see ``stats.signed_rank_tests``.
+    Every draw has a seed of its own and is a row of work, or several by ranges of sizes if it has more than ``SAMPLE`` values: a row
+    gives the sums that a test needs, so no drawn value is shuffled.  Small samples are tested exactly where they are drawn.
     """
     keys = list(by)
     kinds = dict(designs.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "draw int, d double"])
-    work = designs.where("n >= 1").select(*keys, F.col("n").cast("int").alias("n"), F.col("dz").cast("double").alias("dz"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).repartition(F.xxhash64(*keys, "draw"))
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "draw int, found bigint, n_pos bigint, w_plus double, tie_term double, exact double"])
+    names = [*keys, "draw", "found", "n_pos", "w_plus", "tie_term", "exact"]
+    each = designs.where("n >= 1").select(*keys, F.col("n").cast("bigint").alias("n"), F.col("dz").cast("double").alias("dz"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    work = each.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / SAMPLE) - 1))).repartition(-(-draws // DRAWS), F.xxhash64(*keys, "draw", "part"))
 
-    def samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for row in b.to_dict("records"):
-                yield pd.DataFrame({k: [row[k]] * row["n"] for k in keys} | {"draw": np.int32(row["draw"]), "d": np.random.default_rng([seed, row["draw"]]).normal(row["dz"], 1.0, row["n"])})
+            rows = [(*(row[k] for k in keys), row["draw"], *_sample_sums([seed, row["draw"]], row["n"], row["dz"], row["part"])) for row in b.to_dict("records")]
+            yield pd.DataFrame(rows, columns=names).astype({"exact": "Float64"})
 
-    tests = stats.signed_rank_tests(work.mapInPandas(samples, schema), [*keys, "draw"])
-    return tests.groupBy(*keys).agg(F.avg(F.when(F.col("p") < alpha, 1.0).otherwise(0.0)).alias("power"))
+    total = work.mapInPandas(sums, schema).groupBy(*keys, "draw").agg(F.sum("n_pos").alias("n_pos"), F.sum(F.col("found") - F.col("n_pos")).alias("n_neg"), F.sum("w_plus").alias("w_plus"), F.sum("tie_term").alias("tie_term"), F.max("exact").alias("exact"))
+    return stats.normal_p(total).groupBy(*keys).agg(F.avg(F.when(F.coalesce("exact", "p") < alpha, 1.0).otherwise(0.0)).alias("power"))
 
 
 def similarity_column():

@@ -308,7 +308,8 @@ def power_closed_form(spark, sf_dir):
 @query()
 def power_simulation(spark, sf_dir):
     """The power of each test for its own effect, by 200 drawn samples of its size."""
-    own = _designs(spark, sf_dir)
+    # written, as the draws and the result both read them
+    own = stored(_designs(spark, sf_dir), "designs")
     return own.join(kernels.power_simulation(own, ["hypothesis", "task"], draws=200), ["hypothesis", "task"])
 
 
