@@ -1,13 +1,16 @@
 """Published figures and hand-made cases of the statistics layer."""
 
+import itertools
 import math
 import random
 
 import pytest
+from places import SF
 from pyspark.sql import functions as F
 
 from trialframe.functions import kernels as k
 from trialframe.operators import stats
+from trialframe.plans.trials import QUERIES
 
 
 def test_rank_biserial():
@@ -73,3 +76,31 @@ def test_normal_p_from_counts(spark):
     assert got["c"] is None and got["d"] is None
     for t in ("a", "b"):
         assert abs(got[t] - k.signed_rank_p([d for x, _, d in rows if x == t])[1]) < 2e-7
+
+
+def _scans(df, table):
+    return df._jdf.queryExecution().executedPlan().toString().count(f"{table}.parquet")
+
+
+@pytest.mark.parametrize("name", ["confirmatory_family", "holm_family", "ladder_decomposition", "paired_signed_rank", "sign_survival", "holm_per_model", "per_model_split", "exact_signed_rank"])
+def test_scores_once(spark, name):
+    """The scores are computed once, for a test's signs and its ranks."""
+    assert _scans(QUERIES[name](spark, SF), "lineitem") == 1
+
+
+def test_last_wins_together(spark):
+    """Taking an order's last row first gives the last row of all, ties in every column but the last one included."""
+    rows = [("u", c, d, o, n, p, float(i)) for i, (c, d, o, n, p) in enumerate(itertools.product("xy", (1, 2), (5, 6, 7), (1, 2), (3, 9)))]
+    df = spark.createDataFrame(rows, "unit string, cond string, day int, number int, line int, price int, score double").repartition(5)
+    keys, order = ["unit", "cond"], ["day", "number", "line", "unit", "price"]
+    want = {(r.unit, r.cond, r.score) for r in stats.last_wins(df, keys, order).collect()}
+    for together in (1, 2):
+        assert {(r.unit, r.cond, r.score) for r in stats.last_wins(df, keys, order, together=together).collect()} == want and len(want) == 2
+
+
+def test_signs_of_sizes(spark):
+    """Zeros and nulls count where they did: nulls as pairs, zeros as ties, neither in ranks."""
+    df = spark.createDataFrame([("a", x) for x in (0.0, -0.0, 1.0, -1.0, 2.0, None)] + [("b", 0.0), ("c", None)], "t string, d double")
+    out = {r.t: r for r in stats.signed_rank(df, ["t"]).collect()}
+    assert [out["a"][c] for c in ("n_pairs", "n_pos", "n_neg", "n_tie", "w_plus", "w_minus", "tie_term")] == [6, 2, 1, 2, 4.5, 1.5, 6]
+    assert [out["b"][c] for c in ("n_pairs", "n_tie", "w_plus", "tie_term", "r_rb")] == [1, 1, 0.0, 0, 0.0] and [out["c"][c] for c in ("n_pairs", "n_tie", "r_rb")] == [1, 0, 0.0]

@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def last_wins(scores: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "score") -> DataFrame:
-    """One row for each key: the value of the last row by ``order``.  A hash aggregation, so partial results combine before the shuffle."""
+def last_wins(scores: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "score", together: int = 0) -> DataFrame:
+    """One row for each key: the value of the last row by ``order``.
+
+    Partial results combine before the shuffle.  Where rows that agree in the first ``together`` columns of ``order`` lie in
+    one task already, as after a join by one of them, their last row is taken there, and only those columns are shuffled with the value.
+    """
+    if together:
+        near, order = order[:together], order[together:]
+        # columns that are keys or near are the same in a group
+        rest = [c for c in order if c not in keys]
+        scores = scores.groupBy(*keys, *near).agg(F.max_by(value, F.struct(*rest)).alias(value))
+        order = near
     return scores.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
@@ -47,13 +57,13 @@ def mid_ranks(diffs: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
     return sized.join(ranked, [*by, "__a"]).drop("__a")
 
 
-def _sizes(diffs: DataFrame, by: Sequence[str], d: str) -> tuple[DataFrame, DataFrame]:
-    """Counts of distinct differences (__d, __c), and distinct sizes (__a) with how many there are (__t), how many of them are positive (__up), mid-rank (__r) and how many are not larger (__upto)."""
-    t, up, c, x = (F.col(n) for n in ("__t", "__up", "__c", "__d"))
-    counts = diffs.groupBy(*by, F.col(d).alias("__d")).agg(F.count("*").alias("__c"))
-    sizes = counts.where(x != 0).groupBy(*by, F.abs(x).alias("__a")).agg(F.sum(c).alias("__t"), F.sum(F.when(x > 0, c).otherwise(0)).alias("__up"))
+def _sizes(diffs: DataFrame, by: Sequence[str], d: str) -> DataFrame:
+    """Distinct sizes (__a, zero and null among them) with how many there are (__c), how many of them are positive (__up); and of those that rank, their number (__t), mid-rank (__r) and how many are not larger (__upto)."""
+    t, x = F.col("__t"), F.col(d)
+    sizes = diffs.groupBy(*by, F.abs(x).alias("__a")).agg(F.count("*").alias("__c"), F.count_if(x > 0).alias("__up"))
     upto = W.partitionBy(*by).orderBy("__a").rowsBetween(W.unboundedPreceding, 0)
-    return counts, sizes.withColumn("__upto", F.sum(t).over(upto)).withColumn("__r", F.col("__upto") - (t - 1) / F.lit(2.0))
+    sizes = sizes.withColumn("__t", F.when(F.col("__a") > 0, F.col("__c")).otherwise(0))
+    return sizes.withColumn("__upto", F.sum(t).over(upto)).withColumn("__r", F.col("__upto") - (t - 1) / F.lit(2.0))
 
 
 def signed_rank(diffs: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
@@ -70,12 +80,12 @@ EXACT_UNTIED, EXACT_TIED = 50, 13
 
 def _signed_rank(diffs: DataFrame, by: Sequence[str], d: str) -> DataFrame:
     """``signed_rank`` and __steps: the doubled ranks of the smallest ``EXACT_UNTIED`` differences, with repeats, all that an exact p needs."""
-    t, up, r, c, x = (F.col(n) for n in ("__t", "__up", "__r", "__c", "__d"))
-    counts, ranked = _sizes(diffs, by, d)
-    steps = F.sort_array(F.collect_list(F.when(F.col("__upto") <= EXACT_UNTIED, F.struct((2 * r).cast("int").alias("r"), t.cast("int").alias("t")))))
-    sums = ranked.groupBy(*by).agg(F.sum(r * up).alias("w_plus"), F.sum(r * (t - up)).alias("w_minus"), F.sum(t * t * t - t).alias("tie_term"), steps.alias("__steps"))
-    signs = counts.groupBy(*by).agg(*(F.sum(F.when(ok, c).otherwise(0)).alias(n) for n, ok in (("n_pairs", F.lit(True)), ("n_pos", x > 0), ("n_neg", x < 0), ("n_tie", x == 0))))
-    out = signs.join(sums, list(by), "left").withColumns({"w_plus": F.coalesce("w_plus", F.lit(0.0)), "w_minus": F.coalesce("w_minus", F.lit(0.0)), "tie_term": F.coalesce("tie_term", F.lit(0))})
+    t, up, r, c, a = (F.col(n) for n in ("__t", "__up", "__r", "__c", "__a"))
+    steps = F.sort_array(F.collect_list(F.when((t > 0) & (F.col("__upto") <= EXACT_UNTIED), F.struct((2 * r).cast("int").alias("r"), t.cast("int").alias("t")))))
+    # one pass over the sizes: a second one would compute the differences again
+    out = _sizes(diffs, by, d).groupBy(*by).agg(
+        F.sum(c).alias("n_pairs"), F.sum(up).alias("n_pos"), F.sum(t - up).alias("n_neg"), F.sum(F.when(a == 0, c).otherwise(0)).alias("n_tie"),
+        F.sum(r * up).alias("w_plus"), F.sum(r * (t - up)).alias("w_minus"), F.sum(t * t * t - t).alias("tie_term"), steps.alias("__steps"))
     total = F.col("w_plus") + F.col("w_minus")
     r_rb = F.when(total == 0, 0.0).otherwise((F.col("w_plus") - F.col("w_minus")) / F.when(total == 0, 1.0).otherwise(total))
     return out.select(*by, "n_pairs", "n_pos", "n_neg", "n_tie", "w_plus", "w_minus", "tie_term", r_rb.alias("r_rb"), "__steps")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from trialframe.operators import stats
 from trialframe.sources.scratch import stored
 
 KEYS = ["unit_id", "task", "condition", "model_id"]
+# the first two are an order's, by which lineitems were joined
 ORDER = ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 HYPOTHESES = [("H1", "1-URGENT", "2-HIGH"), ("H2", "1-URGENT", "5-LOW"), ("H3", "2-HIGH", "5-LOW")]
 LADDER = [("E1", "2-HIGH", "1-URGENT"), ("E2", "3-MEDIUM", "2-HIGH"), ("E3", "4-NOT SPECIFIED", "3-MEDIUM")]
@@ -35,14 +36,22 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     status = F.when(F.col("o_orderstatus") == "P", "parse_failure").otherwise("ok")
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    # merged at any size: by the size of its packed file a table of orders would be broadcast
+    return items.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_suppkey").alias("unit_id"), F.col("l_returnflag").alias("task"), F.col("o_orderpriority").alias("condition"), F.col("l_linestatus").alias("model_id"), status.alias("status"), F.col("l_quantity").alias("score"), *ORDER
     )
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score table: the last successful attempt of every cell and model."""
-    return stats.last_wins(trials(spark, sf_dir).where("status = 'ok'"), KEYS, ORDER)
+def scores(spark: SparkSession, sf_dir: str, conditions: Sequence[str] | None = None) -> DataFrame:
+    """The score table: the last successful attempt of every cell and model; of the ``conditions`` that are asked for, or of all."""
+    own = trials(spark, sf_dir).where("status = 'ok'")
+    if conditions is not None:
+        own = own.where(F.col("condition").isin(*conditions))
+    return stats.last_wins(own, KEYS, ORDER, together=2)
+
+
+def _conditions(rows) -> list[str]:
+    return sorted({c for _, *pair in rows for c in pair})
 
 
 def hypotheses(spark: SparkSession, rows=HYPOTHESES) -> DataFrame:
@@ -50,7 +59,7 @@ def hypotheses(spark: SparkSession, rows=HYPOTHESES) -> DataFrame:
 
 
 def _differences(spark: SparkSession, sf_dir: str, rows=HYPOTHESES, required: int | None = None) -> DataFrame:
-    cells = stats.cell_means(scores(spark, sf_dir), ["unit_id", "task", "condition"], required=required)
+    cells = stats.cell_means(scores(spark, sf_dir, _conditions(rows)), ["unit_id", "task", "condition"], required=required)
     return stats.paired_differences(cells, hypotheses(spark, rows), ["unit_id", "task"])
 
 
@@ -172,7 +181,7 @@ _PER_MODEL = _diffs().replace("SELECT hypothesis, a.task, a.unit_id", "SELECT hy
 
 
 def _per_model(spark, sf_dir):
-    return stats.signed_rank(stats.paired_differences(scores(spark, sf_dir), hypotheses(spark), ["unit_id", "task", "model_id"]), ["hypothesis", "task", "model_id"])
+    return stats.signed_rank(stats.paired_differences(scores(spark, sf_dir, _conditions(HYPOTHESES)), hypotheses(spark), ["unit_id", "task", "model_id"]), ["hypothesis", "task", "model_id"])
 
 
 @query(_PER_MODEL + _tests("hypothesis, task, model_id") + " SELECT hypothesis, task, model_id, n_pairs, n_pos, n_neg, n_tie, w_plus, w_minus, tie_term, round(r_rb, 6) AS r_rb FROM tests")
@@ -184,7 +193,7 @@ def per_model_split(spark, sf_dir):
  SELECT hypothesis, task, model_id, round(max(least(1.0::DOUBLE, q * rest)) OVER (PARTITION BY model_id ORDER BY q, hypothesis, task ROWS UNBOUNDED PRECEDING), 6) AS holm_p FROM k""")
 def holm_per_model(spark, sf_dir):
     by = ["hypothesis", "task", "model_id"]
-    tests = stats.signed_rank_tests(stats.paired_differences(scores(spark, sf_dir), hypotheses(spark), ["unit_id", "task", "model_id"]), by)
+    tests = stats.signed_rank_tests(stats.paired_differences(scores(spark, sf_dir, _conditions(HYPOTHESES)), hypotheses(spark), ["unit_id", "task", "model_id"]), by)
     return stats.holm(tests, "p", ["hypothesis", "task"], family=["model_id"]).select(*by, F.round("holm_p", 6).alias("holm_p"))
 
 
@@ -320,7 +329,7 @@ def power_simulation(spark, sf_dir):
 def exploratory_family(spark, sf_dir):
     """Two-sided tests of each model, corrected in the model's family: the columns of an exploratory result but the intervals, which are in ``signed_rank_p_values``."""
     by = ["hypothesis", "task", "model_id"]
-    d = stats.paired_differences(scores(spark, sf_dir), hypotheses(spark), ["unit_id", "task", "model_id"])
+    d = stats.paired_differences(scores(spark, sf_dir, _conditions(HYPOTHESES)), hypotheses(spark), ["unit_id", "task", "model_id"])
     return stats.exploratory(d, by, hypotheses(spark)).drop("ci_low", "ci_high")
 
 
