@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import kernels as k
 from trialframe.operators import stats
+from trialframe.plans import registry
 from trialframe.plans.trials import QUERIES
 
 
@@ -88,6 +89,12 @@ def test_scores_once(spark, name):
     assert _scans(QUERIES[name](spark, SF), "lineitem") == 1
 
 
+@pytest.mark.parametrize("name", ["exploratory_family", "sensitivity_worst_case", "hypothesis_grid"])
+def test_scores_written(spark, name):
+    """What reads the scores several times reads them, or what it needs of them, from a table."""
+    assert _scans(registry.queries()[name](spark, SF), "lineitem") == 0
+
+
 def test_last_wins_together(spark):
     """Taking an order's last row first gives the last row of all, ties in every column but the last one included."""
     rows = [("u", c, d, o, n, p, float(i)) for i, (c, d, o, n, p) in enumerate(itertools.product("xy", (1, 2), (5, 6, 7), (1, 2), (3, 9)))]

@@ -228,7 +228,8 @@ def sensitivity_complete_case(spark, sf_dir):
  diffs AS (SELECT task, unit_id, avg(score) FILTER (condition = '1-URGENT') - avg(score) FILTER (condition = '5-LOW') AS d FROM filled GROUP BY ALL)
  SELECT task, count(*) AS n, count(*) FILTER (d <> 0) AS effective_n, round(avg(d), 6) AS mean_diff, median(d) AS median_diff FROM diffs GROUP BY ALL""")
 def sensitivity_worst_case(spark, sf_dir):
-    own = _gaps(spark, sf_dir)
+    # written, as the grid reads it three times and is then filled from it
+    own = stored(_gaps(spark, sf_dir), "scores")
     dims = [own.select(c).distinct() for c in ("unit_id", "task", "model_id")]
     conds = spark.sql("SELECT * FROM VALUES ('1-URGENT'), ('5-LOW') AS t(condition)")
     # tasks, conditions and models are few by the study's design; units stay distributed
@@ -329,7 +330,8 @@ def power_simulation(spark, sf_dir):
 def exploratory_family(spark, sf_dir):
     """Two-sided tests of each model, corrected in the model's family: the columns of an exploratory result but the intervals, which are in ``signed_rank_p_values``."""
     by = ["hypothesis", "task", "model_id"]
-    d = stats.paired_differences(scores(spark, sf_dir, _conditions(HYPOTHESES)), hypotheses(spark), ["unit_id", "task", "model_id"])
+    # written, as tests and medians both read them
+    d = stored(stats.paired_differences(scores(spark, sf_dir, _conditions(HYPOTHESES)), hypotheses(spark), ["unit_id", "task", "model_id"]), "differences")
     return stats.exploratory(d, by, hypotheses(spark)).drop("ci_low", "ci_high")
 
 
