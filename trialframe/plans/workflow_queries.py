@@ -12,6 +12,7 @@ from trialframe.operators import manifest as mf
 from trialframe.operators import workflow as wf
 from trialframe.plans.trials import HYPOTHESES, ORDER, hypotheses, scores, trials
 from trialframe.plans.trials import _SCORES, _TRIALS
+from trialframe.sources.scratch import stored
 from trialframe.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,11 +207,11 @@ def duplicate_keys(spark, d):
 @query(f"WITH {_SCORES}, h(hypothesis, cond_a, cond_b) AS (VALUES {', '.join(map(str, HYPOTHESES))}, ('H9', 'none', '5-LOW')) SELECT hypothesis, task, model_id, count(score) AS n FROM h CROSS JOIN (SELECT DISTINCT task FROM scores) t CROSS JOIN (SELECT DISTINCT model_id FROM scores) m LEFT JOIN scores USING (task, model_id) WHERE condition = cond_a GROUP BY ALL UNION ALL SELECT 'H9', task, model_id, 0 FROM (SELECT DISTINCT task FROM scores) CROSS JOIN (SELECT DISTINCT model_id FROM scores)")
 def hypothesis_grid(spark, d):
     """Every hypothesis with every task and model; combinations without a score count 0."""
-    s = scores(spark, d)
+    # a few rows, written as the grid is made of them, too
+    held = stored(scores(spark, d).groupBy("task", "model_id", "condition").agg(F.count("score").alias("n")), "held")
     asked = hypotheses(spark, [*HYPOTHESES, ("H9", "none", "5-LOW")])
     # hypotheses, tasks and models are few by the study's design
-    grid = asked.crossJoin(F.broadcast(s.select("task").distinct())).crossJoin(F.broadcast(s.select("model_id").distinct()))
-    held = s.groupBy("task", "model_id", "condition").agg(F.count("score").alias("n"))
+    grid = asked.crossJoin(F.broadcast(held.select("task").distinct())).crossJoin(F.broadcast(held.select("model_id").distinct()))
     met = grid.join(held.withColumnRenamed("condition", "cond_a"), ["task", "model_id", "cond_a"], "left")
     return met.select("hypothesis", "task", "model_id", F.coalesce("n", F.lit(0)).alias("n"))
 
