@@ -150,3 +150,17 @@ def test_result_files(spark, tmp_path):
     assert tuple(export.columns) == sinks.EXPORT and len(sinks.EXPORT) == 26
     sinks.write_run(export.select("item_id"), export.where("missing_expected_artifacts_json <> '[]'").select("item_id"), export, str(tmp_path / "run"))
     assert spark.read.option("header", True).csv(str(tmp_path / "run/export")).count() == spark.read.parquet(str(tmp_path / "run/index")).count() == 200
+
+
+def test_dealt(spark, monkeypatch):
+    """Costly work on the rows of one packed file is dealt out by their number, with the same rows."""
+    from places import SF
+
+    from trialframe.plans import registry
+    from trialframe.sources import scratch
+
+    for name in ("structural_similarity",):
+        run = lambda: registry.queries()[name](spark, SF)  # noqa: B023, E731
+        want = sorted(map(str, run().collect()))
+        monkeypatch.setattr(scratch.dealt, "__defaults__", (30,))
+        assert run().rdd.getNumPartitions() > 1 and sorted(map(str, run().collect())) == want

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trialframe.functions import kernels
 from trialframe.functions import text as t
 from trialframe.sources import runs
-from trialframe.sources.scratch import shared_dir
+from trialframe.sources.scratch import dealt, shared_dir
 from trialframe.operators import rules, workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,7 +226,8 @@ def structural_similarity(spark, d):
     body = F.concat(F.lit("x = a * "), n)
     ref = F.concat(F.lit("def f(a):\n    "), body, F.lit("\n    return x\n"))
     other = F.when(k == 0, "def g(a): pass").when(k == 1, F.concat(F.lit('@dec\ndef f(a) -> int:\n  """Doc."""\n  '), body, F.lit(";  return (x)\n"))).when(k == 2, ref).otherwise(F.replace(ref, F.lit("return x"), F.lit("return a")))
-    x = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", kernels.structure_column()(other, ref, F.lit("f")).alias("s"))
+    parts = dealt(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size"))
+    x = parts.select("p_partkey", kernels.structure_column()(other, ref, F.lit("f")).alias("s"))
     return x.select("p_partkey", "s.status", "s.ast_equivalent", (F.col("s.similarity") == 1.0).alias("similarity_is_one"))
 
 

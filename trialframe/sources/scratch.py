@@ -19,6 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of costly work that go to one task.
+ROWS = 20_000
+
+
+def dealt(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """``df`` dealt out by the number of its rows, ``rows`` to a task, before costly work on each: a packed file, or one group of its rows, may hold millions of short ones."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back: the lineage ends, a lost executor costs nothing that was written.
 
