@@ -164,3 +164,13 @@ def test_dealt(spark, monkeypatch):
         want = sorted(map(str, run().collect()))
         monkeypatch.setattr(scratch.dealt, "__defaults__", (30,))
         assert run().rdd.getNumPartitions() > 1 and sorted(map(str, run().collect())) == want
+
+
+@pytest.mark.parametrize("name", ["stage_log", "stage_log_overwriting", "manifest_lineage", "manifest_references", "scorer_input_lookup"])
+def test_packed_tables_are_merged(spark, name):
+    """No table is broadcast by the size of its packed file."""
+    from places import SF
+
+    from trialframe.plans import registry
+
+    assert "BroadcastExchange" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,7 @@
 
 Items have func_id, source_hash, inclusion_status, dataset_tier, eligibility struct<non_recursive, single_function>, artifacts
 map<string,string>, representations map<string,boolean>, tasks map<string,struct<available,ground_truth_ref>> and lineage map<string,string>.
+Joins are merged: by the size of packed files tables of millions of rows would be broadcast.
 """
 
 from __future__ import annotations
@@ -80,16 +81,16 @@ def reference_violations(items: DataFrame, sources: DataFrame, artifacts: DataFr
     ``facts`` (func_id, non_recursive, single_function) is what the sources' trees tell.  Rules: path_<artifact>, source_hash,
     claims_<fact>, truth_missing_<task>, truth_format_<task>, truth_unit_<task> and truth_hash_<task>.
     """
-    known = sources.select("path").unionByName(artifacts.select("path")).distinct()
+    known = sources.select("path").unionByName(artifacts.select("path")).distinct().hint("merge")
     lost = _refs(items).join(known, "path", "left_anti").select(c("func_id").alias("key"), F.concat(F.lit("path_"), "what").alias("rule_id"))
-    raw = items.select("func_id", "source_hash", F.element_at("artifacts", F.lit("raw_source")).alias("path")).join(sources, "path")
+    raw = items.select("func_id", "source_hash", F.element_at("artifacts", F.lit("raw_source")).alias("path")).join(sources.hint("merge"), "path")
     hashes = raw.where(~c("source_hash").eqNullSafe(F.sha2(F.coalesce("text", F.lit("")), 256))).select(c("func_id").alias("key"), F.lit("source_hash").alias("rule_id"))
-    told = items.select("func_id", "eligibility").join(facts.select("func_id", "non_recursive", "single_function"), "func_id")
+    told = items.select("func_id", "eligibility").join(facts.select("func_id", "non_recursive", "single_function").hint("merge"), "func_id")
     claim = lambda k: (f"claims_{k}", (c(f"eligibility.{k}") == "unknown") | ((c(f"eligibility.{k}") == "eligible") == c(k)))
     claims = violations(told, c("func_id"), [claim("non_recursive"), claim("single_function")])
     entries = F.filter(F.map_entries("tasks"), lambda e: e["value"]["available"] & e["value"]["ground_truth_ref"].isNotNull())
     asked = items.select("func_id", "source_hash", F.explode(entries).alias("e")).select("func_id", "source_hash", c("e.key").alias("task"), c("e.value.ground_truth_ref").alias("path"))
-    t = truths.select("path", c("record_format").alias("__format"), c("func_id").alias("__unit"), c("source_hash").alias("__hash"), F.lit(True).alias("__there"))
+    t = truths.select("path", c("record_format").alias("__format"), c("func_id").alias("__unit"), c("source_hash").alias("__hash"), F.lit(True).alias("__there")).hint("merge")
     met = asked.join(t, "path", "left")
     there = c("__there").isNotNull()
     formats = F.create_map(*(F.lit(x) for kv in TRUTH_FORMATS.items() for x in kv))
@@ -102,9 +103,9 @@ def reference_violations(items: DataFrame, sources: DataFrame, artifacts: DataFr
 
 def lineage_violations(items: DataFrame, artifacts: DataFrame, truths: DataFrame) -> DataFrame:
     """Lineage that isn't the hash of what it names: lineage_<key>; an artifact that is not shown has no hash."""
-    held = _refs(items).join(artifacts, "path").groupBy("func_id").pivot("what", ["ast", "typed_ast", "ir"]).agg(F.max("source_hash"))
+    held = _refs(items).join(artifacts.hint("merge"), "path").groupBy("func_id").pivot("what", ["ast", "typed_ast", "ir"]).agg(F.max("source_hash")).hint("merge")
     first = F.element_at("tasks", F.lit("T1"))
-    t1 = items.where(first["available"]).select("func_id", first["ground_truth_ref"].alias("path")).join(truths.select("path", c("source_hash").alias("t1")), "path").select("func_id", "t1")
+    t1 = items.where(first["available"]).select("func_id", first["ground_truth_ref"].alias("path")).join(truths.select("path", c("source_hash").alias("t1")).hint("merge"), "path").select("func_id", "t1").hint("merge")
     both = items.select("func_id", "source_hash", "lineage").join(held, "func_id", "left").join(t1, "func_id", "left")
     own = {"raw_source_hash": "source_hash", "ast_source_hash": "ast", "typed_ast_source_hash": "typed_ast", "ir_source_hash": "ir", "t1_source_hash": "t1"}
     return violations(both, c("func_id"), [(f"lineage_{k}", F.element_at("lineage", F.lit(k)).eqNullSafe(c(v))) for k, v in own.items()])
@@ -115,8 +116,8 @@ def scorer_inputs(inputs: DataFrame, items: DataFrame, responses: DataFrame) ->
 
     ``inputs`` have record_format, func_id, task, condition, model_id, response_ref; ``responses`` (path) are those that exist.
     """
-    known = items.select("func_id", "source_hash", "tasks", F.lit(True).alias("__known"))
-    there = responses.select(c("path").alias("response_ref"), F.lit(True).alias("__there")).distinct()
+    known = items.select("func_id", "source_hash", "tasks", F.lit(True).alias("__known")).hint("merge")
+    there = responses.select(c("path").alias("response_ref"), F.lit(True).alias("__there")).distinct().hint("merge")
     met = inputs.join(known, "func_id", "left").join(there, "response_ref", "left").withColumn("__t", F.try_element_at("tasks", c("task")))
     unit = c("__known").isNotNull()
     rules = [
