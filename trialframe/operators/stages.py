@@ -24,10 +24,11 @@ def stage_log(candidates: DataFrame, events: DataFrame, overwrite: bool = False)
     """Every event with its outcome and, if it was applied, the result it set: candidate_id, pos, stage, score, outcome, result.
 
     Stage 2 needs a passed stage 1; stage 3 needs an anchor or a candidate that is included at that place of the order.
+    Candidates are merged with their events: by the size of a packed file millions of them would be broadcast.
     A result stays unless ``overwrite``.  What a candidate's state is at an event is a running maximum by blocks of
     places, so a candidate with very many events is dealt to many tasks.
     """
-    state = candidates.select("candidate_id", *(F.col(c).alias(f"__{c}") for c in BEFORE), F.lit(True).alias("__known"))
+    state = candidates.select("candidate_id", *(F.col(c).alias(f"__{c}") for c in BEFORE), F.lit(True).alias("__known")).hint("merge")
     own = events.select("candidate_id", "pos", "stage", "score").join(state, "candidate_id", "left")
     run2, run3 = F.col("__stage2_result") != "not_run", F.col("__stage3_result") != "not_run"
     refused = (
@@ -112,7 +113,7 @@ def stage_stream(candidates: DataFrame, events: DataFrame) -> DataFrame:
         state.update((two, three))
         yield pd.DataFrame(dict(zip(names, zip(*out, strict=True), strict=True)))
 
-    known = candidates.select("candidate_id", "stage1_result", "stage2_result", "stage3_result", "is_anchor", F.lit(True).alias("known"))
+    known = candidates.select("candidate_id", "stage1_result", "stage2_result", "stage3_result", "is_anchor", F.lit(True).alias("known")).hint("merge")
     own = events.select("candidate_id", F.col("pos").cast("long").alias("pos"), F.col("stage").cast("long").alias("stage"), F.col("score").cast("double").alias("score")).join(known, "candidate_id", "left").fillna(False, ["known", "is_anchor"])
     kind = dict(events.dtypes)["candidate_id"]
     return own.groupBy("candidate_id").applyInPandasWithState(update, f"candidate_id {kind}, pos long, stage long, score double, outcome string, result string", "two string, three string", "append", "NoTimeout")
