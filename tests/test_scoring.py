@@ -159,7 +159,7 @@ def test_dealt(spark, monkeypatch):
     from trialframe.plans import registry
     from trialframe.sources import scratch
 
-    for name in ("structural_similarity",):
+    for name in ("structural_similarity", "contract_shapes"):
         run = lambda: registry.queries()[name](spark, SF)  # noqa: B023, E731
         want = sorted(map(str, run().collect()))
         monkeypatch.setattr(scratch.dealt, "__defaults__", (30,))
@@ -174,3 +174,12 @@ def test_packed_tables_are_merged(spark, name):
     from trialframe.plans import registry
 
     assert "BroadcastExchange" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_stay_where_they_are(spark):
+    """Rules go to the texts: no text is shuffled by its unit."""
+    from places import SF
+
+    from trialframe.plans import registry
+
+    assert "SortMergeJoin" not in registry.queries()["rule_scores"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -62,9 +62,17 @@ def by_unit(rules: DataFrame) -> DataFrame:
     return rules.groupBy("unit").agg(F.transform(of("location"), lambda r: F.lower(r["pattern"])).alias("location"), F.nullif(any_of, F.lit("")).alias("diagnosis"), fixes.alias("fixes"))
 
 
+#: Rules that are broadcast at most.
+BROADCAST_RULES = 100_000
+
+
 def with_rules(responses: DataFrame, rules: DataFrame, unit: str = "unit") -> DataFrame:
-    """Responses with the rules of their unit (null without any); rules are few a unit and are shuffled with the responses unless Spark finds them small."""
+    """Responses with the rules of their unit (null without any).
+
+    Up to ``BROADCAST_RULES`` rules go to every task: shuffled by their units, which may be few, whole responses would meet in few tasks.
+    """
     own = by_unit(rules).withColumnRenamed("unit", "__unit")
+    own = F.broadcast(own) if rules.count() <= BROADCAST_RULES else own
     return responses.join(own, F.col(unit) == F.col("__unit"), "left").drop("__unit")
 
 
