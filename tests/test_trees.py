@@ -138,3 +138,58 @@ def test_sources_are_dealt_by_number(spark, monkeypatch):
     got = {int(r.tree_id): r.source for r in trees.to_source(nodes.repartition(7)).collect()}
     assert got == {k: f"x = {k}\n\ndef f(a):\n    return 'y'" for k in range(95)}
     assert "FlatMapGroupsInPandas" not in trees.to_source(nodes)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_trees_are_walked_whole(shapes, monkeypatch):
+    """Trees that fit into a task take no joins; larger ones are ranked by them, with the same result beside them."""
+    written = []
+    monkeypatch.setattr(trees, "stored", lambda df, name, *a, f=trees.stored: (written.append(name), f(df, name, *a))[1])
+    forest = shapes.sparkSession.createDataFrame([("two", 3, None, "a"), ("two", 9, 7, "b"), ("two", 7, None, "c"), ("two", 4, 7, "d")], shapes.schema)
+    own = shapes.withColumn("said", F.array("kind")).unionByName(forest.withColumn("said", F.array("kind"))).repartition(5)
+    whole = sorted(map(tuple, trees.euler_order(own).collect()), key=repr)
+    assert "walk" not in written
+    assert {r[1]: r[5:] for r in whole if r[0] == "two"} == {3: (0, 1, 0, 0), 7: (1, 3, 0, 2), 4: (2, 1, 1, 0), 9: (3, 1, 1, 0)}
+    monkeypatch.setattr(trees, "TREE", 39)
+    both = trees.euler_order(own)
+    assert "walk" in written and sorted(map(tuple, both.collect()), key=repr) == whole
+    back = own.withColumn("turned", -F.col("node_id"))
+    turned = sorted(map(tuple, trees.euler_order(back, "turned").drop("turned").collect()), key=repr)
+    monkeypatch.setattr(trees, "TREE", 1000)
+    assert sorted(map(tuple, trees.euler_order(back, "turned").drop("turned").collect()), key=repr) == turned != whole
+
+
+def test_trees_across_batches(shapes):
+    """Batches that end inside a tree change nothing."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = shapes.sparkSession
+    whole, old = sorted(map(tuple, trees.euler_order(shapes).collect())), spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert sorted(map(tuple, trees.euler_order(shapes).collect())) == whole
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_broken_trees_are_refused(spark):
+    schema = "tree_id string, node_id long, parent_id long"
+    for rows, said in (([("r", 0, None), ("r", 1, 2), ("r", 2, 1)], "circle"), ([("r", 0, None), ("r", 1, 5)], "parent")):
+        with pytest.raises(Exception, match=said):
+            trees.euler_order(spark.createDataFrame(rows, schema)).collect()
+    assert trees.euler_order(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_hashes_take_the_joins_of_one_sum(shapes):
+    """Three running sums are one pass over a written table: one join for the blocks of each end, one for both ends."""
+    plan = trees.subtree_hashes(trees.euler_order(shapes), F.col("kind"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3 and "aggregate(" not in plan
+
+
+def test_large_classes_meet_no_task(spark, monkeypatch):
+    """Classes of many nodes are broadcast, with the same result."""
+    from places import SF
+
+    from trialframe.plans import tree_queries
+
+    want = sorted(map(tuple, tree_queries.equal_subtrees(spark, SF).collect()))
+    monkeypatch.setattr(tree_queries, "OFTEN", 20)
+    assert sorted(map(tuple, tree_queries.equal_subtrees(spark, SF).collect())) == want

@@ -40,15 +40,19 @@ def previous(df: DataFrame, value: str, out: str, seq: str = S, block: int | Non
     return own.withColumn("__s", step).join(edges, [seq, "__b"], "left").withColumn(out, F.coalesce("__s", "__e")["v"]).drop("__s", "__e", "__b")
 
 
-def running(df: DataFrame, value: str, out: str, how: str = "sum", seq: str = S, block: int | None = None) -> DataFrame:
-    """Adds the running sum, min or max of a value, by blocks as in ``previous``: block totals are summed up apart and joined back."""
+def running(df: DataFrame, value: str | list[str], out: str | list[str], how: str = "sum", seq: str = S, block: int | None = None) -> DataFrame:
+    """Adds the running sum, min or max of a value (of a list of values, by one pass), by blocks as in ``previous``: block totals are summed up apart and joined back."""
     fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}[how]
+    values, outs = ([x] if isinstance(x, str) else x for x in (value, out))
     own = _blocked(df, block)
     before = W.partitionBy(seq).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    totals = own.groupBy(seq, "__b").agg(fold(value).alias("__t")).withColumn("__o", fold("__t").over(before)).drop("__t")
-    inner = fold(value).over(W.partitionBy(seq, "__b").orderBy(P).rowsBetween(W.unboundedPreceding, 0))
-    return own.withColumn("__i", inner).join(totals, [seq, "__b"], "left").withColumn(out, both(F.col("__i"), F.col("__o"))).drop("__i", "__o", "__b")
+    totals = own.groupBy(seq, "__b").agg(*(fold(v).alias(f"__t{k}") for k, v in enumerate(values)))
+    totals = totals.select(seq, "__b", *(fold(f"__t{k}").over(before).alias(f"__o{k}") for k in range(len(values))))
+    upto = W.partitionBy(seq, "__b").orderBy(P).rowsBetween(W.unboundedPreceding, 0)
+    inner = {f"__i{k}": fold(v).over(upto) for k, v in enumerate(values)}
+    joined = own.withColumns(inner).join(totals, [seq, "__b"], "left")
+    return joined.withColumns({o: both(F.col(f"__i{k}"), F.col(f"__o{k}")) for k, o in enumerate(outs)}).drop("__b", *inner, *(f"__o{k}" for k in range(len(values))))
 
 
 def in_order(value: str | Column, pos: str | Column = P) -> Column:

@@ -8,9 +8,13 @@ from collections.abc import Iterator
 from functools import cache, lru_cache
 from typing import get_origin
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from trialframe.operators.sequences import in_order, running
@@ -134,12 +138,100 @@ def ancestors(nodes: DataFrame, rounds: int = 6) -> DataFrame:
                 _circle(k, 2 * nodes.count())
 
 
+#: Nodes of a tree that one task may hold.
+TREE = 50_000
+
+
 def euler_order(nodes: DataFrame, order: str = "node_id", rounds: int = 6) -> DataFrame:
     """Adds pre (place in depth-first order from 0), size (of the subtree), depth and arity; siblings go by ``order``.
 
+    Trees of ``TREE`` nodes at most are walked whole, many in a task, from sorted rows; larger ones are ranked by joins
+    and spread over tasks.  Node ids are not negative, parents are in the table (else tasks fail, as by a circle); a tree
+    with several roots is walked root by root.
+    """
+    counts = nodes.where("tree_id IS NOT NULL").groupBy("tree_id").agg(F.count("*").alias("__all"))
+    large = stored(counts.where(F.col("__all") > TREE).select("tree_id"), "large")
+    if large.isEmpty():
+        return _walked(nodes, order)
+    large = F.broadcast(large)  # a row for every TREE nodes at most
+    return _walked(nodes.join(large, "tree_id", "left_anti"), order).unionByName(_ranked(nodes.join(large, "tree_id", "left_semi"), order, rounds))
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether a row's value is another than that of the row before."""
+    return pc.not_equal(column.slice(1), column.slice(0, max(len(column) - 1, 0))).to_numpy(zero_copy_only=False)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tree_id, cut anew so that no tree lies in two batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        tree = b.column("tree_id")
+        starts = np.flatnonzero(_changes(tree)) + 1
+        if held and held[-1].column("tree_id")[-1] != tree[0]:
+            yield pa.concat_batches(held)
+            held = []
+        if len(starts):
+            yield pa.concat_batches([*held, b.slice(0, starts[-1])])
+            held = []
+        held.append(b.slice(starts[-1] if len(starts) else 0))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _places(b: pa.RecordBatch) -> list[np.ndarray]:
+    """pre, size, depth and arity of the nodes of whole trees, sorted by tree and the order of siblings: the walk of ``_ranked`` in arrays."""
+    n = b.num_rows
+    tree = np.concatenate([[0], np.cumsum(_changes(b.column("tree_id")))]).astype(np.int64)
+    root = b.column("parent_id").is_null().to_numpy(zero_copy_only=False)
+    ids = [pc.fill_null(b.column(c).cast(pa.int64()), 0).to_numpy(zero_copy_only=False) for c in ("node_id", "parent_id")]
+    held, code = np.unique(np.concatenate(ids), return_inverse=True)
+    own, above = tree * len(held) + code[:n], tree * len(held) + code[n:]
+    by = np.argsort(own, kind="stable")
+    up = by[np.minimum(np.searchsorted(own[by], above), n - 1)]
+    if (own[up] != above)[~root].any():
+        raise ValueError("a parent is not in the table")
+    up[root] = n + tree[root]
+    beside = np.argsort(up, kind="stable")
+    more = up[beside[1:]] == up[beside[:-1]]
+    first, following = np.full(n, -1), np.full(n, -1)
+    following[beside[:-1][more]] = beside[1:][more]
+    eldest = beside[np.concatenate([[True], ~more])]
+    eldest = eldest[~root[eldest]]
+    first[up[eldest]] = eldest
+    # a node is entered at twice its row and left at the next place; the last place is the end
+    end = 2 * n
+    to, entered, deeper = np.full(end + 1, end), np.zeros(end + 1, np.int64), np.zeros(end + 1, np.int64)
+    to[0:end:2] = np.where(first >= 0, 2 * first, np.arange(1, end, 2))
+    to[1:end:2] = np.where(following >= 0, 2 * following, np.where(root, end, 2 * up + 1))
+    entered[0:end:2], deeper[0:end:2], deeper[1:end:2] = 1, 1, -1
+    for _ in range(end.bit_length()):
+        if (to == end).all():
+            break
+        entered, deeper, to = entered + entered[to], deeper + deeper[to], to[to]
+    if (to != end).any():
+        raise ValueError("nodes run in a circle")
+    return [np.bincount(tree)[tree] - entered[0:end:2], entered[0:end:2] - entered[1:end:2], -deeper[0:end:2], np.bincount(up[~root], minlength=n)]
+
+
+def _walked(nodes: DataFrame, order: str) -> DataFrame:
+    """``euler_order`` of trees that fit into a task."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole(it):
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in _places(b))], names=[*b.schema.names, "pre", "size", "depth", "arity"])
+
+    own = nodes.where("tree_id IS NOT NULL AND node_id IS NOT NULL").repartition("tree_id").sortWithinPartitions("tree_id", order, "node_id").drop("depth")
+    return own.mapInArrow(batches, StructType([*own.schema.fields, *(StructField(c, LongType()) for c in ("pre", "size", "depth", "arity"))])).hint("merge")
+
+
+def _ranked(nodes: DataFrame, order: str, rounds: int) -> DataFrame:
+    """``euler_order`` of trees of any size.
+
     The walk around a tree enters and leaves every node, a list of twice its nodes, which is ranked by doubling
-    jumps: trees of any shape, chains and stars, take the logarithm of their size in joins.  Node ids are not
-    negative, parents are in the table; a tree with several roots is walked root by root.
+    jumps: trees of any shape, chains and stars, take the logarithm of their size in joins.
     """
     key = ["tree_id", "node_id"]
     beside = W.partitionBy("tree_id", "parent_id").orderBy(order, "node_id")
@@ -166,12 +258,19 @@ def euler_order(nodes: DataFrame, order: str = "node_id", rounds: int = 6) -> Da
     return nodes.drop("depth").join(placed, key).join(below.select(*key, "arity"), key, "left").withColumn("arity", F.coalesce("arity", F.lit(0)))
 
 
-def subtree_sums(placed: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds to a table of ``euler_order`` the sum of ``value`` below each node, itself included: a difference of two running sums, by blocks of places."""
-    upto = running(placed.withColumn("pos", F.col("pre")), value, "__upto", seq="tree_id")
-    last = upto.select("tree_id", (F.col("pos")).alias("__last"), F.col("__upto").alias("__end"))
+def subtree_sums(placed: DataFrame, value: str | list[str], out: str | list[str]) -> DataFrame:
+    """Adds to a table of ``euler_order`` the sum of ``value`` below each node, itself included: a difference of two running sums, by blocks of places.
+
+    Lists are lists of values and of their sums, which take the joins of one.
+    """
+    values, outs = ([x] if isinstance(x, str) else x for x in (value, out))
+    ends, uptos = [f"__end{k}" for k in range(len(values))], [f"__upto{k}" for k in range(len(values))]
+    # written, as rows and their blocks are read for both ends of a subtree
+    upto = running(stored(placed.withColumn("pos", F.col("pre")), "placed"), values, uptos, seq="tree_id")
+    last = upto.select("tree_id", F.col("pos").alias("__last"), *(F.col(u).alias(e) for u, e in zip(uptos, ends, strict=True)))
     both = upto.withColumn("__last", F.col("pre") + F.col("size") - 1).join(last, ["tree_id", "__last"])
-    return both.withColumn(out, F.col("__end") - F.col("__upto") + F.col(value)).drop("pos", "__upto", "__last", "__end")
+    sums = {o: F.col(e) - F.col(u) + F.col(v) for o, e, u, v in zip(outs, ends, uptos, values, strict=True)}
+    return both.withColumns(sums).drop("pos", "__last", *uptos, *ends)
 
 
 #: A prime below 2 ** 31, and the bases of the three sums that tell subtrees apart.
@@ -186,16 +285,20 @@ def subtree_hashes(placed: DataFrame, label: Column) -> DataFrame:
     three bases; together they hold 93 bits, so subtrees that differ share a hash by chance only.
     """
     code = F.md5(F.concat_ws("\x1f", F.length(label).cast("string"), label, F.col("arity").cast("string")).cast("binary"))
-    out, names = placed.withColumn("__code", code), []
-    for k, base in enumerate(BASES):
-        powers = "array(" + ", ".join(f"{pow(base, 2**i, PRIME)}L" for i in range(32)) + ")"
-        power = lambda e: f"aggregate(sequence(0, 31), 1L, (a, k) -> IF(shiftright({e}, k) % 2 = 1, a * {powers}[k] % {PRIME}, a))"  # noqa: B023, E731
-        term = F.conv(F.substring("__code", 1 + 7 * k, 7), 16, 10).cast("long") + 1
-        out = out.withColumn("__e", F.col("pre") % (PRIME - 1)).withColumn("__v", term * F.expr(power("__e")) % PRIME)
-        out = subtree_sums(out, "__v", "__s").withColumn("__e", F.pmod(-F.col("pre"), F.lit(PRIME - 1)))
-        out = out.withColumn(f"__h{k}", F.col("__s") % PRIME * F.expr(power("__e")) % PRIME).drop("__e", "__v", "__s")
-        names.append(f"__h{k}")
-    return out.withColumn("subtree_hash", F.concat_ws("-", F.col("size").cast("string"), *(F.lower(F.hex(n)) for n in names))).drop("__code", *names)
+    values, sums = ([f"{c}{k}" for k in range(len(BASES))] for c in ("__v", "__s"))
+    term = lambda k: F.conv(F.substring("__code", 1 + 7 * k, 7), 16, 10).cast("long") + 1
+    out = placed.withColumn("__code", code).withColumns({v: term(k) * _power(BASES[k], F.col("pre")) % PRIME for k, v in enumerate(values)}).drop("__code")
+    out = subtree_sums(out, values, sums)
+    parts = (F.lower(F.hex(F.col(s) % PRIME * _power(pow(BASES[k], -1, PRIME), F.col("pre")) % PRIME)) for k, s in enumerate(sums))
+    return out.withColumn("subtree_hash", F.concat_ws("-", F.col("size").cast("string"), *parts)).drop(*values, *sums)
+
+
+def _power(base: int, e: Column) -> Column:
+    """base ** e modulo PRIME, by the powers of the four bytes that e has modulo PRIME - 1."""
+    e = e % (PRIME - 1)
+    table = lambda k: F.split(F.lit(",".join(str(pow(base, x << 8 * k, PRIME)) for x in range(256))), ",").cast("array<bigint>")
+    a, b, c, d = (table(k)[F.shiftright(e, 8 * k).bitwiseAND(255).cast("int")] for k in range(4))
+    return a * b % PRIME * c % PRIME * d % PRIME
 
 
 def tree_hashes(placed: DataFrame, label: Column) -> DataFrame:

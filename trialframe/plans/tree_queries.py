@@ -25,6 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: Nodes of a class of equal subtrees beyond which it is broadcast instead of meeting in a task.
+OFTEN = 100_000
+
+
 def nodes(spark, d) -> DataFrame:
     pos = F.col("pos").cast("bigint")
     parent = F.when(pos > 0, F.floor((pos - 1) / 2))
@@ -100,9 +104,13 @@ def euler_order(spark, d):
 @query(f"{_WAY}, least AS (SELECT shape, min((tree_id, node_id)) AS x FROM sub GROUP BY ALL) SELECT tree_id, node_id, x[1] AS class_tree, x[2] AS class_node FROM sub JOIN least USING (shape)")
 def equal_subtrees(spark, d):
     """Every node with the first node whose subtree equals its own, over all trees."""
-    own = trees.subtree_hashes(trees.euler_order(nodes(spark, d)), F.col("kind")).select("tree_id", "node_id", "subtree_hash")
-    first = own.groupBy("subtree_hash").agg(F.min(F.struct("tree_id", "node_id")).alias("x"))
-    return own.join(first, "subtree_hash").select("tree_id", "node_id", F.col("x.tree_id").alias("class_tree"), F.col("x.node_id").alias("class_node"))
+    placed = trees.euler_order(nodes(spark, d).select("tree_id", "node_id", "parent_id", "kind"))
+    own = stored(trees.subtree_hashes(placed, F.col("kind")).select("tree_id", "node_id", "subtree_hash"), "hashes")
+    first = stored(own.groupBy("subtree_hash").agg(F.min(F.struct("tree_id", "node_id")).alias("x"), F.count("*").alias("n")), "classes")
+    # a class of leaves holds a good part of all nodes, so large classes meet no task; there is one for every OFTEN nodes at most
+    often = F.broadcast(first.where(F.col("n") > OFTEN))
+    rest = own.join(often, "subtree_hash", "left_anti").join(first.where(F.col("n") <= OFTEN), "subtree_hash")
+    return own.join(often, "subtree_hash").unionByName(rest).select("tree_id", "node_id", F.col("x.tree_id").alias("class_tree"), F.col("x.node_id").alias("class_node"))
 
 
 @query(f"{_WAY}, ev AS (SELECT tree_id, way || '(' AS place, kind || '(' AS said FROM w UNION ALL SELECT tree_id, way || 'c', ')' FROM w) SELECT tree_id, string_agg(said, '' ORDER BY place) AS text FROM ev GROUP BY ALL")
