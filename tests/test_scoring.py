@@ -100,6 +100,39 @@ def test_stages(spark):
     assert table.count() == 5 and [r.candidate_id for r in new.collect()] == ["n"]
 
 
+def test_stage_stream(spark, tmp_path):
+    """A stream in three starts says what the batch says, with far fewer states than candidates; odd rows are refused and not lost."""
+    size = F.col("id") % 7
+    cand = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("candidate_id"), F.when(size == 0, "EXCLUDE").when(size > 1, "PASS").alias("stage1_result"), F.when(F.col("id") % 5 == 0, "INCLUDE").otherwise("not_run").alias("stage2_result"), F.when(F.col("id") % 11 == 0, "other").otherwise("not_run").alias("stage3_result"), F.lit("DEFER").alias("final_decision"), F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1).alias("is_anchor"))
+    h = F.xxhash64("id")
+    name = F.when(F.col("id") % 97 == 0, None).otherwise(F.concat(F.lit("c"), F.col("id") % 3300))
+    events = spark.range(16_500).select(name.alias("candidate_id"), F.when(F.col("id") % 97 == 0, F.col("id")).otherwise((F.col("id") / 3300).cast("long")).alias("pos"), F.when(h % 13 == 0, None).otherwise(2 + F.abs(h % 5) % 3).alias("stage"), F.when(h % 17 == 0, None).otherwise(F.abs(h % 9) / 2).alias("score"))
+    stored = events.localCheckpoint()
+    states, at = [], f"{tmp_path}"
+    for when in ("pos < 2", "pos = 2", "pos > 2"):
+        stored.where(when).repartition(3).write.mode("append").parquet(f"{at}/in")
+        out = stages.stage_stream(cand, spark.readStream.schema(stored.schema).parquet(f"{at}/in"), 8)
+        run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        states.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    rows = lambda df: sorted(map(str, df.select("candidate_id", "pos", F.col("stage").cast("long").alias("stage"), F.col("score").cast("double").alias("score"), "outcome", "result").collect()))
+    got = spark.read.parquet(f"{at}/out")
+    assert rows(got) == rows(stages.stage_log(cand, stored)) and max(states) <= 9
+    assert {r.outcome for r in got.select("outcome").distinct().collect()} == set(stages.OUTCOMES)
+
+
+def test_stage_stream_odd_rows(spark, tmp_path):
+    """Large ids beside one that is null, a score that is no number, results that are null as if not run."""
+    big = 2**53 + 1
+    cand = spark.createDataFrame([(big, "PASS", None, None, "DEFER", None)], "candidate_id long, stage1_result string, stage2_result string, stage3_result string, final_decision string, is_anchor boolean")
+    ev = [(big, 0, 2, float("nan")), (big, 2, 2, 1.0), (big, 1, 3, 1.0), (big, 3, 3, 0.5), (big, 4, 2, 3.0), (None, 0, 2, 1.0), (big + 1, 0, 2, 1.0)]
+    spark.createDataFrame(ev, "candidate_id long, pos int, stage int, score double").write.parquet(f"{tmp_path}/in")
+    out = stages.stage_stream(cand, spark.readStream.schema("candidate_id long, pos int, stage int, score double").parquet(f"{tmp_path}/in"), 1)
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.candidate_id, r.pos): (r.outcome, r.result) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(big, 0): ("no_score", None), (big, 1): ("not_included", None), (big, 2): ("applied", "INCLUDE"), (big, 3): ("applied", "preferred"), (big, 4): ("already_run", None), (None, 0): ("unknown_candidate", None), (big + 1, 0): ("unknown_candidate", None)}
+
+
 def test_run_report(spark):
     """Counts of any length, statuses, the places where a summary is looked for, cut lists."""
     texts = [

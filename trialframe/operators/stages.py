@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,26 @@ from trialframe.operators.workflow import ceiling_band, score_band, slug
 
 #: Outcomes of an event.
 OUTCOMES = ("applied", "unknown_candidate", "unknown_stage", "no_score", "stage1_not_passed", "not_included", "already_run")
+#: What a stage can hold: nothing yet, or the result of an event.
+RESULTS = ("not_run", "EXCLUDE", "INCLUDE", "DEFER", "ceiling_risk", "preferred")
 BEFORE = "stage1_result", "stage2_result", "stage3_result", "final_decision", "is_anchor"
 
 
+def _refused(known: Column, stage1: Column) -> Column:
+    """Why an event is refused by its row and its candidate's first stage alone, else null."""
+    return (
+        F.when(known.isNull(), "unknown_candidate")
+        .when(~F.coalesce(F.col("stage").isin(2, 3), F.lit(False)), "unknown_stage")
+        .when(F.col("score").isNull(), "no_score")
+        .when((F.col("stage") == 2) & ~stage1.eqNullSafe(F.lit("PASS")), "stage1_not_passed")
+    )
+
+
+def _place(said: Column, names: tuple[str, ...]) -> Column:
+    """Where a name stands in ``names``, -1 if it doesn't."""
+    return (F.array_position(F.array(*map(F.lit, names)), said) - 1).cast("int")
+
+
 def stage_log(candidates: DataFrame, events: DataFrame, overwrite: bool = False) -> DataFrame:
     """Every event with its outcome and, if it was applied, the result it set: candidate_id, pos, stage, score, outcome, result.
 
@@ -31,13 +49,7 @@ def stage_log(candidates: DataFrame, events: DataFrame, overwrite: bool = False)
     state = candidates.select("candidate_id", *(F.col(c).alias(f"__{c}") for c in BEFORE), F.lit(True).alias("__known")).hint("merge")
     own = events.select("candidate_id", "pos", "stage", "score").join(state, "candidate_id", "left")
     run2, run3 = F.col("__stage2_result") != "not_run", F.col("__stage3_result") != "not_run"
-    refused = (
-        F.when(F.col("__known").isNull(), "unknown_candidate")
-        .when(~F.coalesce(F.col("stage").isin(2, 3), F.lit(False)), "unknown_stage")
-        .when(F.col("score").isNull(), "no_score")
-        .when((F.col("stage") == 2) & ~F.col("__stage1_result").eqNullSafe(F.lit("PASS")), "stage1_not_passed")
-    )
-    own = own.withColumn("__why", refused)
+    own = own.withColumn("__why", _refused(F.col("__known"), F.col("__stage1_result")))
     second = (F.col("stage") == 2) & F.col("__why").isNull()
     if not overwrite:
         first = own.where(second & ~run2).groupBy("candidate_id").agg(F.min("pos").alias("__first"))
@@ -83,40 +95,49 @@ def exclusion_reason(result: Column, score: Column, given: Column | None = None)
     return F.when(result == "EXCLUDE", F.coalesce(given, said)).otherwise(given)
 
 
-def stage_stream(candidates: DataFrame, events: DataFrame) -> DataFrame:
-    """``stage_log`` of a stream (without overwriting), the results being kept as each candidate's state.
+def stage_stream(candidates: DataFrame, events: DataFrame, states: int = 4096) -> DataFrame:
+    """``stage_log`` of a stream (without overwriting), the applied results being kept as state.
 
-    Events of a candidate must arrive in their order, those of one micro-batch in any.
+    Events of a candidate must arrive in their order, those of one micro-batch in any.  A group costs Python some thousand
+    times what a row does, so candidates share ``states`` states by their hash: a number that must stay for as long as
+    a checkpoint is used, best some hundred candidates to each.  Python gets outcomes and results as their places in
+    ``OUTCOMES`` and ``RESULTS``.
     """
-    names = ["candidate_id", "pos", "stage", "score", "outcome", "result"]
-    read = ["pos", "stage", "score", "known", "stage1_result", "stage2_result", "stage3_result", "is_anchor"]
+    kind = dict(events.dtypes)["candidate_id"]
+    not_run, include = RESULTS.index("not_run"), RESULTS.index("INCLUDE")
+    applied, not_included, already_run = map(OUTCOMES.index, ("applied", "not_included", "already_run"))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        two, three = state.get if state.exists else (None, None)
-        # lists, as most candidates have a few events and a frame for each would take longer than its rows
-        own = [row for b in batches for row in zip(*(b[c].tolist() for c in read), strict=True)]
-        out: list[tuple] = []
-        for pos, stage, score, known, first, second, third, anchor in sorted(own, key=lambda row: row[0]):
-            if two is None and three is None:
-                two, three = second or "not_run", third or "not_run"
-            why = "unknown_candidate" if not known else "unknown_stage" if stage not in (2, 3) else "no_score" if score is None or score != score else "stage1_not_passed" if stage == 2 and first != "PASS" else None
-            result = None
-            if why is None and stage == 3 and not (anchor or two == "INCLUDE"):
-                why = "not_included"
-            elif why is None and (two if stage == 2 else three) != "not_run":
-                why = "already_run"
-            elif why is None and stage == 2:
-                two = result = "EXCLUDE" if score >= 3 else "INCLUDE" if score >= 1 else "DEFER"
-            elif why is None:
-                three = result = "ceiling_risk" if score >= 1.0 else "preferred"
-            out.append((key[0], pos, stage, score, why or "applied", result))
-        state.update((two, three))
-        yield pd.DataFrame(dict(zip(names, zip(*out, strict=True), strict=True)))
-
-    known = candidates.select("candidate_id", "stage1_result", "stage2_result", "stage3_result", "is_anchor", F.lit(True).alias("known")).hint("merge")
-    own = events.select("candidate_id", F.col("pos").cast("long").alias("pos"), F.col("stage").cast("long").alias("stage"), F.col("score").cast("double").alias("score")).join(known, "candidate_id", "left").fillna(False, ["known", "is_anchor"])
-    kind = dict(events.dtypes)["candidate_id"]
-    return own.groupBy("candidate_id").applyInPandasWithState(update, f"candidate_id {kind}, pos long, stage long, score double, outcome string, result string", "two string, three string", "append", "NoTimeout")
+        twos, threes = state.get if state.exists else ({}, {})
+        own = pd.concat(list(batches), ignore_index=True).sort_values("pos", kind="stable", ignore_index=True)
+        outcome, result = own["outcome"].to_numpy(copy=True), np.full(len(own), not_run, "int32")
+        # the others are refused already
+        able = own[outcome == applied]
+        for at, one, stage, sets, second, third, anchor in zip(able.index.tolist(), *(able[c].tolist() for c in ("one", "stage", "sets", "second", "third", "is_anchor")), strict=True):
+            two = twos.get(one, second)
+            if stage == 3 and not (anchor or two == include):
+                outcome[at] = not_included
+            elif (two if stage == 2 else threes.get(one, third)) != not_run:
+                outcome[at] = already_run
+            else:
+                result[at] = sets
+                (twos if stage == 2 else threes)[one] = sets
+        state.update((twos, threes))
+        yield own[["candidate_id", "pos", "stage", "score"]].assign(outcome=outcome, result=result)
+
+    held = lambda c: _place(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("not_run")), RESULTS)
+    known = candidates.select("candidate_id", "stage1_result", held("stage2_result").alias("second"), held("stage3_result").alias("third"), "is_anchor", F.lit(True).alias("known")).hint("merge")
+    score = F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))
+    own = events.select("candidate_id", F.col("pos").cast("long").alias("pos"), F.col("stage").cast("long").alias("stage"), score.alias("score")).join(known, "candidate_id", "left")
+    outcome = F.coalesce(_refused(F.col("known"), F.col("stage1_result")), F.lit("applied"))
+    sets = F.when(F.col("stage") == 2, score_band(F.col("score"))).otherwise(ceiling_band(F.col("score")))
+    # ids that are null have a state of their own, as pandas would make all ids beside them fractions
+    at = F.when(F.col("candidate_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("candidate_id"), F.lit(states)))
+    one = F.when(outcome == "applied", F.col("candidate_id").cast("string"))
+    own = own.select("candidate_id", "pos", "stage", "score", one.alias("one"), _place(outcome, OUTCOMES).alias("outcome"), _place(sets, RESULTS).alias("sets"), F.coalesce("second", F.lit(0)).alias("second"), F.coalesce("third", F.lit(0)).alias("third"), F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"), at.alias("at"))
+    out = own.groupBy("at").applyInPandasWithState(update, f"candidate_id {kind}, pos long, stage long, score double, outcome int, result int", "two map<string, int>, three map<string, int>", "append", "NoTimeout")
+    said = lambda c, names: F.array(*map(F.lit, names))[F.col(c)]
+    return out.select("candidate_id", "pos", "stage", "score", said("outcome", OUTCOMES).alias("outcome"), F.when(F.col("result") != not_run, said("result", RESULTS)).alias("result"))
 
 
 def score_file(candidate: Column, task: str, condition: str, model: Column) -> Column:

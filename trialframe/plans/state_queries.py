@@ -13,6 +13,9 @@ from trialframe.operators import stages
 from trialframe.sources.scratch import shared_dir, stored
 from trialframe.streaming import events as ev
 
+#: Candidates whose results a stream keeps in one state.
+CANDIDATES = 1000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -100,9 +103,10 @@ def _fed(spark: SparkSession, parts: list[DataFrame], plan: Callable[[DataFrame]
 @query(_fold("true") + _LOG)
 def stage_stream(spark, d):
     """The same log from a stream that gets each candidate's events in three parts, its state being kept from start to start."""
-    x = stored(_events(spark, d), "stages")
+    own, x = _candidates(spark, d), stored(_events(spark, d), "stages")
+    states = -(-own.count() // CANDIDATES) or 1
     parts = [x.where(when) for when in ("pos < 8", "pos >= 8 AND pos < 20", "pos >= 20")]
-    return _fed(spark, parts, lambda s: stages.stage_stream(_candidates(spark, d), s), "stages")
+    return _fed(spark, parts, lambda s: stages.stage_stream(own, s, states), "stages")
 
 
 @query("SELECT DISTINCT click_id FROM clicks")
