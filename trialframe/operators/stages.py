@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +97,10 @@ def exclusion_reason(result: Column, score: Column, given: Column | None = None)
 def stage_stream(candidates: DataFrame, events: DataFrame, states: int = 4096) -> DataFrame:
     """``stage_log`` of a stream (without overwriting), the applied results being kept as state.
 
-    Events of a candidate must arrive in their order, those of one micro-batch in any.  A group costs Python some thousand
-    times what a row does, so candidates share ``states`` states by their hash: a number that must stay for as long as
-    a checkpoint is used, best some hundred candidates to each.  Python gets outcomes and results as their places in
-    ``OUTCOMES`` and ``RESULTS``.
+    Events of a candidate must arrive in their order, those of one micro-batch in any.  What is refused whatever came before
+    goes past the state.  A group costs Python some thousand times what a row does, so candidates share ``states``
+    states by their hash: a number that must stay for as long as a checkpoint is used, best some hundred candidates to
+    each.  Python gets outcomes and results as their places in ``OUTCOMES`` and ``RESULTS``.
     """
     kind = dict(events.dtypes)["candidate_id"]
     not_run, include = RESULTS.index("not_run"), RESULTS.index("INCLUDE")
@@ -110,34 +109,32 @@ def stage_stream(candidates: DataFrame, events: DataFrame, states: int = 4096) -
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         twos, threes = state.get if state.exists else ({}, {})
         own = pd.concat(list(batches), ignore_index=True).sort_values("pos", kind="stable", ignore_index=True)
-        outcome, result = own["outcome"].to_numpy(copy=True), np.full(len(own), not_run, "int32")
-        # the others are refused already
-        able = own[outcome == applied]
-        for at, one, stage, sets, second, third, anchor in zip(able.index.tolist(), *(able[c].tolist() for c in ("one", "stage", "sets", "second", "third", "is_anchor")), strict=True):
+        outcome, result = [], []
+        for one, stage, sets, second, third, anchor in zip(*(own[c].tolist() for c in ("one", "stage", "sets", "second", "third", "is_anchor")), strict=True):
             two = twos.get(one, second)
             if stage == 3 and not (anchor or two == include):
-                outcome[at] = not_included
+                outcome.append(not_included)
             elif (two if stage == 2 else threes.get(one, third)) != not_run:
-                outcome[at] = already_run
+                outcome.append(already_run)
             else:
-                result[at] = sets
+                outcome.append(applied)
                 (twos if stage == 2 else threes)[one] = sets
+            result.append(sets if outcome[-1] == applied else not_run)
         state.update((twos, threes))
         yield own[["candidate_id", "pos", "stage", "score"]].assign(outcome=outcome, result=result)
 
     held = lambda c: _place(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("not_run")), RESULTS)
-    known = candidates.select("candidate_id", "stage1_result", held("stage2_result").alias("second"), held("stage3_result").alias("third"), "is_anchor", F.lit(True).alias("known")).hint("merge")
+    known = candidates.select("candidate_id", "stage1_result", held("stage2_result").alias("second"), held("stage3_result").alias("third"), F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"), F.lit(True).alias("known")).hint("merge")
     score = F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))
     own = events.select("candidate_id", F.col("pos").cast("long").alias("pos"), F.col("stage").cast("long").alias("stage"), score.alias("score")).join(known, "candidate_id", "left")
-    outcome = F.coalesce(_refused(F.col("known"), F.col("stage1_result")), F.lit("applied"))
+    own = own.withColumn("outcome", _refused(F.col("known"), F.col("stage1_result")))
+    names = ["candidate_id", "pos", "stage", "score", "outcome", "result"]
+    past = own.where(F.col("outcome").isNotNull()).withColumn("result", F.lit(None).cast("string")).select(names)
     sets = F.when(F.col("stage") == 2, score_band(F.col("score"))).otherwise(ceiling_band(F.col("score")))
-    # ids that are null have a state of their own, as pandas would make all ids beside them fractions
-    at = F.when(F.col("candidate_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("candidate_id"), F.lit(states)))
-    one = F.when(outcome == "applied", F.col("candidate_id").cast("string"))
-    own = own.select("candidate_id", "pos", "stage", "score", one.alias("one"), _place(outcome, OUTCOMES).alias("outcome"), _place(sets, RESULTS).alias("sets"), F.coalesce("second", F.lit(0)).alias("second"), F.coalesce("third", F.lit(0)).alias("third"), F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"), at.alias("at"))
-    out = own.groupBy("at").applyInPandasWithState(update, f"candidate_id {kind}, pos long, stage long, score double, outcome int, result int", "two map<string, int>, three map<string, int>", "append", "NoTimeout")
-    said = lambda c, names: F.array(*map(F.lit, names))[F.col(c)]
-    return out.select("candidate_id", "pos", "stage", "score", said("outcome", OUTCOMES).alias("outcome"), F.when(F.col("result") != not_run, said("result", RESULTS)).alias("result"))
+    able = own.where(F.col("outcome").isNull()).select(*names[:4], F.col("candidate_id").cast("string").alias("one"), _place(sets, RESULTS).alias("sets"), "second", "third", "is_anchor", F.pmod(F.xxhash64("candidate_id"), F.lit(states)).alias("at"))
+    out = able.groupBy("at").applyInPandasWithState(update, f"candidate_id {kind}, pos long, stage long, score double, outcome int, result int", "two map<string, int>, three map<string, int>", "append", "NoTimeout")
+    said = lambda c, among: F.array(*map(F.lit, among))[F.col(c)]
+    return past.union(out.select(*names[:4], said("outcome", OUTCOMES).alias("outcome"), F.when(F.col("result") != not_run, said("result", RESULTS)).alias("result")))
 
 
 def score_file(candidate: Column, task: str, condition: str, model: Column) -> Column:
